@@ -12,15 +12,16 @@ Tests hold the ids against whole-text encoding. The kept pieces are bounded in n
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
-#: Distinct pieces kept by a worker; beyond it the memory starts anew.
-MOST_KEPT = 400_000
-#: Longer pieces are encoded each time.
-LONGEST_KEPT = 64
+#: Distinct pieces kept by a worker; beyond it, or after a piece longer than LONGEST_KEPT, the memory starts anew.
+MOST_KEPT = 1_000_000
+LONGEST_KEPT = 4096
 
 _loaded: dict[tuple[str, str], "Encoder"] = {}
 
@@ -31,14 +32,19 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable Latin-1, else the next from U+0100."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spare = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
+
+
 class Encoder:
     """Ids of texts. cut: "space" or "word", the rule above."""
 
-    CUTS = {
-        # a run of visible characters with the one space before it, where only visible characters surround that space
-        "space": re.compile(r"(?:(?<=\S) (?=\S)|^)\S+(?:\s{2,}\S+|[^\S ]\S+)*\s*$|(?:(?<=\S) (?=\S)|^)\S+(?:(?:\s{2,}|[^\S ])\S+)*|^\s+\S*(?:(?:\s{2,}|[^\S ])\S+)*\s*", re.ASCII),
-        "word": re.compile(r"[^ \t\n\r\f\v]+"),
-    }
+    CUTS = {"space": re.compile(r"(?<=\S)(?=[ \n]\S)").split, "word": re.compile(r"[^ \t\n\r\f\v]+").findall}
+    #: The splitting rule of byte-level vocabularies (fixed value, published with them).
+    BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
     def __init__(self, path: str, cut: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,54 +52,63 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cut = self.split_space if cut == "space" else self.CUTS["word"].findall
+        self.normalise = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else None
+        self.split, self.model = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
+        self.tokenizer.model._resize_cache(0)  # what repeats is kept here
+        rules = json.loads(self.tokenizer.to_str())
+        steps = rules["pre_tokenizer"].get("pretokenizers", [])
+        rule = next((x["pattern"]["Regex"] for x in steps if x["type"] == "Split"), self.BYTE_LEVEL)
+        ascii_rule = rule.replace("[\\p{L}]", "[A-Za-z]").replace("[\\p{N}]", "[0-9]").replace("?\\p{L}", "?[A-Za-z]").replace("?\\p{N}", "?[0-9]").replace("\\p{L}\\p{N}", "A-Za-z0-9")
+        self.ascii_parts = re.compile(ascii_rule, re.ASCII).findall
+        self.letters = dict(enumerate(byte_letters()))
+        self.cut = self.CUTS[cut]
         self.clear()
 
-    @staticmethod
-    def split_space(text: str) -> list[str]:
-        """Cut before each space that has a visible character on both sides."""
-        pieces = text.split(" ")
-        if len(pieces) == 1:
-            return pieces
-        out, open_run = [pieces[0]], False
-        for p in pieces[1:]:
-            before = out[-1]
-            # a cut needs a visible character right before and right after the space
-            if p and before and not p[0].isspace() and not before[-1].isspace():
-                out.append(" " + p)
-            else:
-                out[-1] = before + " " + p
-        return out
-
     def clear(self) -> None:
         self.places: dict[str, int] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
         self.ids = np.zeros(1 << 16, np.int32)
         self.begin = np.zeros(1 << 12, np.int64)
         self.used = 0
 
+    def _parts(self, piece: str) -> list[str]:
+        """The split parts of a piece. The library's splitter, or for ASCII the same rule in Python, which is quicker."""
+        if piece.isascii():
+            return [x.translate(self.letters) for x in self.ascii_parts(piece.lower() if self.normalise else piece)]
+        return [x for x, _ in self.split(self.normalise(piece) if self.normalise else piece)]
+
     def _add(self, pieces: list[str]) -> None:
-        encodings = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        for piece, e in zip(pieces, encodings, strict=True):
-            ids, k = e.ids, len(self.places)
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            if k + 2 > len(self.begin):
-                self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.places[piece] = k
-            self.begin[k + 1] = self.used
+        """Encode new pieces by the library's own model, keeping the ids of each split part."""
+        model, parts = self.model, self.parts
+        flat: list[int] = []
+        sizes = []
+        for piece in pieces:
+            before = len(flat)
+            for part in self._parts(piece):
+                ids = parts.get(part)
+                if ids is None:
+                    ids = parts[part] = tuple(t.id for t in model(part))
+                flat += ids
+            sizes.append(len(flat) - before)
+        k = len(self.places)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while k + len(pieces) >= len(self.begin):
+            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.begin[k + 1 : k + 1 + len(pieces)] = self.used + np.cumsum(sizes)
+        self.used += len(flat)
+        self.places.update(zip(pieces, range(k, k + len(pieces)), strict=True))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each text has."""
         if len(self.places) > MOST_KEPT:
             self.clear()
         cut = [self.cut(t) for t in texts]
-        places = self.places
-        fresh = {p for pieces in cut for p in pieces if p not in places}
+        fresh = set().union(*cut) - self.places.keys()
         if fresh:
-            self._add(sorted(fresh))
-        index = np.fromiter((places[p] for pieces in cut for p in pieces), np.int64, sum(map(len, cut)))
+            self._add(list(fresh))
+        index = np.fromiter(map(self.places.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
         begin = self.begin[index]
         size = self.begin[index + 1] - begin
         ends = np.cumsum(size)
@@ -101,15 +116,10 @@ class Encoder:
         ids = self.ids[np.arange(total) + np.repeat(begin - ends + size, size)]
         per_text = np.cumsum([0, *map(len, cut)])
         bounds = np.append(0, ends)[per_text]
-        if any(len(p) > LONGEST_KEPT for p in fresh):
-            self.forget_long()
+        if max(map(len, fresh), default=0) > LONGEST_KEPT:
+            self.clear()
         return ids, np.diff(bounds)
 
-    def forget_long(self) -> None:
-        for p in [p for p in self.places if len(p) > LONGEST_KEPT]:
-            k = self.places.pop(p)
-            self.places[f"\0{k}"] = k  # keeps the numbering dense
-
 
 def encoder(path: str, cut: str) -> Encoder:
     """The worker's encoder of a tokenizer file, loaded once."""
