@@ -15,5 +15,31 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup,)}
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import length_histogram, with_suffix_sums
+
+    return with_suffix_sums(length_histogram(table(spark, sf_dir, "documents")))
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_join
+
+    return ngram_join(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_output import new_folder, read_tokens, write_tokens
+
+    folder = new_folder(spark)
+    write_tokens(table(spark, sf_dir, "documents"), folder, cut="space", end_id=2)
+    return read_tokens(spark, folder, with_ids=False).drop("ids")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import best_fit_packing
+
+    return best_fit_packing(table(spark, sf_dir, "documents"), limit=4096, end_id=1)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op5_ngram_join, op6_token_output, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
