@@ -35,11 +35,22 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, folder, with_ids=False).drop("ids")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from .shared import shared_dir
+    from .warc import read_pages, write_pages
+
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    write_pages(table(spark, sf_dir, "pages"), path)
+    return read_pages(spark, path)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import best_fit_packing
 
     return best_fit_packing(table(spark, sf_dir, "documents"), limit=4096, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op5_ngram_join, op6_token_output, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op5_ngram_join, op6_token_output, op7_warc, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
