@@ -21,6 +21,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_suffix_sums(length_histogram(table(spark, sf_dir, "documents")))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores, train_quality
+
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import ngram_join
 
@@ -52,5 +59,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), limit=4096, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op5_ngram_join, op6_token_output, op7_warc, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_quality, op5_ngram_join, op6_token_output, op7_warc, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
