@@ -28,6 +28,13 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, train_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_scores, train_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_scores(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import ngram_join
 
@@ -59,5 +66,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), limit=4096, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_quality, op5_ngram_join, op6_token_output, op7_warc, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_quality, op4_toxicity, op5_ngram_join, op6_token_output, op7_warc, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
