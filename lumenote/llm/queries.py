@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import LEAKS_SQL
+from .topk import TOP_K_SQL
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -60,11 +63,24 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_pages(spark, path)
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import exact_top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return exact_top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=10)
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import best_fit_packing
 
     return best_fit_packing(table(spark, sf_dir, "documents"), limit=4096, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_quality, op4_toxicity, op5_ngram_join, op6_token_output, op7_warc, op10_packing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_quality, op4_toxicity, op5_ngram_join, op6_token_output, op7_warc, op8_top_k, op9_decontamination, op10_packing)}
+ORACLE_SQL: dict[str, str] = {"op8_top_k": TOP_K_SQL, "op9_decontamination": LEAKS_SQL}
