@@ -1,17 +1,73 @@
-"""Training-data pipeline over the documents table: one operator per stage, each stage stored before the next reads it."""
+"""Training-data pipeline over the documents table: one operator per stage, each stage stored before the next reads it.
+
+1. quality: documents that the trained classifier rejects (score below 0.3) go.
+2. near_duplicates: of each group linked by word five-grams of Jaccard similarity 0.8 or more, the smallest doc_id stays.
+3. repeated_passages: bytes of 200-byte strings that occur more than once in what is left go; a document left without
+   any text goes.
+4. decontamination: documents that hold a benchmark passage, also one with some words replaced, go.
+5. packing: the whole texts' token ids are packed into sequences of 4096.
+
+Stages 1 to 4 return the columns of documents; n_chars follows the text. Null texts count as empty: the classifier
+scores them like any text, and an empty text is linked with nothing. Tables without rows pass through.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lumenote.llm import decontam, ngram_join, packing, quality, suffix_dedup
 from lumenote.llm.shared import stored
 
-STAGES: list = []
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.train_quality(docs, _table(spark, sf_dir, "labels"))
+    scores = quality.quality_scores(docs, model).filter("predicted = 1").select("doc_id")
+    return docs.join(scores.distinct(), "doc_id", "left_semi").select(docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    classes = ngram_join.ngram_join(docs, words=5, percent=80)
+    stay = classes.filter("doc_id = component_id").select("doc_id")
+    return docs.join(stay, "doc_id", "left_semi").select(docs.columns)
+
+
+def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.suffix_dedup(docs, min_len=200, with_text=True).filter("n_removed < n_bytes OR n_bytes = 0").select("doc_id", F.col("n_removed").alias("_n_removed"), F.col("kept").alias("_kept"))
+    joined = docs.join(left, "doc_id")
+    text = F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col("text"))
+    columns = {c: F.col(c) for c in docs.columns} | {"text": text}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("_n_removed") > 0, F.length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return joined.select(*(v.alias(k) for k, v in columns.items()))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.clean(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(docs, limit=4096)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("repeated_passages", repeated_passage_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+
+#: The classifier and the tokenizer are not expressible in SQL; tests hold the run against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
     return docs
