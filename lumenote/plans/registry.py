@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import graph_queries, index_queries, ranking_queries, series_queries, telemetry_queries, text_queries
+from .base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "graph_queries", "index_queries", "ranking_queries", "series_queries", "telemetry_queries", "text_queries"]
