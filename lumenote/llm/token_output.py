@@ -28,6 +28,8 @@ from .tokens import encoder, tokenizer_path
 
 BATCH = 1 << 20
 BLOCK_IDS = 1 << 18
+#: How raw ids are held before ranking, by whether 2 bytes are too few.
+ID_TYPE = {False: "<u2", True: "<u4"}
 #: Lengths (1 to 4) of the four codes of each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
 
@@ -56,31 +58,37 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 
 def _encoded(path: str, cut: str, end_id: int):
-    """(doc_id, body) to doc_id, n, and the ids packed as they are."""
+    """(doc_id, body) to doc_id and the ids with the end id, as little-endian integers of 2 or 4 bytes."""
 
     def run(batches):
         for batch in batches:
             _, offsets = binary_parts(batch.column(1))
             for s, e in bounded_runs(np.diff(offsets), BATCH):
-                ids, sizes = encoder(path, cut).encode(batch.column(1).slice(s, e - s).cast(pa.string()).to_pylist())
-                at = np.cumsum(sizes)
-                ids = np.insert(ids, at, end_id)
-                sizes = sizes + 1
-                ends = np.cumsum(sizes)
-                packed = [pack(ids[b - n : b]) for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array(sizes, pa.int32()), pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary())], names=["doc_id", "n", "control", "data"])
+                tool = encoder(path, cut)
+                ids, sizes = tool.encode(batch.column(1).slice(s, e - s).cast(pa.string()).to_pylist())
+                raw = np.insert(ids, np.cumsum(sizes), end_id).astype(ID_TYPE[tool.wide or end_id > 0xFFFF])
+                at = np.append(0, np.cumsum(sizes + 1)).astype(np.int32) * raw.itemsize
+                column = pa.Array.from_buffers(pa.binary(), e - s, [None, pa.py_buffer(at), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array(np.full(e - s, raw.itemsize == 4)), column], names=["doc_id", "wide", "ids"])
 
     return run
 
 
+def _raw_ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a batch, and the bounds of its documents in them."""
+    data, offsets = binary_parts(batch.column("ids"))
+    kind = ID_TYPE[bool(batch.num_rows and batch.column("wide")[0].as_py())]
+    width = np.dtype(kind).itemsize
+    return data[offsets[0] : offsets[-1]].view(kind), (offsets - offsets[0]) // width
+
+
 def _counted(batches):
     total = np.zeros(1 << 16, np.int64)
     for batch in batches:
-        for n, c, d in zip(*(batch.column(k).to_pylist() for k in ("n", "control", "data")), strict=True):
-            got = np.bincount(unpack(c, d, n))
-            if len(got) > len(total):
-                total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
-            total[: len(got)] += got
+        got = np.bincount(_raw_ids(batch)[0])
+        if len(got) > len(total):
+            total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
+        total[: len(got)] += got
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
 
@@ -102,11 +110,12 @@ def _blocked(ranks: np.ndarray):
             return out
 
         for batch in batches:
-            for d, n, c, v in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "n", "control", "data")), strict=True):
-                if held and total + n > BLOCK_IDS:
+            ids, bounds = _raw_ids(batch)
+            for d, a, b in zip(batch.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if held and total + b - a > BLOCK_IDS:
                     yield row()
-                held.append((d, unpack(c, v, n)))
-                total += n
+                held.append((d, ids[a:b]))
+                total += b - a
         if held:
             yield row()
 
@@ -120,8 +129,8 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, cut: str
     """Encode whole texts, append end_id to each, and write them to `folder` in ascending doc_id order."""
     spark = docs.sparkSession
     path = path or tokenizer_path("byte_bpe_50k.json")
-    encoded = stored(input_bytes(docs).mapInArrow(_encoded(path, cut, end_id), "doc_id long, n int, control binary, data binary"), "encoded")
-    counts = encoded.select("n", "control", "data").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    encoded = stored(input_bytes(docs).mapInArrow(_encoded(path, cut, end_id), "doc_id long, wide boolean, ids binary"), "encoded")
+    counts = encoded.select("wide", "ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # one row per id in use: bounded by the vocabulary, whatever the corpus
     by_count = sorted(((r.id, r.n) for r in counts.collect()), key=lambda x: (-x[1], x[0]))
     spark.createDataFrame([(k, i) for k, (i, _) in enumerate(by_count)], "rank long, id long").coalesce(1).write.parquet(f"{folder}/vocabulary")

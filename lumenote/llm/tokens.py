@@ -15,12 +15,14 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import chain
+import unicodedata
+from array import array
+from itertools import chain, repeat
 
 import numpy as np
 
-#: Distinct pieces kept by a worker; beyond it, or after a piece longer than LONGEST_KEPT, the memory starts anew.
-MOST_KEPT = 1_000_000
+#: Distinct pieces kept by a worker; beyond it the rarer ones go; after a piece longer than LONGEST_KEPT all do.
+MOST_KEPT = 700_000
 LONGEST_KEPT = 4096
 
 _loaded: dict[tuple[str, str], "Encoder"] = {}
@@ -42,7 +44,6 @@ def byte_letters() -> list[str]:
 class Encoder:
     """Ids of texts. cut: "space" or "word", the rule above."""
 
-    CUTS = {"space": re.compile(r"(?<=\S)(?=[ \n]\S)").split, "word": re.compile(r"[^ \t\n\r\f\v]+").findall}
     #: The splitting rule of byte-level vocabularies (fixed value, published with them).
     BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -54,61 +55,118 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.normalise = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else None
         self.split, self.model = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
+        self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.tokenizer.model._resize_cache(0)  # what repeats is kept here
         rules = json.loads(self.tokenizer.to_str())
         steps = rules["pre_tokenizer"].get("pretokenizers", [])
         rule = next((x["pattern"]["Regex"] for x in steps if x["type"] == "Split"), self.BYTE_LEVEL)
         ascii_rule = rule.replace("[\\p{L}]", "[A-Za-z]").replace("[\\p{N}]", "[0-9]").replace("?\\p{L}", "?[A-Za-z]").replace("?\\p{N}", "?[0-9]").replace("\\p{L}\\p{N}", "A-Za-z0-9")
         self.ascii_parts = re.compile(ascii_rule, re.ASCII).findall
-        self.letters = dict(enumerate(byte_letters()))
-        self.cut = self.CUTS[cut]
+        # the same rule for Latin-1, its classes spelled out
+        latin = [chr(c) for c in range(256)]
+        letter, number, blank = ("".join(re.escape(c) for c in latin if f(c)) for f in (lambda c: unicodedata.category(c)[0] == "L", lambda c: unicodedata.category(c)[0] == "N", lambda c: c in "\t\n\v\f\r \x85\xa0"))
+        latin_rule = ascii_rule.replace("A-Za-z", letter).replace("0-9", number).replace("\\S", f"[^{blank}]").replace("[^\\s", f"[^{blank}").replace("\\s", f"[{blank}]")
+        self.latin_parts = re.compile(latin_rule).findall
+        spelled = byte_letters()
+        self.letters = {c: "".join(spelled[b] for b in chr(c).encode()) for c in range(256)}
+        self.cut = self.cut_at_spaces if cut == "space" else self.cut_words
         self.clear()
 
+    MARK = "\x01"
+    EVEN_CUTS = re.compile(r"(?<=\S)(?=[ \n]\S)").split
+    ODD_SPACE = re.compile(r"[^\S \t\n\r\f\v]|[\x1c-\x1f]").search
+    WORDS = re.compile(r"[^ \t\n\r\f\v]+").findall
+
+    def cut_at_spaces(self, text: str) -> list[str]:
+        """Keys of the pieces: a piece after a space without that space, any other with MARK before it."""
+        words = text.split()
+        single = len(text) - len(words) + 1 == len("".join(words)) and text.count(" ") + text.count("\n") == len(words) - 1
+        if not single or self.MARK in text:  # runs of white space, or other than spaces and line ends
+            return [p[1:] if p[:1] == " " and p[1:2] != self.MARK else self.MARK + p for p in self.EVEN_CUTS(text)]
+        return (self.MARK + text.replace("\n", " \x01\n")).split(" ") if text else []
+
+    def cut_words(self, text: str) -> list[str]:
+        """Keys of the words, which are the words with MARK before those that begin with it."""
+        words = self.WORDS(text) if self.ODD_SPACE(text) else text.split()
+        return [self.MARK + w if w[0] == self.MARK else w for w in words] if self.MARK in text else words
+
+    def piece(self, key: str) -> str:
+        """The text that a key stands for."""
+        if key[:1] == self.MARK:
+            return key[1:]
+        return " " + key if self.cut == self.cut_at_spaces else key
+
     def clear(self) -> None:
         self.places: dict[str, int] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
+        self.parts: dict[str, bytes] = {}
         self.ids = np.zeros(1 << 16, np.int32)
         self.begin = np.zeros(1 << 12, np.int64)
+        self.hits = np.zeros(1 << 12, np.int64)
         self.used = 0
 
+    def forget_rare(self) -> None:
+        """Keep the pieces met most often, half of MOST_KEPT at most."""
+        keys, hits = list(self.places), self.hits[: len(self.places)]
+        least = max(2, int(np.partition(hits, -MOST_KEPT // 2)[-MOST_KEPT // 2]) + 1)
+        keep = np.flatnonzero(hits >= least)
+        begin = self.begin[keep]
+        size = self.begin[keep + 1] - begin
+        ends = np.cumsum(size)
+        ids = self.ids[np.arange(int(size.sum())) + np.repeat(begin - ends + size, size)]
+        self.clear()
+        self._store([keys[i] for i in keep.tolist()], ids, size)
+
     def _parts(self, piece: str) -> list[str]:
-        """The split parts of a piece. The library's splitter, or for ASCII the same rule in Python, which is quicker."""
+        """The split parts of a piece. The library's splitter, or for Latin-1 the same rule in Python, which is quicker."""
         if piece.isascii():
             return [x.translate(self.letters) for x in self.ascii_parts(piece.lower() if self.normalise else piece)]
+        try:
+            piece.encode("latin-1")
+            return [x.translate(self.letters) for x in self.latin_parts(piece.lower() if self.normalise else piece)]
+        except UnicodeEncodeError:
+            pass
         return [x for x, _ in self.split(self.normalise(piece) if self.normalise else piece)]
 
-    def _add(self, pieces: list[str]) -> None:
+    def _add(self, keys: list[str]) -> None:
         """Encode new pieces by the library's own model, keeping the ids of each split part."""
         model, parts = self.model, self.parts
-        flat: list[int] = []
-        sizes = []
-        for piece in pieces:
-            before = len(flat)
-            for part in self._parts(piece):
+        flat, sizes = [], []
+        for key in keys:
+            size = 0
+            for part in self._parts(self.piece(key)):
                 ids = parts.get(part)
                 if ids is None:
-                    ids = parts[part] = tuple(t.id for t in model(part))
-                flat += ids
-            sizes.append(len(flat) - before)
+                    ids = parts[part] = array("i", [t.id for t in model(part)]).tobytes()
+                flat.append(ids)
+                size += len(ids)
+            sizes.append(size // 4)
+        self._store(keys, np.frombuffer(b"".join(flat), np.int32), np.array(sizes))
+
+    def _store(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         k = len(self.places)
-        while self.used + len(flat) > len(self.ids):
+        while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while k + len(pieces) >= len(self.begin):
+        while k + len(keys) >= len(self.begin):
             self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.begin[k + 1 : k + 1 + len(pieces)] = self.used + np.cumsum(sizes)
-        self.used += len(flat)
-        self.places.update(zip(pieces, range(k, k + len(pieces)), strict=True))
+            self.hits = np.concatenate([self.hits, np.zeros_like(self.hits)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.begin[k + 1 : k + 1 + len(keys)] = self.used + np.cumsum(sizes)
+        self.used += len(ids)
+        self.places.update(zip(keys, range(k, k + len(keys)), strict=True))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each text has."""
         if len(self.places) > MOST_KEPT:
-            self.clear()
+            self.forget_rare()
         cut = [self.cut(t) for t in texts]
-        fresh = set().union(*cut) - self.places.keys()
-        if fresh:
-            self._add(list(fresh))
-        index = np.fromiter(map(self.places.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
+        keys = list(chain.from_iterable(cut))
+        index = np.fromiter(map(self.places.get, keys, repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(index < 0).tolist()
+        if missing:
+            fresh = list(dict.fromkeys(keys[i] for i in missing))
+            self._add(fresh)
+            index[missing] = [self.places[keys[i]] for i in missing]
+        self.hits += np.bincount(index, minlength=len(self.hits))
         begin = self.begin[index]
         size = self.begin[index + 1] - begin
         ends = np.cumsum(size)
@@ -116,7 +174,7 @@ class Encoder:
         ids = self.ids[np.arange(total) + np.repeat(begin - ends + size, size)]
         per_text = np.cumsum([0, *map(len, cut)])
         bounds = np.append(0, ends)[per_text]
-        if max(map(len, fresh), default=0) > LONGEST_KEPT:
+        if missing and max(map(len, fresh)) > LONGEST_KEPT:
             self.clear()
         return ids, np.diff(bounds)
 
