@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import U64, PrefixHash, binary_parts, bounded_runs, input_bytes, mix, stored, word_spans
 
-BATCH = 2 << 20
-BLOCK = 1024
+BATCH = 1 << 19
+BLOCK = 512
 #: Columns of one matrix product.
-FRAGMENT = 4096
+FRAGMENT = 2048
+#: Rounds in which sets that share too few fragments are left out before candidates are compared.
+PEEL = 2
 SPREAD = [0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
 
@@ -78,36 +80,43 @@ def size_class(n: int, percent: int) -> tuple[int, int]:
         low, k = high + 1, k + 1
 
 
-def fragments(high: int, percent: int) -> tuple[int, int]:
-    """Fragments for a class, and how many of them may be empty in a set before its empty ones count too."""
+def fragments(high: int, percent: int) -> tuple[int, int, int]:
+    """Fragments for a class; how many may be empty in a set before its empty ones count too; how many that count two
+    linked sets agree in at least."""
     differ = most_different(2 * high, percent)
-    spare = 2 + differ // 16
-    return (differ + 1 + spare, spare) if differ else (0, 0)
+    if not differ:
+        return 0, 0, 0
+    empty, more = 2 + differ // 16, 1 + differ // 6
+    return differ + empty + more, empty, more
 
 
-def fragment_keys(grams: np.ndarray, percent: int, known: dict) -> np.ndarray:
-    """A key for each fragment of the set, for its class and the next larger one; equal for equal fragments only."""
+def fragment_keys(grams: np.ndarray, percent: int, known: dict) -> tuple[np.ndarray, list[int]]:
+    """A key for each fragment of the set, for its class and the next larger one, equal for equal fragments only; its
+    lowest bit is the class number's. And for either bit how many keys a linked set shares at least (0: none is linked).
+    """
     n = len(grams)
     if n not in known:
         k, high = size_class(n, percent)
         known[n] = [(k, *fragments(high, percent)), (k + 1, *fragments(100 * (high + 1) // percent, percent))]
-    keys = []
+    keys, need = [], [0, 0]
     inner = mix(grams ^ U64(SPREAD[1]))
-    for k, count, spare in known[n]:
+    for k, count, spare, more in known[n]:
+        need[k & 1] = more
         if not count:
             continue
         part = ((grams >> U64(32)) * U64(count) >> U64(32)).astype(np.int64)
         first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
         total = np.add.reduceat(inner, first)
-        keys.append(mix(total ^ mix(part[first].astype(U64) * U64(SPREAD[0]) + U64(k))))
+        own = [mix(total ^ mix(part[first].astype(U64) * U64(SPREAD[0]) + U64(k)))]
         if count - len(first) > spare:
             empty = np.setdiff1d(np.arange(count), part[first]).astype(U64)
-            keys.append(mix(U64(SPREAD[2]) ^ mix(empty * U64(SPREAD[0]) + U64(k))))
-    return np.concatenate(keys) if keys else np.zeros(0, U64)
+            own.append(mix(U64(SPREAD[2]) ^ mix(empty * U64(SPREAD[0]) + U64(k))))
+        keys += [x & ~U64(1) | U64(k & 1) for x in own]
+    return np.concatenate(keys) if keys else np.zeros(0, U64), need
 
 
 def _described(words: int, percent: int):
-    """(doc_id, body) to doc_id, set size, set identity, fragment keys."""
+    """(doc_id, body) to doc_id, set size, set identity, shared keys needed, fragment keys."""
 
     def run(batches):
         known: dict = {}
@@ -116,14 +125,42 @@ def _described(words: int, percent: int):
             for s, e in bounded_runs(np.diff(offsets), BATCH):
                 sets = shingle_sets(data, offsets[s : e + 1], words)
                 own = np.array([mix(np.array([(mix(g).sum(dtype=U64)) ^ U64(len(g))], U64))[0] for g in sets], U64)
-                keys = [fragment_keys(g, percent, known) if len(g) else g for g in sets]
+                keyed = [fragment_keys(g, percent, known) if len(g) else (g, [0, 0]) for g in sets]
+                keys = [k for k, _ in keyed]
+                need = [pa.array([x[bit] for _, x in keyed], pa.int32()) for bit in (0, 1)]
                 at = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 flat = pa.array((np.concatenate(keys) if keys else np.zeros(0, U64)).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array([len(g) for g in sets], pa.int64()), pa.array(own.view(np.int64)), pa.ListArray.from_arrays(pa.array(at), flat)], names=["doc_id", "n_shingles", "own", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array([len(g) for g in sets], pa.int64()), pa.array(own.view(np.int64)), *need, pa.ListArray.from_arrays(pa.array(at), flat)], names=["doc_id", "n_shingles", "own", "need_0", "need_1", "keys"])
 
     return run
 
 
+def _shared(batches):
+    """Of rows (key, own) sorted by both, the distinct ones whose key several sets have; runs may span batches."""
+    held = None  # the first set of the current run, not given yet
+    key0 = last0 = None
+    for batch in batches:
+        key, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(key):
+            continue
+        new = np.append(key0 is None or key[0] != key0, key[1:] != key[:-1])
+        before = np.append(last0 if last0 is not None else 0, own[:-1])
+        fresh = new | (own != before)  # not a copy of the row before
+        later = np.flatnonzero(fresh & ~new)
+        head = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))[later]
+        heads = np.unique(head[head >= 0])
+        out_key, out_own = np.concatenate([key[heads], key[later]]), np.concatenate([own[heads], own[later]])
+        if held is not None and (head < 0).any():
+            out_key, out_own = np.append(out_key, key0), np.append(out_own, held)
+            held = None
+        if new.any():
+            start = int(np.flatnonzero(new)[-1])
+            held = None if start in heads else own[start]
+        key0, last0 = key[-1], own[-1]
+        if len(out_key):
+            yield pa.RecordBatch.from_arrays([pa.array(out_key), pa.array(out_own)], names=["key", "own"])
+
+
 def _tied(batches):
     """Rows (key, own) sorted by both to (own, first own of its key) for keys of several sets; runs may span batches."""
     key0 = first0 = last0 = None
@@ -233,9 +270,18 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     linked with it directly, copies included.
     """
     bodies = input_bytes(docs)
-    described = stored(bodies.mapInArrow(_described(words, percent), "doc_id long, n_shingles long, own long, keys array<long>"), "sets")
+    described = stored(bodies.mapInArrow(_described(words, percent), "doc_id long, n_shingles long, own long, need_0 int, need_1 int, keys array<long>"), "sets")
     keyed = described.select(F.explode("keys").alias("key"), "own")
-    ties = keyed.repartition("key").sortWithinPartitions("key", "own").mapInArrow(_tied, "a long, b long").distinct()
+    needed = described.filter("n_shingles > 0").select("own", "need_0", "need_1").distinct()
+    by_key = lambda df: df.repartition("key").sortWithinPartitions("key", "own")
+    shared = stored(by_key(keyed).mapInArrow(_shared, "key long, own long"), "shared")
+    for _ in range(PEEL):
+        bit = F.col("key").bitwiseAND(F.lit(1))
+        counts = shared.groupBy("own").agg(F.count_if(bit == 0).alias("n_0"), F.count_if(bit == 1).alias("n_1")).join(needed, "own")
+        enough = counts.select("own", ((F.col("n_0") >= F.col("need_0")) & (F.col("need_0") > 0)).alias("ok_0"), ((F.col("n_1") >= F.col("need_1")) & (F.col("need_1") > 0)).alias("ok_1")).filter("ok_0 OR ok_1")
+        left = shared.join(enough, "own").filter(F.when(bit == 0, F.col("ok_0")).otherwise(F.col("ok_1"))).select("key", "own")
+        shared = stored(by_key(left).mapInArrow(_shared, "key long, own long"), "shared")
+    ties = by_key(shared).mapInArrow(_tied, "a long, b long").distinct()
     clusters = components(stored(ties, "ties"))
     sets = stored(described.filter("n_shingles > 0").groupBy("own").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "folded")
     members = sets.join(clusters.withColumnRenamed("node", "own"), "own")

@@ -29,7 +29,7 @@ from .shared import BASE_A, BASE_B, U64, PrefixHash, binary_parts, input_bytes,
 
 ANCHOR = 64
 #: Bytes hashed or sorted at once in a task; long texts are cut into overlapping pieces.
-PIECE, CHUNK = 2 << 20, 2 << 20
+PIECE, CHUNK = 1 << 19, 1 << 20
 #: An anchor with more different regions than this is compared by windows, not in one task.
 HOT_REGIONS = 4096
 SEP = 0xFF  # never a byte of UTF-8

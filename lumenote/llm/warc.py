@@ -226,9 +226,11 @@ def page_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return joined.select(name(F.col("page_id")).alias("record_id"), kind.alias("record_type"), F.col("url").cast("string").alias("target_uri"), F.when(F.col("first").isNotNull(), name(F.col("first"))).alias("refers_to"), "payload")
 
 
-def write_pages(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
+def write_pages(pages: DataFrame, path: str, least_bytes: int = 0, archives: int | None = None) -> None:
+    """Write the pages' records to at most so many archives (default: one for each core of the cluster)."""
     register(pages.sparkSession)
-    page_records(pages, least_bytes).write.format("warc").mode("append").save(path)
+    archives = archives or pages.sparkSession.sparkContext.defaultParallelism
+    page_records(pages, least_bytes).coalesce(archives).write.format("warc").mode("append").save(path)
 
 
 def _checked(batches):
