@@ -21,11 +21,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .shared import BASE_A, BASE_B, U64, PrefixHash, binary_parts, input_bytes, stored
+from .shared import BASE_A, BASE_B, U64, PrefixHash, binary_parts, bounded_runs, input_bytes, stored
 
 ANCHOR = 64
 #: Bytes hashed or sorted at once in a task; long texts are cut into overlapping pieces.
@@ -251,18 +251,17 @@ def _cut_out(batches):
     """(doc_id, start, windows, ..., body with the text) to the regions' own bytes."""
     for batch in batches:
         data, offsets = binary_parts(batch.column("body"))
-        view = data.data if len(data) else b""
-        names = ["anchor", "doc_id", "start", "windows", "once", "hot", "body"]
-        out = {k: [] for k in names}
-        for i, (doc, regions) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("regions").to_pylist(), strict=True)):
-            for r in regions:
-                a = int(offsets[i]) + r["start"]
-                for k, v in r.items():
-                    if k in out:
-                        out[k].append(v)
-                out["doc_id"].append(doc)
-                out["body"].append(bytes(view[a : a + r["size"]]))
-        yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in zip(names, [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()], strict=True)], names=names)
+        regions = batch.column("regions")
+        row = np.repeat(np.arange(batch.num_rows), np.diff(regions.offsets.to_numpy()))
+        regions = regions.flatten()
+        docs, size = batch.column("doc_id").to_numpy()[row], regions.field("size").to_numpy().astype(np.int64)
+        begin = offsets[row] + regions.field("start").to_numpy()
+        for s, e in bounded_runs(size, CHUNK):
+            ends = np.cumsum(size[s:e])
+            body = data[np.arange(ends[-1]) + np.repeat(begin[s:e] - ends + size[s:e], size[s:e])]
+            column = pa.Array.from_buffers(pa.binary(), e - s, [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(body)])
+            anchor, start, windows, once, hot = (regions.field(k).slice(s, e - s) for k in ("anchor", "start", "windows", "once", "hot"))
+            yield pa.RecordBatch.from_arrays([anchor, pa.array(docs[s:e]), start, windows, once, hot, column], names=["anchor", "doc_id", "start", "windows", "once", "hot", "body"])
 
 
 def _windows(min_len: int):
@@ -272,10 +271,15 @@ def _windows(min_len: int):
         for batch in batches:
             data, offsets = binary_parts(batch.column("body"))
             docs, starts, once = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("doc_id", "start", "once"))
-            for i in range(batch.num_rows):
-                body = data[offsets[i] : offsets[i + 1]]
-                a, b = PrefixHash(body, BASE_A).sliding(min_len), PrefixHash(body, BASE_B).sliding(min_len)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), docs[i])), pa.array(starts[i] + np.arange(len(a))), pa.array(np.full(len(a), once[i]))], names=["ha", "hb", "doc_id", "start", "once"])
+            size = np.diff(offsets)
+            for s, e in bounded_runs(size, CHUNK >> 2):
+                body = data[offsets[s] : offsets[e]]
+                n = size[s:e] - (min_len - 1)
+                row = np.repeat(np.arange(s, e), n)
+                within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                at = offsets[row] - offsets[s] + within
+                a, b = (PrefixHash(body, base).sliding(min_len)[at].view(np.int64) for base in (BASE_A, BASE_B))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(docs[row]), pa.array(starts[row] + within), pa.array(once[row])], names=["ha", "hb", "doc_id", "start", "once"])
 
     return run
 
@@ -283,19 +287,26 @@ def _windows(min_len: int):
 def repeated_ranges(docs: DataFrame, min_len: int = 200) -> DataFrame:
     """doc_id, a, b: byte ranges made of windows that occur elsewhere too. Ranges of a document may overlap."""
     bodies = input_bytes(docs)
-    regions = bodies.mapInArrow(anchored_regions(min_len), "anchor long, region long, doc_id long, start long, windows int")
-    by_anchor, by_region = Window.partitionBy("anchor"), Window.partitionBy("anchor", "region")
-    first = F.row_number().over(by_region.orderBy("doc_id", "start"))
-    shared = regions.withColumn("n", F.count("*").over(by_anchor)).filter("n > 1").withColumn("same", F.count("*").over(by_region)).withColumn("nth", first).withColumn("kinds", F.sum((F.col("nth") == 1).cast("int")).over(by_anchor))
-    shared = stored(shared.select("anchor", "doc_id", "start", "windows", "same", "nth", "kinds"), "regions")
-    whole = shared.filter("same > 1").select("doc_id", F.col("start").alias("a"), (F.col("start") + F.col("windows") + (min_len - 1)).alias("b"))
-    unlike = shared.filter("kinds > 1 and nth = 1")
-    region = F.struct("anchor", "start", "windows", (F.col("same") == 1).alias("once"), (F.col("kinds") > HOT_REGIONS).alias("hot"), (F.col("windows") + (min_len - 1)).alias("size"))
+    regions = stored(bodies.mapInArrow(anchored_regions(min_len), "anchor long, region long, doc_id long, start long, windows int"), "regions")
+    # Counts are aggregated before they are shuffled, and stored before they are joined: so joins with a frequent anchor
+    # or region have two plain shuffles, whose skewed partitions Spark splits.
+    anchors = regions.groupBy("anchor").agg(F.count("*").alias("n"), F.min("region").alias("low"), F.max("region").alias("high")).filter("n > 1")
+    anchors = stored(anchors.select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "anchors")
+    # one row per anchor on the hashed side, whatever the skew
+    shared = stored(regions.join(anchors.hint("shuffle_hash"), "anchor"), "shared")
+    mixed, place = shared.filter("mixed"), F.xxhash64("doc_id", "start")
+    kinds = stored(mixed.groupBy("anchor", "region").agg(F.count("*").alias("same"), F.min(place).alias("pick")), "kinds")
+    hot = stored(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > HOT_REGIONS).select("anchor", F.lit(True).alias("hot")), "hot")
+    counted = stored(mixed.join(kinds, ["anchor", "region"]).select("anchor", "doc_id", "start", "windows", "same", (place == F.col("pick")).alias("first")), "counted")
+    end = F.col("start") + F.col("windows") + (min_len - 1)
+    whole = shared.filter("not mixed").select("doc_id", "start", "windows").unionByName(counted.filter("same > 1").select("doc_id", "start", "windows")).select("doc_id", F.col("start").alias("a"), end.alias("b"))
+    unlike = counted.filter("first").join(hot, "anchor", "left")
+    region = F.struct("anchor", "start", "windows", (F.col("same") == 1).alias("once"), F.coalesce("hot", F.lit(False)).alias("hot"), (F.col("windows") + (min_len - 1)).alias("size"))
     cut = unlike.groupBy("doc_id").agg(F.collect_list(region).alias("regions")).join(bodies, "doc_id").select("doc_id", "regions", "body")
     cut = stored(cut.mapInArrow(_cut_out, "anchor long, doc_id long, start long, windows int, once boolean, hot boolean, body binary"), "unlike")
     found = cut.filter("not hot").select("anchor", "doc_id", "start", "once", "body").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compared(min_len), "doc_id long, a long, b long")
     windows = cut.filter("hot").mapInArrow(_windows(min_len), "ha long, hb long, doc_id long, start long, once boolean")
-    twice = windows.groupBy("ha", "hb").agg(F.count("*").alias("n")).filter("n > 1")
+    twice = stored(windows.groupBy("ha", "hb").agg(F.count("*").alias("n")).filter("n > 1").select("ha", "hb"), "twice")
     hot = windows.filter("once").join(twice, ["ha", "hb"], "left_semi").select("doc_id", F.col("start").alias("a"), (F.col("start") + min_len).alias("b"))
     return whole.unionByName(found).unionByName(hot)
 
@@ -304,14 +315,19 @@ def _kept(text_too: bool):
     def run(batches):
         for batch in batches:
             data, offsets = binary_parts(batch.column("body"))
+            ranges = batch.column("ranges")
+            bound = np.cumsum(np.append(0, pc.fill_null(pc.list_value_length(ranges), 0).to_numpy(zero_copy_only=False)))
+            a, b = (ranges.flatten().field(k).to_numpy() for k in ("a", "b"))
             rows = []
-            for i, ranges in enumerate(batch.column("ranges").to_pylist()):
-                body = data[offsets[i] : offsets[i + 1]]
-                mark = np.zeros(len(body) + 1, np.int32)
-                if ranges:
-                    np.add.at(mark, [r["a"] for r in ranges], 1)
-                    np.add.at(mark, [r["b"] for r in ranges], -1)
-                gone = np.cumsum(mark[:-1]) > 0
+            for i in range(batch.num_rows):
+                body, own = data[offsets[i] : offsets[i + 1]], slice(int(bound[i]), int(bound[i + 1]))
+                if own.start == own.stop:
+                    gone = np.zeros(len(body), bool)
+                else:
+                    mark = np.zeros(len(body) + 1, np.int32)
+                    np.add.at(mark, a[own], 1)
+                    np.add.at(mark, b[own], -1)
+                    gone = np.cumsum(mark[:-1]) > 0
                 left = body[~gone].tobytes()
                 runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
                 rows.append((len(body), int(gone.sum()), runs, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if text_too else None))
@@ -330,6 +346,6 @@ def suffix_dedup(docs: DataFrame, min_len: int = 200, with_text: bool = False) -
     """
     if min_len < ANCHOR + 8:
         raise ValueError(f"min_len must be at least {ANCHOR + 8}")
-    ranges = stored(repeated_ranges(docs, min_len), "ranges").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    ranges = stored(repeated_ranges(docs, min_len), "ranges").groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     joined = input_bytes(docs).join(ranges, "doc_id", "left").select("doc_id", "body", "ranges")
     return joined.mapInArrow(_kept(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
