@@ -32,6 +32,10 @@ ANCHOR = 64
 PIECE, CHUNK = 1 << 19, 1 << 20
 #: An anchor with more different regions than this is compared by windows, not in one task.
 HOT_REGIONS = 4096
+#: Bytes that go through one transform, about: what fits a core's cache.
+COMPARED = 1 << 18
+#: A larger interval is extended by searching for each byte, others by going through their places.
+MANY = 2048
 SEP = 0xFF  # never a byte of UTF-8
 
 
@@ -170,7 +174,7 @@ def repeated_starts(text: np.ndarray, min_len: int) -> np.ndarray:
         if not len(lb):
             break
         size = rb - lb + 1
-        large = size > 256
+        large = size > MANY
         new_lb, new_rb = [], []
         if large.any():
             for c in alphabet:
@@ -233,7 +237,7 @@ def _compared(min_len: int):
                 edges = np.append(0, edges)
             for e in edges.tolist():
                 size = int(step[e - 1]) - (int(step[begin - 1]) if begin else 0) if e else 0
-                if total + size >= CHUNK:
+                if total + size >= COMPARED:
                     if e > begin:
                         held.append(batch.slice(begin, e - begin))
                     yield solve(pa.Table.from_batches(held))
