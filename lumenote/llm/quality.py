@@ -14,6 +14,8 @@ score is 0.5 (or the one class's value). Repeated rows are scored each; other co
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,7 +52,7 @@ def feature_buckets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
 
 
 def _features(batches):
-    """(doc_id, label, body) to the document's distinct buckets and counts."""
+    """(doc_id, label, body) to the document's distinct buckets, as differences, and counts, both compressed."""
     for batch in batches:
         data, offsets = binary_parts(batch.column("body"))
         idx, cnt = [], []
@@ -58,9 +60,9 @@ def _features(batches):
             body = data[offsets[i] : offsets[i + 1]]
             found = [b for b, _ in feature_buckets(body, np.array([0]), np.array([len(body)]))] if len(body) else []
             u, c = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            idx.append(u.astype(np.int32))
-            cnt.append(c.astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(idx, pa.list_(pa.int32())), pa.array(cnt, pa.list_(pa.int32()))], names=["doc_id", "label", "idx", "cnt"])
+            idx.append(zlib.compress(np.diff(u, prepend=0).astype("<u4").tobytes()))
+            cnt.append(zlib.compress(c.astype("<u4").tobytes()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(idx, pa.binary()), pa.array(cnt, pa.binary())], names=["doc_id", "label", "idx", "cnt"])
 
 
 class Model:
@@ -132,13 +134,13 @@ def train_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out:
     sample = labelled_sample(labels, "quality", fold(F.col("doc_id"), folds) != held_out, per_class)
     # at most 2 * per_class ids, so the broadcast is bounded
     chosen = input_bytes(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "body")
-    rows = chosen.mapInArrow(_features, "doc_id long, label int, idx array<int>, cnt array<int>").toArrow().sort_by("doc_id")
-    idx, cnt = rows.column("idx").combine_chunks(), rows.column("cnt").combine_chunks()
+    rows = chosen.mapInArrow(_features, "doc_id long, label int, idx binary, cnt binary").toArrow().sort_by("doc_id")
     data = []
-    for k, label in enumerate(rows.column("label").to_pylist()):
-        i, c = (np.asarray(x[k].values.to_numpy()) for x in (idx, cnt))
-        if len(i):
-            data.append((label, i, (c / c.sum()).astype(np.float32)))
+    for label, idx, cnt in zip(*(rows.column(k) for k in ("label", "idx", "cnt")), strict=True):
+        c = np.frombuffer(zlib.decompress(cnt.as_py()), "<u4")
+        if len(c):
+            i = np.cumsum(np.frombuffer(zlib.decompress(idx.as_py()), "<u4")).astype(np.int32)
+            data.append((label.as_py(), i, (c / c.sum()).astype(np.float32)))
     return Model().train(data)
 
 
