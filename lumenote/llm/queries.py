@@ -73,7 +73,7 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import leaks
 
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shortest=1)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

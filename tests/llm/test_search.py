@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -114,3 +115,40 @@ def test_decontamination_without_broadcast(spark, monkeypatch):
     bench = spark.createDataFrame([(3, text)], "item_id long, text string")
     monkeypatch.setattr(decontam, "MOST_BROADCAST", 0)
     assert [(r.doc_id, r.item_id, r.best_window, r.matched) for r in decontam.leaks(docs, bench).collect()] == [(1, 3, 13, 20)]
+
+
+def allowed(n):
+    return n - next(k for k in range(n + 1) if 5 * k >= 4 * n)
+
+
+def test_masks_of_short_items_find_all_allowed_changes():
+    for n in range(1, decontam.WINDOW):
+        span = max(x for x in decontam.SHORT if x <= n)
+        for places in itertools.combinations(range(n), allowed(n)):
+            assert any(not set(places) & set(m) for m in decontam.short_masks(span))
+
+
+def test_decontamination_equals_all_alignments(spark):
+    rng = random.Random(9)
+    items = {n: [f"i{n}t{k}" for k in range(n)] for n in (*range(1, 15), 20)}
+    items[30], items[31] = ["a", "b"], ["a", "b", "a", "b", "a", "c"]
+    texts = {0: [], 1: ["a", "b", "a", "b", "a", "b"], 2: ["x"]}
+    for n in range(1, 15):
+        for changes in range(allowed(min(n, 13)) + 2):
+            for places in rng.sample(some := list(itertools.combinations(range(n), changes)), min(len(some), 12)):
+                near = [f"z{k}" if k in places else w for k, w in enumerate(items[n])]
+                texts[len(texts)] = ["y"] * rng.randint(0, 3) + near + ["y"] * rng.randint(0, 3)
+    expected = {}
+    for (d, t), (i, u) in itertools.product(texts.items(), items.items()):
+        w, judged = min(13, len(u)), []
+        for shift in range(w - len(u), len(t) - w + 1):
+            equal = [t[k + shift] == u[k] for k in range(max(0, -shift), min(len(u), len(t) - shift))]
+            best = max((sum(equal[s : s + w]) for s in range(len(equal) - w + 1)), default=0)
+            if 5 * best >= 4 * w:
+                judged.append((shift, best, sum(equal)))
+        if judged:
+            expected[d, i] = (len(judged), min(j[0] for j in judged), max(j[1] for j in judged), max(j[2] for j in judged))
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(u)) for i, u in items.items()] + [(99, "")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_places, r.first_place, r.best_window, r.matched) for r in decontam.leaks(docs, bench, shortest=1).collect()}
+    assert got == expected
