@@ -51,7 +51,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.best_fit_packing(docs, limit=4096)
+    return packing.best_fit_packing(docs, limit=4096, added=True)
 
 
 STAGES = [

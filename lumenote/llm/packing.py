@@ -75,13 +75,13 @@ def plan(histogram: dict[int, int], limit: int) -> list[tuple[int, int, int, int
     return slots
 
 
-def _pieces(path: str, cut: str, end_id: int, limit: int):
+def _pieces(path: str, cut: str, end_id: int, limit: int, added: bool):
     def run(batches):
         for batch in batches:
             _, offsets = binary_parts(batch.column(1))
             docs = batch.column(0).to_numpy()
             for s, e in bounded_runs(np.diff(offsets), BATCH):
-                ids, sizes = encoder(path, cut).encode(batch.column(1).slice(s, e - s).cast(pa.string()).to_pylist())
+                ids, sizes = encoder(path, cut, added).encode(batch.column(1).slice(s, e - s).cast(pa.string()).to_pylist())
                 raw = np.insert(ids, np.cumsum(sizes), end_id).astype("<u4")
                 ends = np.cumsum(sizes + 1)
                 rows = [(d, k, x - a, min(limit, b - x), zlib.crc32(raw[x : min(x + limit, b)].tobytes())) for d, a, b in zip(docs[s:e].tolist(), (ends - sizes - 1).tolist(), ends.tolist(), strict=True) for k, x in enumerate(range(a, b, limit))]
@@ -90,9 +90,12 @@ def _pieces(path: str, cut: str, end_id: int, limit: int):
     return run
 
 
-def token_pieces(docs: DataFrame, limit: int = 4096, path: str | None = None, cut: str = "word", end_id: int = 1) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of each whole text's ids with end_id appended, cut at `limit`."""
-    return input_bytes(docs).mapInArrow(_pieces(path or tokenizer_path("word_bpe_49k.json"), cut, end_id, limit), "doc_id long, piece long, start long, length long, ids_crc32 long").withColumn("piece", F.col("piece").cast("int"))
+def token_pieces(docs: DataFrame, limit: int = 4096, path: str | None = None, cut: str = "word", end_id: int = 1, added: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of each whole text's ids with end_id appended, cut at `limit`.
+
+    added: the tokenizer's added tokens in a text get their ids.
+    """
+    return input_bytes(docs).mapInArrow(_pieces(path or tokenizer_path("word_bpe_49k.json"), cut, end_id, limit, added), "doc_id long, piece long, start long, length long, ids_crc32 long").withColumn("piece", F.col("piece").cast("int"))
 
 
 def packed(pieces: DataFrame, limit: int = 4096) -> DataFrame:
@@ -114,6 +117,6 @@ def packed(pieces: DataFrame, limit: int = 4096) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", sequence.cast("long").alias("sequence_id"), (F.col("place") + within % F.col("each") * F.col("length")).alias("offset"))
 
 
-def best_fit_packing(docs: DataFrame, limit: int = 4096, path: str | None = None, cut: str = "word", end_id: int = 1) -> DataFrame:
+def best_fit_packing(docs: DataFrame, limit: int = 4096, path: str | None = None, cut: str = "word", end_id: int = 1, added: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
-    return packed(token_pieces(docs, limit, path, cut, end_id), limit)
+    return packed(token_pieces(docs, limit, path, cut, end_id, added), limit)

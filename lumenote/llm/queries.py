@@ -21,7 +21,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import length_histogram, with_suffix_sums
 
-    return with_suffix_sums(length_histogram(table(spark, sf_dir, "documents")))
+    return with_suffix_sums(length_histogram(table(spark, sf_dir, "documents"), added=True))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_output import new_folder, read_tokens, write_tokens
 
     folder = new_folder(spark)
-    write_tokens(table(spark, sf_dir, "documents"), folder, cut="space", end_id=2)
+    write_tokens(table(spark, sf_dir, "documents"), folder, cut="space", end_id=2, added=True)
     return read_tokens(spark, folder, with_ids=False).drop("ids")
 
 
@@ -79,7 +79,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import best_fit_packing
 
-    return best_fit_packing(table(spark, sf_dir, "documents"), limit=4096, end_id=1)
+    return best_fit_packing(table(spark, sf_dir, "documents"), limit=4096, end_id=1, added=True)
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_quality, op4_toxicity, op5_ngram_join, op6_token_output, op7_warc, op8_top_k, op9_decontamination, op10_packing)}

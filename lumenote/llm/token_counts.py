@@ -20,25 +20,25 @@ from .tokens import encoder, tokenizer_path
 BATCH = 1 << 20
 
 
-def _lengths(path: str, cut: str):
+def _lengths(path: str, cut: str, added: bool):
     def run(batches):
         for batch in batches:
             _, offsets = binary_parts(batch.column(1))
             for s, e in bounded_runs(offsets[1:] - offsets[:-1], BATCH):
-                _, sizes = encoder(path, cut).encode(batch.column(1).slice(s, e - s).cast(pa.string()).to_pylist())
+                _, sizes = encoder(path, cut, added).encode(batch.column(1).slice(s, e - s).cast(pa.string()).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array(sizes)], names=["doc_id", "n_tokens"])
 
     return run
 
 
-def token_lengths(docs: DataFrame, path: str | None = None, cut: str = "space") -> DataFrame:
-    """doc_id, n_tokens of each whole text."""
-    return input_bytes(docs).mapInArrow(_lengths(path or tokenizer_path("byte_bpe_50k.json"), cut), "doc_id long, n_tokens long")
+def token_lengths(docs: DataFrame, path: str | None = None, cut: str = "space", added: bool = False) -> DataFrame:
+    """doc_id, n_tokens of each whole text. added: the tokenizer's added tokens in it count as one."""
+    return input_bytes(docs).mapInArrow(_lengths(path or tokenizer_path("byte_bpe_50k.json"), cut, added), "doc_id long, n_tokens long")
 
 
-def length_histogram(docs: DataFrame, path: str | None = None, cut: str = "space") -> DataFrame:
+def length_histogram(docs: DataFrame, path: str | None = None, cut: str = "space", added: bool = False) -> DataFrame:
     """n_tokens, n_docs: how many documents have each encoded length."""
-    return token_lengths(docs, path, cut).groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    return token_lengths(docs, path, cut, added).groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
 
 
 def with_suffix_sums(histogram: DataFrame) -> DataFrame:

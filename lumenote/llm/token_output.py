@@ -57,14 +57,14 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     return out
 
 
-def _encoded(path: str, cut: str, end_id: int):
+def _encoded(path: str, cut: str, end_id: int, added: bool):
     """(doc_id, body) to doc_id and the ids with the end id, as little-endian integers of 2 or 4 bytes."""
 
     def run(batches):
         for batch in batches:
             _, offsets = binary_parts(batch.column(1))
             for s, e in bounded_runs(np.diff(offsets), BATCH):
-                tool = encoder(path, cut)
+                tool = encoder(path, cut, added)
                 ids, sizes = tool.encode(batch.column(1).slice(s, e - s).cast(pa.string()).to_pylist())
                 raw = np.insert(ids, np.cumsum(sizes), end_id).astype(ID_TYPE[tool.wide or end_id > 0xFFFF])
                 at = np.append(0, np.cumsum(sizes + 1)).astype(np.int32) * raw.itemsize
@@ -125,11 +125,14 @@ def _blocked(ranks: np.ndarray):
 SHARDS = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("control", pa.binary()), ("data", pa.binary())])
 
 
-def write_tokens(docs: DataFrame, folder: str, path: str | None = None, cut: str = "space", end_id: int = 2, shards: int | None = None) -> None:
-    """Encode whole texts, append end_id to each, and write them to `folder` in ascending doc_id order."""
+def write_tokens(docs: DataFrame, folder: str, path: str | None = None, cut: str = "space", end_id: int = 2, shards: int | None = None, added: bool = False) -> None:
+    """Encode whole texts, append end_id to each, and write them to `folder` in ascending doc_id order.
+
+    added: the tokenizer's added tokens in a text get their ids.
+    """
     spark = docs.sparkSession
     path = path or tokenizer_path("byte_bpe_50k.json")
-    encoded = stored(input_bytes(docs).mapInArrow(_encoded(path, cut, end_id), "doc_id long, wide boolean, ids binary"), "encoded")
+    encoded = stored(input_bytes(docs).mapInArrow(_encoded(path, cut, end_id, added), "doc_id long, wide boolean, ids binary"), "encoded")
     counts = encoded.select("wide", "ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # one row per id in use: bounded by the vocabulary, whatever the corpus
     by_count = sorted(((r.id, r.n) for r in counts.collect()), key=lambda x: (-x[1], x[0]))

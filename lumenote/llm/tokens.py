@@ -7,6 +7,9 @@ separately by the tokenizers library and joined; a piece met before is looked up
   two visible characters. A run of white space stays with its neighbours.
 * word_bpe (white space is dropped, so nothing spans it): at every run of white space.
 
+With `added`, as in the library's own encode, the tokenizer's added tokens (<|endoftext|>) become their ids: texts are
+split at them first and what stands between is encoded as above. Without it they are text like any other.
+
 Tests hold the ids against whole-text encoding. The kept pieces are bounded in number and length.
 """
 
@@ -25,7 +28,7 @@ import numpy as np
 MOST_KEPT = 700_000
 LONGEST_KEPT = 4096
 
-_loaded: dict[tuple[str, str], "Encoder"] = {}
+_loaded: dict[tuple[str, str, bool], "Encoder"] = {}
 
 
 def tokenizer_path(name: str) -> str:
@@ -42,17 +45,22 @@ def byte_letters() -> list[str]:
 
 
 class Encoder:
-    """Ids of texts. cut: "space" or "word", the rule above."""
+    """Ids of texts. cut: "space" or "word", the rule above. added: the tokenizer's added tokens in a text get their ids."""
 
     #: The splitting rule of byte-level vocabularies (fixed value, published with them).
     BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    def __init__(self, path: str, cut: str):
+    def __init__(self, path: str, cut: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        known = self.tokenizer.get_added_tokens_decoder() if added else {}
+        self.added = {t.content: i for i, t in known.items()}
+        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
+        # added tokens that take white space along or are sought in normalised text are left to the library
+        self.by_library = any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in known.values())
         self.normalise = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else None
         self.split, self.model = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
@@ -156,6 +164,21 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each text has."""
+        if self.by_library:
+            found = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+            return np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found))
+        if not any(a in t for a in self.added for t in texts):
+            return self._encode(texts)
+        # text, added token, text, ... of each text
+        split = [self.at_added(t) for t in texts]
+        ids, sizes = self._encode([x for parts in split for x in parts[::2]])
+        count = np.array([len(parts) // 2 + 1 for parts in split])
+        last = np.zeros(len(sizes), bool)
+        last[np.cumsum(count) - 1] = True
+        ids = np.insert(ids, np.cumsum(sizes)[~last], [self.added[x] for parts in split for x in parts[1::2]])
+        return ids, np.add.reduceat(sizes, np.cumsum(count) - count) + count - 1
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.places) > MOST_KEPT:
             self.forget_rare()
         cut = [self.cut(t) for t in texts]
@@ -179,8 +202,8 @@ class Encoder:
         return ids, np.diff(bounds)
 
 
-def encoder(path: str, cut: str) -> Encoder:
+def encoder(path: str, cut: str, added: bool = False) -> Encoder:
     """The worker's encoder of a tokenizer file, loaded once."""
-    if (path, cut) not in _loaded:
-        _loaded[path, cut] = Encoder(path, cut)
-    return _loaded[path, cut]
+    if (path, cut, added) not in _loaded:
+        _loaded[path, cut, added] = Encoder(path, cut, added)
+    return _loaded[path, cut, added]

@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from lumenote.llm import packing, token_counts, token_output, tokens
+import corpus_pipeline
+from lumenote.llm import packing, queries, token_counts, token_output, tokens
 
 RNG = random.Random(5)
 PARTS = ["a", "b", "Ab", " ", "  ", "\n", "\t", "!", "'s", "'", "1", "é", "É", " ", "　", "日", "🎉", "<|endoftext|>", "é", " '", "\r\n", "\x0b", "\x1c", "\x85", "\x01", "İ", "ß", "ﬁ", "²", "½"]
@@ -128,3 +129,45 @@ def test_empty_table(spark, tmp_path):
     assert token_counts.with_suffix_sums(token_counts.length_histogram(empty)).collect() == []
     token_output.write_tokens(empty, f"file://{tmp_path}/none")
     assert token_output.read_tokens(spark, f"file://{tmp_path}/none").collect() == []
+
+
+ADDED = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>"]
+
+
+@pytest.mark.parametrize("cut", ["space", "word"])
+def test_added_tokens_get_the_ids_of_the_library(cut):
+    rng = random.Random(6)
+    texts = ["hello <|endoftext|> world", *ADDED, *["".join(rng.choice(PARTS + 4 * ADDED) for _ in range(rng.randint(0, 14))) for _ in range(3000)]]
+    tool, expected = tokens.Encoder(tokens.tokenizer_path(FILES[cut]), cut, added=True), Tokenizer.from_file(tokens.tokenizer_path(FILES[cut]))
+    for i in range(0, len(texts), 400):
+        ids, sizes = tool.encode(some := texts[i : i + 400])
+        assert [p.tolist() for p in np.split(ids, np.cumsum(sizes)[:-1])] == [e.ids for e in expected.encode_batch(some, add_special_tokens=False)]
+
+
+def test_added_tokens_that_take_white_space_along(tmp_path):
+    from tokenizers import AddedToken
+
+    expected = Tokenizer.from_file(tokens.tokenizer_path(FILES["space"]))
+    expected.add_tokens([AddedToken("<x>", lstrip=True, rstrip=True)])
+    expected.save(f"{tmp_path}/t.json")
+    texts = ["a <x> b", "", "<x>", "c <|endoftext|>"]
+    ids, sizes = tokens.Encoder(f"{tmp_path}/t.json", "space", added=True).encode(texts)
+    assert [p.tolist() for p in np.split(ids, np.cumsum(sizes)[:-1])] == [e.ids for e in expected.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_queries_with_added_tokens(spark, tmp_path):
+    texts = {1: "hello <|endoftext|> world", 2: "<|endoftext|><|startoftext|>", 3: "plain", 4: None}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    ids = {cut: {d: Tokenizer.from_file(tokens.tokenizer_path(FILES[cut])).encode(t or "", add_special_tokens=False).ids for d, t in texts.items()} for cut in FILES}
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.op6_token_output(spark, str(tmp_path)).collect()}
+    start = 0
+    for d in sorted(texts):
+        own = [*ids["space"][d], 2]
+        assert got[d] == (start, len(own), crc(own))
+        start += len(own)
+    assert {r.n_tokens: r.n_docs for r in queries.op1_token_counts(spark, str(tmp_path)).collect()} == Counter(map(len, ids["space"].values()))
+    packed = {d: (len(x) + 1, crc([*x, 1])) for d, x in ids["word"].items()}
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in queries.op10_packing(spark, str(tmp_path)).collect()} == packed
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in corpus_pipeline.packing_stage(spark, df, str(tmp_path)).collect()} == packed
