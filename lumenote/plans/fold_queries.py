@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import folds, geometry, pii
 from ..functions.text import tokens
+from . import ranking_queries
 from .base import query, table
 from .text_queries import TOKENS, sql_values, values
 
@@ -36,25 +37,24 @@ def d12(spark, d):
     return table(spark, d, "documents").select("doc_id", text.alias("text"), F.array_join(kinds, ",").alias("kinds"))
 
 
+def candidates(spark, d, **columns):
+    """item_id, items (id and columns of the whole documents, best first): what h11 finds for an item, at most 40."""
+    found = ranking_queries.h11(spark, d).select("item_id", F.col("doc_id").alias("id"), (-F.col("score")).alias("order"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), *(c.alias(k) for k, c in columns.items()))
+    lists = found.join(docs, "id").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("order", "id", *columns))).alias("items"))
+    return lists.select("item_id", F.transform("items", lambda x: F.struct(*(x[k].alias(k) for k in ("id", *columns)))).alias("items"))
+
+
 @query("h6_near_duplicates")
 def h6(spark, d):
-    docs = table(spark, d, "documents").filter("doc_id % 10 < 8").select("source", F.col("doc_id").alias("id"), F.array_distinct(tokens(F.substring("text", 1, 400))).alias("tokens"))
-    # a candidate list of a retrieval is bounded: the first 40 of each source
-    from pyspark.sql import Window
-
-    first = docs.withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy("id"))).filter("nth <= 40")
-    lists = first.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("id", "tokens"))).alias("items"))
-    return lists.select("source", F.explode(folds.near_duplicate_drop(F.col("items"), 0.9)).alias("doc_id"))
+    lists = candidates(spark, d, tokens=F.array_distinct(tokens(F.col("text"))))
+    return lists.select("item_id", F.explode(folds.near_duplicate_drop(F.col("items"), 0.9)).alias("doc_id"))
 
 
 @query("h8_budgeted")
 def h8(spark, d):
-    from pyspark.sql import Window
-
-    docs = table(spark, d, "documents").select("source", F.col("doc_id").alias("id"), F.length("text").alias("size"), (F.col("doc_id") % 3 == 0).alias("figure"))
-    first = docs.withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy("id"))).filter("nth <= 40")
-    lists = first.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("id", "size", "figure"))).alias("items"))
-    return lists.select("source", F.explode(folds.budgeted(F.col("items"), 12_000, 0.4)).alias("doc_id"))
+    lists = candidates(spark, d, size=F.length("text"), figure=F.col("doc_id") % 3 == 0)
+    return lists.select("item_id", F.explode(folds.budgeted(F.col("items"), 12_000, 0.4)).alias("doc_id"))
 
 
 def by_user(spark, d, *columns):

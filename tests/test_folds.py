@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenote.functions import folds, geometry, pii, text
 from lumenote.operators import dedup, telemetry
+from lumenote.plans import fold_queries, ranking_queries
 from lumenote.sources import notes
 from lumenote.streaming import monitors
 
@@ -125,3 +126,34 @@ def test_streams(spark, tmp_path):
     assert sorted((r.user_id, r.n) for r in run("hourly", lambda e: monitors.hourly(e, "user_id"))) == [(1, 1), (1, 3), (2, 1)]
     let = run("throttle", lambda e: monitors.throttle(e, "user_id", 180.0))
     assert sorted(r.user_id for r in let) == [1, 1, 1, 2, 3]
+
+
+def test_candidates_are_whole_texts_of_any_document(spark, tmp_path):
+    head = " ".join(f"palavra{i}" for i in range(50))
+    one, two = (head + " " + " ".join(f"{t}{i}" for i in range(60)) for t in ("um", "dois"))
+    texts = {i: f"outro texto {i}" for i in range(70)} | {8: one, 9: two, 68: one, 69: two + " fim"}
+    spark.createDataFrame([(i, t, "s") for i, t in texts.items()], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, head), (1, "texto outro")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    places = sorted((r.item_id, -r.score, r.doc_id) for r in ranking_queries.h11(spark, str(tmp_path)).collect())
+    lists = {i: [d for k, _, d in places if k == i] for i in (0, 1)}
+    sets = {i: set(t.split()) for i, t in texts.items()}
+    kept, chosen = set(), set()
+    for item, found in lists.items():
+        own = []
+        for d in found:
+            if all(len(sets[d] & sets[k]) / len(sets[d] | sets[k]) < 0.9 for k in own):
+                own.append(d)
+        kept |= {(item, d) for d in own}
+        left, figures, any_yet = 12_000, 0, False
+        for d in found:
+            n = len(texts[d])
+            if d % 3 == 0 and figures + n > 4800:
+                continue
+            figures += n * (d % 3 == 0)
+            if any_yet and n > left:
+                break
+            chosen.add((item, d))
+            left, any_yet = left - n, True
+    assert {d for i, d in kept if i == 0} == {8, 9}
+    assert {tuple(r) for r in fold_queries.h6(spark, str(tmp_path)).select("item_id", "doc_id").collect()} == kept
+    assert {tuple(r) for r in fold_queries.h8(spark, str(tmp_path)).select("item_id", "doc_id").collect()} == chosen
