@@ -5,10 +5,12 @@ class can differ in n-grams, and some more; so two linked sets agree in a whole
 become candidates of each other. Candidates are then compared together: within each fragment of the order the partial
 overlaps of all their pairs are counted as a matrix product, and the counts are summed per pair.
 
-* Equal sets are folded first; copies are never compared.
+* Equal sets are folded first; copies are never compared, and a task sends a set's keys once however many copies it has.
 * No pair is ever a row. A fragment's sets are tied to the first of them; connected candidates meet in blocks of at most
-  BLOCK sets, a large cluster in several pairs of blocks. A block returns one row per set: one set it is linked with
-  (or itself) and how many documents it is linked with there.
+  BLOCK sets and BLOCK_GRAMS n-grams (a longer set has one of its own). A large cluster is dealt by set size, and only
+  blocks whose sizes allow a link meet. A pair of blocks returns one row per set: one set it is linked with (or itself)
+  and how many documents it is linked with there.
+* Blocks get sorted n-gram hashes, not texts.
 * What is compared grows with the square of a cluster of candidates only, that is of sets which share whole fragments.
 
 Texts without words (null, empty, blank) have the empty set and no links. Ties cannot occur: a class takes its smallest
@@ -26,7 +28,11 @@ from .components import components
 from .shared import U64, PrefixHash, binary_parts, bounded_runs, input_bytes, mix, stored, word_spans
 
 BATCH = 1 << 19
-BLOCK = 512
+BLOCK, BLOCK_GRAMS = 1024, 1 << 19
+#: Sets of a large cluster whose sizes differ by less than this factor share blocks.
+SIZE_STEP = 1.1
+#: The side of the rows of a block that meets itself; otherwise 0 and 1.
+BOTH = 2
 #: Columns of one matrix product.
 FRAGMENT = 2048
 #: Rounds in which sets that share too few fragments are left out before candidates are compared.
@@ -120,12 +126,17 @@ def _described(words: int, percent: int):
 
     def run(batches):
         known: dict = {}
+        sent: set[int] = set()  # sets whose keys this task has given already
         for batch in batches:
             data, offsets = binary_parts(batch.column(1))
             for s, e in bounded_runs(np.diff(offsets), BATCH):
                 sets = shingle_sets(data, offsets[s : e + 1], words)
                 own = np.array([mix(np.array([(mix(g).sum(dtype=U64)) ^ U64(len(g))], U64))[0] for g in sets], U64)
-                keyed = [fragment_keys(g, percent, known) if len(g) else (g, [0, 0]) for g in sets]
+                keyed = []
+                for g, o in zip(sets, own.tolist(), strict=True):
+                    keys, need = fragment_keys(g, percent, known) if len(g) else (g, [0, 0])
+                    keyed.append((keys[:0] if o in sent else keys, need))
+                    sent.add(o)
                 keys = [k for k, _ in keyed]
                 need = [pa.array([x[bit] for _, x in keyed], pa.int32()) for bit in (0, 1)]
                 at = np.cumsum([0, *map(len, keys)]).astype(np.int32)
@@ -178,49 +189,66 @@ def _tied(batches):
             yield pa.RecordBatch.from_arrays([pa.array(own[tie]), pa.array(first[tie])], names=["a", "b"])
 
 
+def _columns(sets: list[np.ndarray], columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Column and row of each n-gram of the sets that is among the columns, by ascending column."""
+    every = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(g) for g in sets])
+    at = np.searchsorted(columns, every)
+    hit = np.flatnonzero(columns[np.minimum(at, len(columns) - 1)] == every)
+    hit = hit[np.argsort(at[hit], kind="stable")]
+    return at[hit], row[hit]
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Intersection sizes of each left with each right set: partial counts by fragments of the n-gram order, summed."""
-    def shared_columns(sets, others):
-        return np.intersect1d(np.unique(np.concatenate(sets)), np.unique(np.concatenate(others)), assume_unique=True)
-
     same = left is right
     if same:
         every, counts = np.unique(np.concatenate(left), return_counts=True)
         columns = every[counts > 1]
     else:
-        columns = shared_columns(left, right)
+        columns = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
     total = np.zeros((len(left), len(right)), np.float32)
+    if not len(columns):
+        return total.astype(np.int64)
+    sides = [(len(sets), *_columns(sets, columns)) for sets in ([left] if same else [left, right])]
     for c in range(0, len(columns), FRAGMENT):
-        part = columns[c : c + FRAGMENT]
+        width = min(FRAGMENT, len(columns) - c)
+        parts = []
+        for n, column, row in sides:
+            a, b = np.searchsorted(column, [c, c + width])
+            m = np.zeros((n, width), np.float32)
+            m[row[a:b], column[a:b] - c] = 1
+            parts.append(m)
+        total += parts[0] @ parts[-1].T
+    return total.astype(np.int64)
+
 
-        def matrix(sets, part=part):
-            m = np.zeros((len(sets), len(part)), np.float32)
-            for i, g in enumerate(sets):
-                g = g[np.searchsorted(g, part[0]) : np.searchsorted(g, part[-1], side="right")]
-                at = np.searchsorted(part, g)
-                m[i, at[part[at] == g]] = 1
-            return m
+def _grams(words: int):
+    """(..., body) to the same columns with the body's sorted n-gram hashes in its place."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = binary_parts(batch.column(batch.num_columns - 1))
+            for s, e in bounded_runs(np.diff(offsets), BATCH):
+                sets = shingle_sets(data, offsets[s : e + 1], words)
+                rest = [batch.column(k).slice(s, e - s) for k in range(batch.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array([g.tobytes() for g in sets], pa.binary())], names=[*batch.schema.names[:-1], "grams"])
 
-        x = matrix(left)
-        total += x @ (x if same else matrix(right)).T
-    return total
+    return run
 
 
-def _linked(words: int, percent: int):
-    """Rows sorted by block pair to one row for each set of the pair: own, a set it is tied with, linked documents."""
+def _linked(percent: int):
+    """Rows (pair, side, own, copies, grams) sorted by block pair to one row for each set of the pair: own, a set it is
+    tied with, linked documents. Rows of side BOTH are compared among themselves."""
 
-    def solve(own, side, copies, bodies, square):
-        data = np.frombuffer(b"".join(bodies), np.uint8)
-        offsets = np.cumsum([0, *map(len, bodies)]).astype(np.int64)
-        sets = shingle_sets(data, offsets, words)
-        l, r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if square:
-            l = r = np.arange(len(own))
+    def solve(own, side, copies, sets):
+        square = side[0] == BOTH
+        l, r = (np.arange(len(side)),) * 2 if square else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
         if not len(l) or not len(r):
             return None
         left = [sets[i] for i in l]
         both = overlaps(left, left if square else [sets[i] for i in r])
-        size = np.array([len(g) for g in sets], np.float32)
+        size = np.array([len(g) for g in sets], np.int64)
         link = 100 * both >= percent * (size[l][:, None] + size[r][None, :] - both)
         if square:
             np.fill_diagonal(link, False)
@@ -239,30 +267,47 @@ def _linked(words: int, percent: int):
         some = degree > 0
         return pa.RecordBatch.from_arrays([pa.array(own[some]), pa.array(own[label[some]]), pa.array(degree[some])], names=["a", "b", "n_links"])
 
+    def solved(held):
+        side, own, copies, sets = zip(*held, strict=True)
+        return solve(np.array(own), np.array(side), np.array(copies), list(sets))
+
     def run(batches):
         held, now = [], None
         for batch in batches:
-            cluster, i, j, block, own, copies = (batch.column(k).to_numpy() for k in range(6))
-            body = batch.column(6)
+            pair, side, own, copies = (batch.column(k).to_numpy() for k in range(4))
+            data, offsets = binary_parts(batch.column(4))
             for k in range(len(own)):
-                at = (cluster[k], i[k], j[k])
-                if at != now and held:
-                    o, s, c, b = zip(*held, strict=True)
-                    out = solve(np.array(o), np.array(s), np.array(c), b, now[1] == now[2])
-                    if out is not None:
+                if pair[k] != now and held:
+                    if (out := solved(held)) is not None:
                         yield out
                     held = []
-                now = at
-                held.append((own[k], int(block[k] != i[k]), copies[k], body[k].as_py()))
-        if held:
-            o, s, c, b = zip(*held, strict=True)
-            out = solve(np.array(o), np.array(s), np.array(c), b, now[1] == now[2])
-            if out is not None:
-                yield out
+                now = pair[k]
+                held.append((side[k], own[k], copies[k], np.frombuffer(data[offsets[k] : offsets[k + 1]].tobytes(), U64)))
+        if held and (out := solved(held)) is not None:
+            yield out
 
     return run
 
 
+def block_pairs(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """members (own, n_shingles, label, ...) with their `block`, and the pairs (label, i, j) of blocks to compare.
+
+    A block is a struct (step, nth): a cluster that fits one block is one; a larger one is dealt by set size in steps of
+    SIZE_STEP, and by hash within a step. Two blocks meet if a set of one can be linked with one of the other by size.
+    """
+    clusters = members.groupBy("label").agg((((F.count("*") <= BLOCK) & (F.sum("n_shingles") <= BLOCK_GRAMS))).alias("single"))
+    step = F.when(F.col("single"), F.lit(0)).otherwise(F.floor(F.log(SIZE_STEP, "n_shingles")).cast("int"))
+    members = stored(members.join(clusters, "label").withColumn("step", step).drop("single"), "members")
+    steps = members.groupBy("label", "step").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("grams"), F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    steps = stored(steps.select("label", "step", "low", "high", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int").alias("parts")), "steps")
+    nth = F.pmod(F.xxhash64("own", F.lit(7)), F.col("parts")).cast("int")
+    placed = members.join(steps.select("label", "step", "parts"), ["label", "step"]).withColumn("block", F.struct("step", nth.alias("nth"))).drop("step", "parts")
+    one = steps.select("label", "high", "step", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("nth")).select("label", "high", F.struct("step", "nth").alias("i"))
+    two = steps.select("label", "low", "step", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("nth")).select("label", "low", F.struct("step", "nth").alias("j"))
+    pairs = one.join(two, "label").filter((F.col("i") <= F.col("j")) & (100 * F.col("high") >= percent * F.col("low")))
+    return placed, stored(pairs.select("label", "i", "j", F.xxhash64("label", "i", "j").alias("pair")), "pairs")
+
+
 def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links. Two documents link when 100 * intersection >= percent * union.
 
@@ -283,13 +328,16 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         shared = stored(by_key(left).mapInArrow(_shared, "key long, own long"), "shared")
     ties = by_key(shared).mapInArrow(_tied, "a long, b long").distinct()
     clusters = components(stored(ties, "ties"))
-    sets = stored(described.filter("n_shingles > 0").groupBy("own").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "folded")
-    members = sets.join(clusters.withColumnRenamed("node", "own"), "own")
-    blocks = members.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = members.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("own", F.lit(7)), F.col("blocks")).cast("int"))
-    texts = members.join(bodies, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    texts = texts.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "own", "copies", "body")
-    linked = texts.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(_linked(words, percent), "a long, b long, n_links long")
+    sets = stored(described.filter("n_shingles > 0").groupBy("own").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.count("*").alias("copies")), "folded")
+    members, pairs = block_pairs(sets.join(clusters.withColumnRenamed("node", "own"), "own"), percent)
+    # the hashed side has no texts, so texts are shuffled but not sorted
+    texts = bodies.join(members.select("doc_id", "label", "block", "own", "copies").hint("shuffle_hash"), "doc_id").select("label", "block", "own", "copies", "body")
+    grams = stored(texts.mapInArrow(_grams(words), "label long, block struct<step:int,nth:int>, own long, copies long, grams binary"), "grams")
+    met = F.col("i") == F.col("j")
+    one = pairs.select("label", F.col("i").alias("block"), "pair", F.when(met, BOTH).otherwise(0).alias("side"))
+    two = pairs.filter(~met).select("label", F.col("j").alias("block"), "pair", F.lit(1).alias("side"))
+    sides = grams.join(one.unionByName(two), ["label", "block"]).select("pair", "side", "own", "copies", "grams")
+    linked = sides.repartition("pair").sortWithinPartitions("pair", "side").mapInArrow(_linked(percent), "a long, b long, n_links long")
     linked = stored(linked, "links")
     classes = components(linked.select("a", "b").filter("a != b")).withColumnRenamed("node", "own")
     degree = linked.groupBy(F.col("a").alias("own")).agg(F.sum("n_links").alias("n_links"))

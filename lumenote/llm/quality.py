@@ -18,6 +18,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,19 +102,36 @@ class Model:
         return (self.vectors @ (self.layer[:, 1] - self.layer[:, 0])).astype(np.float32), float(self.bias[1] - self.bias[0])
 
 
+def _scores(table: np.ndarray, bias: float, bodies: pa.Array):
+    """Runs of rows of a binary column: start, end, their scores."""
+    data, offsets = binary_parts(bodies)
+    for s, e in bounded_runs(np.diff(offsets), BATCH):
+        body = data[offsets[s] : offsets[e]]
+        starts, ends = offsets[s:e] - offsets[s], offsets[s + 1 : e + 1] - offsets[s]
+        total, count = np.zeros(e - s), np.zeros(e - s)
+        for bucket, doc in feature_buckets(body, starts, ends):
+            total += np.bincount(doc, table[bucket], e - s)
+            count += np.bincount(doc, minlength=e - s)
+        yield s, e, 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + bias, -30, 30)))
+
+
 def _scored(table: np.ndarray, bias: float):
     def run(batches):
         for batch in batches:
-            data, offsets = binary_parts(batch.column(1))
-            for s, e in bounded_runs(np.diff(offsets), BATCH):
-                body = data[offsets[s] : offsets[e]]
-                starts, ends = offsets[s:e] - offsets[s], offsets[s + 1 : e + 1] - offsets[s]
-                total, count = np.zeros(e - s), np.zeros(e - s)
-                for bucket, doc in feature_buckets(body, starts, ends):
-                    total += np.bincount(doc, table[bucket], e - s)
-                    count += np.bincount(doc, minlength=e - s)
-                z = total / np.maximum(count, 1) + bias
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "score"])
+            for s, e, score in _scores(table, bias, batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array(score)], names=["doc_id", "score"])
+
+    return run
+
+
+def _filtered(table: np.ndarray, bias: float, place: int, threshold: float):
+    """Whole rows whose text (the column at `place`; null: empty) scores at least the threshold."""
+
+    def run(batches):
+        for batch in batches:
+            text = pc.fill_null(batch.column(place), "").cast(pa.binary())
+            for s, e, score in _scores(table, bias, text):
+                yield batch.slice(s, e - s).filter(pa.array(score >= threshold))
 
     return run
 
@@ -148,3 +166,8 @@ def quality_scores(docs: DataFrame, model: Model, folds: int = 5, held_out: int
     """doc_id, held_out, score, predicted of every whole text."""
     scored = input_bytes(docs).mapInArrow(_scored(*model.folded()), "doc_id long, score double")
     return scored.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def kept(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The documents that score at least the threshold, with all their columns; rows are passed through, not joined."""
+    return docs.mapInArrow(_filtered(*model.folded(), docs.columns.index("text"), threshold), docs.schema)
