@@ -26,13 +26,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train_quality(docs, _table(spark, sf_dir, "labels"))
-    scores = quality.quality_scores(docs, model).filter("predicted = 1").select("doc_id")
-    return docs.join(scores.distinct(), "doc_id", "left_semi").select(docs.columns)
+    return quality.kept(docs, model)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = ngram_join.ngram_join(docs, words=5, percent=80)
-    stay = classes.filter("doc_id = component_id").select("doc_id")
+    # ids only on the hashed side, so texts are shuffled but not sorted
+    stay = classes.filter("doc_id = component_id").select("doc_id").hint("shuffle_hash")
     return docs.join(stay, "doc_id", "left_semi").select(docs.columns)
 
 
