@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import dropped, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,6 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
     stays short, and a join has two plain shuffles, so that Spark can split a hub's edges over tasks. The number of steps grows with the logarithm of the longest chain. Loops (a = b) are allowed.
     """
     now = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a != b")
+    last = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
@@ -23,9 +24,10 @@ def components(edges: DataFrame) -> DataFrame:
         parent = stored(down.groupBy("a").agg(F.min("b").alias("m")), "parents")
         small = down.join(parent, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a != b").distinct()
         small = stored(small, "stars")
+        dropped(least, down, parent, *([last] if last else []))
         # done when every node has one parent and no parent has one
         again = small.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count() or small.select("a").join(small.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count()
-        now = small
+        now = last = small
         if not again:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import U64, PrefixHash, binary_parts, bounded_runs, input_bytes, mix, stored, word_spans
+from .shared import U64, PrefixHash, binary_parts, bounded_runs, dropped, input_bytes, mix, small_batches, stored, word_spans
 
 BATCH = 1 << 19
 BLOCK, BLOCK_GRAMS = 1024, 1 << 19
@@ -96,18 +96,21 @@ def fragments(high: int, percent: int) -> tuple[int, int, int]:
     return differ + empty + more, empty, more
 
 
-def fragment_keys(grams: np.ndarray, percent: int, known: dict) -> tuple[np.ndarray, list[int]]:
+def key_classes(n: int, percent: int) -> list[tuple[int, int, int, int]]:
+    """Class number and fragments() of the class of a set size, and of the next larger class."""
+    k, high = size_class(n, percent)
+    return [(k, *fragments(high, percent)), (k + 1, *fragments(100 * (high + 1) // percent, percent))]
+
+
+def fragment_keys(grams: np.ndarray, percent: int, known: dict) -> np.ndarray:
     """A key for each fragment of the set, for its class and the next larger one, equal for equal fragments only; its
-    lowest bit is the class number's. And for either bit how many keys a linked set shares at least (0: none is linked).
-    """
+    lowest bit is the class number's."""
     n = len(grams)
     if n not in known:
-        k, high = size_class(n, percent)
-        known[n] = [(k, *fragments(high, percent)), (k + 1, *fragments(100 * (high + 1) // percent, percent))]
-    keys, need = [], [0, 0]
+        known[n] = key_classes(n, percent)
+    keys = []
     inner = mix(grams ^ U64(SPREAD[1]))
-    for k, count, spare, more in known[n]:
-        need[k & 1] = more
+    for k, count, spare, _ in known[n]:
         if not count:
             continue
         part = ((grams >> U64(32)) * U64(count) >> U64(32)).astype(np.int64)
@@ -118,30 +121,59 @@ def fragment_keys(grams: np.ndarray, percent: int, known: dict) -> tuple[np.ndar
             empty = np.setdiff1d(np.arange(count), part[first]).astype(U64)
             own.append(mix(U64(SPREAD[2]) ^ mix(empty * U64(SPREAD[0]) + U64(k))))
         keys += [x & ~U64(1) | U64(k & 1) for x in own]
-    return np.concatenate(keys) if keys else np.zeros(0, U64), need
+    return np.concatenate(keys) if keys else np.zeros(0, U64)
 
 
-def _described(words: int, percent: int):
-    """(doc_id, body) to doc_id, set size, set identity, shared keys needed, fragment keys."""
+def identity(grams: np.ndarray) -> int:
+    """64-bit hash of a set, equal for equal sets."""
+    return int(mix(np.array([mix(grams).sum(dtype=U64) ^ U64(len(grams))], U64)).view(np.int64)[0])
+
+
+def _described(words: int):
+    """(doc_id, body) to doc_id, set size, set identity."""
 
     def run(batches):
-        known: dict = {}
-        sent: set[int] = set()  # sets whose keys this task has given already
         for batch in batches:
             data, offsets = binary_parts(batch.column(1))
             for s, e in bounded_runs(np.diff(offsets), BATCH):
                 sets = shingle_sets(data, offsets[s : e + 1], words)
-                own = np.array([mix(np.array([(mix(g).sum(dtype=U64)) ^ U64(len(g))], U64))[0] for g in sets], U64)
-                keyed = []
-                for g, o in zip(sets, own.tolist(), strict=True):
-                    keys, need = fragment_keys(g, percent, known) if len(g) else (g, [0, 0])
-                    keyed.append((keys[:0] if o in sent else keys, need))
-                    sent.add(o)
-                keys = [k for k, _ in keyed]
-                need = [pa.array([x[bit] for _, x in keyed], pa.int32()) for bit in (0, 1)]
-                at = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-                flat = pa.array((np.concatenate(keys) if keys else np.zeros(0, U64)).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array([len(g) for g in sets], pa.int64()), pa.array(own.view(np.int64)), *need, pa.ListArray.from_arrays(pa.array(at), flat)], names=["doc_id", "n_shingles", "own", "need_0", "need_1", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array([len(g) for g in sets], pa.int64()), pa.array([identity(g) for g in sets], pa.int64())], names=["doc_id", "n_shingles", "own"])
+
+    return run
+
+
+def _keyed(words: int, percent: int):
+    """(body) to (fragment key, set identity); a task gives a set's keys once."""
+
+    def run(batches):
+        known: dict = {}
+        sent: set[int] = set()
+        for batch in batches:
+            data, offsets = binary_parts(batch.column(0))
+            for s, e in bounded_runs(np.diff(offsets), BATCH):
+                keys, owns = [], []
+                for g in shingle_sets(data, offsets[s : e + 1], words):
+                    own = identity(g)
+                    if len(g) and own not in sent:
+                        sent.add(own)
+                        keys.append(fragment_keys(g, percent, known))
+                        owns.append(np.full(len(keys[-1]), own))
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owns))], names=["key", "own"])
+
+    return run
+
+
+def _needs(percent: int):
+    """(own, n_shingles) to own and, for either lowest bit of its keys, how many of them a linked set shares at least."""
+
+    def run(batches):
+        for batch in batches:
+            both = [[0, 0] for _ in range(batch.num_rows)]
+            for need, n in zip(both, batch.column(1).to_pylist(), strict=True):
+                for k, _, _, more in key_classes(n, percent):
+                    need[k & 1] = more
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[bit] for x in both], pa.int32()) for bit in (0, 1))], names=["own", "need_0", "need_1"])
 
     return run
 
@@ -314,10 +346,12 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     component_id is the smallest doc_id reachable by links, the document's own included; n_links counts the documents
     linked with it directly, copies included.
     """
+    small_batches(docs.sparkSession)
     bodies = input_bytes(docs)
-    described = stored(bodies.mapInArrow(_described(words, percent), "doc_id long, n_shingles long, own long, need_0 int, need_1 int, keys array<long>"), "sets")
-    keyed = described.select(F.explode("keys").alias("key"), "own")
-    needed = described.filter("n_shingles > 0").select("own", "need_0", "need_1").distinct()
+    described = stored(bodies.mapInArrow(_described(words), "doc_id long, n_shingles long, own long"), "described")
+    keyed = bodies.select("body").mapInArrow(_keyed(words, percent), "key long, own long")
+    sets = stored(described.filter("n_shingles > 0").groupBy("own").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.count("*").alias("copies")), "folded")
+    needed = sets.select("own", "n_shingles").mapInArrow(_needs(percent), "own long, need_0 int, need_1 int")
     by_key = lambda df: df.repartition("key").sortWithinPartitions("key", "own")
     shared = stored(by_key(keyed).mapInArrow(_shared, "key long, own long"), "shared")
     for _ in range(PEEL):
@@ -325,10 +359,12 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         counts = shared.groupBy("own").agg(F.count_if(bit == 0).alias("n_0"), F.count_if(bit == 1).alias("n_1")).join(needed, "own")
         enough = counts.select("own", ((F.col("n_0") >= F.col("need_0")) & (F.col("need_0") > 0)).alias("ok_0"), ((F.col("n_1") >= F.col("need_1")) & (F.col("need_1") > 0)).alias("ok_1")).filter("ok_0 OR ok_1")
         left = shared.join(enough, "own").filter(F.when(bit == 0, F.col("ok_0")).otherwise(F.col("ok_1"))).select("key", "own")
-        shared = stored(by_key(left).mapInArrow(_shared, "key long, own long"), "shared")
-    ties = by_key(shared).mapInArrow(_tied, "a long, b long").distinct()
-    clusters = components(stored(ties, "ties"))
-    sets = stored(described.filter("n_shingles > 0").groupBy("own").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.count("*").alias("copies")), "folded")
+        before, shared = shared, stored(by_key(left).mapInArrow(_shared, "key long, own long"), "shared")
+        dropped(before)
+    ties = stored(by_key(shared).mapInArrow(_tied, "a long, b long").distinct(), "ties")
+    dropped(shared)
+    clusters = components(ties)
+    dropped(ties)
     members, pairs = block_pairs(sets.join(clusters.withColumnRenamed("node", "own"), "own"), percent)
     # the hashed side has no texts, so texts are shuffled but not sorted
     texts = bodies.join(members.select("doc_id", "label", "block", "own", "copies").hint("shuffle_hash"), "doc_id").select("label", "block", "own", "copies", "body")
@@ -339,6 +375,7 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     sides = grams.join(one.unionByName(two), ["label", "block"]).select("pair", "side", "own", "copies", "grams")
     linked = sides.repartition("pair").sortWithinPartitions("pair", "side").mapInArrow(_linked(percent), "a long, b long, n_links long")
     linked = stored(linked, "links")
+    dropped(grams, pairs)
     classes = components(linked.select("a", "b").filter("a != b")).withColumnRenamed("node", "own")
     degree = linked.groupBy(F.col("a").alias("own")).agg(F.sum("n_links").alias("n_links"))
     sets = sets.join(classes, "own", "left").join(degree, "own", "left").withColumn("label", F.coalesce("label", "own"))

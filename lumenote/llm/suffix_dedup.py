@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BASE_A, BASE_B, U64, PrefixHash, binary_parts, bounded_runs, input_bytes, stored
+from .shared import BASE_A, BASE_B, U64, PrefixHash, binary_parts, bounded_runs, dropped, input_bytes, small_batches, stored
 
 ANCHOR = 64
 #: Bytes hashed or sorted at once in a task; long texts are cut into overlapping pieces.
@@ -36,6 +36,8 @@ HOT_REGIONS = 4096
 COMPARED = 1 << 18
 #: A larger interval is extended by searching for each byte, others by going through their places.
 MANY = 2048
+#: Starts of a hot anchor's windows that are merged at once before they are gathered by document.
+MERGED = 1024
 SEP = 0xFF  # never a byte of UTF-8
 
 
@@ -289,7 +291,8 @@ def _windows(min_len: int):
 
 
 def repeated_ranges(docs: DataFrame, min_len: int = 200) -> DataFrame:
-    """doc_id, a, b: byte ranges made of windows that occur elsewhere too. Ranges of a document may overlap."""
+    """doc_id, a, b: byte ranges made of windows that occur elsewhere too, stored. Ranges of a document may overlap."""
+    small_batches(docs.sparkSession)
     bodies = input_bytes(docs)
     regions = stored(bodies.mapInArrow(anchored_regions(min_len), "anchor long, region long, doc_id long, start long, windows int"), "regions")
     # Counts are aggregated before they are shuffled, and stored before they are joined: so joins with a frequent anchor
@@ -298,6 +301,7 @@ def repeated_ranges(docs: DataFrame, min_len: int = 200) -> DataFrame:
     anchors = stored(anchors.select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "anchors")
     # one row per anchor on the hashed side, whatever the skew
     shared = stored(regions.join(anchors.hint("shuffle_hash"), "anchor"), "shared")
+    dropped(regions, anchors)
     mixed, place = shared.filter("mixed"), F.xxhash64("doc_id", "start")
     kinds = stored(mixed.groupBy("anchor", "region").agg(F.count("*").alias("same"), F.min(place).alias("pick")), "kinds")
     hot = stored(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > HOT_REGIONS).select("anchor", F.lit(True).alias("hot")), "hot")
@@ -311,8 +315,15 @@ def repeated_ranges(docs: DataFrame, min_len: int = 200) -> DataFrame:
     found = cut.filter("not hot").select("anchor", "doc_id", "start", "once", "body").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compared(min_len), "doc_id long, a long, b long")
     windows = cut.filter("hot").mapInArrow(_windows(min_len), "ha long, hb long, doc_id long, start long, once boolean")
     twice = stored(windows.groupBy("ha", "hb").agg(F.count("*").alias("n")).filter("n > 1").select("ha", "hb"), "twice")
-    hot = windows.filter("once").join(twice, ["ha", "hb"], "left_semi").select("doc_id", F.col("start").alias("a"), (F.col("start") + min_len).alias("b"))
-    return whole.unionByName(found).unionByName(hot)
+    again = windows.filter("once").join(twice, ["ha", "hb"], "left_semi").groupBy("doc_id", F.floor(F.col("start") / MERGED).alias("stretch"))
+    again = again.agg(F.min("start").alias("low"), F.max("start").alias("high"), F.collect_list("start").alias("starts"))  # at most MERGED starts
+    span = lambda a, b: F.struct(a.alias("a"), (b + min_len).alias("b"))
+    whole_stretch = F.size("starts") == F.col("high") - F.col("low") + 1
+    spans = F.when(whole_stretch, F.array(span(F.col("low"), F.col("high")))).otherwise(F.transform("starts", lambda x: span(x, x)))
+    merged = again.select("doc_id", F.explode(spans).alias("r")).select("doc_id", "r.a", "r.b")
+    ranges = stored(whole.unionByName(found).unionByName(merged), "ranges")
+    dropped(shared, kinds, hot, counted, cut, twice)
+    return ranges
 
 
 def _kept(text_too: bool):
@@ -350,6 +361,6 @@ def suffix_dedup(docs: DataFrame, min_len: int = 200, with_text: bool = False) -
     """
     if min_len < ANCHOR + 8:
         raise ValueError(f"min_len must be at least {ANCHOR + 8}")
-    ranges = stored(repeated_ranges(docs, min_len), "ranges").groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    ranges = repeated_ranges(docs, min_len).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     joined = input_bytes(docs).join(ranges, "doc_id", "left").select("doc_id", "body", "ranges")
     return joined.mapInArrow(_kept(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
