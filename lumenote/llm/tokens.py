@@ -7,6 +7,8 @@ separately by the tokenizers library and joined; a piece met before is looked up
   two visible characters. A run of white space stays with its neighbours.
 * word_bpe (white space is dropped, so nothing spans it): at every run of white space.
 
+Files with other normalisers or splitters than these two are refused.
+
 With `added`, as in the library's own encode, the tokenizer's added tokens (<|endoftext|>) become their ids: texts are
 split at them first and what stands between is encoded as above. Without it they are text like any other.
 
@@ -67,6 +69,11 @@ class Encoder:
         self.tokenizer.model._resize_cache(0)  # what repeats is kept here
         rules = json.loads(self.tokenizer.to_str())
         steps = rules["pre_tokenizer"].get("pretokenizers", [])
+        for step in (rules["normalizer"] or {}).get("normalizers", []):
+            if step["type"] not in ("NFC", "Lowercase") and step.get("pattern") != {"Regex": "\\s+"}:
+                raise ValueError(f"{path}: normalizer {step} is not known here")
+        if (rules["pre_tokenizer"]["type"] == "ByteLevel") != (cut == "space"):
+            raise ValueError(f"{path} splits otherwise than cut={cut!r} does")
         rule = next((x["pattern"]["Regex"] for x in steps if x["type"] == "Split"), self.BYTE_LEVEL)
         ascii_rule = rule.replace("[\\p{L}]", "[A-Za-z]").replace("[\\p{N}]", "[0-9]").replace("?\\p{L}", "?[A-Za-z]").replace("?\\p{N}", "?[0-9]").replace("\\p{L}\\p{N}", "A-Za-z0-9")
         self.ascii_parts = re.compile(ascii_rule, re.ASCII).findall
@@ -76,12 +83,13 @@ class Encoder:
         latin_rule = ascii_rule.replace("A-Za-z", letter).replace("0-9", number).replace("\\S", f"[^{blank}]").replace("[^\\s", f"[^{blank}").replace("\\s", f"[{blank}]")
         self.latin_parts = re.compile(latin_rule).findall
         spelled = byte_letters()
-        self.letters = {c: "".join(spelled[b] for b in chr(c).encode()) for c in range(256)}
+        self.letters = {c: "".join(spelled[b] for b in chr(c).encode()) for c in range(256) if chr(c) != "\n"}
         self.cut = self.cut_at_spaces if cut == "space" else self.cut_words
         self.clear()
 
     MARK = "\x01"
     EVEN_CUTS = re.compile(r"(?<=\S)(?=[ \n]\S)").split
+    ODD_BLANK = re.compile("[\x85\xa0]").search
     ODD_SPACE = re.compile(r"[^\S \t\n\r\f\v]|[\x1c-\x1f]").search
     WORDS = re.compile(r"[^ \t\n\r\f\v]+").findall
 
@@ -125,30 +133,43 @@ class Encoder:
         self._store([keys[i] for i in keep.tolist()], ids, size)
 
     def _parts(self, piece: str) -> list[str]:
-        """The split parts of a piece. The library's splitter, or for Latin-1 the same rule in Python, which is quicker."""
-        if piece.isascii():
-            return [x.translate(self.letters) for x in self.ascii_parts(piece.lower() if self.normalise else piece)]
-        try:
-            piece.encode("latin-1")
-            return [x.translate(self.letters) for x in self.latin_parts(piece.lower() if self.normalise else piece)]
-        except UnicodeEncodeError:
-            pass
+        """The split parts of a piece by the library's own normaliser and splitter."""
         return [x for x, _ in self.split(self.normalise(piece) if self.normalise else piece)]
 
+    def _parts_of_all(self, keys: list[str], rule) -> tuple[list[str], np.ndarray]:
+        """All parts of keys without white space, and how many each key has: the keys are split as one text, as a part
+        never goes on after a space. The rule is the library's in Python, for ASCII or Latin-1, which is quicker.
+        """
+        lead = "" if self.cut == self.cut_words else " "
+        text = lead + " ".join(keys)
+        parts = rule(text.lower() if self.normalise else text)
+        length = np.fromiter(map(len, keys), np.int64, len(keys)) + len(lead)
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        count = np.diff(np.searchsorted(ends, np.cumsum(length), side="right"), prepend=0)
+        return "\n".join(parts).translate(self.letters).split("\n"), count
+
     def _add(self, keys: list[str]) -> None:
         """Encode new pieces by the library's own model, keeping the ids of each split part."""
-        model, parts = self.model, self.parts
-        flat, sizes = [], []
-        for key in keys:
-            size = 0
-            for part in self._parts(self.piece(key)):
-                ids = parts.get(part)
-                if ids is None:
-                    ids = parts[part] = array("i", [t.id for t in model(part)]).tobytes()
-                flat.append(ids)
-                size += len(ids)
-            sizes.append(size // 4)
-        self._store(keys, np.frombuffer(b"".join(flat), np.int32), np.array(sizes))
+        plain = [k for k in keys if k[:1] != self.MARK and len(k.split()) == 1 and k == k.strip()]
+        ascii_keys = [k for k in plain if k.isascii()]
+        latin_keys = [k for k in plain if not k.isascii() and max(k) < "\u0100" and not self.ODD_BLANK(k)]
+        for some, rule in ((ascii_keys, self.ascii_parts), (latin_keys, self.latin_parts)):
+            if some:
+                self._keep(some, *self._parts_of_all(some, rule))
+        rest = [k for k in keys if k not in self.places]
+        if rest:
+            split = [self._parts(self.piece(k)) for k in rest]
+            self._keep(rest, list(chain.from_iterable(split)), np.fromiter(map(len, split), np.int64, len(split)))
+
+    def _keep(self, keys: list[str], parts: list[str], count: np.ndarray) -> None:
+        """Store the ids of keys from their parts, the next count[i] of which are the ith key's."""
+        model, known = self.model, self.parts
+        for part in dict.fromkeys(parts):
+            if part not in known:
+                known[part] = array("i", [t.id for t in model(part)]).tobytes()
+        flat = [known[p] for p in parts]
+        ends = np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat))) // 4
+        self._store(keys, np.frombuffer(b"".join(flat), np.int32), np.diff(np.append(0, ends)[np.cumsum(count)], prepend=0))
 
     def _store(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         k = len(self.places)
