@@ -7,6 +7,8 @@
 4. decontamination: documents that hold a benchmark passage, also one with some words replaced, go.
 5. packing: the whole texts' token ids are packed into sequences of 4096.
 
+A run deletes what its stages stored, but for the last one's result.
+
 Stages 1 to 4 return the columns of documents; n_chars follows the text. Null texts count as empty: the classifier
 scores them like any text, and an empty text is linked with nothing. Tables without rows pass through.
 """
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenote.llm import decontam, ngram_join, packing, quality, suffix_dedup
-from lumenote.llm.shared import stored
+from lumenote.llm.shared import keep_only, stored, stored_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +70,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
+    before = stored_count()
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
+        keep_only(docs, before)
     return docs
