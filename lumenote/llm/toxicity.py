@@ -1,15 +1,17 @@
 """Toxicity by compression distance: which of two zstandard dictionaries shortens a text's windows more.
 
 Text is lower-cased (A-Z) and reduced to letters and single spaces, then cut into overlapping windows. Both dictionaries
-share a base that zstandard trains on ordinary text; the toxic one adds the words by which toxic training text differs
-most, the ordinary one as many bytes of ordinary text. A window's difference is its length under the ordinary dictionary
-less that under the toxic one: ordinary matches cancel out, toxic ones shorten. A document's largest differences, their
-mean and its number of windows are put on a scale from 0 to 1 by thresholds calibrated on the training documents
-(logistic regression, both classes weighted as they occur).
-
-Training takes at most `per_class` labelled documents of each class, the first by a hash of doc_id. Whole texts are
-used in training and scoring. Empty and null texts have one empty window. Without labels of both classes every score
-is 0 or, with toxic labels only, 1. Repeated rows are scored each; other columns are ignored.
+are trained by zstandard, each on training text of its own class. Most of a toxic text is ordinary, and two dictionaries
+of whole texts differ mostly by chance; so both stand on one base trained on ordinary text, and the toxic one is trained
+on the words of the toxic texts by which they differ from ordinary ones. A window's difference is its length under the
+ordinary dictionary less that under the toxic one: ordinary matches cancel out, toxic ones shorten. A document's largest
+differences, their mean and its number of windows are put on a scale from 0 to 1 by thresholds calibrated on the
+training documents (logistic regression, both classes weighted as they occur).
+
+Training takes at most `per_class` labelled documents of each class, the first by a hash of doc_id, and of these the
+first that together hold at most `most_bytes` of text. Whole texts are used in training and scoring. Empty and null texts
+have one empty window. Without labels of both classes every score is 0 or, with toxic labels only, 1. Repeated rows are
+scored each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,12 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .quality import fold, labelled_sample
 from .shared import input_bytes
 
 WINDOW, OVERLAP = 64, 12
-BASE = 16_000
+#: Bytes of the common base and of either dictionary before it; bytes of the pieces of text they are trained on.
+BASE, FRONT, PIECE = 16_000, 1536, 256
 LEVEL, LEAST_MATCH = 6, 4
 #: Words enter the toxic dictionary if their G2 statistic is at least this share of the largest, and this much.
 SHARE, LEAST_G2 = 0.06, 15
@@ -49,14 +53,24 @@ def likelihood_ratio(a: np.ndarray, na: int, b: np.ndarray, nb: int) -> np.ndarr
     return 2 * (part(a, na, share) + part(b, nb, share) + part(na - a, na, 1 - share) + part(nb - b, nb, 1 - share))
 
 
-def typical_words(own: list[bytes], other: list[bytes]) -> list[bytes]:
-    """The words that set the first texts apart, the most telling last."""
+def typical_words(own: list[bytes], other: list[bytes]) -> set[bytes]:
+    """The words that set the first texts apart, by the number of texts that hold them."""
     mine, theirs = (Counter(w for t in texts for w in set(t.split())) for texts in (own, other))
     words = sorted(w for w, k in mine.items() if k >= 3 and k / len(own) > theirs[w] / len(other))
     if not words:
-        return []
+        return set()
     g = likelihood_ratio(np.array([mine[w] for w in words]), len(own), np.array([theirs[w] for w in words]), len(other))
-    return [words[i] for i in np.lexsort((words, g)) if g[i] >= max(SHARE * g.max(), LEAST_G2)]
+    return {w for w, x in zip(words, g, strict=True) if x >= max(SHARE * g.max(), LEAST_G2)}
+
+
+def trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """The content of a zstandard dictionary of the samples, the most useful last; too few of them: their own bytes."""
+    import zstandard as z
+
+    try:
+        return z.train_dictionary(size + 2000, samples, k=segment, d=6).as_bytes()[-size:]
+    except z.ZstdError:
+        return b"".join(dict.fromkeys(samples))[-size:]
 
 
 @dataclass
@@ -112,21 +126,18 @@ def calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50
 
 def fit(texts: list[tuple[int, bytes]], shares: tuple[float, float] | None = None) -> Model:
     """Train both dictionaries and the thresholds on (label, text)."""
-    import zstandard as z
-
-    by_class = [[letters(b) for label, b in texts if label == c] for c in (0, 1)]
-    if not all(by_class):
-        return Model(b"  ", b"  ", np.array([30.0 if by_class[1] else -30.0, 0, 0, 0, 0, 0]))
-    ordinary, toxic = by_class
-    pieces = [t[i : i + 256] for t in ordinary for i in range(0, len(t), 256)]
+    ordinary, toxic = ([letters(b) for label, b in texts if label == c] for c in (0, 1))
+    if not ordinary or not toxic:
+        return Model(b"  ", b"  ", np.array([30.0 if toxic else -30.0, 0, 0, 0, 0, 0]))
+    pieces = [t[i : i + PIECE] for t in ordinary for i in range(0, len(t), PIECE)]
     pieces = [pieces[i] for i in np.random.default_rng(0).permutation(len(pieces))]
-    try:
-        base = z.train_dictionary(BASE + 2000, pieces[:12_000]).as_bytes()[-BASE:]
-    except z.ZstdError:  # too little text to train on: its own bytes
-        base = b"".join(pieces)[:BASE]
-    front = b" " + b" ".join(typical_words(toxic, ordinary)) + b" "
-    filler = (b" ".join(pieces) + b" " * len(front))[: len(front)]
-    model = Model(front + base, filler + base)
+    half = (len(pieces) + 1) // 2
+    base = trained(pieces, BASE, 32)
+    telling = typical_words(toxic, ordinary)
+    marked = [b" " + b" ".join(dict.fromkeys(w for w in t.split() if w in telling)) + b" " for t in toxic]
+    front = b" " + trained([t for t in marked if len(t) > 2], FRONT, 16) + b" "
+    plain = trained(pieces[half:] or pieces, len(front), 16).rjust(len(front))
+    model = Model(front + base, plain + base)
     x = np.array([model.statistics(b) for _, b in texts])
     y = np.array([label for label, _ in texts])
     shares = shares or (1 - y.mean(), y.mean())
@@ -134,13 +145,16 @@ def fit(texts: list[tuple[int, bytes]], shares: tuple[float, float] | None = Non
     return model
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, per_class: int = 1500) -> Model:
+def train_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, per_class: int = 1500, most_bytes: int = 32 << 20) -> Model:
     learn = fold(F.col("doc_id"), folds) != held_out
     sample = labelled_sample(labels, "toxic", learn, per_class)
     # at most 2 * per_class ids, so the broadcast is bounded
-    rows = input_bytes(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "body").collect()
+    chosen = input_bytes(docs).join(F.broadcast(sample), "doc_id")
+    # a window over at most 2 * per_class documents
+    so_far = F.sum(F.length("body")).over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    rows = chosen.withColumn("so_far", so_far).filter(F.col("so_far") <= most_bytes // 2).select("doc_id", "label", "body").collect()
     count = labels.filter(learn & F.col("toxic").isNotNull()).agg(F.avg((F.col("toxic") > 0).cast("int"))).first()[0]
-    return fit([(r.label, bytes(r.body)) for r in sorted(rows, key=lambda r: r.doc_id)], (1 - count, count) if count else None)
+    return fit([(r.label, bytes(r.body)) for r in sorted(rows, key=lambda r: (r.doc_id, r.body))], (1 - count, count) if count else None)
 
 
 def _scored(model: Model):
