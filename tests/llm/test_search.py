@@ -49,6 +49,23 @@ def test_empty_archive(spark, tmp_path):
     assert warc.read_pages(spark, f"file://{tmp_path}/w").collect() == []
 
 
+def test_appends_overwrites_and_other_writers(spark, tmp_path):
+    path, schema = f"file://{tmp_path}/w", "page_id long, url string, html string"
+    read = lambda: {r.page_id: r.payload_digest for r in warc.read_pages(spark, path).collect()}
+    warc.write_pages(spark.createDataFrame([(1, "u", "a"), (2, "u", "b" * 5000)], schema), path, archive_bytes=100)
+    warc.write_pages(spark.createDataFrame([(3, "u", "c")], schema), path)
+    assert set(read()) == {1, 2, 3}
+    (tmp_path / "w" / f"{warc.OURS}failed.warc.gz").write_bytes(b"half a member of a failed attempt")
+    big = b"x" * (3 * warc.CHUNK)
+    (tmp_path / "w" / "theirs.warc.gz").write_bytes(b"".join(gzip.compress(warc.record(f"urn:page:{i}", "response", "u", None, x)) for i, x in ((4, b"d"), (5, big), (6, b""))))
+    (tmp_path / "w" / "plain.warc").write_bytes(b"".join(warc.record(f"urn:page:{i}", "response", "u", None, x) for i, x in ((7, b"e" * 9000), (8, b""))))
+    assert read() == {i: warc.digest(x) for i, x in {1: b"a", 2: b"b" * 5000, 3: b"c", 4: b"d", 5: big, 6: b"", 7: b"e" * 9000, 8: b""}.items()}
+    one = spark.read.format("warc").load(f"{path}/theirs.warc.gz")
+    assert {r.record_id for r in one.filter("record_id <> 'urn:page:5'").collect()} == {"urn:page:4", "urn:page:6"}
+    warc.page_records(spark.createDataFrame([(9, "u", "z")], schema)).write.format("warc").mode("overwrite").save(path)
+    assert set(read()) == {4, 5, 6, 7, 8, 9}
+
+
 @pytest.mark.parametrize(("n", "bits", "group"), [(300, 20, 16), (60, 64, 8192), (5, 3, 1)])
 def test_top_k(spark, monkeypatch, n, bits, group):
     monkeypatch.setattr(topk, "GROUP", group)
