@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import U64, PrefixHash, binary_parts, bounded_runs, dropped, input_bytes, mix, small_batches, stored, word_spans
 
-BATCH = 1 << 19
+BATCH = 1 << 18
 BLOCK, BLOCK_GRAMS = 1024, 1 << 19
 #: Sets of a large cluster whose sizes differ by less than this factor share blocks.
 SIZE_STEP = 1.1

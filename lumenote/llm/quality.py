@@ -27,7 +27,7 @@ from .shared import U64, PrefixHash, binary_parts, bounded_runs, input_bytes, mi
 #: Buckets of character n-grams and of words; powers of two.
 CHARS, WORDS = 1 << 16, 1 << 16
 BUCKETS = CHARS + WORDS
-BATCH = 1 << 20
+BATCH = 1 << 18
 GRAMS = (2, 3, 4)
 
 
