@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import normalised, words_array
+from .text import any_of, normalised, words_array
 
 # Function words, whose presence tells a sentence's language.
 ENGLISH = (
@@ -49,8 +49,7 @@ def english_body(text: Column) -> Column:
 
 
 def any_phrase(text: Column, phrases) -> Column:
-    norm = normalised(text)
-    return F.exists(words_array(phrases), lambda p: F.contains(norm, p))
+    return normalised(text).rlike(any_of(phrases))
 
 
 def asks_real_time(text: Column) -> Column:

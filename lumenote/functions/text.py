@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -27,6 +28,11 @@ def accent_pairs() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+def any_of(phrases) -> str:
+    """A pattern that finds any of the phrases."""
+    return "|".join(re.escape(p).replace("\\ ", " ") for p in phrases)
+
+
 def words_array(words) -> Column:
     return F.array(*(F.lit(w) for w in words))
 
@@ -59,8 +65,9 @@ def trimmed_query(text: Column, most: int = 6) -> Column:
 
 
 def stem(token: Column) -> Column:
-    """Plural stem of a token: ordered suffix rules, short tokens untouched."""
-    t, n = normalised(token), F.length(normalised(token))
+    """Plural stem of a token of normalised text: ordered suffix rules, short tokens untouched."""
+    # The suffixes and their endings in place.
+    t, n = token, F.length(token)
 
     def cut(k: int, end: str = "") -> Column:
         return F.concat(F.substring(t, F.lit(1), n - k), F.lit(end))
@@ -97,6 +104,7 @@ def mentions_stem(text: Column, keys: Column) -> Column:
 def han_share(text: Column) -> Column:
     """Share of Han and CJK-punctuation characters among those that aren't blank."""
     solid = F.regexp_replace(text, r"\s", "")
+    # Fixed value: the ranges of Han characters and their punctuation.
     han = F.regexp_count(solid, F.lit("[　-〿㐀-䶿一-鿿豈-﫿]"))
     return F.when(F.length(solid) == 0, F.lit(0.0)).otherwise(han / F.length(solid))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import normalised, without_accents, words_array
+from ..functions.text import any_of, normalised, without_accents
 
 # Terms of editorial apparatus, compared with lower-cased text without accents.
 APPARATUS_TERMS = (
@@ -32,8 +32,7 @@ INDEX_ENTRY = r"(?m)^\s*[A-ZÀ-Ú][^,\n]{1,60},\s*(?:\(|ver\b|\d)"
 
 def injected(text: Column) -> Column:
     """Whether the text holds a signature of prompt injection."""
-    norm = normalised(text)
-    return F.exists(words_array(INJECTION_SIGNATURES), lambda s: F.contains(norm, s))
+    return normalised(text).rlike(any_of(INJECTION_SIGNATURES))
 
 
 def prose_share(text: Column, least: int = 80) -> Column:
@@ -63,12 +62,14 @@ def slash_density(text: Column) -> Column:
 
 
 def apparatus_terms(text: Column) -> Column:
-    plain = F.lower(without_accents(text))
-    return F.size(F.filter(words_array(APPARATUS_TERMS), lambda t: F.contains(plain, t)))
+    # looked for at every place without being consumed, so terms may overlap
+    found = F.regexp_extract_all(F.lower(without_accents(text)), F.lit(f"(?=({any_of(APPARATUS_TERMS)}))"), F.lit(1))
+    return F.size(F.array_distinct(found))
 
 
 def triage(text: Column) -> Column:
     """Why a passage isn't worth keeping, or 'content'; the first rule that holds."""
+    # The thresholds.
     prose = prose_share(text)
     return (
         F.when(F.length(F.trim(text)) < 400, "short")

@@ -1,35 +1,17 @@
-"""Clustering and near-duplicate decisions over a table of edges (a, b) between rows that are close to each other."""
+"""Clustering and near-duplicate decisions over vectors (id, v), connected components, hop distances."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import cosine_distance
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder of spark.checkpoint.dir (where it is unset, as in tests, one under /tmp)."""
-    spark = df.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/lumenote-checkpoints").rstrip("/")
-    path = f"{folder}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def close_pairs(vectors: DataFrame, id_column: str, vector: str, bucket: str, most: float) -> DataFrame:
-    """a, b, distance of vectors of one bucket (a label, a cell) that are nearer than `most`, a < b."""
-    left = vectors.select(F.col(bucket).alias("k"), F.col(id_column).alias("a"), F.col(vector).alias("va"))
-    right = vectors.select(F.col(bucket).alias("k"), F.col(id_column).alias("b"), F.col(vector).alias("vb"))
-    pairs = left.join(right, "k").filter("a < b").select("a", "b", cosine_distance(F.col("va"), F.col("vb")).alias("distance"))
-    return pairs.filter(F.col("distance") < most)
+from .near import earliest_near
+from .tables import dropped, stored
 
 
 def clusters(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node of each connected component, by alternating star steps, each stored."""
-    now = edges.select("a", "b").filter("a <> b")
+    now, last = edges.select("a", "b").filter("a <> b"), None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("m"))
@@ -38,6 +20,9 @@ def clusters(edges: DataFrame) -> DataFrame:
         linked = down.join(parent, "a")
         stars = linked.select("a", F.col("m").alias("b")).unionByName(linked.select(F.col("b").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
         now = stored(stars)
+        if last is not None:
+            dropped(last)
+        last = now
         several = now.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
         if not several and not now.join(now.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count():
             break
@@ -45,27 +30,30 @@ def clusters(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
 
 
-def leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, leader: greedy leader clustering in the order of node.
+def leaders(rows: DataFrame, most: float) -> DataFrame:
+    """id, leader: greedy leader clustering of vectors (id, v) in the order of id.
 
-    A row leads if no earlier leader is near, and else belongs to its earliest near leader. In rounds: a row whose
-    undecided earlier neighbours are none leads; a row near an earlier leader is a member. Each round is stored.
+    A row leads if no earlier leader is nearer than `most`, and else belongs to the smallest such leader. In rounds: an
+    undecided row without an earlier undecided one near it leads, and rows near a new earlier leader are members. Each
+    round is stored, and compares in blocks that return one row per vector.
     """
-    rows = nodes.select("node").distinct()
-    earlier = stored(edges.select(F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late")).distinct())
-    state = rows.withColumn("leads", F.lit(None).cast("boolean"))
-    while True:
-        known = state.select(F.col("node").alias("early"), F.col("leads").alias("early_leads"))
-        seen = earlier.join(known, "early").groupBy("late").agg(F.coalesce(F.bool_or("early_leads"), F.lit(False)).alias("near"), F.bool_or(F.col("early_leads").isNull()).alias("open"))
-        joined = state.join(seen.withColumnRenamed("late", "node"), "node", "left")
-        now = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.coalesce("near", F.lit(False)), F.lit(False)).when(~F.coalesce("open", F.lit(False)), F.lit(True))
-        state = stored(joined.select("node", now.alias("leads")))
-        if not state.filter("leads IS NULL").limit(1).count():
-            break
-    own = state.filter("leads").select("node", F.col("node").alias("leader"))
-    lead = state.filter("leads").select(F.col("node").alias("early"))
-    members = earlier.join(lead, "early").join(state.filter("NOT leads").select(F.col("node").alias("late")), "late").groupBy("late").agg(F.min("early").alias("leader"))
-    return own.unionByName(members.select(F.col("late").alias("node"), "leader"))
+    rows = stored(rows)
+    open_rows, led = rows, None
+    while open_rows.limit(1).count():
+        behind = earliest_near(open_rows, open_rows, most)
+        fresh = stored(open_rows.join(behind, "id", "left_anti"))
+        led = fresh if led is None else led.unionByName(fresh)
+        rest = open_rows.join(fresh.select("id"), "id", "left_anti")
+        open_rows = stored(rest.join(earliest_near(rest, fresh, most), "id", "left_anti"))
+    if led is None:
+        return rows.select("id", F.col("id").alias("leader"))
+    members = earliest_near(rows.join(led.select("id"), "id", "left_anti"), led, most)
+    return led.select("id", F.col("id").alias("leader")).unionByName(members.withColumnRenamed("least", "leader"))
+
+
+def kept(rows: DataFrame, most: float) -> DataFrame:
+    """id, kept: the running decision in the order of id, to keep a vector unless one kept before is nearer than `most`."""
+    return leaders(rows, most).select("id", (F.col("id") == F.col("leader")).alias("kept"))
 
 
 def write_decision(nearest: DataFrame, drop_below: float, replace_below: float) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, tokens, words_array
+from . import near
+from .tables import stored
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -19,16 +21,39 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when(norm > 0, 1 - dot(a, b) / norm)
 
 
+def blocks(queries: DataFrame, id_column: str, most: int = 10_000) -> list[DataFrame]:
+    """The queries in parts of about half of `most` at most, so that each may be broadcast."""
+    n = queries.count()
+    if n <= most:
+        return [queries]
+    parts = -(-2 * n // most)
+    return [queries.filter(F.pmod(F.xxhash64(id_column), F.lit(parts)) == p) for p in range(parts)]
+
+
+def distances(vectors: DataFrame, queries: DataFrame, id_column: str, vector: str, *more: str) -> DataFrame:
+    """query_id, id, distance of each query to every vector that has one, with more columns of both as q_name and name.
+
+    The queries are a stated set that meets every vector; they are broadcast in blocks of bounded size.
+    """
+    every = None
+    for part in blocks(queries, id_column):
+        asked = part.select(F.col(id_column).alias("query_id"), F.col(vector).alias("_q"), *(F.col(c).alias(f"q_{c}") for c in more))
+        pairs = vectors.select(F.col(id_column).alias("id"), F.col(vector).alias("_v"), *more).crossJoin(F.broadcast(asked))
+        some = pairs.select("query_id", "id", *more, *(f"q_{c}" for c in more), cosine_distance(F.col("_v"), F.col("_q")).alias("distance"))
+        every = some if every is None else every.unionByName(some)
+    return every.filter("distance IS NOT NULL")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, id_column: str, vector: str, k: int, most_queries: int = 10_000) -> DataFrame:
     """query_id, id, distance, place: exact top k of each query vector (ties: smaller id).
 
-    The queries are a stated set that meets every vector; they are broadcast only while there are at most
-    `most_queries`. Spark prunes to k rows a query before it shuffles.
+    Up to `most_queries` are broadcast, and Spark prunes to k rows a query before it shuffles; more meet the vectors in
+    blocks, each of which returns k rows a query.
     """
-    asked = queries.select(F.col(id_column).alias("query_id"), F.col(vector).alias("_q"))
-    small = asked.limit(most_queries + 1).count() <= most_queries
-    pairs = vectors.select(F.col(id_column).alias("id"), F.col(vector).alias("_v")).crossJoin(F.broadcast(asked) if small else asked)
-    scored = pairs.select("query_id", "id", cosine_distance(F.col("_v"), F.col("_q")).alias("distance")).filter("distance IS NOT NULL")
+    if queries.limit(most_queries + 1).count() <= most_queries:
+        scored = distances(vectors, queries, id_column, vector)
+    else:
+        scored = near.best_of(near.usable(queries, id_column, vector), near.usable(vectors, id_column, vector), k)
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
@@ -38,11 +63,25 @@ def content_tokens(text: Column) -> Column:
     return F.filter(tokens(text), lambda t: ~F.array_contains(stop, t))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query_id, doc_id, score of every document that shares a term; a term asked twice counts twice."""
+def term_counts(docs: DataFrame, queries: DataFrame, doc_id: str, text: str = "text", most_terms: int = 100_000) -> DataFrame:
+    """doc_id, dl (content tokens of the document), term, tf: of the terms that some query has, stored.
+
+    Terms are filtered before they are grouped, and broadcast while there are at most `most_terms`.
+    """
+    terms = queries.select(F.explode(content_tokens(F.col(text))).alias("term")).distinct()
+    small = terms.limit(most_terms + 1).count() <= most_terms
     d = docs.select(doc_id, content_tokens(F.col(text)).alias("t")).withColumn("dl", F.size("t"))
-    stats = d.agg(F.count("*").alias("n"), F.avg("dl").alias("mean_dl"))
-    tf = d.select(doc_id, "dl", F.explode("t").alias("term")).groupBy(doc_id, "dl", "term").agg(F.count("*").alias("tf"))
+    each = d.select(doc_id, "dl", F.explode("t").alias("term")).join(F.broadcast(terms) if small else terms, "term")
+    return stored(each.groupBy(doc_id, "dl", "term").agg(F.count("*").alias("tf")), "terms")
+
+
+def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text: str = "text", k1: float = 1.5, b: float = 0.75, tf: DataFrame | None = None) -> DataFrame:
+    """query_id, doc_id, score of every document that shares a term; a term asked twice counts twice.
+
+    tf: term_counts() of the same tables, where the caller has them already.
+    """
+    tf = term_counts(docs, queries, doc_id, text) if tf is None else tf
+    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size(content_tokens(F.col(text)))).alias("mean_dl"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     q = queries.select(query_id, F.explode(content_tokens(F.col(text))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("qf"))
     hit = tf.join(q, "term").join(df, "term").crossJoin(F.broadcast(stats))  # one row of statistics

@@ -56,10 +56,10 @@ def trapezoids(df: DataFrame, key: str, order: str, seconds: str, power: str, mo
     return df.withColumn("energy", F.when(valid, (before + F.col(power)) / 2 * dt).otherwise(0.0))
 
 
-def daily_spine(daily: DataFrame, day: str, first: str, last: str, value: str) -> DataFrame:
-    """Every day from first to last with its value, 0 where there is none."""
-    days = daily.sparkSession.range(1).select(F.explode(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last)))).alias(day))
-    return days.join(daily, day, "left").select(day, F.coalesce(value, F.lit(0.0)).alias(value))
+def daily_spine(daily: DataFrame, key: str, day: str, first: str, last: str, value: str) -> DataFrame:
+    """Every day from first to last of every key with its value, 0 where there is none."""
+    days = F.explode(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last)))).alias(day)
+    return daily.select(key).distinct().select(key, days).join(daily, [key, day], "left").select(key, day, F.coalesce(value, F.lit(0.0)).alias(value))
 
 
 def back_off(failures: Column, free: int, base: float, most: float) -> Column:

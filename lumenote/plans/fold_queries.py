@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import folds, geometry, pii
 from ..functions.text import tokens
+from ..operators import ordered
 from . import ranking_queries
 from .base import query, table
 from .text_queries import TOKENS, sql_values, values
@@ -57,32 +58,40 @@ def h8(spark, d):
     return lists.select("item_id", F.explode(folds.budgeted(F.col("items"), 12_000, 0.4)).alias("doc_id"))
 
 
-def by_user(spark, d, *columns):
-    events = table(spark, d, "events").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    return events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("s", *columns))).alias("rows"))
+def timed(spark, d):
+    return table(spark, d, "events").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
 
 
 @query("g4_integral_means")
 def g4(spark, d):
-    # a user's history stands for one device's day of readings
-    means = folds.integral_means(F.transform("rows", lambda r: F.struct(r["s"].alias("s"), (r["value"] * 1000).alias("mj"))), 3600.0, 1e9)
-    return by_user(spark, d, "value").select("user_id", F.posexplode(means).alias("nth", "watts"))
+    # a user's history stands for one device's readings
+    readings = timed(spark, d).withColumn("mj", F.col("value") * 1000)
+    return ordered.integral_means(readings, "user_id", "event_id", "s", "mj", 3600.0, 1e9)
 
 
 @query("g7_throttled")
 def g7(spark, d):
-    return by_user(spark, d).select("user_id", F.explode(folds.throttled(F.transform("rows", lambda r: r["s"]), 86_400.0)).alias("s"))
+    return ordered.throttled(timed(spark, d), "user_id", "s", 86_400.0)
 
 
-@query("k4_breaker")
+@query(
+    "k4_breaker",
+    """WITH e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS s, event_type <> 'error' AS ok FROM events), r AS (SELECT *, sum(ok::INT) OVER (PARTITION BY user_id ORDER BY s, event_id) AS run FROM e),
+    n AS (SELECT *, CASE WHEN ok THEN 0 ELSE sum((NOT ok)::INT) OVER (PARTITION BY user_id, run ORDER BY s, event_id) END AS failures FROM r)
+    SELECT event_id, coalesce(lag(failures) OVER w >= 2 AND s < lag(s) OVER w + 43200, false) AS open FROM n WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id)""",
+)
 def k4(spark, d):
-    rows = F.transform("rows", lambda r: F.struct(r["s"].alias("s"), (r["event_type"] != "error").alias("ok")))
-    return by_user(spark, d, "event_type").select("user_id", F.posexplode(folds.breaker_opens(rows, 2, 43_200.0)).alias("nth", "open"))
+    outcomes = timed(spark, d).withColumn("ok", F.col("event_type") != "error")
+    return ordered.breaker_opens(outcomes, "user_id", "s", "event_id", "ok", 2, 43_200.0).select("event_id", "open")
 
 
-@query("g17_leitner_history")
+@query(
+    "g17_leitner_history",
+    "WITH w AS (SELECT user_id, max(CASE WHEN value <= 20 THEN {'ts': ts, 'id': event_id} END) AS wrong FROM events GROUP BY 1) SELECT user_id, CAST(least(4, count(e.event_id)) AS INT) AS box FROM w LEFT JOIN events e USING (user_id) WHERE wrong IS NULL OR {'ts': ts, 'id': event_id} > wrong GROUP BY 1 UNION ALL SELECT user_id, 0 FROM w WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = w.user_id AND (wrong IS NULL OR {'ts': ts, 'id': event_id} > wrong))",
+)
 def g17(spark, d):
-    return by_user(spark, d, "value").select("user_id", folds.leitner_history(F.transform("rows", lambda r: r["value"] > 20), [1, 3, 7, 16, 35]).alias("box"))
+    answers = table(spark, d, "events").select("user_id", "ts", "event_id", (F.col("value") > 20).alias("ok"))
+    return ordered.leitner_boxes(answers, "user_id", ["ts", "event_id"], "ok", [1, 3, 7, 16, 35])
 
 
 BOXES = [(1, 0, 0, 100, 100, "figure"), (1, 10, 10, 90, 90, "figure"), (1, 0, 0, 999, 46, "figure"), (1, 500, 500, 900, 900, "figure"), (1, 480, 480, 950, 950, "text"), (2, 0, 0, 999, 999, "figure"), (2, 5, 5, 5, 50, "figure"), (2, 100, 100, 130, 700, "figure")]

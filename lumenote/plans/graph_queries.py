@@ -42,10 +42,10 @@ def e2(spark, d):
     return G.neighbours(e, e.filter("atom <= 10"), 1.5).select("atom", F.round("score", 6).alias("score"))
 
 
-@query("f3_centrality", EDGES + ", m AS (SELECT * FROM e WHERE atom <= 1000), w AS (SELECT concept, count(*) - 1 AS k FROM m GROUP BY concept) SELECT atom, round(sum(idf * k), 6) AS score FROM m JOIN w USING (concept) JOIN i USING (concept) GROUP BY atom")
+@query("f3_centrality", EDGES + ", w AS (SELECT concept, count(*) - 1 AS k FROM e GROUP BY concept) SELECT atom, round(sum(idf * k), 6) AS score FROM e JOIN w USING (concept) JOIN i USING (concept) GROUP BY atom")
 def f3(spark, d):
     e = edges(spark, d)
-    return G.centrality(e, e.filter("atom <= 1000")).select("atom", F.round("score", 6).alias("score"))
+    return G.centrality(e, e).select("atom", F.round("score", 6).alias("score"))
 
 
 @query(

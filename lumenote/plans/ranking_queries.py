@@ -17,28 +17,31 @@ def vectors(spark, d):
     return table(spark, d, "embeddings")
 
 
-@query("h1_cosine_top_k", f"SELECT a.vec_id AS query_id, b.vec_id AS id, round({DISTANCE}, 6) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id < 5 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {DISTANCE}, b.vec_id) <= 10")
+@query("h1_cosine_top_k", f"SELECT a.vec_id AS query_id, b.vec_id AS id, round({DISTANCE}, 6) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {DISTANCE}, b.vec_id) <= 10")
 def h1(spark, d):
     v = vectors(spark, d)
-    return R.nearest(v, v.filter("vec_id < 5"), "vec_id", "embedding", 10).select("query_id", "id", F.round("distance", 6).alias("distance"))
+    return R.nearest(v, v.filter("vec_id % 50 = 0"), "vec_id", "embedding", 10).select("query_id", "id", F.round("distance", 6).alias("distance"))
 
 
 @query(
     "h3_merged_collections",
-    f"WITH p AS (SELECT b.label % 2 AS part, b.vec_id AS id, {DISTANCE} AS dist FROM embeddings a JOIN embeddings b ON a.vec_id = 0), t AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY part ORDER BY dist, id) <= 20) SELECT id, round(dist, 6) AS distance FROM t ORDER BY dist, id LIMIT 20",
+    f"WITH p AS (SELECT a.vec_id AS query_id, b.label % 2 AS part, b.vec_id AS id, {DISTANCE} AS dist FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0), t AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query_id, part ORDER BY dist, id) <= 20) SELECT query_id, id, round(dist, 6) AS distance FROM t QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dist, id) <= 20",
 )
 def h3(spark, d):
     v = vectors(spark, d)
-    parts = [R.nearest(v.filter(F.col("label") % 2 == p), v.filter("vec_id = 0"), "vec_id", "embedding", 20) for p in (0, 1)]
-    return parts[0].unionByName(parts[1]).orderBy("distance", "id").limit(20).select("id", F.round("distance", 6).alias("distance"))
+    asked = v.filter("vec_id % 50 = 0")
+    parts = [R.nearest(v.filter(F.col("label") % 2 == p), asked, "vec_id", "embedding", 20) for p in (0, 1)]
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return parts[0].unionByName(parts[1]).withColumn("place", place).filter("place <= 20").select("query_id", "id", F.round("distance", 6).alias("distance"))
 
 
-@query("h4_relative_cut", f"WITH p AS (SELECT b.vec_id AS id, {DISTANCE} AS dist FROM embeddings a JOIN embeddings b ON a.vec_id = 1 AND b.vec_id <> 1 AND b.label <> 0) SELECT id, round(dist, 6) AS distance FROM p WHERE dist <= 1.1 * (SELECT min(dist) FROM p)")
+@query("h4_relative_cut", f"WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {DISTANCE} AS dist FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id AND b.label <> 0) SELECT query_id, id, round(dist, 6) AS distance FROM p WHERE dist <= 1.1 * (SELECT min(dist) FROM p z WHERE z.query_id = p.query_id)")
 def h4(spark, d):
     v = vectors(spark, d)
-    near = R.nearest(v.filter("vec_id <> 1 AND label <> 0"), v.filter("vec_id = 1"), "vec_id", "embedding", 1 << 30)
-    least = near.agg((F.min("distance") * 1.1).alias("cut"))
-    return near.join(F.broadcast(least), F.col("distance") <= F.col("cut")).select("id", F.round("distance", 6).alias("distance"))  # one row
+    away = R.distances(v.filter("label <> 0"), v.filter("vec_id % 50 = 0"), "vec_id", "embedding").filter("query_id <> id")
+    least = away.groupBy("query_id").agg((F.min("distance") * 1.1).alias("cut"))
+    # one row a query on the hashed side
+    return away.join(least.hint("shuffle_hash"), "query_id").filter("distance <= cut").select("query_id", "id", F.round("distance", 6).alias("distance"))
 
 
 @query("e6_nearest_in_band", f"WITH n AS (SELECT a.vec_id, arg_min(b.vec_id, {DISTANCE}) AS near, min({DISTANCE}) AS dist FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id GROUP BY a.vec_id) SELECT vec_id, near, CASE WHEN dist < 0.3 THEN 'duplicate' WHEN dist < 0.6 THEN 'related' ELSE 'far' END AS verdict FROM n")
@@ -52,11 +55,9 @@ def e6(spark, d):
 @query("e5_other_label_twin", f"WITH n AS (SELECT a.vec_id, min({DISTANCE}) AS dist FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.label <> b.label GROUP BY a.vec_id) SELECT vec_id, round(dist, 6) AS distance FROM n WHERE dist < 0.9")
 def e5(spark, d):
     v = vectors(spark, d)
-    asked = v.filter("vec_id % 50 = 0")
-    small = asked.select(F.col("vec_id").alias("q"), F.col("label").alias("ql"), F.col("embedding").alias("qe"))
-    pairs = v.join(F.broadcast(small) if small.limit(10_001).count() <= 10_000 else small, F.col("label") != F.col("ql"))
-    best = pairs.groupBy("q").agg(F.min(R.cosine_distance(F.col("embedding"), F.col("qe"))).alias("dist"))
-    return best.filter("dist < 0.9").select(F.col("q").alias("vec_id"), F.round("dist", 6).alias("distance"))
+    away = R.distances(v, v.filter("vec_id % 50 = 0"), "vec_id", "embedding", "label").filter("label <> q_label")
+    best = away.groupBy(F.col("query_id").alias("vec_id")).agg(F.min("distance").alias("dist"))
+    return best.filter("dist < 0.9").select("vec_id", F.round("dist", 6).alias("distance"))
 
 
 BM25 = f"""WITH d AS (SELECT doc_id, list_filter({TOKENS}, lambda t: NOT list_contains({STOP}, t)) AS t FROM documents),
@@ -81,28 +82,26 @@ SHARED = f"k AS (SELECT item_id, list_distinct({TOKENS}) AS ks FROM benchmark),
 def h11(spark, d):
     docs, asked = table(spark, d, "documents"), table(spark, d, "benchmark")
     w = Window.partitionBy("item_id")
-    one = R.bm25(docs, asked, "doc_id", "item_id").withColumn("place", F.row_number().over(w.orderBy(F.desc(F.round("score", 9)), "doc_id")))
-    terms = docs.select("doc_id", F.explode(F.array_distinct(R.content_tokens(F.col("text")))).alias("term"))
+    tf = R.term_counts(docs, asked, "doc_id")
+    one = R.bm25(docs, asked, "doc_id", "item_id", tf=tf).withColumn("place", F.row_number().over(w.orderBy(F.desc(F.round("score", 9)), "doc_id")))
     keys = asked.select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    two = terms.join(keys, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(w.orderBy(F.desc("n"), "doc_id")))
+    two = tf.join(keys, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(w.orderBy(F.desc("n"), "doc_id")))
     fused = R.fuse([one.filter("place <= 20"), two.filter("place <= 20")], ["item_id", "doc_id"])
     return fused.select("item_id", "doc_id", F.round("score", 9).alias("score"))
 
 
 @query(
     "f18_known_item",
-    f"""WITH p AS (SELECT a.vec_id AS q, a.label AS ql, b.label AS l, {DISTANCE} AS dist FROM embeddings a JOIN embeddings b ON a.vec_id % 25 = 0 AND a.vec_id <> b.vec_id),
+    f"""WITH p AS (SELECT a.vec_id AS q, a.label AS ql, b.label AS l, {DISTANCE} AS dist FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
     r AS (SELECT q, 1 + count(*) FILTER (dist < (SELECT min(dist) FROM p z WHERE z.q = p.q AND z.l = z.ql)) AS rank FROM p GROUP BY q)
     SELECT round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS recall_5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS recall_10, round(avg(CASE WHEN rank <= 10 THEN 1.0 / rank ELSE 0 END), 6) AS mrr_10 FROM r""",
 )
 def f18(spark, d):
     v = vectors(spark, d)
-    near = R.nearest(v, v.filter("vec_id % 25 = 0"), "vec_id", "embedding", 1 << 30).filter("query_id <> id")
-    labels = v.select("vec_id", "label")
-    own = labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
-    near = near.join(own, "query_id").join(labels.select(F.col("vec_id").alias("id"), "label"), "id")
-    best = F.min(F.when(F.col("label") == F.col("ql"), F.col("distance"))).over(Window.partitionBy("query_id"))
-    ranks = near.withColumn("best", best).groupBy("query_id").agg((F.count_if(F.col("distance") < F.col("best")) + 1).alias("rank"))
+    away = R.distances(v, v.filter("vec_id % 50 = 0"), "vec_id", "embedding", "label").filter("query_id <> id")
+    best = away.groupBy("query_id").agg(F.min(F.when(F.col("label") == F.col("q_label"), F.col("distance"))).alias("best"))
+    # one row a query on the hashed side
+    ranks = away.join(best.hint("shuffle_hash"), "query_id").groupBy("query_id").agg((F.count_if(F.col("distance") < F.col("best")) + 1).alias("rank"))
     share = lambda k: F.round(F.avg((F.col("rank") <= k).cast("double")), 6).alias(f"recall_{k}")
     return ranks.agg(share(1), share(5), share(10), F.round(F.avg(F.when(F.col("rank") <= 10, 1.0 / F.col("rank")).otherwise(0.0)), 6).alias("mrr_10"))
 
@@ -128,7 +127,8 @@ HYBRID = f"""WITH p AS (SELECT b.vec_id AS doc_id, {DISTANCE} AS dist FROM embed
 def hybrid(spark, d):
     """Exact cosine, then the gate: near enough, and either grounded in a rare keyword of the question or very near."""
     v, docs = vectors(spark, d), table(spark, d, "documents").select("doc_id", "text")
-    near = R.nearest(v, v.filter("vec_id = 0"), "vec_id", "embedding", 1 << 30).select(F.col("id").alias("doc_id"), "distance")
+    # far vectors never pass the gate below
+    near = R.distances(v, v.filter("vec_id = 0"), "vec_id", "embedding").filter("distance < 0.9").select(F.col("id").alias("doc_id"), "distance")
     words = docs.select("doc_id", F.explode(T.keywords(F.col("text"))).alias("k"))
     asked = table(spark, d, "benchmark").filter("item_id = 0").select(F.explode(T.keywords(F.col("text"))).alias("k"))
     total = docs.agg(F.count("*").alias("n"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from ..operators.tables import shared_dir
 from ..streaming import monitors
 from .base import query
 
 
 def run(spark, d, name, make):
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/lumenote-checkpoints").rstrip("/") + f"/stream-{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     stream = make(monitors.event_stream(spark, d, "events.parquet", schema))
     return monitors.available_now(stream, f"{folder}/out", f"{folder}/state")

@@ -74,7 +74,7 @@ PLURALS = [("flores",), ("animais",), ("balões",), ("pães",), ("mãos",), ("ho
 
 @query("c6_plural_forms", f"SELECT w, CASE WHEN n IS NULL THEN NULL ELSE {stem_sql('n')} END AS stem FROM (SELECT w, trim(lower(strip_accents(w))) AS n FROM {sql_values('w', PLURALS)})")
 def c6b(spark, d):
-    return values(spark, "w string", PLURALS).select("w", T.stem(F.col("w")).alias("stem"))
+    return values(spark, "w string", PLURALS).select("w", T.stem(T.normalised(F.col("w"))).alias("stem"))
 
 
 HAN = [("光合作用 a",), ("texto em português",), ("",), ("   ",), ("植物 planta 生长",)]

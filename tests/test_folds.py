@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumenote.functions import folds, geometry, pii, text
-from lumenote.operators import dedup, telemetry
+from lumenote.operators import dedup, near, ordered, ranking, telemetry
 from lumenote.plans import fold_queries, ranking_queries
 from lumenote.sources import notes
 from lumenote.streaming import monitors
@@ -72,7 +73,7 @@ def test_throttle_integral_breaker(spark):
 
 def test_thinking_and_stems(spark):
     assert one(spark, folds.without_thinking, "<think>a\nb</think> fim") == "fim"
-    assert [one(spark, text.stem, w) for w in ("flores", "animais", "balões", "homens", "sol", "tricomas")] == ["flor", "animal", "balao", "homem", "sol", "tricoma"]
+    assert [one(spark, lambda w: text.stem(text.normalised(w)), w) for w in ("flores", "animais", "balões", "homens", "sol", "tricomas")] == ["flor", "animal", "balao", "homem", "sol", "tricoma"]
 
 
 def test_grounding(spark):
@@ -89,7 +90,7 @@ def test_read_vault(spark, tmp_path):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_clusters_and_leaders(spark, seed):
+def test_clusters(spark, seed):
     rng = random.Random(seed)
     pairs = {tuple(sorted(rng.sample(range(40), 2))) for _ in range(35)} | {(i, i + 1) for i in range(50, 62)}
     edges = spark.createDataFrame([(*p,) for p in pairs], "a long, b long")
@@ -98,12 +99,48 @@ def test_clusters_and_leaders(spark, seed):
         for a, b in pairs:
             label[a] = label[b] = min(label[a], label[b])
     assert {r.node: r.label for r in dedup.clusters(edges).collect()} == label
-    nodes = sorted({*range(40), *label})
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_near_vectors(spark, monkeypatch, block):
+    monkeypatch.setattr(near, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    v = rng.normal(size=(60, 4))
+    v[50:55], v[55] = v[3], 0
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(60, None), (61, [1.0, None, 0.0, 0.0])], "n long, e array<double>")
+    rows = near.usable(frame, "n", "e")
+    ids = [i for i in range(60) if i != 55]
+    u = v[ids] / np.linalg.norm(v[ids], axis=1, keepdims=True)
+    away = 1 - u @ u.T
+    close = {(a, b) for x, a in enumerate(ids) for y, b in enumerate(ids) if a < b and away[x, y] < 0.1}
     lead = {}
-    for n in nodes:
-        lead[n] = next((m for m in nodes if m < n and lead[m] == m and (m, n) in pairs), n)
-    frame = spark.createDataFrame([(n,) for n in nodes], "node long")
-    assert {r.node: r.leader for r in dedup.leaders(frame, edges).collect()} == lead
+    for n in ids:
+        lead[n] = next((m for m in ids if m < n and lead[m] == m and (m, n) in close), n)
+    assert {r.id: r.leader for r in dedup.leaders(rows, 0.1).collect()} == lead
+    assert {r.id: r.kept for r in dedup.kept(rows, 0.1).collect()} == {n: lead[n] == n for n in ids}
+    label = {n: n for p in close for n in p}
+    for _ in label:
+        for a, b in close:
+            label[a] = label[b] = min(label[a], label[b])
+    assert {r.node: r.label for r in dedup.clusters(near.links(rows, 0.1)).collect()} == label
+    np.fill_diagonal(away, 9)
+    best = {r.id: (r.near, r.distance) for r in near.nearest_within(rows, rows, 0.3).collect()}
+    assert set(best) == {n for x, n in enumerate(ids) if away[x].min() < 0.3}
+    assert all(abs(s - away[ids.index(n)].min()) < 1e-9 for n, (_, s) in best.items())
+    assert all(abs(away[ids.index(n), ids.index(m)] - s) < 1e-9 for n, (m, s) in best.items())
+    top = {}
+    for r in ranking.nearest(frame, frame.filter("n % 10 = 0"), "n", "e", 3, most_queries=2).collect():
+        top.setdefault(r.query_id, []).append(round(r.distance, 9))
+    np.fill_diagonal(away, 0)
+    assert {q: sorted(x) for q, x in top.items()} == {q: sorted(np.abs(away[ids.index(q)]).round(9))[:3] for q in range(0, 60, 10)}
+
+
+def test_ordered_folds(spark):
+    times = spark.createDataFrame([("a", s) for s in (21.0, 0.0, 5.0, 10.0, 19.0)] + [("b", 3.0), (None, 1.0), ("b", None)], "k string, s double")
+    assert {tuple(r) for r in ordered.throttled(times, "k", "s", 10.0).collect()} == {("a", 0.0), ("a", 10.0), ("a", 21.0), ("b", 3.0)}
+    readings = [(1, i, s, mj) for i, (s, mj) in enumerate([(0.0, 0.0), (5.0, 10_000.0), (20.0, 40_000.0), (30.0, 10.0), (50.0, 20_010.0)])] + [(2, 0, 1.0, None)]
+    watts = ordered.integral_means(spark.createDataFrame(readings, "u long, n long, s double, mj double"), "u", "n", "s", "mj", 10.0, 1e6)
+    assert [r.watts for r in watts.orderBy("n").collect()] == [None, None, 2.0, None, 1.0]
 
 
 def test_streak_and_percentile(spark):
