@@ -1,85 +1,24 @@
-"""Small helpers that several operators share: shared-folder writes, batch slicing, byte hashing."""
+"""Small helpers that several operators share: stored tables, batch slicing, byte hashing."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.tables import dropped, keep_only, shared_dir, small_batches, stored, stored_count
+
+__all__ = ["dropped", "keep_only", "shared_dir", "small_batches", "stored", "stored_count"]
+
 #: Odd multipliers of the two independent rolling hashes (fixed values).
 BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 U64 = np.uint64
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where it is unset (tests), one under /tmp."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/lumenote-checkpoints").rstrip("/")
-
-
-#: Bytes of an Arrow batch that Spark hands to a Python worker, about, and Spark's own bound, which it takes the place of.
-ARROW_BYTES, SPARK_ARROW_BYTES = "4m", "67108864b"
-
-
-#: Paths of the stored tables of this process that have not been dropped.
-_stored: list[str] = []
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df as Parquet to the shared folder and read it back.
-
-    A lost executor then costs no recomputation, and several readers share one computation. The shuffle files of the
-    write are deleted with its end.
-    """
-    spark = df.sparkSession
-    small_batches(spark)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(key, before)
-    _stored.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Delete stored tables that nothing reads any more: what came of them is stored itself."""
-    for df in tables:
-        _delete(df.sparkSession, df.stored_at)
-
-
-def keep_only(df: DataFrame, since: int = 0) -> None:
-    """Delete all stored tables but this one that were written after the first `since` of stored_count()."""
-    for path in [p for p in _stored[since:] if p != df.stored_at]:
-        _delete(df.sparkSession, path)
-
-
-def stored_count() -> int:
-    return len(_stored)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    _stored.remove(path)
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by fewer bytes, unless the session has a bound of its own: Python workers stay small."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key) == SPARK_ARROW_BYTES:
-        spark.conf.set(key, ARROW_BYTES)
-
-
 def input_bytes(df: DataFrame) -> DataFrame:
     """doc_id and the text as UTF-8 bytes (null: empty), whatever other columns there are."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("body"))
