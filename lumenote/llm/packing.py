@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from .shared import binary_parts, bounded_runs, input_bytes, stored
 from .tokens import encoder, tokenizer_path
 
-BATCH = 1 << 20
+BATCH = 4 << 20
 #: Parts in which the pieces of one length are numbered, so that a frequent length isn't one task.
 PARTS = 64
 #: Slot ranges (of about 100 bytes each) that are broadcast at most; more are joined by a shuffle.
@@ -81,7 +81,7 @@ def _pieces(path: str, cut: str, end_id: int, limit: int, added: bool):
             _, offsets = binary_parts(batch.column(1))
             docs = batch.column(0).to_numpy()
             for s, e in bounded_runs(np.diff(offsets), BATCH):
-                ids, sizes = encoder(path, cut, added).encode(batch.column(1).slice(s, e - s).cast(pa.string()).to_pylist())
+                ids, sizes = encoder(path, cut, added).encode_column(batch.column(1).slice(s, e - s))
                 raw = np.insert(ids, np.cumsum(sizes), end_id).astype("<u4")
                 ends = np.cumsum(sizes + 1)
                 rows = [(d, k, x - a, min(limit, b - x), zlib.crc32(raw[x : min(x + limit, b)].tobytes())) for d, a, b in zip(docs[s:e].tolist(), (ends - sizes - 1).tolist(), ends.tolist(), strict=True) for k, x in enumerate(range(a, b, limit))]

@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import binary_parts, bounded_runs, input_bytes
+from .shared import binary_parts, bounded_runs, input_bytes, small_batches
 from .tokens import encoder, tokenizer_path
 
-BATCH = 1 << 20
+BATCH = 4 << 20
 
 
 def _lengths(path: str, cut: str, added: bool):
@@ -25,7 +25,7 @@ def _lengths(path: str, cut: str, added: bool):
         for batch in batches:
             _, offsets = binary_parts(batch.column(1))
             for s, e in bounded_runs(offsets[1:] - offsets[:-1], BATCH):
-                _, sizes = encoder(path, cut, added).encode(batch.column(1).slice(s, e - s).cast(pa.string()).to_pylist())
+                _, sizes = encoder(path, cut, added).encode_column(batch.column(1).slice(s, e - s), with_ids=False)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array(sizes)], names=["doc_id", "n_tokens"])
 
     return run
@@ -33,6 +33,7 @@ def _lengths(path: str, cut: str, added: bool):
 
 def token_lengths(docs: DataFrame, path: str | None = None, cut: str = "space", added: bool = False) -> DataFrame:
     """doc_id, n_tokens of each whole text. added: the tokenizer's added tokens in it count as one."""
+    small_batches(docs.sparkSession)
     return input_bytes(docs).mapInArrow(_lengths(path or tokenizer_path("byte_bpe_50k.json"), cut, added), "doc_id long, n_tokens long")
 
 
@@ -59,13 +60,20 @@ def with_suffix_sums(histogram: DataFrame) -> DataFrame:
 
 def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
     """share, n_tokens: the smallest length that at least that share of documents doesn't exceed (exact, nearest rank)."""
-    asked = sums.sparkSession.createDataFrame([(float(s),) for s in shares], "share double")
-    return asked.join(sums, F.col("share_within") >= F.col("share")).groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
+    rank = lambda share: F.greatest(F.lit(1), F.ceil(F.lit(float(share)) * F.col("docs_total"))).cast("long")
+    within = F.col("docs_total") - F.col("docs_over")
+    asked = F.explode(F.array(*(F.struct(F.lit(float(s)).alias("share"), (within >= rank(s)).alias("reached")) for s in shares))).alias("q")
+    return sums.select("n_tokens", asked).filter("q.reached").groupBy("q.share").agg(F.min("n_tokens").alias("n_tokens"))
 
 
 def totals(sums: DataFrame, limits: list[int]) -> DataFrame:
-    """context_limit, docs_over, tokens_kept for any limits, from the row of the next length at or above each."""
-    asked = sums.sparkSession.createDataFrame([(int(x),) for x in limits], "context_limit long")
-    over = F.sum(F.when(F.col("n_tokens") > F.col("context_limit"), F.col("n_docs")).otherwise(0))
-    kept = F.sum(F.least("n_tokens", "context_limit") * F.col("n_docs"))
-    return asked.join(sums.select("n_tokens", "n_docs"), how="left").groupBy("context_limit").agg(over.alias("docs_over"), kept.alias("tokens_kept"))
+    """context_limit, docs_over, tokens_kept for any limits, from the suffix sums of the longest length at or below each.
+
+    What is longer than that length is longer than the limit too; below the shortest length everything is longer.
+    """
+    # one row per distinct length, and one per limit
+    last = [F.max_by(F.struct("n_tokens", "docs_over", "tokens_over"), F.when(F.col("n_tokens") <= x, F.col("n_tokens"))).alias(f"l{i}") for i, x in enumerate(limits)]
+    row = sums.agg(F.max("docs_total").alias("docs"), F.max("tokens_total").alias("tokens"), *last)
+    over = lambda i: F.coalesce(F.col(f"l{i}.docs_over"), F.col("docs"), F.lit(0))
+    kept = lambda i, x: F.coalesce(F.col("tokens") - F.coalesce(F.col(f"l{i}.tokens_over"), F.col("tokens")) + over(i) * x, F.lit(0))
+    return row.select(F.explode(F.array(*(F.struct(F.lit(int(x)).alias("context_limit"), over(i).cast("long").alias("docs_over"), kept(i, int(x)).cast("long").alias("tokens_kept")) for i, x in enumerate(limits)))).alias("t")).select("t.*")

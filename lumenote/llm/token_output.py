@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from .shared import binary_parts, bounded_runs, input_bytes, shared_dir, stored
 from .tokens import encoder, tokenizer_path
 
-BATCH = 1 << 20
+BATCH = 4 << 20
 BLOCK_IDS = 1 << 18
 #: How raw ids are held before ranking, by whether 2 bytes are too few.
 ID_TYPE = {False: "<u2", True: "<u4"}
@@ -58,18 +58,25 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 
 def _encoded(path: str, cut: str, end_id: int, added: bool):
-    """(doc_id, body) to doc_id and the ids with the end id, as little-endian integers of 2 or 4 bytes."""
+    """(doc_id, body) to doc_id and the ids with the end id, as little-endian integers of 2 or 4 bytes.
+
+    A task's last row has no doc_id (`counts` is true) and holds how often the task met each id, as 8-byte integers.
+    """
 
     def run(batches):
+        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
             _, offsets = binary_parts(batch.column(1))
             for s, e in bounded_runs(np.diff(offsets), BATCH):
                 tool = encoder(path, cut, added)
-                ids, sizes = tool.encode(batch.column(1).slice(s, e - s).cast(pa.string()).to_pylist())
+                ids, sizes = tool.encode_column(batch.column(1).slice(s, e - s))
                 raw = np.insert(ids, np.cumsum(sizes), end_id).astype(ID_TYPE[tool.wide or end_id > 0xFFFF])
                 at = np.append(0, np.cumsum(sizes + 1)).astype(np.int32) * raw.itemsize
                 column = pa.Array.from_buffers(pa.binary(), e - s, [None, pa.py_buffer(at), pa.py_buffer(raw)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array(np.full(e - s, raw.itemsize == 4)), column], names=["doc_id", "wide", "ids"])
+                met = np.bincount(raw, minlength=len(total))
+                total = met + np.append(total, np.zeros(len(met) - len(total), np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array(np.full(e - s, raw.itemsize == 4)), pa.array(np.zeros(e - s, bool)), column], names=["doc_id", "wide", "counts", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([False]), pa.array([True]), pa.array([total.astype("<i8").tobytes()])], names=["doc_id", "wide", "counts", "ids"])
 
     return run
 
@@ -83,14 +90,12 @@ def _raw_ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counted(batches):
-    total = np.zeros(1 << 16, np.int64)
+    """Rows of counts to (id, n) of the ids in use."""
     for batch in batches:
-        got = np.bincount(_raw_ids(batch)[0])
-        if len(got) > len(total):
-            total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
-        total[: len(got)] += got
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
+        for raw in batch.column("ids"):
+            total = np.frombuffer(raw.as_py(), "<i8")
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
 
 
 def _blocked(ranks: np.ndarray):
@@ -100,22 +105,31 @@ def _blocked(ranks: np.ndarray):
         from pyspark import TaskContext
 
         shard, block = TaskContext.get().partitionId(), 0
-        held, total = [], 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        total = 0
 
         def row():
             nonlocal held, total, block
-            control, data = pack(ranks[np.concatenate([x for _, x in held])])
-            out = pa.RecordBatch.from_pylist([{"shard": shard, "block": block, "doc_ids": [d for d, _ in held], "sizes": [len(x) for _, x in held], "control": control, "data": data}], schema=SHARDS)
+            docs, sizes, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            control, data = pack(ranks[ids])
+            at = pa.array([0, len(docs)], pa.int32())
+            columns = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.ListArray.from_arrays(at, pa.array(docs)), pa.ListArray.from_arrays(at, pa.array(sizes.astype(np.int32))), pa.array([control]), pa.array([data])]
             held, total, block = [], 0, block + 1
-            return out
+            return pa.RecordBatch.from_arrays(columns, schema=SHARDS)
 
         for batch in batches:
             ids, bounds = _raw_ids(batch)
-            for d, a, b in zip(batch.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                if held and total + b - a > BLOCK_IDS:
+            docs, sizes = batch.column("doc_id").to_numpy(), np.diff(bounds)
+            a = 0
+            while a < len(docs):  # as many documents as still fit, or one
+                e = int(np.searchsorted(bounds, bounds[a] + BLOCK_IDS - total, side="right")) - 1
+                if e <= a and held:
                     yield row()
-                held.append((d, ids[a:b]))
-                total += b - a
+                    continue
+                e = max(e, a + 1)
+                held.append((docs[a:e], sizes[a:e], ids[bounds[a] : bounds[e]]))
+                total += int(bounds[e] - bounds[a])
+                a = e
         if held:
             yield row()
 
@@ -132,8 +146,9 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, cut: str
     """
     spark = docs.sparkSession
     path = path or tokenizer_path("byte_bpe_50k.json")
-    encoded = stored(input_bytes(docs).mapInArrow(_encoded(path, cut, end_id, added), "doc_id long, wide boolean, ids binary"), "encoded")
-    counts = encoded.select("wide", "ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    every = stored(input_bytes(docs).mapInArrow(_encoded(path, cut, end_id, added), "doc_id long, wide boolean, counts boolean, ids binary"), "encoded")
+    encoded = every.filter("NOT counts").select("doc_id", "wide", "ids")
+    counts = every.filter("counts").select("ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # one row per id in use: bounded by the vocabulary, whatever the corpus
     by_count = sorted(((r.id, r.n) for r in counts.collect()), key=lambda x: (-x[1], x[0]))
     spark.createDataFrame([(k, i) for k, (i, _) in enumerate(by_count)], "rank long, id long").coalesce(1).write.parquet(f"{folder}/vocabulary")
@@ -141,19 +156,22 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, cut: str
     ranks[[i for i, _ in by_count]] = np.arange(len(by_count))
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = encoded.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(_blocked(ranks), "shard int, block int, doc_ids array<long>, sizes array<int>, control binary, data binary").write.option("compression", "zstd").parquet(f"{folder}/shards")
+    ordered.mapInArrow(_blocked(ranks), "shard int, block int, doc_ids array<long>, sizes array<int>, control binary, data binary").write.option("compression", "lz4").parquet(f"{folder}/shards")
 
 
 def _read(ids: np.ndarray, digest_only: bool):
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                values = ids[unpack(r["control"], r["data"], sum(r["sizes"]))].astype("<u4")
-                ends = np.cumsum(r["sizes"])
-                parts = [values[b - n : b] for b, n in zip(ends.tolist(), r["sizes"], strict=True)]
-                n = len(parts)
+            for k in range(batch.num_rows):
+                shard, block, docs, sizes, control, data = (batch.column(c)[k] for c in ("shard", "block", "doc_ids", "sizes", "control", "data"))
+                sizes = sizes.values.to_numpy().astype(np.int64)
+                n, ends = len(sizes), np.cumsum(sizes)
+                values = ids[unpack(control.as_buffer(), data.as_buffer(), int(ends[-1]))].astype("<u4")
+                raw, at = memoryview(values).cast("B"), np.append(0, ends).tolist()
+                crc = [zlib.crc32(raw[4 * at[i] : 4 * at[i + 1]]) for i in range(n)]
+                lists = pa.nulls(n, pa.list_(pa.int64())) if digest_only else pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.astype(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["shard"]] * n, pa.int32()), pa.array([r["block"]] * n, pa.int32()), pa.array(r["doc_ids"], pa.int64()), pa.array(ends - r["sizes"], pa.int64()), pa.array(r["sizes"], pa.int64()), pa.array([zlib.crc32(p.tobytes()) for p in parts], pa.int64()), pa.array([None if digest_only else p.tolist() for p in parts], pa.list_(pa.int64()))],
+                    [pa.array(np.full(n, shard.as_py(), np.int32)), pa.array(np.full(n, block.as_py(), np.int32)), docs.values, pa.array(ends - sizes), pa.array(sizes), pa.array(crc, pa.int64()), lists],
                     names=["shard", "block", "doc_id", "within", "n_tokens", "ids_crc32", "ids"],
                 )
 
