@@ -38,10 +38,18 @@ def function_words(text: Column, words) -> Column:
     return F.size(F.filter(found, lambda w: F.array_contains(words_array(words), w)))
 
 
+def without_provenance(title: Column) -> Column:
+    """A title without names of works, chapter labels and what stands in brackets."""
+    # Fixed value: names of works and chapter labels.
+    names = r"(?iu)(the cannabis encyclopedia|jorge cervantes|marijuana horticulture|edi[çc][ãa]o web|s[íi]ntese|[–\-—]\s*chapter\s*\d+)"
+    return F.trim(F.regexp_replace(F.regexp_replace(title, names, " "), r"\([^)]*\)", " "))
+
+
 def english_title(text: Column) -> Column:
-    """Three words or more, with an English function word and no Portuguese one."""
-    n = F.size(F.regexp_extract_all(F.lower(text), F.lit("[a-zà-ÿ]+"), F.lit(0)))
-    return (n >= 3) & (function_words(text, ENGLISH) >= 1) & (function_words(text, PORTUGUESE) == 0)
+    """Three words or more, with an English function word and no Portuguese one; provenance doesn't count."""
+    title = without_provenance(text)
+    n = F.size(F.regexp_extract_all(F.lower(title), F.lit("[a-zà-ÿ]+"), F.lit(0)))
+    return (n >= 3) & (function_words(title, ENGLISH) >= 1) & (function_words(title, PORTUGUESE) == 0)
 
 
 def english_body(text: Column) -> Column:
@@ -94,6 +102,7 @@ def replaces(new: Column, old: Column, preferred: list[str], superseded: list[st
 
 
 def first_yes(answer: Column) -> Column:
-    """The reason of a verdict that begins with yes, else null."""
-    reason = F.trim(F.regexp_replace(answer, r"(?i)^\s*sim\s*[:,.\-–—]*\s*", ""))
-    return F.when(normalised(answer).startswith("sim"), reason)
+    """The reason of a verdict that begins with yes (a stated one where none is given), else null."""
+    bare = F.regexp_replace(answer, r"^\s+|\s+$", "")
+    reason = F.regexp_replace(F.regexp_replace(F.substring(bare, F.lit(4), F.length(bare)), r"^[ :.\t\n-]+", ""), r"^\s+|\s+$", "")
+    return F.when(normalised(answer).startswith("sim"), F.when(reason == "", "contradição detectada (sem detalhe)").otherwise(reason))

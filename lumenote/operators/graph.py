@@ -59,3 +59,33 @@ def bridges(edges: DataFrame, least_df: int, most_together: int) -> DataFrame:
     union = F.col("k_a") - 1 + F.col("k_b") - 1 - F.coalesce("common", F.lit(0))
     surprise = F.when(union > 0, 1 - F.coalesce("common", F.lit(0)) / union).otherwise(1.0)
     return pairs.join(common, ["a", "b"], "left").select("a", "b", "n", surprise.alias("surprise"))
+
+
+def local_graph(edges: DataFrame, seed, hops: int = 1, most_nodes: int = 40, least_idf: float = 0.0, most_edges: int = 0) -> DataFrame:
+    """a, b, concept, weight: the strongest link of each pair of atoms met within some hops of the seed.
+
+    A hop offers the atoms that share a concept of idf `least_idf` or more with one of the hop before, strongest link
+    first (ties by names); at most `most_nodes` atoms join. `most_edges` above 0 keeps the seed's links first. Only the
+    atoms of the graph, at most `most_nodes`, are ever in the driver.
+    """
+    edges = edges.distinct()
+    idf = with_idf(edges).filter((F.col("idf") >= least_idf) & (F.col("idf") > 0)).select("concept", "idf")
+    spark, nodes, front, offered = edges.sparkSession, [seed], [seed], None
+    kind = dict(edges.dtypes)["atom"]
+    for _ in range(max(1, hops)):
+        here = F.broadcast(spark.createDataFrame([(x,) for x in front], f"origin {kind}"))  # at most most_nodes rows
+        links = edges.join(here, F.col("atom") == F.col("origin")).select("origin", "concept").join(idf, "concept")
+        found = links.join(edges.withColumnRenamed("atom", "target"), "concept").filter("origin <> target")
+        fresh = found.filter(~F.col("target").isin(nodes)).groupBy("target").agg(F.min(F.struct((-F.col("idf")).alias("w"), "origin", "target", "concept")).alias("m"))
+        front = [r.target for r in fresh.orderBy("m").limit(max(0, most_nodes - len(nodes))).collect()]
+        nodes += front
+        inside = found.filter(F.col("target").isin(nodes))
+        offered = inside if offered is None else offered.unionByName(inside)
+        if not front:
+            break
+    pair = [F.least("origin", "target").alias("a"), F.greatest("origin", "target").alias("b")]
+    best = offered.groupBy(*pair).agg(F.min(F.struct((-F.col("idf")).alias("w"), "concept")).alias("m")).select("a", "b", "m.concept", F.round(-F.col("m.w"), 3).alias("weight"))
+    if most_edges > 0:
+        own = (F.col("a") == F.lit(seed)) | (F.col("b") == F.lit(seed))
+        best = best.orderBy(F.desc(own), F.desc("weight"), "a", "b").limit(most_edges)
+    return best

@@ -90,3 +90,19 @@ def leitner_boxes(answers: DataFrame, key: str, order: list[str], ok: str, inter
     box = since.groupBy(key).agg(F.count("*").alias("n"))
     top = max(len(intervals) - 1, 0)
     return wrong.join(box, key, "left").select(key, F.least(F.coalesce("n", F.lit(0)), F.lit(top)).cast("int").alias("box"))
+
+
+def leaks(samples: DataFrame, key: str, order: str, used: str, n: int, slack: float) -> DataFrame:
+    """key, order of the samples at which a leak is suspected: the last n samples rose by more than slack and end at
+    their highest. The window is emptied when it fires; n is 3 at least."""
+    n = max(3, n)
+
+    def step(window, row):
+        window = (*(window or ()), row[2])[-n:]
+        if len(window) == n and window[-1] - window[0] > slack and window[-1] == max(window):
+            return (), row[:2]
+        return window, None
+
+    schema = pa.schema([(key, pa.int64()), (order, pa.int64())])
+    rows = samples.select(F.col(key).cast("long"), F.col(order).cast("long"), F.col(used).cast("double")).filter(F.col(used).isNotNull())
+    return folded(rows, key, [order], None, step, f"{key} long, {order} long", schema)

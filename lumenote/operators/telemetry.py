@@ -80,3 +80,12 @@ def leitner(box: Column, right: Column, intervals: list[int]) -> tuple[Column, C
     days = F.array(*(F.lit(x) for x in (intervals or [1])))
     step = F.when(right, F.least(box + 1, F.lit(len(intervals or [1]) - 1))).otherwise(0)
     return step, F.get(days, step)
+
+
+def piecewise(x: Column, points: list[tuple[float, float]]) -> Column:
+    """Linear between the points, and the end points' values beyond them."""
+    points = sorted(points)
+    out = F.lit(points[-1][1])
+    for (a, ya), (b, yb) in reversed(list(zip(points, points[1:], strict=False))):
+        out = F.when(x <= b, ya + (yb - ya) * (x - a) / (b - a)).otherwise(out)
+    return F.when(x <= points[0][0], points[0][1]).otherwise(out)

@@ -12,26 +12,12 @@ from .base import query, table
 from .text_queries import TOKENS, sql_values, values
 
 
-@query("c10_wikilinks")
-def c10(spark, d):
-    rows = [("[[Fotossíntese]] e [[fotossintese|luz]] e [[Raiz  pivotante]]",), ("![[img.webp]] [[Solo]]",), ("nada",)]
-    return values(spark, "s string", rows).select("s", F.array_join(folds.wikilinks(F.col("s")), "|").alias("links"))
-
-
 @query("c17_batches")
 def c17(spark, d):
     b = folds.batches(F.col("text"), 400, "\n")
     return table(spark, d, "documents").select("doc_id", F.posexplode(b).alias("nth", "batch"))
 
 
-THOUGHT = [("<think>hm\n</think>resposta",), ("sem bloco",), ("<think>sem fim",), ("texto <think>x</think>",)]
-
-
-@query("c20_without_thinking", "SELECT s, regexp_replace(s, '^\\s*<think>(.|\\n)*?</think>\\s*', '') AS clean FROM " + sql_values("s", THOUGHT))
-def c20(spark, d):
-    return values(spark, "s string", THOUGHT).select("s", folds.without_thinking(F.col("s")).alias("clean"))
-
-
 @query("d12_masked")
 def d12(spark, d):
     text, kinds = pii.masked(F.col("text"))
@@ -94,56 +80,6 @@ def g17(spark, d):
     return ordered.leitner_boxes(answers, "user_id", ["ts", "event_id"], "ok", [1, 3, 7, 16, 35])
 
 
-BOXES = [(1, 0, 0, 100, 100, "figure"), (1, 10, 10, 90, 90, "figure"), (1, 0, 0, 999, 46, "figure"), (1, 500, 500, 900, 900, "figure"), (1, 480, 480, 950, 950, "text"), (2, 0, 0, 999, 999, "figure"), (2, 5, 5, 5, 50, "figure"), (2, 100, 100, 130, 700, "figure")]
-PAIR = "a.x0 AS ax0, a.y0 AS ay0"
-I_SQL = "greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0))"
-AREA = lambda t: f"(greatest(0, {t}.x1 - {t}.x0) * greatest(0, {t}.y1 - {t}.y0))"
-
-
-def boxes(spark):
-    rows = values(spark, "page int, x0 int, y0 int, x1 int, y1 int, kind string", BOXES)
-    return rows.select("page", "kind", F.struct("x0", "y0", "x1", "y1").alias("box"))
-
-
-B_SQL = "b0 AS (SELECT *, row_number() OVER (ORDER BY page, x0, y0, x1, y1) AS i FROM " + sql_values("page, x0, y0, x1, y1, kind", BOXES) + ")"
-
-
-@query(
-    "l1_box_pairs",
-    f"WITH {B_SQL} SELECT a.page AS page, CAST(a.x0 AS INT) AS ax0, CAST(b.x0 AS INT) AS bx0, CAST(a.x1 AS INT) AS ax1, CAST(b.x1 AS INT) AS bx1, round(CASE WHEN {AREA('a')} + {AREA('b')} - ({I_SQL}) > 0 THEN ({I_SQL})::DOUBLE / ({AREA('a')} + {AREA('b')} - ({I_SQL})) ELSE 0 END, 6) AS iou, a.x0 <= b.x0 AND a.y0 <= b.y0 AND a.x1 >= b.x1 AND a.y1 >= b.y1 AS inside, "
-    f"({I_SQL}) > 0 AND (({I_SQL})::DOUBLE / ({AREA('a')} + {AREA('b')} - ({I_SQL})) >= 0.35 OR (least({AREA('a')}, {AREA('b')}) > 0 AND ({I_SQL})::DOUBLE / least({AREA('a')}, {AREA('b')}) >= 0.8)) AS same, CAST(greatest(greatest(a.x0 - b.x1, b.x0 - a.x1, 0), greatest(a.y0 - b.y1, b.y0 - a.y1, 0)) AS INT) AS gap FROM b0 a JOIN b0 b ON a.page = b.page AND a.i <> b.i",
-)
-def l1(spark, d):
-    a = boxes(spark).select("page", F.col("box").alias("a"))
-    b = boxes(spark).select("page", F.col("box").alias("b"))
-    x, y = F.col("a"), F.col("b")
-    return a.join(b, "page").filter("a <> b").select(
-        "page", F.col("a.x0").alias("ax0"), F.col("b.x0").alias("bx0"), F.col("a.x1").alias("ax1"), F.col("b.x1").alias("bx1"), F.round(geometry.iou(x, y), 6).alias("iou"),
-        geometry.contains(x, y).alias("inside"), geometry.same_object(x, y).alias("same"), geometry.gap(x, y).alias("gap"),
-    )
-
-
-@query(
-    "l7_figure_filter",
-    f"""WITH {B_SQL}, f AS (SELECT a.*, {AREA('a')} AS area, coalesce((SELECT least(1.0, sum({I_SQL})::DOUBLE / nullif({AREA('a')}, 0)) FROM b0 b WHERE b.page = a.page AND b.kind = 'text'), 0.0) AS cover,
-    EXISTS (SELECT 1 FROM b0 b WHERE b.page = a.page AND b.kind = 'text') AS has_text, least(x1 - x0, y1 - y0) AS low, greatest(x1 - x0, y1 - y0) AS high FROM b0 a WHERE kind = 'figure')
-    SELECT page, CAST(x0 AS INT) AS x0, CAST(y0 AS INT) AS y0, CAST(x1 AS INT) AS x1, CAST(y1 AS INT) AS y1, CASE WHEN area <= 0 THEN 'degenerate' WHEN low < 35 OR area < 5000 THEN 'small' WHEN high > 8 * greatest(low, 1) THEN 'strip' WHEN cover > 0.75 THEN 'text' WHEN area >= 0.95 * 999 * 999 AND has_text THEN 'full_page' END AS reason FROM f""",
-)
-def l7(spark, d):
-    figures = boxes(spark).filter("kind = 'figure'")
-    texts = boxes(spark).filter("kind = 'text'").select(F.col("page").alias("p"), F.col("box").alias("t"))
-    joined = figures.join(texts, F.col("page") == F.col("p"), "left").groupBy("page", "box").agg(F.sum(geometry.intersection(F.col("box"), F.col("t"))).alias("under"), F.count("t").alias("n"))
-    cover = F.when(geometry.area(F.col("box")) > 0, F.least(F.coalesce("under", F.lit(0)) / geometry.area(F.col("box")), F.lit(1.0))).otherwise(0.0)
-    return joined.select("page", "box.*", geometry.rejected(F.col("box"), cover, F.col("n") > 0).alias("reason"))
-
-
-@query("l2_grounding")
-def l2(spark, d):
-    rows = [("image[[10, 20, 300, 1200]]\nimage_caption[[5,5,1,1]] Fig. 1 — folha\ntext[[0,0,999,50]]\nprosa",), ("",)]
-    found = values(spark, "raw string", rows).select(F.posexplode(geometry.grounding(F.col("raw"))).alias("nth", "g"))
-    return found.select("nth", "g.tag", "g.box.*", "g.content")
-
-
 @query("f16_themes", f"WITH t AS (SELECT item_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS pos FROM (SELECT item_id, list_filter({TOKENS}, lambda x: length(x) >= 4) AS ts FROM benchmark)), g AS (SELECT item_id, term, count(*) AS n, min(pos) AS first FROM t GROUP BY 1, 2) SELECT item_id, term, n FROM g QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY n DESC, first) <= 3")
 def f16(spark, d):
     from pyspark.sql import Window

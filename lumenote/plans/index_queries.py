@@ -30,13 +30,15 @@ def b3(spark, d):
     return I.orphans(index, files)
 
 
-PATHS = [("/v/a/x.md",), ("/v/a/b/y.md",), ("/v/ab/z.md",), ("/w/q.md",), ("/v",)]
-ROOTS = [("/v",), ("/v/a",), ("/v/a/b",)]
+ROOTS = [("/en",), ("/fr",), ("/en/685",), ("/de",)]
 
 
-@query("b4_owner_root", f"WITH p AS (SELECT * FROM {sql_values('path', PATHS)}), r AS (SELECT * FROM {sql_values('root', ROOTS)}) SELECT path, arg_max(root, length(root)) AS root FROM p LEFT JOIN r ON path = root OR starts_with(path, root || '/') GROUP BY path")
+@query("b4_owner_root", f"WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]*|[?#].*$', '', 'g') AS path FROM pages), r AS (SELECT * FROM {sql_values('root', ROOTS)}) SELECT page_id, arg_max(root, length(root)) AS root FROM p LEFT JOIN r ON path = root OR starts_with(path, root || '/') GROUP BY page_id")
 def b4(spark, d):
-    return I.owner_root(values(spark, "path string", PATHS), values(spark, "root string", ROOTS))
+    """The roots are settings; the paths are the pages' addresses."""
+    paths = table(spark, d, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://[^/]*|[?#].*$", "").alias("path"))
+    owners = I.owner_root(paths.select("path").distinct(), values(spark, "root string", ROOTS)).hint("shuffle_hash")
+    return paths.join(owners, "path", "left").select("page_id", "root")
 
 
 @query("b5_deleted_sources", "SELECT doc_id, source FROM documents WHERE source NOT IN ('src1', 'src2')")
@@ -80,22 +82,22 @@ def i5(spark, d):
     return asked.withColumn("r", F.row_number().over(w)).filter("r = 1").orderBy(F.desc("conv_id"), F.desc("turn")).limit(100).select("conv_id", "turn")
 
 
-FIGURES = [(1, 5), (2, 10), (3, 12), (4, 30)]
-CHAPTERS = [("a", 1, 10), ("b", 10, 20), ("c", 21, 29)]
-
-
-@query("e12_pages_in_range", f"WITH f AS (SELECT * FROM {sql_values('fig, page', FIGURES)}), c AS (SELECT * FROM {sql_values('chapter, lo, hi', CHAPTERS)}) SELECT chapter, fig FROM c JOIN f ON page BETWEEN lo AND hi")
+@query("e12_pages_in_range", "WITH c AS (SELECT conv_id AS chapter, conv_id * 3 AS lo, conv_id * 3 + count(*) AS hi FROM conversations GROUP BY conv_id) SELECT chapter, page_id AS fig FROM c JOIN pages ON page_id BETWEEN lo AND hi")
 def e12(spark, d):
-    f, c = values(spark, "fig int, page int", FIGURES), values(spark, "chapter string, lo int, hi int", CHAPTERS)
-    return c.join(f, F.col("page").between(F.col("lo"), F.col("hi"))).select("chapter", "fig")
+    """Pages within a chapter's range, joined on buckets of 64 pages that the range touches."""
+    chapters = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n")).select(F.col("conv_id").alias("chapter"), (F.col("conv_id") * 3).alias("lo"), (F.col("conv_id") * 3 + F.col("n")).alias("hi"))
+    bucket = lambda c: F.floor(F.col(c) / 64)
+    spread = chapters.withColumn("bucket", F.explode(F.sequence(bucket("lo"), bucket("hi"))))
+    figures = table(spark, d, "pages").select(F.col("page_id").alias("fig"), bucket("page_id").alias("bucket"))
+    return spread.join(figures, "bucket").filter(F.col("fig").between(F.col("lo"), F.col("hi"))).select("chapter", "fig")
 
 
-EVENTS_HEARD = [("chegou", "O João chegou em casa"), ("chegou", "visita"), ("saiu", "joao saiu")]
-TRIGGERS = [(1, "chegou", "joao"), (2, "chegou", ""), (3, "saiu", "maria")]
+TRIGGERS = [(1, "user", "the"), (2, "user", ""), (3, "assistant", "tion"), (4, "system", "zzz")]
 
 
-@query("e17_triggers", f"WITH e AS (SELECT event, trim(lower(strip_accents(text))) AS n FROM {sql_values('event, text', EVENTS_HEARD)}), t AS (SELECT * FROM {sql_values('id, event, cond', TRIGGERS)}) SELECT id, n AS context FROM t JOIN e USING (event) WHERE cond = '' OR contains(n, cond)")
+@query("e17_triggers", f"WITH e AS (SELECT conv_id, turn, role AS event, {NORM} AS n FROM conversations), t AS (SELECT * FROM {sql_values('id, event, cond', TRIGGERS)}) SELECT id, conv_id, turn FROM t JOIN e USING (event) WHERE cond = '' OR contains(n, cond)")
 def e17(spark, d):
-    heard = values(spark, "event string, text string", EVENTS_HEARD).select("event", T.normalised(F.col("text")).alias("context"))
-    known = values(spark, "id int, event string, cond string", TRIGGERS)
-    return known.join(heard, "event").filter((F.col("cond") == "") | F.contains("context", "cond")).select("id", "context")
+    """Triggers are settings, a handful of rows; what is heard is every turn."""
+    heard = table(spark, d, "conversations").select("conv_id", "turn", F.col("role").alias("event"), T.normalised(F.col("text")).alias("context"))
+    known = F.broadcast(values(spark, "id int, event string, cond string", TRIGGERS))
+    return heard.join(known, "event").filter((F.col("cond") == "") | F.contains("context", "cond")).select("id", "conv_id", "turn")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import language as L
 from ..functions import text as T
-from ..sources import calendar
 from .base import query, table
 from .text_queries import KEYWORDS, NORM, sql_values, values
 
@@ -22,47 +21,21 @@ def d21(spark, d):
     return table(spark, d, "documents").select("doc_id", L.function_words(t, L.ENGLISH).cast("long").alias("en"), L.function_words(t, L.PORTUGUESE).cast("long").alias("pt"), L.english_body(t).alias("english"))
 
 
-TITLES = [("How to water the plants",), ("Teste de pH com kit",), ("Pruning basics",), ("the of and",), ("",), ("Como podar the buds",)]
-
-
-@query("d20_english_title", f"SELECT text, len({WORDS}) >= 3 AND {COUNT(L.ENGLISH)} >= 1 AND {COUNT(L.PORTUGUESE)} = 0 AS english FROM " + sql_values("text", TITLES))
-def d20(spark, d):
-    return values(spark, "text string", TITLES).select("text", L.english_title(F.col("text")).alias("english"))
-
-
-ASKED = [("Qual a cotação de hoje?",), ("O que é fotossíntese?",), ("o que é meu plano",), ("Explique osmose",), ("Vai chover amanhã?",), ("",)]
-
-
-@query("d7_routes", f"SELECT text, {ANY(L.REAL_TIME)} AS real_time, {ANY(L.DEFINITION)} AND NOT {ANY(L.PERSONAL)} AS definition FROM " + sql_values("text", ASKED))
-def d7(spark, d):
-    return values(spark, "text string", ASKED).select("text", L.asks_real_time(F.col("text")).alias("real_time"), L.asks_definition(F.col("text")).alias("definition"))
-
-
 @query("d10_searchable_gap", f"SELECT item_id, len({KEYWORDS}) >= 2 AND len(list_filter({KEYWORDS}, lambda k: NOT regexp_matches(k, '^[0-9]+$'))) >= 1 AS searchable FROM benchmark")
 def d10(spark, d):
     keys = T.keywords(F.col("text"))
     return table(spark, d, "benchmark").select("item_id", ((F.size(keys) >= 2) & (F.size(F.filter(keys, lambda k: ~k.rlike("^[0-9]+$"))) >= 1)).alias("searchable"))
 
 
-FACTS = [("Regar 450 ml a 25,5°C (p. 12) por 3 dias", "Regar 450 ml"), ("sem dado", "nada"), ("fig. 3: 70%", "cobre 70%")]
-
+PRECEDENCE = lambda c: f"CASE WHEN {c} = 'src1' THEN 2 WHEN {c} = 'src2' THEN 1 ELSE 0 END"
 
-@query("d27_missing_facts")
-def d27(spark, d):
-    rows = values(spark, "old string, new string", FACTS)
-    return rows.select("old", F.array_join(F.array_sort(F.array_except(L.hard_facts(F.col("old")), L.hard_facts(F.col("new")))), ",").alias("missing"))
 
-
-WORKS = [("Livro 'Botânica Web' — a (p. 1-2)", "Livro 'Botânica 1ed'"), ("Livro 'Botânica 1ed'", "Livro 'Botânica Web'"), ("outra", "Livro 'Botânica 1ed'"), ("Livro 'Botânica Web'", "Conversa"), (None, None)]
-
-
-@query(
-    "d29_replaces",
-    "SELECT new, old, contains(lower(coalesce(old, '')), 'botânica 1ed') AND (CASE WHEN contains(lower(coalesce(new, '')), 'botânica web') THEN 2 WHEN contains(lower(coalesce(new, '')), 'revisada') THEN 1 ELSE 0 END) > (CASE WHEN contains(lower(coalesce(old, '')), 'botânica web') THEN 2 WHEN contains(lower(coalesce(old, '')), 'revisada') THEN 1 ELSE 0 END) AS replaces FROM "
-    + sql_values("new, old", WORKS),
-)
+@query("d29_replaces", f"SELECT a.doc_id, b.source IN ('src4', 'src5') AND {PRECEDENCE('a.source')} > {PRECEDENCE('b.source')} AS replaces FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1")
 def d29(spark, d):
-    return values(spark, "new string, old string", WORKS).select("new", "old", L.replaces(F.col("new"), F.col("old"), ["Botânica Web", "revisada"], ["Botânica 1ed"]).alias("replaces"))
+    """Whether a note of its work takes the place of the next one's; `src1` and `src2` are preferred, `src4` and `src5` superseded."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("Livro '"), "source", F.lit("' — cap")).alias("new"))
+    old = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("new").alias("old"))
+    return docs.join(old, "doc_id").select("doc_id", L.replaces(F.col("new"), F.col("old"), ["'src1'", "'src2'"], ["'src4'", "'src5'"]).alias("replaces"))
 
 
 @query("d30_facets_filter", "SELECT doc_id FROM documents WHERE source = 'src3' AND lang = 'en' AND n_chars >= 500")
@@ -70,55 +43,41 @@ def d30(spark, d):
     return table(spark, d, "documents").filter("source = 'src3' AND lang = 'en' AND n_chars >= 500").select("doc_id")
 
 
-ANSWERS = [("SIM: contradiz a rega",), ("não",), ("Sim",), ("simples",), ("",)]
-
-
-@query("m4_verdict", "SELECT s, CASE WHEN starts_with(trim(lower(strip_accents(s))), 'sim') THEN trim(regexp_replace(s, '(?i)^\\s*sim\\s*[:,.\\-–—]*\\s*', '')) END AS reason FROM " + sql_values("s", ANSWERS))
-def m4(spark, d):
-    return values(spark, "s string", ANSWERS).select("s", L.first_yes(F.col("s")).alias("reason"))
-
-
 @query("a16_scanned_books", "SELECT source, median(n_chars) < 800 AS scanned FROM documents GROUP BY source")
 def a16(spark, d):
     return table(spark, d, "documents").groupBy("source").agg((F.percentile("n_chars", 0.5) < 800).alias("scanned"))
 
 
-@query("a10_calendar")
-def a10(spark, d):
-    ics = "BEGIN:VEVENT\nSUMMARY:Consulta mé\n dica\nDTSTART;TZID=X:20240130T090000\nEND:VEVENT\nBEGIN:VEVENT\nSUMMARY:Aula\nDTSTART:20240130T080000Z\nRRULE:FREQ=DAILY\nEND:VEVENT\nBEGIN:VEVENT\nSUMMARY:Feira\nDTSTART;VALUE=DATE:20240131\nEND:VEVENT\n"
-    found = calendar.events(values(spark, "value string", [(ics,)]), "value")
-    return found.select("summary", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"))
-
-
 @query("a12_page_outline", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1, CAST(len(regexp_extract_all(html, '<li>')) AS BIGINT) AS items, CAST(len(regexp_extract_all(html, '<a href=')) AS BIGINT) AS links, CAST(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS paragraphs FROM pages")
 def a12(spark, d):
     count = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
     return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("h1"), count("<li>").alias("items"), count("<a href=").alias("links"), count("<p>").alias("paragraphs"))
 
 
-@query("e3_siblings", "SELECT a.doc_id AS seed, b.doc_id AS sibling FROM documents a JOIN documents b ON a.source = b.source AND a.lang = b.lang AND a.text <> b.text WHERE a.doc_id < 5 QUALIFY row_number() OVER (PARTITION BY a.doc_id ORDER BY b.doc_id) <= 12")
+@query("e3_siblings", "SELECT a.doc_id AS seed, b.doc_id AS sibling FROM documents a JOIN documents b ON a.source = b.source AND a.lang = b.lang AND a.text <> b.text WHERE a.doc_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY a.doc_id ORDER BY b.doc_id) <= 12")
 def e3(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source", "lang", "text")
-    seeds = docs.filter("doc_id < 5").select(F.col("doc_id").alias("seed"), "source", "lang", F.col("text").alias("own"))
+    seeds = docs.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("seed"), "source", "lang", F.col("text").alias("own"))
     same = docs.join(seeds, ["source", "lang"]).filter("text <> own")
     w = Window.partitionBy("seed").orderBy("doc_id")
     return same.withColumn("r", F.row_number().over(w)).filter("r <= 12").select("seed", F.col("doc_id").alias("sibling"))
 
 
-@query("e15_conversation_match", f"WITH q AS (SELECT {KEYWORDS} AS ks FROM benchmark WHERE item_id = 1), c AS (SELECT conv_id, list_distinct(flatten(list({KEYWORDS}))) AS ks FROM conversations GROUP BY conv_id) SELECT conv_id, CAST(len(list_intersect(c.ks, q.ks)) AS BIGINT) AS shared FROM c, q ORDER BY shared DESC, conv_id DESC LIMIT 1")
+@query("e15_conversation_match", f"WITH q AS (SELECT item_id, unnest({KEYWORDS}) AS k FROM benchmark), c AS (SELECT DISTINCT conv_id, unnest({KEYWORDS}) AS k FROM conversations), s AS (SELECT item_id, conv_id, count(*) AS shared FROM q JOIN c USING (k) GROUP BY 1, 2) SELECT item_id, conv_id, shared FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, conv_id DESC) = 1")
 def e15(spark, d):
-    asked = table(spark, d, "benchmark").filter("item_id = 1").select(F.explode(T.keywords(F.col("text"))).alias("k"))
+    """For each question the conversation that shares most keywords, the latest on a tie."""
+    asked = table(spark, d, "benchmark").select("item_id", F.explode(T.keywords(F.col("text"))).alias("k"))
     words = table(spark, d, "conversations").select("conv_id", F.explode(T.keywords(F.col("text"))).alias("k")).distinct()
-    shared = words.join(asked, "k").groupBy("conv_id").agg(F.count("*").alias("shared"))
-    every = table(spark, d, "conversations").select("conv_id").distinct().join(shared, "conv_id", "left").select("conv_id", F.coalesce("shared", F.lit(0)).cast("long").alias("shared"))
-    return every.orderBy(F.desc("shared"), F.desc("conv_id")).limit(1)
+    shared = words.join(asked, "k").groupBy("item_id", "conv_id").agg(F.count("*").alias("shared"))
+    best = F.max(F.struct("shared", "conv_id")).alias("m")
+    return shared.groupBy("item_id").agg(best).select("item_id", "m.conv_id", "m.shared")
 
 
-@query("g11_token_budget", "SELECT f, CAST(CASE WHEN f IS NULL OR f <= 0.5 THEN 4000 WHEN f >= 0.9 THEN 1000 ELSE round_even(4000 - (f - 0.5) / 0.4 * 3000, 0) END AS BIGINT) AS budget FROM (VALUES (0.1::DOUBLE), (0.5), (0.7), (0.95), (NULL)) v(f)")
+@query("g11_token_budget", "SELECT event_id, CAST(CASE WHEN f IS NULL OR f <= 0.5 THEN 4000 WHEN f >= 0.9 THEN 1000 ELSE round_even(4000 - (f - 0.5) / 0.4 * 3000, 0) END AS BIGINT) AS budget FROM (SELECT event_id, CASE WHEN event_id % 11 > 0 THEN value / 100 END AS f FROM events)")
 def g11(spark, d):
-    f = F.col("f")
+    f = F.when(F.col("event_id") % 11 > 0, F.col("value") / 100)
     budget = F.when(f.isNull() | (f <= 0.5), 4000).when(f >= 0.9, 1000).otherwise(F.bround(4000 - (f - 0.5) / 0.4 * 3000))
-    return values(spark, "f double", [(0.1,), (0.5,), (0.7,), (0.95,), (None,)]).select("f", budget.cast("long").alias("budget"))
+    return table(spark, d, "events").select("event_id", budget.cast("long").alias("budget"))
 
 
 @query("h14_recent_documents", "SELECT doc_id FROM documents WHERE lang = 'en' ORDER BY n_chars DESC, doc_id LIMIT 100")

@@ -93,29 +93,21 @@ def g9(spark, d):
     return runs.withColumn("run", run).select("event_id", M.back_off(F.col("run"), 2, 5.0, 60.0).alias("wait"))
 
 
-SCHEDULES = [("diario", "2024-01-01 08:00:00", 0), ("semanal", "2024-01-03 09:30:00", 0), ("intervalo", "2024-01-30 11:59:30", 45), ("diario", "2024-02-05 07:00:00", 0), ("intervalo", "2024-01-30 12:00:00", 60)]
-
-
 @query(
     "g14_next_occurrence",
-    "WITH s AS (SELECT kind, due_at, CASE kind WHEN 'diario' THEN 86400 WHEN 'semanal' THEN 604800 ELSE sec END AS p, epoch(TIMESTAMP '2024-01-30 12:00:00') - epoch(CAST(due_at AS TIMESTAMP)) AS late FROM "
-    + sql_values("kind, due_at, sec", SCHEDULES)
-    + ") SELECT kind, due_at, strftime(to_timestamp(epoch(CAST(due_at AS TIMESTAMP)) + CASE WHEN late < 0 THEN 0 ELSE (floor(late / p) + 1) * p END) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS next FROM s",
+    "WITH s AS (SELECT event_id, epoch(ts) AS due, CASE WHEN event_type = 'view' THEN 86400 WHEN event_type = 'click' THEN 604800 ELSE CAST(1 + user_id AS INT) * 60 END AS p, epoch(TIMESTAMP '2024-01-15 12:00:00') - epoch(ts) AS late FROM (SELECT event_id, event_type, user_id, date_trunc('second', ts) AS ts FROM events)) SELECT event_id, strftime(to_timestamp(due + CASE WHEN late < 0 THEN 0 ELSE (floor(late / p) + 1) * p END) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS next FROM s",
 )
 def g14(spark, d):
-    s = values(spark, "kind string, due_at string, sec int", SCHEDULES)
-    # times without a zone: seconds are counted from the same reading of both
-    at, now = F.col("due_at").cast("timestamp"), F.lit("2024-01-30 12:00:00").cast("timestamp")
-    return s.select("kind", "due_at", F.date_format(M.next_occurrence(F.col("kind"), at, F.col("sec"), now), "yyyy-MM-dd HH:mm:ss").alias("next"))
-
-
-CARDS = [(0, True), (1, False), (2, True), (4, True), (3, False)]
+    """Every event as a daily, weekly or every-n-seconds schedule that was first due at its time."""
+    kind = F.when(F.col("event_type") == "view", "diario").when(F.col("event_type") == "click", "semanal").otherwise("intervalo")
+    at, now = F.date_trunc("second", "ts").cast("timestamp"), F.lit("2024-01-15 12:00:00").cast("timestamp")
+    return table(spark, d, "events").select("event_id", F.date_format(M.next_occurrence(kind, at, ((1 + F.col("user_id")) * 60).cast("int"), now), "yyyy-MM-dd HH:mm:ss").alias("next"))
 
 
-@query("g16_leitner", "SELECT box, ok, CAST(n AS INT) AS next_box, CAST([1, 3, 7, 16, 35][n + 1] AS INT) AS days FROM (SELECT *, CASE WHEN ok THEN least(box + 1, 4) ELSE 0 END AS n FROM (VALUES (0, true), (1, false), (2, true), (4, true), (3, false)) v(box, ok))")
+@query("g16_leitner", "SELECT event_id, CAST(n AS INT) AS next_box, CAST([1, 3, 7, 16, 35][n + 1] AS INT) AS days FROM (SELECT event_id, CASE WHEN value > 20 THEN least(event_id % 5 + 1, 4) ELSE 0 END AS n FROM events)")
 def g16(spark, d):
-    box, days = M.leitner(F.col("box"), F.col("ok"), [1, 3, 7, 16, 35])
-    return values(spark, "box int, ok boolean", CARDS).select("box", "ok", box.alias("next_box"), days.alias("days"))
+    box, days = M.leitner((F.col("event_id") % 5).cast("int"), F.col("value") > 20, [1, 3, 7, 16, 35])
+    return table(spark, d, "events").select("event_id", box.cast("int").alias("next_box"), days.alias("days"))
 
 
 @query("g19_reading_order", "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY floor(l_quantity / 10), l_extendedprice, l_linenumber) AS place FROM lineitem")
