@@ -12,7 +12,8 @@ changes are allowed, and there is a mask for every choice of that many blocks to
 Documents are hashed by the masks that the benchmark's lengths ask for. Items of fewer than `shortest` tokens are left out.
 
 Tokens are runs of letters and digits of the lower-cased text.
-Null and empty texts have no tokens. Repeated rows of an item count as one by item_id; doc_id should be unique.
+Null and empty texts have no tokens. Repeated rows of an item count as one by item_id, repeated rows of a document as one
+by doc_id.
 """
 
 from __future__ import annotations
@@ -108,7 +109,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shortest: int = SPAN) -> DataFr
     total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.col("width") - F.col("w") + 1), lambda s: total(F.slice("equal", s, F.col("w")))))
     judged = pairs.select("doc_id", "item_id", "shift", "w", best.alias("best"), total(F.col("equal")).alias("matched")).filter(F.col("best") >= F.ceil(F.col("w") * F.lit(LEAST)))
-    return judged.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_places"), F.min("shift").alias("first_place"), F.max("best").alias("best_window"), F.max("matched").alias("matched"))
+    return judged.groupBy("doc_id", "item_id").agg(F.count_distinct("shift").alias("n_places"), F.min("shift").alias("first_place"), F.max("best").alias("best_window"), F.max("matched").alias("matched"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, shortest: int = SPAN) -> DataFrame:

@@ -14,7 +14,8 @@ overlaps of all their pairs are counted as a matrix product, and the counts are
 * What is compared grows with the square of a cluster of candidates only, that is of sets which share whole fragments.
 
 Texts without words (null, empty, blank) have the empty set and no links. Ties cannot occur: a class takes its smallest
-doc_id. Other columns are ignored; an empty table gives an empty result. doc_id must be unique.
+doc_id. A repeated row is a copy: it is returned once more and counts as a link. Different texts must have different
+doc_ids. Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -314,6 +315,8 @@ def _linked(percent: int):
                         yield out
                     held = []
                 now = pair[k]
+                if held and held[-1][:2] == (side[k], own[k]):
+                    continue  # a repeated row of the document that stands for the set
                 held.append((side[k], own[k], copies[k], np.frombuffer(data[offsets[k] : offsets[k + 1]].tobytes(), U64)))
         if held and (out := solved(held)) is not None:
             yield out
@@ -373,7 +376,7 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     one = pairs.select("label", F.col("i").alias("block"), "pair", F.when(met, BOTH).otherwise(0).alias("side"))
     two = pairs.filter(~met).select("label", F.col("j").alias("block"), "pair", F.lit(1).alias("side"))
     sides = grams.join(one.unionByName(two), ["label", "block"]).select("pair", "side", "own", "copies", "grams")
-    linked = sides.repartition("pair").sortWithinPartitions("pair", "side").mapInArrow(_linked(percent), "a long, b long, n_links long")
+    linked = sides.repartition("pair").sortWithinPartitions("pair", "side", "own").mapInArrow(_linked(percent), "a long, b long, n_links long")
     linked = stored(linked, "links")
     dropped(grams, pairs)
     classes = components(linked.select("a", "b").filter("a != b")).withColumnRenamed("node", "own")

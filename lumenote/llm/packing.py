@@ -5,8 +5,8 @@ most `limit` of them: lengths go in descending order, each to the open sequences
 many equal sequences at a time. It yields slot ranges (length, ranks, sequences, offset). Pieces take the planned slots
 by joining on their rank within their length, so neither planning nor placing sees more than counts at one place.
 
-Null and empty texts have only the end id. Ranks follow (doc_id, piece), so ties and repeated rows are settled as long
-as doc_id is unique. An empty table gives an empty result.
+Null and empty texts have only the end id. Ranks follow (doc_id, piece). A repeated row is packed once more, each time in
+a place of its own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ from .shared import binary_parts, bounded_runs, input_bytes, stored
 from .tokens import encoder, tokenizer_path
 
 BATCH = 4 << 20
-#: Parts in which the pieces of one length are numbered, so that a frequent length isn't one task.
-PARTS = 64
+#: Pieces of a part, about: those of one length are numbered part by part, so that a frequent length isn't one task.
+PART = 50_000
+#: Ranks of a bucket: pieces meet only the slot ranges that touch their rank's bucket.
+BUCKET = 4096
 #: Slot ranges (of about 100 bytes each) that are broadcast at most; more are joined by a shuffle.
 MOST_BROADCAST = 100_000
 
@@ -101,17 +103,20 @@ def token_pieces(docs: DataFrame, limit: int = 4096, path: str | None = None, cu
 def packed(pieces: DataFrame, limit: int = 4096) -> DataFrame:
     """The pieces with sequence_id and offset: gapless from 0 in each sequence, at most `limit` long."""
     spark = pieces.sparkSession
-    pieces = stored(pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)).cast("int")), "pieces")
+    pieces = stored(pieces, "pieces")
+    parts = max(64, pieces.count() // PART)
+    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
     counts = stored(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `limit` rows
     planned = plan(histogram, limit)
     slots = spark.createDataFrame(planned, "length long, first_rank long, end_rank long, first_sequence long, each long, place long")
-    if len(planned) <= MOST_BROADCAST:
+    slots = slots.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("first_rank") / BUCKET), F.floor((F.col("end_rank") - 1) / BUCKET))))
+    if len(planned) + sum(histogram.values()) // BUCKET <= MOST_BROADCAST:
         slots = F.broadcast(slots)
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).select("length", "part", "before")
     ranked = pieces.withColumn("nth", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece"))).join(before, ["length", "part"])
-    ranked = ranked.withColumn("rank", F.col("before") + F.col("nth") - 1)
-    placed = ranked.join(slots, (ranked.length == slots.length) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank"))).drop(slots.length)
+    ranked = ranked.withColumn("rank", F.col("before") + F.col("nth") - 1).withColumn("bucket", F.floor(F.col("rank") / BUCKET))
+    placed = ranked.join(slots, ["length", "bucket"]).filter((F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank")))
     within = F.col("rank") - F.col("first_rank")
     sequence = F.col("first_sequence") + F.floor(within / F.col("each"))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", sequence.cast("long").alias("sequence_id"), (F.col("place") + within % F.col("each") * F.col("length")).alias("offset"))

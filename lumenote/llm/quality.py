@@ -4,8 +4,9 @@ Hashed word, word-pair and character n-gram (2 to 4 bytes) vectors are learned b
 a document is the mean of its features' vectors, a softmax layer on it gives the two classes. Whole texts are used,
 for training and for scoring.
 
-Training takes at most `per_class` labelled documents of each class, the first by a hash of doc_id; a document with
-several labels takes the largest, null labels are ignored. Scoring is linear in the features, so each bucket's vector is
+Training takes at most `per_class` labelled documents of each class, the first by a hash of doc_id, and of these the
+first that together hold at most `most_bytes` of text; a document with several labels takes the largest, null labels are
+ignored. Scoring is linear in the features, so each bucket's vector is
 folded into one number that tasks look up; the table's size is fixed by `BUCKETS`, whatever the corpus.
 
 Empty and null texts have the score of no features at all (the layer's bias). Without labels of both classes every
@@ -21,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import U64, PrefixHash, binary_parts, bounded_runs, input_bytes, mix, word_spans
 
@@ -148,10 +150,18 @@ def labelled_sample(labels: DataFrame, column: str, learn, per_class: int) -> Da
     return parts[0].unionByName(parts[1])
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, per_class: int = 3000) -> Model:
+def labelled_bodies(docs: DataFrame, sample: DataFrame, most_bytes: int) -> DataFrame:
+    """doc_id, label, body of the sample; of each class the first, by a hash of doc_id, that hold half of most_bytes."""
+    # the sample is bounded, so are its broadcast and the window
+    chosen = input_bytes(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "label", F.length("body").alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    few = chosen.withColumn("so_far", so_far).filter(F.col("so_far") <= most_bytes // 2).select("doc_id", "label").distinct()
+    return input_bytes(docs).join(F.broadcast(few), "doc_id").select("doc_id", "label", "body")
+
+
+def train_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, per_class: int = 3000, most_bytes: int = 64 << 20) -> Model:
     sample = labelled_sample(labels, "quality", fold(F.col("doc_id"), folds) != held_out, per_class)
-    # at most 2 * per_class ids, so the broadcast is bounded
-    chosen = input_bytes(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "body")
+    chosen = labelled_bodies(docs, sample, most_bytes)
     rows = chosen.mapInArrow(_features, "doc_id long, label int, idx binary, cnt binary").toArrow().sort_by("doc_id")
     data = []
     for label, idx, cnt in zip(*(rows.column(k) for k in ("label", "idx", "cnt")), strict=True):

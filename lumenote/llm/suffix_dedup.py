@@ -11,8 +11,8 @@ are equal as a whole are counted, not compared. Only regions that occur once but
 transform. Anchors with very many different regions are compared window by window instead, which spreads them over
 all tasks. Whole texts are used; matches never cross documents; a document may repeat itself.
 
-Nulls and empty texts: zero bytes, nothing removed. Repeated doc_id rows and other columns: each row counts as a
-document of its own only by doc_id, so doc_id must be unique. An empty table gives an empty result.
+Nulls and empty texts: zero bytes, nothing removed. A repeated row is a copy: each of the two loses what has 200 bytes.
+Different texts must have different doc_ids. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations

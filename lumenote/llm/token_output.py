@@ -9,7 +9,8 @@ blocks of consecutive documents in ascending doc_id order: shard, block, doc_ids
 about BLOCK_IDS ids, a longer document has a block of its own. Task retries rewrite whole rows, so a lost executor
 leaves nothing half-written.
 
-Null and empty texts have only the end id. doc_id must be unique and not null. An empty table gives an empty corpus.
+Null and empty texts have only the end id. A repeated row is written once more, next to the first; doc_id must not be
+null. An empty table gives an empty corpus.
 """
 
 from __future__ import annotations

@@ -23,9 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .quality import fold, labelled_sample
+from .quality import fold, labelled_bodies, labelled_sample
 from .shared import input_bytes
 
 WINDOW, OVERLAP = 64, 12
@@ -148,11 +147,7 @@ def fit(texts: list[tuple[int, bytes]], shares: tuple[float, float] | None = Non
 def train_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, per_class: int = 1500, most_bytes: int = 32 << 20) -> Model:
     learn = fold(F.col("doc_id"), folds) != held_out
     sample = labelled_sample(labels, "toxic", learn, per_class)
-    # at most 2 * per_class ids, so the broadcast is bounded
-    chosen = input_bytes(docs).join(F.broadcast(sample), "doc_id")
-    # a window over at most 2 * per_class documents
-    so_far = F.sum(F.length("body")).over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    rows = chosen.withColumn("so_far", so_far).filter(F.col("so_far") <= most_bytes // 2).select("doc_id", "label", "body").collect()
+    rows = labelled_bodies(docs, sample, most_bytes).collect()
     count = labels.filter(learn & F.col("toxic").isNotNull()).agg(F.avg((F.col("toxic") > 0).cast("int"))).first()[0]
     return fit([(r.label, bytes(r.body)) for r in sorted(rows, key=lambda r: (r.doc_id, r.body))], (1 - count, count) if count else None)
 
