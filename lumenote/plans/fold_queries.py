@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import folds, geometry, pii
+from ..functions import folds, pii
 from ..functions.text import tokens
 from ..operators import ordered
 from . import ranking_queries
 from .base import query, table
-from .text_queries import TOKENS, sql_values, values
+from .text_queries import TOKENS
 
 
 @query("c17_batches")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators import telemetry as M
 from .base import query, table
-from .text_queries import sql_values, values
 
 TODAY = "2024-01-30"
 
