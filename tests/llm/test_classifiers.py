@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
 
@@ -85,3 +86,32 @@ def test_held_out_labels_change_nothing(spark):
     other = labels.withColumn("quality", F.when(quality.fold(F.col("doc_id"), 5) == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = (quality.train_quality(docs, x).folded() for x in (labels, other))
     assert np.array_equal(a[0], b[0]) and a[1] == b[1]
+
+
+def test_toxicity_by_a_plain_loop(spark):
+    """Scores of a few texts from both dictionaries' windows, one at a time."""
+    import zstandard as z
+
+    texts = [(i % 3 == 0, (rude if i % 3 == 0 else prose)(60).encode()) for i in range(60)]
+    model = toxicity.fit([(int(y), t) for y, t in texts])
+    assert model.toxic != model.ordinary and len(model.toxic) == len(model.ordinary)
+    for body in (b"", b"one Zounds, BLOCKHEAD!", *(t for _, t in texts[:4]), prose(3000).encode()):
+        text = b" ".join(bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in body).split())
+        text = b" " + text + b" " if text else b""
+        windows = [text[i : i + 76] for i in range(0, max(1, len(text) - 12), 64)]
+        lengths = []
+        for content in (model.toxic, model.ordinary):
+            how = z.ZstdCompressionParameters.from_level(6, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False, source_size=76, dict_size=len(content))
+            tool = z.ZstdCompressor(dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=how)
+            lengths.append([len(tool.compress(w)) for w in windows])
+        d = [o - t for t, o in zip(*lengths, strict=True)]
+        top = sorted([*d, 0, 0, 0], reverse=True)[:3]
+        zed = sum(w * x for w, x in zip(model.weights, [1, *top, sum(d) / len(d), math.log(len(d))], strict=True))
+        assert abs(model.score(body) - 1 / (1 + math.exp(-zed))) < 1e-9
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.quality_scores(docs, quality.train_quality(docs, labels)).collect() == []
+    assert toxicity.toxicity_scores(docs, toxicity.train_toxicity(docs, labels)).collect() == []
