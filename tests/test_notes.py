@@ -1,16 +1,18 @@
-"""Notes, page layout, local graph and leak detector against plain loops and stated cases."""
+"""Notes, page layout, dialogue, local graph and leak detector against plain loops and stated cases."""
 
 from __future__ import annotations
 
 import math
 import random
+import re
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from lumenote.functions import atoms, geometry, language, text
+from lumenote.functions import atoms, dialogue, geometry, language, text
 from lumenote.operators import classify, graph, ordered, telemetry
+from lumenote.operators.turns import turn_windows
 
 
 def one(spark, column, value, kind="string"):
@@ -137,3 +139,31 @@ def test_leaks_and_curve(spark):
     assert sorted(r.n for r in ordered.leaks(rows, "k", "n", "used", 4, 20.0).collect()) == expected
     points = [(0.1, 0.8), (0.2, 0.9), (1.0, 0.7)]
     assert [round(one(spark, lambda s: telemetry.piecewise(s, points), x, "double"), 6) for x in (0.0, 0.15, 0.2, 0.6, 2.0)] == [0.8, 0.85, 0.9, 0.8, 0.7]
+
+
+def test_turn_windows(spark):
+    rng = random.Random(9)
+    turns = [(c, t, ("user", "assistant")[t % 2 if c else 0], " ".join("x" * rng.randint(1, 9) for _ in range(rng.randint(0, 60)))) for c in range(6) for t in range(8)]
+    got = defaultdict(list)
+    for r in sorted(turn_windows(spark.createDataFrame(turns, "conv long, turn long, role string, text string"), "conv", "turn", "role", "text", "user", 120).collect(), key=lambda r: (r.conv, r.turn, r.part)):
+        got[r.conv].append(r.window)
+    for c in range(6):
+        blocks = [w.split("\n\n") for w in got[c]]
+        assert all(sum(map(len, b)) <= 120 for b in blocks)
+        for now, after in zip(blocks, blocks[1:], strict=False):
+            asked = now[-1].startswith("**user:** ")
+            assert not asked or all(b.startswith("**user:** ") for b in now) or sum(map(len, now)) + len(after[0]) > 120
+        said = "".join(re.sub(r"\*\*\w+:\*\* ", "", b) for w in blocks for b in w)
+        assert re.sub(r"\s", "", said) == "".join(re.sub(r"\s", "", x) for k, _, _, x in turns if k == c)
+
+
+def test_dialogue(spark):
+    cases = {"O codinome é Falcão.": (True, False), "qual o codinome": (False, False), "Quero saber?": (False, False), "ok!": (True, True), "": (False, False), "me fale": (False, False), "Mesa nova": (True, False)}
+    assert {k: (one(spark, dialogue.statement, k), one(spark, dialogue.receipt, k)) for k in cases} == cases
+    cases = {"tem imagem de um?": True, "e sobre isso?": True, "explique melhor 12": True, "O que é fotossíntese?": False, "sobre um balastro": False}
+    assert {k: one(spark, dialogue.needs_turn_before, k) for k in cases} == cases
+    cases = {"Pool de mineração de Zcash": ["zcash"], "YOLO em Tarkov": ["yolo", "tarkov"], "Acessar Ollama Localmente Pelo Celular": [], "": []}
+    assert {k: one(spark, dialogue.entities, k) for k in cases} == cases
+    assert one(spark, lambda s: dialogue.with_subject(s, F.lit("Pool de Zcash")), "Conexão com a Pool") == "Pool de Zcash: Conexão com a Pool"
+    assert one(spark, lambda s: dialogue.corrected(s, F.lit("the buds"), [("botão", "broto", "bud")]), "Botão e botão, botões") == "Broto e broto, botões"
+    assert one(spark, lambda s: dialogue.corrected(s, F.lit("the leaves"), [("botão", "broto", "bud")]), "botão") == "botão"
