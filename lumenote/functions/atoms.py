@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .language import ENGLISH, PORTUGUESE, english_title, function_words, hard_facts
@@ -157,3 +157,49 @@ def origin_domain(origin: Column) -> Column:
     o = F.trim(F.coalesce(origin, F.lit("")))
     work = F.regexp_extract(o, "'([^']+)'", 1)
     return F.when(o == "", "").when(o.rlike(r"\(p\.\s*\d+") & (work != ""), F.concat(F.lit("obra:"), normalised(work))).otherwise(F.concat(F.lit("balde:"), normalised(o)))
+
+
+# How tags and link lines are written in notes, and the tags that every new atom has.
+TAG, TAG_LINE, TAGS_AT_END = r"#[\w/\-]+", r"(?U)^\s*#[\w/\-]+(\s+#[\w/\-]+)*\s*$", r"(?U)(\s+#[\w/\-]+)+\s*$"
+LINKS, LINKS_LINE = "**Malha Neural:**", r"(?i)^\s*(?:\*\*Malha Neural:\*\*\s*(?=(.*)$)|\*\*[^*\n]{2,40}:\*\*\s*(?=(.*\[.*)$)).*$"
+ATOM_TAGS = ("#zettelkasten_atomico", "#conhecimento_novo")
+
+
+def normal_atoms(df: DataFrame, block: Column, origin: Column, day: Column, tags: tuple[str, ...] = ATOM_TAGS) -> DataFrame:
+    """Adds atom: the block in the form of a stored atom (header, title, body, tags), empty if there is nothing to store.
+
+    Lines lose angle brackets; tags are gathered from lines of their own and line ends; link lines are rewritten. The
+    first other line is the title if it is a header or short and open-ended; without one the first six words are. A body
+    of `nada`, mostly Han, or none under a real header is nothing.
+    """
+    strip = lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")
+    col = F.col
+    # step by step, so that no part is written into the next more than once
+    out = df.withColumn("_bare", strip(F.regexp_replace(strip(block), r"^---\n(?:[^\n]*\n)*?---\n?", "")))
+    out = out.withColumn("_raw", F.transform(F.split("_bare", r"\r\n|\n|\r"), lambda x: F.regexp_replace(x, r"\s+$", "")))
+    out = out.withColumn("_lines", F.transform("_raw", unwrapped))
+    ends = F.transform("_lines", lambda x: F.when(x.rlike(TAG_LINE), x).otherwise(F.coalesce(F.regexp_substr(x, F.lit(TAGS_AT_END)), F.lit(""))))
+    out = out.withColumn("_tags", F.array_distinct(F.concat(F.regexp_extract_all(F.array_join(ends, " "), F.lit("(?U)" + TAG), F.lit(0)), F.array(*(F.lit(t) for t in tags)))))
+    # a line that held only tags is gone, an empty one stays
+    out = out.withColumn("_cut", F.transform("_lines", lambda x: F.when(x.rlike(TAG_LINE), None).otherwise(F.regexp_replace(F.regexp_replace(x, TAGS_AT_END, ""), r"\s+$", ""))))
+    out = out.withColumn("_rest", F.filter("_cut", lambda x, i: x.isNotNull() & ((x != "") | (F.get(col("_lines"), i) == ""))))
+    content = lambda x: strip(F.concat(F.regexp_extract(x, LINKS_LINE, 1), F.regexp_extract(x, LINKS_LINE, 2)))
+    out = out.withColumn("_linked", F.transform("_rest", lambda x: x.rlike(LINKS_LINE)))
+    out = out.withColumn("_content", F.transform("_rest", lambda x, i: F.when(F.get(col("_linked"), i), content(x))))
+    out = out.withColumn("_links", F.transform("_content", lambda x: F.when(x.isNotNull(), links_line(x))))
+    # the first line that is neither tags nor links
+    out = out.withColumn("_place", F.array_position("_linked", False))
+    out = out.withColumn("_first", F.when(col("_place") > 0, F.get(col("_rest"), (col("_place") - 1).cast("int"))).otherwise(""))
+    out = out.withColumn("_header", F.ltrim("_first").startswith("#"))
+    short = (F.trim("_first") != "") & (F.length(F.trim("_first")) <= 80) & ~F.trim("_first").rlike("[.!?:;,]$")
+    out = out.withColumn("_title", F.when(col("_header"), strip(F.regexp_replace("_first", "^#+", ""))).when(short, strip(col("_first"))))
+    words = F.transform("_rest", lambda x, i: F.when(col("_title").isNotNull() & (i + 1 == col("_place")), None).when(F.get(col("_linked"), i), F.when(F.get(col("_links"), i) != "", F.concat(F.lit(LINKS + " "), F.get(col("_links"), i)))).otherwise(x))
+    out = out.withColumn("_kept", words)
+    out = out.withColumn("_body", strip(F.array_join("_kept", "\n")))
+    out = out.withColumn("_plain", strip(F.array_join(F.filter("_kept", lambda x, i: ~F.get(col("_linked"), i)), "\n")))
+    nothing = (F.regexp_replace(normalised(col("_plain")), "^[.!?]+|[.!?]+$", "") == "nada") | ((col("_plain") == "") & col("_header")) | (han_share(col("_plain")) > 0.15)
+    six = F.array_join(F.slice(F.filter(F.split("_body", r"\s+"), lambda w: w != ""), 1, 6), " ")
+    name = F.coalesce(F.nullif("_title", F.lit("")), F.nullif(six, F.lit("")), F.lit("Atomo"))
+    parts = [F.lit("---"), F.concat(F.lit("origem: "), origin), F.concat(F.lit("colhido_em: "), day), F.lit("---"), F.concat(F.lit("## "), name), F.nullif("_body", F.lit("")), F.array_join("_tags", " ")]
+    atom = F.when((col("_bare") == "") | nothing, "").otherwise(F.concat(F.concat_ws("\n", *parts), F.lit("\n")))
+    return out.withColumn("atom", atom).select(*df.columns, "atom")

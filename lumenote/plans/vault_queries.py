@@ -292,3 +292,10 @@ def m1(spark, d):
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION tool_normalised(s STRING) RETURNS STRING RETURN trim(lower(translate(s, '{pairs[0]}', '{pairs[1]}')))")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION tool_size(s STRING) RETURNS INT RETURN length(s)")
     return table(spark, d, "benchmark").selectExpr("item_id", "md5(tool_normalised(text)) AS norm", "tool_size(text) AS size")
+
+
+@query("c13_normal_atoms")
+def c13(spark, d):
+    """Each document as a block with a header line, a link line and a tag at its end."""
+    block = F.concat(F.lit("# "), "source", F.lit("\n**Malha Neural:** ["), "lang", F.lit(", "), "source", F.lit("] #tema\n"), "text")
+    return A.normal_atoms(notes(spark, d), block, F.col("origem"), F.col("dia")).select("doc_id", F.md5("atom").alias("atom"))

@@ -167,3 +167,20 @@ def test_dialogue(spark):
     assert one(spark, lambda s: dialogue.with_subject(s, F.lit("Pool de Zcash")), "Conexão com a Pool") == "Pool de Zcash: Conexão com a Pool"
     assert one(spark, lambda s: dialogue.corrected(s, F.lit("the buds"), [("botão", "broto", "bud")]), "Botão e botão, botões") == "Broto e broto, botões"
     assert one(spark, lambda s: dialogue.corrected(s, F.lit("the leaves"), [("botão", "broto", "bud")]), "botão") == "botão"
+
+
+def test_normal_atoms(spark):
+    head, tags = "---\norigem: O\ncolhido_em: D\n---\n", "#zettelkasten_atomico #conhecimento_novo"
+    cases = {
+        "# Rega\nRegar 2 vezes. #agua\n**Malha Neural:** [Água, Solo]\n#extra #agua": f"{head}## Rega\nRegar 2 vezes.\n**Malha Neural:** [[Água]] [[Solo]]\n#agua #extra {tags}\n",
+        "Título curto\n<uma frase inteira.>\n": f"{head}## Título curto\numa frase inteira.\n{tags}\n",
+        "Uma frase que termina em ponto e tem mais palavras.": f"{head}## Uma frase que termina em ponto\nUma frase que termina em ponto e tem mais palavras.\n{tags}\n",
+        "## T\nNADA.": "", "## T\n**Malha Neural:** [x]": "", "## T\n光合作用光合作用光合作用": "", "": "", "  \n": "",
+        "só um título": f"{head}## só um título\n{tags}\n",
+        "## T\n**Divisão:** [[A] [B]]\ncorpo": f"{head}## T\n**Malha Neural:** [[A]] [[B]]\ncorpo\n{tags}\n",
+    }
+    make = lambda blocks: {r.s: r.atom for r in atoms.normal_atoms(spark.createDataFrame([(b,) for b in blocks], "s string"), F.col("s"), F.lit("O"), F.lit("D")).collect()}
+    assert make(cases) == cases
+    # an atom stays as it is; one that is a title only has no body under a real header, and goes
+    stored = [x for x in cases.values() if x]
+    assert make(stored) == {x: "" if "só um título" in x else x for x in stored}
