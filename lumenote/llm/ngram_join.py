@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import U64, PrefixHash, binary_parts, bounded_runs, dropped, input_bytes, mix, small_batches, stored, word_spans
+from .shared import U64, PrefixHash, binary_parts, bounded_runs, dropped, input_bytes, mix, released, small_batches, stored, word_spans
 
 BATCH = 1 << 18
 BLOCK, BLOCK_GRAMS = 1024, 1 << 19
@@ -351,8 +351,8 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     bodies = input_bytes(docs)
-    described = stored(bodies.mapInArrow(_described(words), "doc_id long, n_shingles long, own long"), "described")
-    keyed = bodies.select("body").mapInArrow(_keyed(words, percent), "key long, own long")
+    described = stored(bodies.mapInArrow(released(_described(words)), "doc_id long, n_shingles long, own long"), "described")
+    keyed = bodies.select("body").mapInArrow(released(_keyed(words, percent)), "key long, own long")
     sets = stored(described.filter("n_shingles > 0").groupBy("own").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.count("*").alias("copies")), "folded")
     needed = sets.select("own", "n_shingles").mapInArrow(_needs(percent), "own long, need_0 int, need_1 int")
     by_key = lambda df: df.repartition("key").sortWithinPartitions("key", "own")
@@ -371,12 +371,12 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     members, pairs = block_pairs(sets.join(clusters.withColumnRenamed("node", "own"), "own"), percent)
     # the hashed side has no texts, so texts are shuffled but not sorted
     texts = bodies.join(members.select("doc_id", "label", "block", "own", "copies").hint("shuffle_hash"), "doc_id").select("label", "block", "own", "copies", "body")
-    grams = stored(texts.mapInArrow(_grams(words), "label long, block struct<step:int,nth:int>, own long, copies long, grams binary"), "grams")
+    grams = stored(texts.mapInArrow(released(_grams(words)), "label long, block struct<step:int,nth:int>, own long, copies long, grams binary"), "grams")
     met = F.col("i") == F.col("j")
     one = pairs.select("label", F.col("i").alias("block"), "pair", F.when(met, BOTH).otherwise(0).alias("side"))
     two = pairs.filter(~met).select("label", F.col("j").alias("block"), "pair", F.lit(1).alias("side"))
     sides = grams.join(one.unionByName(two), ["label", "block"]).select("pair", "side", "own", "copies", "grams")
-    linked = sides.repartition("pair").sortWithinPartitions("pair", "side", "own").mapInArrow(_linked(percent), "a long, b long, n_links long")
+    linked = sides.repartition("pair").sortWithinPartitions("pair", "side", "own").mapInArrow(released(_linked(percent)), "a long, b long, n_links long")
     linked = stored(linked, "links")
     dropped(grams, pairs)
     classes = components(linked.select("a", "b").filter("a != b")).withColumnRenamed("node", "own")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import U64, PrefixHash, binary_parts, bounded_runs, input_bytes, mix, word_spans
+from .shared import U64, PrefixHash, binary_parts, bounded_runs, input_bytes, mix, released, word_spans
 
 #: Buckets of character n-grams and of words; powers of two.
 CHARS, WORDS = 1 << 16, 1 << 16
@@ -162,7 +162,7 @@ def labelled_bodies(docs: DataFrame, sample: DataFrame, most_bytes: int) -> Data
 def train_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, per_class: int = 3000, most_bytes: int = 64 << 20) -> Model:
     sample = labelled_sample(labels, "quality", fold(F.col("doc_id"), folds) != held_out, per_class)
     chosen = labelled_bodies(docs, sample, most_bytes)
-    rows = chosen.mapInArrow(_features, "doc_id long, label int, idx binary, cnt binary").toArrow().sort_by("doc_id")
+    rows = chosen.mapInArrow(released(_features), "doc_id long, label int, idx binary, cnt binary").toArrow().sort_by("doc_id")
     data = []
     for label, idx, cnt in zip(*(rows.column(k) for k in ("label", "idx", "cnt")), strict=True):
         c = np.frombuffer(zlib.decompress(cnt.as_py()), "<u4")
@@ -174,10 +174,10 @@ def train_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out:
 
 def quality_scores(docs: DataFrame, model: Model, folds: int = 5, held_out: int = 0, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every whole text."""
-    scored = input_bytes(docs).mapInArrow(_scored(*model.folded()), "doc_id long, score double")
+    scored = input_bytes(docs).mapInArrow(released(_scored(*model.folded())), "doc_id long, score double")
     return scored.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def kept(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The documents that score at least the threshold, with all their columns; rows are passed through, not joined."""
-    return docs.mapInArrow(_filtered(*model.folded(), docs.columns.index("text"), threshold), docs.schema)
+    return docs.mapInArrow(released(_filtered(*model.folded(), docs.columns.index("text"), threshold)), docs.schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +21,21 @@ U64 = np.uint64
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def released(run):
+    """A mapInArrow function that gives freed memory back to the system at its end: Spark keeps Python workers for later
+    stages, and what they hold idle would count against those."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def input_bytes(df: DataFrame) -> DataFrame:
     """doc_id and the text as UTF-8 bytes (null: empty), whatever other columns there are."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("body"))

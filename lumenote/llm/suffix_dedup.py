@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BASE_A, BASE_B, U64, PrefixHash, binary_parts, bounded_runs, dropped, input_bytes, small_batches, stored
+from .shared import BASE_A, BASE_B, U64, PrefixHash, binary_parts, bounded_runs, dropped, input_bytes, released, small_batches, stored
 
 ANCHOR = 64
 #: Bytes hashed or sorted at once in a task; long texts are cut into overlapping pieces.
@@ -294,7 +294,7 @@ def repeated_ranges(docs: DataFrame, min_len: int = 200) -> DataFrame:
     """doc_id, a, b: byte ranges made of windows that occur elsewhere too, stored. Ranges of a document may overlap."""
     small_batches(docs.sparkSession)
     bodies = input_bytes(docs)
-    regions = stored(bodies.mapInArrow(anchored_regions(min_len), "anchor long, region long, doc_id long, start long, windows int"), "regions")
+    regions = stored(bodies.mapInArrow(released(anchored_regions(min_len)), "anchor long, region long, doc_id long, start long, windows int"), "regions")
     # Counts are aggregated before they are shuffled, and stored before they are joined: so joins with a frequent anchor
     # or region have two plain shuffles, whose skewed partitions Spark splits.
     anchors = regions.groupBy("anchor").agg(F.count("*").alias("n"), F.min("region").alias("low"), F.max("region").alias("high")).filter("n > 1")
@@ -311,9 +311,9 @@ def repeated_ranges(docs: DataFrame, min_len: int = 200) -> DataFrame:
     unlike = counted.filter("first").join(hot, "anchor", "left")
     region = F.struct("anchor", "start", "windows", (F.col("same") == 1).alias("once"), F.coalesce("hot", F.lit(False)).alias("hot"), (F.col("windows") + (min_len - 1)).alias("size"))
     cut = unlike.groupBy("doc_id").agg(F.collect_list(region).alias("regions")).join(bodies, "doc_id").select("doc_id", "regions", "body")
-    cut = stored(cut.mapInArrow(_cut_out, "anchor long, doc_id long, start long, windows int, once boolean, hot boolean, body binary"), "unlike")
-    found = cut.filter("not hot").select("anchor", "doc_id", "start", "once", "body").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compared(min_len), "doc_id long, a long, b long")
-    windows = cut.filter("hot").mapInArrow(_windows(min_len), "ha long, hb long, doc_id long, start long, once boolean")
+    cut = stored(cut.mapInArrow(released(_cut_out), "anchor long, doc_id long, start long, windows int, once boolean, hot boolean, body binary"), "unlike")
+    found = cut.filter("not hot").select("anchor", "doc_id", "start", "once", "body").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(released(_compared(min_len)), "doc_id long, a long, b long")
+    windows = cut.filter("hot").mapInArrow(released(_windows(min_len)), "ha long, hb long, doc_id long, start long, once boolean")
     twice = stored(windows.groupBy("ha", "hb").agg(F.count("*").alias("n")).filter("n > 1").select("ha", "hb"), "twice")
     again = windows.filter("once").join(twice, ["ha", "hb"], "left_semi").groupBy("doc_id", F.floor(F.col("start") / MERGED).alias("stretch"))
     again = again.agg(F.min("start").alias("low"), F.max("start").alias("high"), F.collect_list("start").alias("starts"))  # at most MERGED starts
@@ -363,4 +363,4 @@ def suffix_dedup(docs: DataFrame, min_len: int = 200, with_text: bool = False) -
         raise ValueError(f"min_len must be at least {ANCHOR + 8}")
     ranges = repeated_ranges(docs, min_len).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     joined = input_bytes(docs).join(ranges, "doc_id", "left").select("doc_id", "body", "ranges")
-    return joined.mapInArrow(_kept(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    return joined.mapInArrow(released(_kept(with_text)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
