@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import LEAKS_SQL
+from .divergence import DIVERGENCE_SQL
+from .filter_audit import AUDIT_SQL
 from .topk import TOP_K_SQL
 
 
@@ -82,5 +84,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), limit=4096, end_id=1, added=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_quality, op4_toxicity, op5_ngram_join, op6_token_output, op7_warc, op8_top_k, op9_decontamination, op10_packing)}
-ORACLE_SQL: dict[str, str] = {"op8_top_k": TOP_K_SQL, "op9_decontamination": LEAKS_SQL}
+def op11_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .harmonic import harmonic_packing
+
+    return harmonic_packing(table(spark, sf_dir, "documents"), limit=2048, end_id=1, added=True)
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_quality, op4_toxicity, op5_ngram_join, op6_token_output, op7_warc, op8_top_k, op9_decontamination, op10_packing, op11_harmonic_packing, op12_divergence, op13_filter_audit)}
+ORACLE_SQL: dict[str, str] = {"op8_top_k": TOP_K_SQL, "op9_decontamination": LEAKS_SQL, "op12_divergence": DIVERGENCE_SQL, "op13_filter_audit": AUDIT_SQL}
