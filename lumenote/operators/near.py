@@ -134,20 +134,3 @@ def links(rows: DataFrame, most: float) -> DataFrame:
                 return ids[some], ids[label[some]]
 
     return _by_block(rows, rows, most, what, "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())])).filter("a <> b").distinct()
-
-
-def best_of(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
-    """query_id, id, distance: of each pair of blocks the k nearest rows of right to each row of left (ties: smaller id)."""
-
-    def what(away, near, a, b):
-        rows = []
-        for q in range(len(a)):
-            # all at the kth distance or nearer, so that ties are settled by id
-            cut = np.partition(away[q], k - 1)[k - 1] if len(b) > k else np.inf
-            at = np.flatnonzero(away[q] <= cut)
-            at = at[np.lexsort((b[at], away[q][at]))[:k]]
-            rows.append((np.full(len(at), a[q]), b[at], away[q][at]))
-        return [np.concatenate(c) for c in zip(*rows, strict=True)]
-
-    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
-    return _by_block(left, right, 3.0, what, "query_id long, id long, distance double", schema)

@@ -6,56 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, tokens, words_array
-from . import near
+from . import cosine
 from .tables import stored
 
 
-def dot(a: Column, b: Column) -> Column:
-    pairs = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
+def nearest(vectors: DataFrame, queries: DataFrame, id_column: str, vector: str, k: int, most_queries: int | None = None, **rule) -> DataFrame:
+    """query_id, id, distance, place: exact top k of each query vector (ties: smaller id), as cosine.compared has it.
 
-
-def cosine_distance(a: Column, b: Column) -> Column:
-    """1 less the cosine; null where a vector is all zeros."""
-    norm = F.sqrt(dot(a, a) * dot(b, b))
-    return F.when(norm > 0, 1 - dot(a, b) / norm)
-
-
-def blocks(queries: DataFrame, id_column: str, most: int = 10_000) -> list[DataFrame]:
-    """The queries in parts of about half of `most` at most, so that each may be broadcast."""
-    n = queries.count()
-    if n <= most:
-        return [queries]
-    parts = -(-2 * n // most)
-    return [queries.filter(F.pmod(F.xxhash64(id_column), F.lit(parts)) == p) for p in range(parts)]
-
-
-def distances(vectors: DataFrame, queries: DataFrame, id_column: str, vector: str, *more: str) -> DataFrame:
-    """query_id, id, distance of each query to every vector that has one, with more columns of both as q_name and name.
-
-    The queries are a stated set that meets every vector; they are broadcast in blocks of bounded size.
-    """
-    every = None
-    for part in blocks(queries, id_column):
-        asked = part.select(F.col(id_column).alias("query_id"), F.col(vector).alias("_q"), *(F.col(c).alias(f"q_{c}") for c in more))
-        pairs = vectors.select(F.col(id_column).alias("id"), F.col(vector).alias("_v"), *more).crossJoin(F.broadcast(asked))
-        some = pairs.select("query_id", "id", *more, *(f"q_{c}" for c in more), cosine_distance(F.col("_v"), F.col("_q")).alias("distance"))
-        every = some if every is None else every.unionByName(some)
-    return every.filter("distance IS NOT NULL")
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, id_column: str, vector: str, k: int, most_queries: int = 10_000) -> DataFrame:
-    """query_id, id, distance, place: exact top k of each query vector (ties: smaller id).
-
-    Up to `most_queries` are broadcast, and Spark prunes to k rows a query before it shuffles; more meet the vectors in
-    blocks, each of which returns k rows a query.
+    More than `most_queries`, where given, meet the vectors in tiles, whatever their size.
     """
-    if queries.limit(most_queries + 1).count() <= most_queries:
-        scored = distances(vectors, queries, id_column, vector)
-    else:
-        scored = near.best_of(near.usable(queries, id_column, vector), near.usable(vectors, id_column, vector), k)
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+    if most_queries is not None and queries.limit(most_queries + 1).count() > most_queries:
+        rule["most_numbers"] = 0
+    found = cosine.compared(vectors, queries, id_column, vector, k=k, **rule)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", F.asc_nulls_last("id")))
+    return found.withColumn("place", place)
 
 
 def content_tokens(text: Column) -> Column:

@@ -13,8 +13,9 @@ from ..functions import language as L
 from ..functions import text as T
 from ..operators import classify as C
 from ..operators import dedup as D
-from ..operators import graph, near, ordered
+from ..operators import cosine, graph, near, ordered
 from ..operators import ranking as R
+from ..operators import vector_index
 from ..operators.tables import stored
 from .base import query, table
 from .graph_queries import edges
@@ -52,7 +53,7 @@ def gated(spark, d):
     keys = stored(rare_keys(spark, d))
     mine = keys.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "k")
     grounded = mine.join(keys.select(F.col("doc_id").alias("id"), "k"), "k").filter("query_id <> id").select("query_id", "id").distinct().withColumn("grounded", F.lit(True))
-    away = R.distances(vectors(spark, d), asked(spark, d), "vec_id", "embedding").filter("query_id <> id AND distance < 0.9")
+    away = cosine.compared(vectors(spark, d), asked(spark, d), "vec_id", "embedding", below=0.9, others=True)
     known = away.join(table(spark, d, "documents").select(F.col("doc_id").alias("id")), "id", "left_semi")
     return known.join(grounded, ["query_id", "id"], "left").withColumn("grounded", F.coalesce("grounded", F.lit(False)))
 
@@ -251,19 +252,17 @@ def c20(spark, d):
 def e7(spark, d):
     """Of the five nearest of a new atom, the first of a superseded work (label below 5) within the band."""
     v = vectors(spark, d)
-    five = R.nearest(v, v.filter("vec_id % 50 = 0 AND label <> 0"), "vec_id", "embedding", 6).filter("query_id <> id")
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    found = five.withColumn("nth", nth).filter("nth <= 5 AND distance BETWEEN 0.3 AND 0.72").join(v.filter("label < 5").select(F.col("vec_id").alias("id")), "id", "left_semi")
-    return found.groupBy(F.col("query_id").alias("id")).agg(F.min_by(F.col("id"), "nth").alias("other"))
+    five = R.nearest(v, v.filter("vec_id % 50 = 0 AND label <> 0"), "vec_id", "embedding", 5, others=True)
+    found = five.filter("distance BETWEEN 0.3 AND 0.72").join(v.filter("label < 5").select(F.col("vec_id").alias("id")), "id", "left_semi")
+    return found.groupBy(F.col("query_id").alias("id")).agg(F.min_by(F.col("id"), "place").alias("other"))
 
 
 @query("e8_editions", f"WITH p AS (SELECT a.vec_id AS old, b.vec_id AS new, {DISTANCE} AS dist FROM embeddings a JOIN embeddings b ON {ASKED} AND b.label % 2 = 1), t AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY old ORDER BY dist, new) <= 3), m AS (SELECT old, count(*) AS matches FROM t WHERE dist <= 0.66 GROUP BY old) SELECT vec_id AS old, coalesce(matches, 0) AS matches, matches IS NULL AS orphan FROM embeddings LEFT JOIN m ON old = vec_id WHERE vec_id % 50 = 0")
 def e8(spark, d):
     """Up to three near atoms of the new edition (odd labels) for each old one; those without any are orphans."""
     v = vectors(spark, d)
-    three = R.nearest(v.filter("label % 2 = 1"), asked(spark, d), "vec_id", "embedding", 4).filter("query_id <> id")
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    matches = three.withColumn("nth", nth).filter("nth <= 3 AND distance <= 0.66").groupBy(F.col("query_id").alias("old")).agg(F.count("*").alias("matches"))
+    three = R.nearest(v.filter("label % 2 = 1"), asked(spark, d), "vec_id", "embedding", 3, others=True)
+    matches = three.filter("distance <= 0.66").groupBy(F.col("query_id").alias("old")).agg(F.count("*").alias("matches"))
     return asked(spark, d).select(F.col("vec_id").alias("old")).join(matches, "old", "left").select("old", F.coalesce("matches", F.lit(0)).cast("long").alias("matches"), F.col("matches").isNull().alias("orphan"))
 
 
@@ -271,9 +270,8 @@ def e8(spark, d):
 def e9(spark, d):
     """The index joined with the notes' headers, filtered, and only then cut to the nearest."""
     fit = table(spark, d, "documents").filter("lang = 'en' AND n_chars >= 500").select(F.col("doc_id").alias("vec_id"))
-    near_ones = R.nearest(vectors(spark, d).join(fit, "vec_id", "left_semi"), asked(spark, d), "vec_id", "embedding", 21).filter("query_id <> id")
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    return near_ones.withColumn("nth", nth).filter("nth <= 20").select("query_id", "id")
+    near_ones = R.nearest(vectors(spark, d).join(fit, "vec_id", "left_semi"), asked(spark, d), "vec_id", "embedding", 20, others=True)
+    return near_ones.select("query_id", "id")
 
 
 @query("h2_filtered_top_k", f"SELECT a.vec_id AS query_id, b.vec_id AS id FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND b.label = 3 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {DISTANCE}, b.vec_id) <= 10")
@@ -284,10 +282,18 @@ def h2(spark, d):
     return R.nearest(kept if kept.limit(1).count() else v, asked(spark, d), "vec_id", "embedding", 10).select("query_id", "id")
 
 
+@query("h2_index_search")
+def h2_index(spark, d):
+    """As h2_filtered_top_k, by an inverted file, for labels below 6. The sample is smaller than the larger tables."""
+    index = vector_index.build_index(vectors(spark, d), "vec_id", "embedding", ["label"], sample_numbers=1 << 16)
+    found = index.search(asked(spark, d), "vec_id", "embedding", 10, "label < 6")
+    return found.select("query_id", "id", F.round("distance", 6).alias("distance"), "place")
+
+
 @query("h9_cosine_ranking", f"WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {DISTANCE} AS dist FROM embeddings a JOIN embeddings b ON {ASKED} AND a.label = b.label) SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS INT) AS place, round(1 - dist, 6) AS similarity FROM p")
 def h9(spark, d):
     """All passages of the question's own label by falling similarity."""
-    away = R.distances(vectors(spark, d), asked(spark, d), "vec_id", "embedding", "label").filter("label = q_label AND query_id <> id")
+    away = cosine.compared(vectors(spark, d), asked(spark, d), "vec_id", "embedding", agree="label", others=True)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return away.select("query_id", "id", place.alias("place"), F.round(1 - F.col("distance"), 6).alias("similarity"))
 

@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import cosine
 from ..operators import ranking as R
 from .base import query, table
 from .text_queries import KEYWORDS, STOP, TOKENS
 
-DISTANCE = "1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+DISTANCE = "round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12)"
 
 
 def vectors(spark, d):
@@ -38,26 +39,28 @@ def h3(spark, d):
 @query("h4_relative_cut", f"WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {DISTANCE} AS dist FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id AND b.label <> 0) SELECT query_id, id, round(dist, 6) AS distance FROM p WHERE dist <= 1.1 * (SELECT min(dist) FROM p z WHERE z.query_id = p.query_id)")
 def h4(spark, d):
     v = vectors(spark, d)
-    away = R.distances(v.filter("label <> 0"), v.filter("vec_id % 50 = 0"), "vec_id", "embedding").filter("query_id <> id")
-    least = away.groupBy("query_id").agg((F.min("distance") * 1.1).alias("cut"))
-    # one row a query on the hashed side
-    return away.join(least.hint("shuffle_hash"), "query_id").filter("distance <= cut").select("query_id", "id", F.round("distance", 6).alias("distance"))
+    of, asked = v.filter("label <> 0"), v.filter("vec_id % 50 = 0")
+    first = cosine.compared(of, asked, "vec_id", "embedding", k=1, others=True)
+    cut = first.select(F.col("query_id").alias("vec_id"), (F.col("distance") * 1.1).alias("cut"))
+    # the comparison takes what is below; a row at the cut counts too
+    asked = asked.join(cut, "vec_id").withColumn("above", F.col("cut") + 1e-9)
+    near = cosine.compared(of, asked, "vec_id", "embedding", below="above", others=True).join(cut.withColumnRenamed("vec_id", "query_id"), "query_id")
+    return near.filter("distance <= cut").select("query_id", "id", F.round("distance", 6).alias("distance"))
 
 
 @query("e6_nearest_in_band", f"WITH n AS (SELECT a.vec_id, arg_min(b.vec_id, {DISTANCE}) AS near, min({DISTANCE}) AS dist FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id GROUP BY a.vec_id) SELECT vec_id, near, CASE WHEN dist < 0.3 THEN 'duplicate' WHEN dist < 0.6 THEN 'related' ELSE 'far' END AS verdict FROM n")
 def e6(spark, d):
     v = vectors(spark, d)
-    near = R.nearest(v, v.filter("vec_id % 50 = 0"), "vec_id", "embedding", 2).filter("query_id <> id")
-    first = near.groupBy("query_id").agg(F.min_by("id", F.struct("distance", "id")).alias("near"), F.min("distance").alias("dist"))
-    return first.select(F.col("query_id").alias("vec_id"), "near", F.when(F.col("dist") < 0.3, "duplicate").when(F.col("dist") < 0.6, "related").otherwise("far").alias("verdict"))
+    near = R.nearest(v, v.filter("vec_id % 50 = 0"), "vec_id", "embedding", 1, others=True)
+    verdict = F.when(F.col("distance") < 0.3, "duplicate").when(F.col("distance") < 0.6, "related").otherwise("far")
+    return near.select(F.col("query_id").alias("vec_id"), F.col("id").alias("near"), verdict.alias("verdict"))
 
 
 @query("e5_other_label_twin", f"WITH n AS (SELECT a.vec_id, min({DISTANCE}) AS dist FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.label <> b.label GROUP BY a.vec_id) SELECT vec_id, round(dist, 6) AS distance FROM n WHERE dist < 0.9")
 def e5(spark, d):
     v = vectors(spark, d)
-    away = R.distances(v, v.filter("vec_id % 50 = 0"), "vec_id", "embedding", "label").filter("label <> q_label")
-    best = away.groupBy(F.col("query_id").alias("vec_id")).agg(F.min("distance").alias("dist"))
-    return best.filter("dist < 0.9").select("vec_id", F.round("dist", 6).alias("distance"))
+    best = cosine.compared(v, v.filter("vec_id % 50 = 0"), "vec_id", "embedding", k=1, below=0.9, differ="label")
+    return best.select(F.col("query_id").alias("vec_id"), F.round("distance", 6).alias("distance"))
 
 
 BM25 = f"""WITH d AS (SELECT doc_id, list_filter({TOKENS}, lambda t: NOT list_contains({STOP}, t)) AS t FROM documents),
@@ -98,10 +101,11 @@ def h11(spark, d):
 )
 def f18(spark, d):
     v = vectors(spark, d)
-    away = R.distances(v, v.filter("vec_id % 50 = 0"), "vec_id", "embedding", "label").filter("query_id <> id")
-    best = away.groupBy("query_id").agg(F.min(F.when(F.col("label") == F.col("q_label"), F.col("distance"))).alias("best"))
-    # one row a query on the hashed side
-    ranks = away.join(best.hint("shuffle_hash"), "query_id").groupBy("query_id").agg((F.count_if(F.col("distance") < F.col("best")) + 1).alias("rank"))
+    asked = v.filter("vec_id % 50 = 0")
+    best = cosine.compared(v, asked, "vec_id", "embedding", k=1, agree="label", others=True)
+    known = asked.join(best.select(F.col("query_id").alias("vec_id"), F.col("distance").alias("best")), "vec_id", "left")
+    nearer = cosine.compared(v, known, "vec_id", "embedding", below="best", others=True, count=True)
+    ranks = asked.select(F.col("vec_id").alias("query_id")).join(nearer, "query_id", "left").select((F.coalesce("n", F.lit(0)) + 1).alias("rank"))
     share = lambda k: F.round(F.avg((F.col("rank") <= k).cast("double")), 6).alias(f"recall_{k}")
     return ranks.agg(share(1), share(5), share(10), F.round(F.avg(F.when(F.col("rank") <= 10, 1.0 / F.col("rank")).otherwise(0.0)), 6).alias("mrr_10"))
 
@@ -128,7 +132,7 @@ def hybrid(spark, d):
     """Exact cosine, then the gate: near enough, and either grounded in a rare keyword of the question or very near."""
     v, docs = vectors(spark, d), table(spark, d, "documents").select("doc_id", "text")
     # far vectors never pass the gate below
-    near = R.distances(v, v.filter("vec_id = 0"), "vec_id", "embedding").filter("distance < 0.9").select(F.col("id").alias("doc_id"), "distance")
+    near = cosine.compared(v, v.filter("vec_id = 0"), "vec_id", "embedding", below=0.9).select(F.col("id").alias("doc_id"), "distance")
     words = docs.select("doc_id", F.explode(T.keywords(F.col("text"))).alias("k"))
     asked = table(spark, d, "benchmark").filter("item_id = 0").select(F.explode(T.keywords(F.col("text"))).alias("k"))
     total = docs.agg(F.count("*").alias("n"))
