@@ -58,3 +58,17 @@ def available_now(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     """Run the stream over what is there, write it to Parquet, and return what was written."""
     stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def replayed(rows: DataFrame, slices: int, folder: str, run) -> None:
+    """Feed rows (with their number in the column `slice`) to a stream in that many steps, each at least one micro-batch.
+
+    run(stream, checkpoint) starts a query on the stream of the files so far, to their end; the checkpoint is the same in
+    every step, so the query goes on where it stopped.
+    """
+    spark = rows.sparkSession
+    columns = [c for c in rows.columns if c != "slice"]
+    schema = rows.select(*columns).schema
+    for s in range(slices):
+        rows.filter(F.col("slice") == s).select(*columns).write.mode("append").parquet(f"{folder}/in")
+        run(spark.readStream.schema(schema).parquet(f"{folder}/in"), f"{folder}/state")
