@@ -13,7 +13,7 @@ Documents are hashed by the masks that the benchmark's lengths ask for. Items of
 
 Tokens are runs of letters and digits of the lower-cased text.
 Null and empty texts have no tokens. Repeated rows of an item count as one by item_id, repeated rows of a document as one
-by doc_id.
+by doc_id; rows with a null doc_id are told apart by their texts and reported with the null.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import named, own_id, stored, unnamed
 
 SPAN = 8
 #: Token positions that each mask looks at (fixed values: with them no 13 tokens with two substitutions are missed).
@@ -84,12 +84,12 @@ def item_seeds(items: DataFrame, spans: list[int]) -> DataFrame:
     return every.withColumnRenamed("place", "item_place")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, shortest: int = SPAN) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, shortest: int = SPAN, stand_ins: bool = False) -> DataFrame:
     """doc_id, item_id, n_places, first_place, best_window, matched of every contaminated document and item.
 
     n_places counts the alignments that are leaks, first_place is the smallest document token the item's first token
     falls on (negative: before the text), best_window the equal tokens of the best window, matched those of the best
-    whole alignment.
+    whole alignment. stand_ins: leave the numbers that shared.own_id gives to rows without a doc_id.
     """
     items = benchmark.groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text")).select("item_id", tokens(F.col("text")).alias("u")).filter(F.size("u") >= shortest)
     # at most WINDOW rows
@@ -97,7 +97,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shortest: int = SPAN) -> DataFr
     spans = [WINDOW, *sorted({max(x for x in SHORT if x <= n) for n in sizes if 0 < n < WINDOW})]
     known = stored(item_seeds(items, spans), "seeds")
     small = known.count() <= MOST_BROADCAST
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("t"))
+    texts = named(docs).select("doc_id", tokens(F.col("text")).alias("t"))
     found = seeds(texts, "doc_id", spans).join(F.broadcast(known) if small else known, "seed")
     hits = stored(found.select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).distinct(), "hits")
     pairs = hits.join(texts, "doc_id").join(items, "item_id")
@@ -109,13 +109,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shortest: int = SPAN) -> DataFr
     total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.col("width") - F.col("w") + 1), lambda s: total(F.slice("equal", s, F.col("w")))))
     judged = pairs.select("doc_id", "item_id", "shift", "w", best.alias("best"), total(F.col("equal")).alias("matched")).filter(F.col("best") >= F.ceil(F.col("w") * F.lit(LEAST)))
-    return judged.groupBy("doc_id", "item_id").agg(F.count_distinct("shift").alias("n_places"), F.min("shift").alias("first_place"), F.max("best").alias("best_window"), F.max("matched").alias("matched"))
+    found = judged.groupBy("doc_id", "item_id").agg(F.count_distinct("shift").alias("n_places"), F.min("shift").alias("first_place"), F.max("best").alias("best_window"), F.max("matched").alias("matched"))
+    return found if stand_ins else unnamed(found, "doc_id")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, shortest: int = SPAN) -> DataFrame:
     """The documents without any leak, with all their columns."""
-    found = leaks(docs, benchmark, shortest).select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].cast("long") == found["doc_id"], "left_anti")
+    found = leaks(docs, benchmark, shortest, stand_ins=True).select(F.col("doc_id").alias("_leaks")).distinct()
+    return docs.join(found, own_id() == F.col("_leaks"), "left_anti")
 
 
 LEAKS_SQL = """

@@ -15,7 +15,9 @@ overlaps of all their pairs are counted as a matrix product, and the counts are
 
 Texts without words (null, empty, blank) have the empty set and no links. Ties cannot occur: a class takes its smallest
 doc_id. A repeated row is a copy: it is returned once more and counts as a link. Different texts must have different
-doc_ids. Other columns are ignored; an empty table gives an empty result.
+doc_ids, but for null: rows without a doc_id take part by their texts, and a class of such rows only has a null
+component_id. Other columns are ignored; an empty table gives an empty result. Words are hashed by mixing their bytes in
+eight at a time (long ones by BLAKE2).
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import U64, PrefixHash, binary_parts, bounded_runs, dropped, input_bytes, mix, released, small_batches, stored, word_spans
+from .shared import U64, binary_parts, bounded_runs, dropped, input_bytes, mix, named, released, small_batches, stored, unnamed, word_hashes, word_spans
 
 BATCH = 1 << 18
 BLOCK, BLOCK_GRAMS = 1024, 1 << 19
@@ -51,9 +53,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.n
     a, b, row = word_spans(body, starts, ends)
     if not len(a):
         return [np.zeros(0, U64)] * len(starts)
-    word = PrefixHash(body).of(a, b)
+    word = word_hashes(body, a, b)
     gram = np.zeros(len(word), U64)
-    for j in range(words):
+    for j in range(min(words, len(word))):
         gram[: len(word) - j] += mix(word[j:] ^ U64(SPREAD[j % 5] + j))
     gram = mix(gram)
     bounds = np.searchsorted(row, np.arange(len(starts) + 1))
@@ -350,7 +352,7 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     linked with it directly, copies included.
     """
     small_batches(docs.sparkSession)
-    bodies = input_bytes(docs)
+    bodies = input_bytes(named(docs))
     described = stored(bodies.mapInArrow(released(_described(words)), "doc_id long, n_shingles long, own long"), "described")
     keyed = bodies.select("body").mapInArrow(released(_keyed(words, percent)), "key long, own long")
     sets = stored(described.filter("n_shingles > 0").groupBy("own").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.count("*").alias("copies")), "folded")
@@ -386,4 +388,4 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     sets = sets.join(least, "label").select("own", "component_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     some = described.filter("n_shingles > 0").select("doc_id", "n_shingles", "own").join(sets, "own").select("doc_id", "n_shingles", "component_id", "n_links")
     none = described.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return some.unionByName(none)
+    return unnamed(some.unionByName(none), "doc_id", "component_id")

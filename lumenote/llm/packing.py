@@ -5,8 +5,8 @@ most `limit` of them: lengths go in descending order, each to the open sequences
 many equal sequences at a time. It yields slot ranges (length, ranks, sequences, offset). Pieces take the planned slots
 by joining on their rank within their length, so neither planning nor placing sees more than counts at one place.
 
-Null and empty texts have only the end id. Ranks follow (doc_id, piece). A repeated row is packed once more, each time in
-a place of its own. An empty table gives an empty result.
+Null and empty texts have only the end id. Ranks follow (doc_id, piece); rows with a null doc_id are packed like others,
+first. A repeated row is packed once more, each time in a place of its own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -81,13 +81,13 @@ def _pieces(path: str, cut: str, end_id: int, limit: int, added: bool):
     def run(batches):
         for batch in batches:
             _, offsets = binary_parts(batch.column(1))
-            docs = batch.column(0).to_numpy()
             for s, e in bounded_runs(np.diff(offsets), BATCH):
                 ids, sizes = encoder(path, cut, added).encode_column(batch.column(1).slice(s, e - s))
                 raw = np.insert(ids, np.cumsum(sizes), end_id).astype("<u4")
                 ends = np.cumsum(sizes + 1)
-                rows = [(d, k, x - a, min(limit, b - x), zlib.crc32(raw[x : min(x + limit, b)].tobytes())) for d, a, b in zip(docs[s:e].tolist(), (ends - sizes - 1).tolist(), ends.tolist(), strict=True) for k, x in enumerate(range(a, b, limit))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                rows = [(d, k, x - a, min(limit, b - x), zlib.crc32(raw[x : min(x + limit, b)].tobytes())) for d, a, b in zip(range(s, e), (ends - sizes - 1).tolist(), ends.tolist(), strict=True) for k, x in enumerate(range(a, b, limit))]
+                row, *columns = (pa.array(c, pa.int64()) for c in zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), *columns], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 

@@ -5,12 +5,14 @@ a document is the mean of its features' vectors, a softmax layer on it gives the
 for training and for scoring.
 
 Training takes at most `per_class` labelled documents of each class, the first by a hash of doc_id, and of these the
-first that together hold at most `most_bytes` of text; a document with several labels takes the largest, null labels are
+first that together hold at most `most_bytes` of text (texts of over a LONG_SHARE of it last, so that one of any length
+never displaces the others); a document with several labels takes the largest, null labels are
 ignored. Scoring is linear in the features, so each bucket's vector is
 folded into one number that tasks look up; the table's size is fixed by `BUCKETS`, whatever the corpus.
 
 Empty and null texts have the score of no features at all (the layer's bias). Without labels of both classes every
-score is 0.5 (or the one class's value). Repeated rows are scored each; other columns are ignored.
+score is 0.5 (or the one class's value). Repeated rows are scored each, as are rows with a null doc_id (which
+have no label and are not held out); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ CHARS, WORDS = 1 << 16, 1 << 16
 BUCKETS = CHARS + WORDS
 BATCH = 1 << 18
 GRAMS = (2, 3, 4)
+#: A training text over this part of its class's bytes waits until the others have their place.
+LONG_SHARE = 64
 
 
 def feature_buckets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
@@ -139,7 +143,7 @@ def _filtered(table: np.ndarray, bias: float, place: int, threshold: float):
 
 
 def fold(doc_id, parts: int):
-    """crc32 of the doc_id as text, modulo the number of parts."""
+    """crc32 of the doc_id as text, modulo the number of parts; null for null."""
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
@@ -151,11 +155,18 @@ def labelled_sample(labels: DataFrame, column: str, learn, per_class: int) -> Da
 
 
 def labelled_bodies(docs: DataFrame, sample: DataFrame, most_bytes: int) -> DataFrame:
-    """doc_id, label, body of the sample; of each class the first, by a hash of doc_id, that hold half of most_bytes."""
+    """doc_id, label, body of the sample; of each class the first, by a hash of doc_id, that hold half of most_bytes.
+
+    Texts that alone take over a LONG_SHARE of that half come last, the shortest first: a very long one is left out and
+    takes no other with it. A class keeps one text at least.
+    """
     # the sample is bounded, so are its broadcast and the window
     chosen = input_bytes(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "label", F.length("body").alias("n"))
-    so_far = F.sum("n").over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    few = chosen.withColumn("so_far", so_far).filter(F.col("so_far") <= most_bytes // 2).select("doc_id", "label").distinct()
+    half = most_bytes // 2
+    late = F.when(F.col("n") > half // LONG_SHARE, F.col("n")).otherwise(0)
+    order = Window.partitionBy("label").orderBy(late, F.xxhash64("doc_id"), "doc_id")
+    placed = chosen.withColumn("so_far", F.sum("n").over(order)).withColumn("nth", F.row_number().over(order))
+    few = placed.filter((F.col("so_far") <= half) | (F.col("nth") == 1)).select("doc_id", "label").distinct()
     return input_bytes(docs).join(F.broadcast(few), "doc_id").select("doc_id", "label", "body")
 
 
@@ -175,7 +186,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out:
 def quality_scores(docs: DataFrame, model: Model, folds: int = 5, held_out: int = 0, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every whole text."""
     scored = input_bytes(docs).mapInArrow(released(_scored(*model.folded())), "doc_id long, score double")
-    return scored.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def kept(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

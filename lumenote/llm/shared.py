@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,25 @@ def released(run):
     return wrapped
 
 
+#: A null doc_id is worked on as a number from this one on, of its text's hash; doc_ids from here to 3 * 2^61 are taken for such.
+STAND_IN, STAND_INS = 1 << 62, 1 << 61
+
+
+def own_id():
+    """The row's doc_id as a number that is never null: a row without one goes by its text, so equal ones are copies."""
+    stand_in = F.lit(STAND_IN) + F.pmod(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), F.lit(STAND_INS))
+    return F.coalesce(F.col("doc_id").cast("long"), stand_in)
+
+
+def named(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("doc_id", own_id())
+
+
+def unnamed(df: DataFrame, *columns: str) -> DataFrame:
+    """The stand-ins of named() become null again."""
+    return df.withColumns({c: F.when(~F.col(c).between(STAND_IN, STAND_IN + STAND_INS - 1), F.col(c)) for c in columns})
+
+
 def input_bytes(df: DataFrame) -> DataFrame:
     """doc_id and the text as UTF-8 bytes (null: empty), whatever other columns there are."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("body"))
@@ -111,3 +131,26 @@ def word_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     last[ends[starts < ends] - 1] |= solid[1:-1][ends[starts < ends] - 1]
     a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
     return a, b, np.searchsorted(ends, a, side="right")
+
+
+#: Words longer than this are hashed one by one.
+LONG_WORD = 256
+
+
+def word_hashes(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words at a..b, equal for equal words: eight bytes at a time are mixed in, long words by BLAKE2."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place
+    size = b - a
+    out = mix(size.astype(U64))
+    which = np.flatnonzero(size <= LONG_WORD)
+    done = 0
+    while len(which):
+        left = size[which] - done
+        chunk = eight[a[which] + done] & (~U64(0) >> (U64(64) - U64(8) * np.minimum(left, 8).astype(U64)))
+        out[which] = mix(out[which] ^ chunk)
+        done += 8
+        which = which[left > 8]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[a[i] : b[i]].tobytes(), digest_size=8).digest(), "little")
+    return out

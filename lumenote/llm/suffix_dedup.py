@@ -12,7 +12,8 @@ transform. Anchors with very many different regions are compared window by windo
 all tasks. Whole texts are used; matches never cross documents; a document may repeat itself.
 
 Nulls and empty texts: zero bytes, nothing removed. A repeated row is a copy: each of the two loses what has 200 bytes.
-Different texts must have different doc_ids. Other columns are ignored. An empty table gives an empty result.
+Different texts must have different doc_ids, but for null: rows without one take part by their texts and keep the null.
+Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BASE_A, BASE_B, U64, PrefixHash, binary_parts, bounded_runs, dropped, input_bytes, released, small_batches, stored
+from .shared import BASE_A, BASE_B, U64, PrefixHash, binary_parts, bounded_runs, dropped, input_bytes, named, released, small_batches, stored, unnamed
 
 ANCHOR = 64
 #: Bytes hashed or sorted at once in a task; long texts are cut into overlapping pieces.
@@ -291,9 +292,12 @@ def _windows(min_len: int):
 
 
 def repeated_ranges(docs: DataFrame, min_len: int = 200) -> DataFrame:
-    """doc_id, a, b: byte ranges made of windows that occur elsewhere too, stored. Ranges of a document may overlap."""
+    """doc_id, a, b: byte ranges made of windows that occur elsewhere too, stored. Ranges of a document may overlap.
+
+    Rows without a doc_id have the number of shared.own_id.
+    """
     small_batches(docs.sparkSession)
-    bodies = input_bytes(docs)
+    bodies = input_bytes(named(docs))
     regions = stored(bodies.mapInArrow(released(anchored_regions(min_len)), "anchor long, region long, doc_id long, start long, windows int"), "regions")
     # Counts are aggregated before they are shuffled, and stored before they are joined: so joins with a frequent anchor
     # or region have two plain shuffles, whose skewed partitions Spark splits.
@@ -353,14 +357,16 @@ def _kept(text_too: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, min_len: int = 200, with_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, min_len: int = 200, with_text: bool = False, stand_ins: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining text where with_text is set, else null).
 
     Every byte of a `min_len`-byte string that also starts elsewhere goes, judged on the input. A character cut in two
-    by a removed range loses its remaining bytes in `kept`, but not in kept_sha256.
+    by a removed range loses its remaining bytes in `kept`, but not in kept_sha256. stand_ins: rows without a doc_id have
+    the number of shared.own_id.
     """
     if min_len < ANCHOR + 8:
         raise ValueError(f"min_len must be at least {ANCHOR + 8}")
     ranges = repeated_ranges(docs, min_len).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    joined = input_bytes(docs).join(ranges, "doc_id", "left").select("doc_id", "body", "ranges")
-    return joined.mapInArrow(released(_kept(with_text)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    joined = input_bytes(named(docs)).join(ranges, "doc_id", "left").select("doc_id", "body", "ranges")
+    found = joined.mapInArrow(released(_kept(with_text)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    return found if stand_ins else unnamed(found, "doc_id")

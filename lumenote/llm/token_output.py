@@ -9,8 +9,8 @@ blocks of consecutive documents in ascending doc_id order: shard, block, doc_ids
 about BLOCK_IDS ids, a longer document has a block of its own. Task retries rewrite whole rows, so a lost executor
 leaves nothing half-written.
 
-Null and empty texts have only the end id. A repeated row is written once more, next to the first; doc_id must not be
-null. An empty table gives an empty corpus.
+Null and empty texts have only the end id. A repeated row is written once more, next to the first; rows with a null
+doc_id come before all others. An empty table gives an empty corpus.
 """
 
 from __future__ import annotations
@@ -106,21 +106,22 @@ def _blocked(ranks: np.ndarray):
         from pyspark import TaskContext
 
         shard, block = TaskContext.get().partitionId(), 0
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         total = 0
 
         def row():
             nonlocal held, total, block
-            docs, sizes, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            docs = pa.concat_arrays([x for x, _, _ in held])
+            sizes, ids = (np.concatenate(x) for x in list(zip(*held, strict=True))[1:])
             control, data = pack(ranks[ids])
             at = pa.array([0, len(docs)], pa.int32())
-            columns = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.ListArray.from_arrays(at, pa.array(docs)), pa.ListArray.from_arrays(at, pa.array(sizes.astype(np.int32))), pa.array([control]), pa.array([data])]
+            columns = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.ListArray.from_arrays(at, docs), pa.ListArray.from_arrays(at, pa.array(sizes.astype(np.int32))), pa.array([control]), pa.array([data])]
             held, total, block = [], 0, block + 1
             return pa.RecordBatch.from_arrays(columns, schema=SHARDS)
 
         for batch in batches:
             ids, bounds = _raw_ids(batch)
-            docs, sizes = batch.column("doc_id").to_numpy(), np.diff(bounds)
+            docs, sizes = batch.column("doc_id"), np.diff(bounds)
             a = 0
             while a < len(docs):  # as many documents as still fit, or one
                 e = int(np.searchsorted(bounds, bounds[a] + BLOCK_IDS - total, side="right")) - 1
@@ -128,7 +129,7 @@ def _blocked(ranks: np.ndarray):
                     yield row()
                     continue
                 e = max(e, a + 1)
-                held.append((docs[a:e], sizes[a:e], ids[bounds[a] : bounds[e]]))
+                held.append((docs.slice(a, e - a), sizes[a:e], ids[bounds[a] : bounds[e]]))
                 total += int(bounds[e] - bounds[a])
                 a = e
         if held:

@@ -11,7 +11,7 @@ training documents (logistic regression, both classes weighted as they occur).
 Training takes at most `per_class` labelled documents of each class, the first by a hash of doc_id, and of these the
 first that together hold at most `most_bytes` of text. Whole texts are used in training and scoring. Empty and null texts
 have one empty window. Without labels of both classes every score is 0 or, with toxic labels only, 1. Repeated rows are
-scored each; other columns are ignored.
+scored each, as are rows with a null doc_id (which have no label and are not held out); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -163,4 +163,4 @@ def _scored(model: Model):
 def toxicity_scores(docs: DataFrame, model: Model, folds: int = 4, held_out: int = 2, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every whole text."""
     scored = input_bytes(docs).mapInArrow(_scored(model), "doc_id long, score double")
-    return scored.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
