@@ -10,7 +10,8 @@
 A run deletes what its stages stored, but for the last one's result.
 
 Stages 1 to 4 return the columns of documents; n_chars follows the text. Null texts count as empty: the classifier
-scores them like any text, and an empty text is linked with nothing. Tables without rows pass through.
+scores them like any text, and an empty text is linked with nothing. Rows with a null doc_id go at stage 2, which
+names groups by it; taken alone, stages 1 and 3 to 5 treat them like others. Repeated rows stay repeated. Tables without rows pass through.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenote.llm import decontam, ngram_join, packing, quality, suffix_dedup
-from lumenote.llm.shared import keep_only, stored, stored_count
+from lumenote.llm.shared import keep_only, own_id, stored, stored_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +40,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = suffix_dedup.suffix_dedup(docs, min_len=200, with_text=True).filter("n_removed < n_bytes OR n_bytes = 0").select("doc_id", F.col("n_removed").alias("_n_removed"), F.col("kept").alias("_kept"))
-    joined = docs.join(left, "doc_id")
+    left = suffix_dedup.suffix_dedup(docs, min_len=200, with_text=True, stand_ins=True).filter("n_removed < n_bytes OR n_bytes = 0")
+    # a repeated row has a result each, and all are the same
+    left = left.select(F.col("doc_id").alias("_own"), F.col("n_removed").alias("_n_removed"), F.col("kept").alias("_kept")).dropDuplicates(["_own"])
+    joined = docs.join(left, own_id() == F.col("_own"))
     text = F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col("text"))
     columns = {c: F.col(c) for c in docs.columns} | {"text": text}
     if "n_chars" in columns:
