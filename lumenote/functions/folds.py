@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import jaccard, normalised
+from .text import jaccard, let, normalised
 
 
 def distinct_by_key(items: Column, key) -> Column:
-    """The first item of each key, in order; items with an empty key are left out."""
-    start = F.array().cast("array<string>")
-    return F.aggregate(items, start, lambda a, x: F.when((key(x) == "") | F.exists(a, lambda y: key(y) == key(x)), a).otherwise(F.concat(a, F.array(x))))
+    """The first item of each key, in order; items with an empty key are left out. Keys are computed once and sorted."""
+    keyed = F.array_sort(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
+    first = let(keyed, lambda s: F.filter(s, lambda e, i: (e["k"] != "") & ((i == 0) | (F.get(s, i - 1)["k"] != e["k"]))))
+    return F.transform(F.array_sort(F.transform(first, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x")))), lambda e: e["x"])
 
 
 def wikilinks(text: Column) -> Column:

@@ -37,8 +37,18 @@ def words_array(words) -> Column:
     return F.array(*(F.lit(w) for w in words))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def is_stop_word(token: Column) -> Column:
+    return token.isin(STOP_WORDS)
+
+
 def without_accents(text: Column) -> Column:
-    return F.translate(text, *accent_pairs())
+    # texts of ASCII only, as long in bytes as in characters, have none
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.translate(text, *accent_pairs()))
 
 
 def normalised(text: Column) -> Column:
@@ -52,15 +62,13 @@ def tokens(text: Column) -> Column:
 
 def keywords(text: Column, least: int = 3) -> Column:
     """Distinct tokens that are no stop words and are long enough or hold a digit."""
-    stop = words_array(STOP_WORDS)
-    return F.filter(F.array_distinct(tokens(text)), lambda t: ~F.array_contains(stop, t) & ((F.length(t) >= least) | t.rlike("[0-9]")))
+    return F.filter(F.array_distinct(tokens(text)), lambda t: ~is_stop_word(t) & ((F.length(t) >= least) | t.rlike("[0-9]")))
 
 
 def trimmed_query(text: Column, most: int = 6) -> Column:
     """The first words, in their own case, that are neither stop words nor single characters."""
-    stop = words_array(STOP_WORDS)
     bare = lambda w: F.regexp_replace(normalised(w), r"[^\w]", "")
-    kept = F.filter(F.split(F.trim(text), r"\s+"), lambda w: (F.length(bare(w)) >= 2) & ~F.array_contains(stop, bare(w)))
+    kept = F.filter(F.split(F.trim(text), r"\s+"), lambda w: (F.length(bare(w)) >= 2) & ~is_stop_word(bare(w)))
     return F.array_join(F.slice(kept, 1, most), " ")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of, normalised, without_accents
@@ -37,16 +39,16 @@ def injected(text: Column) -> Column:
 
 def prose_share(text: Column, least: int = 80) -> Column:
     """Share of the characters that stand in long lines."""
-    lines = F.filter(F.transform(F.split(text, r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
-    total = F.aggregate(lines, F.lit(0), lambda a, x: a + F.length(x))
-    long = F.aggregate(lines, F.lit(0), lambda a, x: a + F.when(F.length(x) >= least, F.length(x)).otherwise(0))
-    return F.when(total == 0, F.lit(0.0)).otherwise(long / total)
+    sizes = F.transform(F.split(text, r"\r\n|\n|\r"), lambda x: F.length(F.trim(x)))
+    zero = F.struct(F.lit(0).alias("all"), F.lit(0).alias("long"))
+    total = F.aggregate(sizes, zero, lambda a, n: F.struct((a["all"] + n).alias("all"), (a["long"] + F.when(n >= least, n).otherwise(0)).alias("long")), lambda a: F.when(a["all"] == 0, F.lit(0.0)).otherwise(a["long"] / a["all"]))
+    return total
 
 
 def digit_ratio(text: Column) -> Column:
     """Digits per letter; 1 without letters."""
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    return F.when(letters == 0, F.lit(1.0)).otherwise(F.regexp_count(text, F.lit(r"\p{Nd}")) / letters)
+    letters = F.nullif(F.regexp_count(text, F.lit(r"\p{L}")), F.lit(0))
+    return F.when(text.isNotNull(), F.coalesce(F.regexp_count(text, F.lit(r"\p{Nd}")) / letters, F.lit(1.0)))
 
 
 def per_thousand(count: Column, text: Column) -> Column:
@@ -62,23 +64,26 @@ def slash_density(text: Column) -> Column:
 
 
 def apparatus_terms(text: Column) -> Column:
-    # looked for at every place without being consumed, so terms may overlap
-    found = F.regexp_extract_all(F.lower(without_accents(text)), F.lit(f"(?=({any_of(APPARATUS_TERMS)}))"), F.lit(1))
-    return F.size(F.array_distinct(found))
+    """How many of the terms occur."""
+    plain = F.lower(without_accents(text))
+    return functools.reduce(lambda a, b: a + b, (F.contains(plain, F.lit(t)).cast("int") for t in APPARATUS_TERMS))
 
 
-def triage(text: Column) -> Column:
-    """Why a passage isn't worth keeping, or 'content'; the first rule that holds."""
+def triaged(rows: DataFrame, text: str = "text") -> DataFrame:
+    """Adds prose, numeric, entries, slashes, terms (the measures) and verdict: why a passage isn't worth keeping, or
+    'content'; the first rule that holds. Each measure is taken once."""
+    t = F.col(text)
+    rows = rows.withColumns({"prose": prose_share(t), "numeric": digit_ratio(t), "entries": index_density(t), "slashes": slash_density(t), "terms": apparatus_terms(t)})
     # The thresholds.
-    prose = prose_share(text)
-    return (
-        F.when(F.length(F.trim(text)) < 400, "short")
-        .when(index_density(text) >= 1.0, "index")
-        .when(slash_density(text) >= 5.0, "credits")
-        .when((prose < 0.30) & (digit_ratio(text) > 0.05), "apparatus")
-        .when((apparatus_terms(text) >= 3) & (prose < 0.55), "imprint")
+    rules = (
+        F.when(F.length(F.trim(t)) < 400, "short")
+        .when(F.col("entries") >= 1.0, "index")
+        .when(F.col("slashes") >= 5.0, "credits")
+        .when((F.col("prose") < 0.30) & (F.col("numeric") > 0.05), "apparatus")
+        .when((F.col("terms") >= 3) & (F.col("prose") < 0.55), "imprint")
         .otherwise("content")
     )
+    return rows.withColumn("verdict", rules)
 
 
 def origin_family(origin: Column) -> Column:

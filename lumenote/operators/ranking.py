@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import STOP_WORDS, tokens, words_array
+from ..functions.text import is_stop_word, tokens
 from . import cosine
 from .tables import stored
 
@@ -23,20 +23,25 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_column: str, vector: str,
 
 
 def content_tokens(text: Column) -> Column:
-    stop = words_array(STOP_WORDS)
-    return F.filter(tokens(text), lambda t: ~F.array_contains(stop, t))
+    return F.filter(tokens(text), lambda t: ~is_stop_word(t))
 
 
 def term_counts(docs: DataFrame, queries: DataFrame, doc_id: str, text: str = "text", most_terms: int = 100_000) -> DataFrame:
-    """doc_id, dl (content tokens of the document), term, tf: of the terms that some query has, stored.
+    """doc_id, dl (content tokens of the document), term, tf: of the terms that some query has, stored; and for every
+    document a row with a null term, whose tf is the number of its rows. The corpus is tokenised once.
 
-    Terms are filtered before they are grouped, and broadcast while there are at most `most_terms`.
+    Other terms are dropped before anything is shuffled, while there are at most `most_terms` to look for.
     """
     terms = queries.select(F.explode(content_tokens(F.col(text))).alias("term")).distinct()
     small = terms.limit(most_terms + 1).count() <= most_terms
-    d = docs.select(doc_id, content_tokens(F.col(text)).alias("t")).withColumn("dl", F.size("t"))
-    each = d.select(doc_id, "dl", F.explode("t").alias("term")).join(F.broadcast(terms) if small else terms, "term")
-    return stored(each.groupBy(doc_id, "dl", "term").agg(F.count("*").alias("tf")), "terms")
+    d = docs.select(doc_id, content_tokens(F.col(text)).alias("t")).select(doc_id, F.coalesce(F.size("t"), F.lit(0)).alias("dl"), F.coalesce("t", F.array().cast("array<string>")).alias("t"))
+    each = d.select(doc_id, "dl", F.explode(F.concat("t", F.array(F.lit(None).cast("string")))).alias("term"))
+    if small:
+        asked = F.broadcast(terms.withColumn("asked", F.lit(True)))
+        each = each.join(asked, "term", "left").filter("asked OR term IS NULL").drop("asked")
+        return stored(each.groupBy(doc_id, "dl", "term").agg(F.count("*").alias("tf")), "terms")
+    counts = each.groupBy(doc_id, "dl", "term").agg(F.count("*").alias("tf"))
+    return stored(counts.join(terms, "term", "left_semi").unionByName(counts.filter("term IS NULL")), "terms")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text: str = "text", k1: float = 1.5, b: float = 0.75, tf: DataFrame | None = None) -> DataFrame:
@@ -45,7 +50,8 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text:
     tf: term_counts() of the same tables, where the caller has them already.
     """
     tf = term_counts(docs, queries, doc_id, text) if tf is None else tf
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size(content_tokens(F.col(text)))).alias("mean_dl"))
+    stats = tf.filter("term IS NULL").agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("dl")) / F.sum("tf")).alias("mean_dl"))
+    tf = tf.filter("term IS NOT NULL")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     q = queries.select(query_id, F.explode(content_tokens(F.col(text))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("qf"))
     hit = tf.join(q, "term").join(df, "term").crossJoin(F.broadcast(stats))  # one row of statistics

@@ -117,16 +117,13 @@ SELECT doc_id, round(prose, 6) AS prose, round(numeric, 6) AS numeric, round(ent
 
 @query("d13_triage", PROSE + MEASURES + TRIAGE)
 def d13(spark, d):
-    t = F.col("text")
-    return table(spark, d, "documents").select(
-        "doc_id", F.round(C.prose_share(t), 6).alias("prose"), F.round(C.digit_ratio(t), 6).alias("numeric"), F.round(C.index_density(t), 6).alias("entries"),
-        F.round(C.slash_density(t), 6).alias("slashes"), C.apparatus_terms(t).cast("long").alias("terms"), C.triage(t).alias("verdict"),
-    )
+    measures = (F.round(c, 6).alias(c) for c in ("prose", "numeric", "entries", "slashes"))
+    return C.triaged(table(spark, d, "documents")).select("doc_id", *measures, F.col("terms").cast("long").alias("terms"), "verdict")
 
 
 @query("d19_triage_summary", PROSE + MEASURES + "v AS (" + TRIAGE.replace("t AS (", "SELECT verdict FROM (WITH t AS (", 1) + "))" + " SELECT verdict, count(*) AS n FROM v GROUP BY verdict")
 def d19(spark, d):
-    return table(spark, d, "documents").groupBy(C.triage(F.col("text")).alias("verdict")).agg(F.count("*").alias("n"))
+    return C.triaged(table(spark, d, "documents")).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
 @query(
