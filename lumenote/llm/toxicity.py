@@ -3,9 +3,9 @@
 Text is lower-cased (A-Z) and reduced to letters and single spaces, then cut into overlapping windows. Both dictionaries
 are trained by zstandard, each on training text of its own class. Most of a toxic text is ordinary, and two dictionaries
 of whole texts differ mostly by chance; so both stand on one base trained on ordinary text, and the toxic one is trained
-on the words of the toxic texts by which they differ from ordinary ones. A window's difference is its length under the
-ordinary dictionary less that under the toxic one: ordinary matches cancel out, toxic ones shorten. A document's largest
-differences, their mean and its number of windows are put on a scale from 0 to 1 by thresholds calibrated on the
+on those words of the toxic texts whose beginnings ordinary ones lack (inflected words share a beginning). A window's
+difference is its length under the ordinary dictionary less that under the toxic one: ordinary matches cancel out, toxic
+ones shorten. A document's largest differences, their mean and its number of windows are put on a scale from 0 to 1 by thresholds calibrated on the
 training documents (logistic regression, both classes weighted as they occur).
 
 Training takes at most `per_class` labelled documents of each class, the first by a hash of doc_id, and of these the
@@ -30,8 +30,10 @@ from .shared import input_bytes
 WINDOW, OVERLAP = 64, 12
 #: Bytes of the common base and of either dictionary before it; bytes of the pieces of text they are trained on.
 BASE, FRONT, PIECE = 16_000, 1536, 256
+#: Bytes of the runs that the toxic dictionary is put together from, and of the shortest beginning of a word.
+SEGMENT, LEAST_BEGINNING = 48, 4
 LEVEL, LEAST_MATCH = 6, 4
-#: Words enter the toxic dictionary if their G2 statistic is at least this share of the largest, and this much.
+#: Words enter the toxic dictionary if the G2 statistic of one of their beginnings is at least this share of the largest, and this much.
 SHARE, LEAST_G2 = 0.06, 15
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -52,14 +54,20 @@ def likelihood_ratio(a: np.ndarray, na: int, b: np.ndarray, nb: int) -> np.ndarr
     return 2 * (part(a, na, share) + part(b, nb, share) + part(na - a, na, 1 - share) + part(nb - b, nb, 1 - share))
 
 
-def typical_words(own: list[bytes], other: list[bytes]) -> set[bytes]:
-    """The words that set the first texts apart, by the number of texts that hold them."""
-    mine, theirs = (Counter(w for t in texts for w in set(t.split())) for texts in (own, other))
-    words = sorted(w for w, k in mine.items() if k >= 3 and k / len(own) > theirs[w] / len(other))
-    if not words:
+def beginnings(word: bytes) -> list[bytes]:
+    """The beginnings of a word, with the space before it, and the word with both its spaces."""
+    spaced = b" " + word + b" "
+    return [spaced[:n] for n in range(LEAST_BEGINNING + 1, len(spaced) + 1)]
+
+
+def typical_beginnings(own: list[bytes], other: list[bytes]) -> set[bytes]:
+    """The beginnings of words that set the first texts apart, by the number of texts that hold them."""
+    mine, theirs = (Counter(x for t in texts for x in {x for w in set(t.split()) for x in beginnings(w)}) for texts in (own, other))
+    found = sorted(x for x, k in mine.items() if k >= 3 and k / len(own) > theirs[x] / len(other))
+    if not found:
         return set()
-    g = likelihood_ratio(np.array([mine[w] for w in words]), len(own), np.array([theirs[w] for w in words]), len(other))
-    return {w for w, x in zip(words, g, strict=True) if x >= max(SHARE * g.max(), LEAST_G2)}
+    g = likelihood_ratio(np.array([mine[x] for x in found]), len(own), np.array([theirs[x] for x in found]), len(other))
+    return {x for x, v in zip(found, g, strict=True) if v >= max(SHARE * g.max(), LEAST_G2)}
 
 
 def trained(samples: list[bytes], size: int, segment: int) -> bytes:
@@ -132,9 +140,9 @@ def fit(texts: list[tuple[int, bytes]], shares: tuple[float, float] | None = Non
     pieces = [pieces[i] for i in np.random.default_rng(0).permutation(len(pieces))]
     half = (len(pieces) + 1) // 2
     base = trained(pieces, BASE, 32)
-    telling = typical_words(toxic, ordinary)
-    marked = [b" " + b" ".join(dict.fromkeys(w for w in t.split() if w in telling)) + b" " for t in toxic]
-    front = b" " + trained([t for t in marked if len(t) > 2], FRONT, 16) + b" "
+    telling = typical_beginnings(toxic, ordinary)
+    marked = [b" " + b" ".join(w for w in dict.fromkeys(t.split()) if not telling.isdisjoint(beginnings(w))) + b" " for t in toxic]
+    front = b" " + trained([t for t in marked if len(t) > 2], FRONT, SEGMENT) + b" "
     plain = trained(pieces[half:] or pieces, len(front), 16).rjust(len(front))
     model = Model(front + base, plain + base)
     x = np.array([model.statistics(b) for _, b in texts])
