@@ -1,4 +1,4 @@
-"""Queries on link candidates, figures beside what was found, the application's tables, and JSON in running text."""
+"""Queries on link candidates, figures beside what was found, the application's tables, JSON and times in running text."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import jsons
+from ..functions import jsons, when
 from ..operators import linking
 from ..operators import ranking as R
 from ..operators.tables import shared_dir
@@ -82,3 +82,20 @@ def c23(spark, d):
     said = F.concat(t, F.lit(' {sorriso} "ok {'), F.lit('"x"} '), call, F.lit(" fim {"), t)
     rows = table(spark, d, "documents").select("doc_id", said.alias("said"))
     return rows.select("doc_id", F.size(jsons.json_objects(F.col("said"))).alias("n"), F.md5(F.array_join(jsons.json_objects(F.col("said")), "|")).alias("objects"), jsons.tool_call(F.col("said"))["tool"].alias("tool"))
+
+
+#: Ways to name a time, one for each turn in turn; the turns themselves name none.
+WAYS = (
+    "daqui a dez minutos", "a cada trinta minutos", "toda segunda às 9h", "amanhã às 8h30", "em duas horas e meia hora", "todo dia às 7h", "de 2 em 2 horas", "ao meio-dia", "às 15", "hoje 18:45",
+    "toda semana", "daqui 1h30", "todas as sextas", "a cada hora", "quando der", "em vinte e cinco segundos", "às 25h", "meia-noite de amanhã", "toda manhã", "a cada 0 dias",
+)
+
+
+@query("g15_due_times")
+def g15(spark, d):
+    """Every turn asks for a reminder in one of the ways, at a time of its own; held against a plain version."""
+    k = F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(len(WAYS)))
+    way = F.element_at(F.array(*(F.lit(w) for w in WAYS)), (k + 1).cast("int"))
+    now = F.timestamp_seconds(F.lit(1_784_300_000) + F.col("conv_id") * 7919 + F.col("turn") * 601)
+    rows = table(spark, d, "conversations").select("conv_id", "turn", when.due(F.concat(F.lit("me lembra "), way, F.lit(": "), F.coalesce("text", F.lit(""))), now).alias("due"))
+    return rows.select("conv_id", "turn", F.date_format(F.col("due.at").cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("at"), F.col("due.recurrence").alias("recurrence"))
