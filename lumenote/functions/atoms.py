@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -203,3 +205,23 @@ def normal_atoms(df: DataFrame, block: Column, origin: Column, day: Column, tags
     parts = [F.lit("---"), F.concat(F.lit("origem: "), origin), F.concat(F.lit("colhido_em: "), day), F.lit("---"), F.concat(F.lit("## "), name), F.nullif("_body", F.lit("")), F.array_join("_tags", " ")]
     atom = F.when((col("_bare") == "") | nothing, "").otherwise(F.concat(F.concat_ws("\n", *parts), F.lit("\n")))
     return out.withColumn("atom", atom).select(*df.columns, "atom")
+
+
+def corrected_target(target: Column, folder: str = "Figuras") -> Column:
+    """The target of a flat figure link with the folder that its file name tells; null where nothing is to be done."""
+    # Fixed value: how figure files are named, after the book, its page and the figure.
+    named = rf"^{folder}/([^/\n]+)_p[0-9]{{4}}_f[0-9]+\.webp$"
+    clean = F.regexp_replace(target, r"^\s+|\s+$", "")
+    return F.when(clean.rlike(named), F.concat(F.lit(f"{folder}/"), F.regexp_extract(clean, named, 1), F.substring(clean, F.lit(len(folder) + 1), F.length(clean))))
+
+
+def rewritten_embeds(text: Column, old: str, new: str) -> Column:
+    """text and n: a prefix of link targets replaced inside `[[...]]` only, and how many were."""
+    inside = rf"(?<!\[)\[\[(?:{re.escape(old)})"
+    return F.struct(F.regexp_replace(text, inside, "[[" + new.replace("\\", "\\\\").replace("$", "\\$")).alias("text"), F.regexp_count(text, F.lit(inside)).alias("n"))
+
+
+def broken_links(links: DataFrame, moved: DataFrame) -> DataFrame:
+    """The links whose target is a path (has a slash) to a file that moved; links by name still find theirs."""
+    path = F.regexp_replace(F.replace("target", F.lit("\\"), F.lit("/")), "^[./]+", "")
+    return links.filter(F.contains("target", F.lit("/"))).join(moved.select(F.col("path").alias("_moved")).distinct(), path == F.col("_moved"), "left_semi")

@@ -33,6 +33,26 @@ DEFINITION = (
 PERSONAL = ("meu ", "minha ", "meus ", "minhas ", " eu ", "que eu", "nosso ", "nossa ", "a gente ")
 
 
+# Phrases that may ask for an action.
+ACTION = (
+    "salva", "salvar", "guarda", "guardar", "anota", "anotar", "cria uma nota", "criar nota", "nova nota", "calcula", "calcular", "quanto e", "que horas", "que dia", "data de hoje",
+    "abre a nota", "abrir nota", "le a nota", "leia a nota", "ler nota", "mostra a nota", "lista as notas", "listar notas", "quais notas", "minhas notas", "procura na web",
+    "procure na web", "pesquisa na web", "pesquise na web", "busca na web", "busque na web", "me lembra", "me lembre", "lembra de", "lembre de", "lembrete", "lembretes", "alarme",
+    "despertador", "timer", "cronometro", "temporizador", "daqui a", "toda segunda", "toda terca", "toda quarta", "toda quinta", "toda sexta", "todo sabado", "todo domingo", "todo dia",
+    "toda semana", "a cada", "me avisa", "me avise", "avise quando", "avisa quando", "fica de olho", "ficar de olho", "briefing", "resumo diario", "meus lembretes", "meus avisos",
+    "cancela o lembrete", "cancelar lembrete", "cancela lembrete", "adiciona na lista", "adicionar na lista", "adiciona a lista", "poe na lista", "bota na lista", "coloca na lista",
+    "lista de compras", "na minha lista", "remove da lista", "remover da lista", "tira da lista", "o que tem na lista", "mostra a lista", "ler lista", "le a lista", "anota rapido",
+    "anotar rapido", "anota isso", "anota ai", "captura isso", "capturar", "nota rapida", "joga na inbox", "poe na inbox", "inbox", "diagnostico", "status do sistema", "autoteste",
+    "voce esta funcionando", "esta funcionando", "checagem", "health check", "ta tudo ok", "esta tudo certo", "o que voce fez", "que voce fez hoje", "trilha de auditoria", "suas acoes",
+    "historico de acoes", "o que aconteceu hoje", "seu historico de hoje",
+)
+# Phrases whose answer holds for hours only, beside those of REAL_TIME.
+PASSING = (
+    "clima", "previsao do tempo", "temperatura em", "vai chover", "chove", "quanto esta o", "quanto custa", "preco do", "preco da", "preco atual", "bolsa de valores", "acoes da",
+    "noticia", "manchete", "dolar", "euro", "bitcoin", "que horas", "que dia e hoje", "data de hoje",
+)
+
+
 def function_words(text: Column, words) -> Column:
     found = F.regexp_extract_all(F.lower(text), F.lit("[a-zà-ÿ]+"), F.lit(0))
     return F.size(F.filter(found, lambda w: F.array_contains(words_array(words), w)))
@@ -64,6 +84,15 @@ def asks_real_time(text: Column) -> Column:
     return any_phrase(text, REAL_TIME)
 
 
+def asks_action(text: Column) -> Column:
+    return any_phrase(text, ACTION)
+
+
+def passing(text: Column) -> Column:
+    """Whether the answer holds for hours only, and so isn't worth keeping."""
+    return any_phrase(text, (*REAL_TIME, *PASSING))
+
+
 def asks_definition(text: Column) -> Column:
     """A question of general knowledge: a definition phrase and no mark of a personal question."""
     return any_phrase(text, DEFINITION) & ~any_phrase(text, PERSONAL)

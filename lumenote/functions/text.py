@@ -65,6 +65,26 @@ def keywords(text: Column, least: int = 3) -> Column:
     return F.filter(F.array_distinct(tokens(text)), lambda t: ~is_stop_word(t) & ((F.length(t) >= least) | t.rlike("[0-9]")))
 
 
+def slug(title: Column, most: int = 40) -> Column:
+    """A file name of a title: a-z and 0-9 of the normalised title, other runs as `_`. A longer one ends before the last
+    `_` that fits, if that lies past the middle. `atomo` if nothing is left."""
+
+    def cut(whole: Column) -> Column:
+        head = F.substring(whole, 1, most + 1)
+        last = F.length(F.regexp_extract(head, "^(.*)_", 1))  # what stands before the last `_`
+        return F.when(F.length(whole) <= most, whole).when(F.contains(head, F.lit("_")) & (last > most // 2), F.substring(whole, F.lit(1), last)).otherwise(F.substring(whole, 1, most))
+
+    whole = F.regexp_replace(F.regexp_replace(normalised(title), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.coalesce(F.nullif(F.regexp_replace(let(whole, cut), "^_+|_+$", ""), F.lit("")), F.lit("atomo"))
+
+
+def heading(note: Column) -> Column:
+    """The first line that begins with `## `, else the first line, without its number signs."""
+    titled = F.regexp_extract(note, r"(?m)^[ \t]*(## .*)$", 1)
+    first = F.regexp_extract(note, r"^([^\r\n]*)", 1)
+    return F.trim(F.regexp_replace(F.when(titled != "", titled).otherwise(first), "^#+", ""))
+
+
 def trimmed_query(text: Column, most: int = 6) -> Column:
     """The first words, in their own case, that are neither stop words nor single characters."""
     bare = lambda w: F.regexp_replace(normalised(w), r"[^\w]", "")

@@ -7,7 +7,8 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, normalised, without_accents
+from ..functions.language import asks_definition
+from ..functions.text import any_of, keywords, normalised, stem, tokens, without_accents
 
 # Terms of editorial apparatus, compared with lower-cased text without accents.
 APPARATUS_TERMS = (
@@ -118,3 +119,44 @@ def faithful(atom: Column, source: Column) -> Column:
 def within_caps(ttft: Column, rate: Column, most_ttft: float = 120_000, most_rate: float = 300) -> Column:
     """Rows that are no outliers; missing values pass."""
     return F.coalesce(ttft <= most_ttft, F.lit(True)) & F.coalesce(rate <= most_rate, F.lit(True))
+
+
+# What a recogniser hears in silence, compared with normalised text.
+SILENCE = (
+    "obrigado", "obrigada", "muito obrigado", "obrigado por assistir", "tchau", "ate logo", "ate a proxima", "valeu", "e ai", "e ae", "legendas pela comunidade amara org", "amara org",
+    "inscreva se no canal", "compartilhe o video",
+)
+NO_SPEECH = 0.6
+
+
+def word_count(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
+
+
+def phantom(text: Column, no_speech: Column, most_words: int = 2) -> Column:
+    """Whether a transcript is of silence: where no speech was likely, a known filler, nothing, or very few words (0: off)."""
+    bare = F.regexp_replace(normalised(text), "^[ .!?,]+|[ .!?,]+$", "")
+    few = (word_count(bare) <= most_words) if most_words > 0 else F.lit(False)
+    return (no_speech >= NO_SPEECH) & ((bare == "") | bare.isin(*SILENCE) | few)
+
+
+def uncertain(text: Column, logprob: Column, least: float, most_words: int = 2) -> Column:
+    """Whether a transcript is short and of low confidence."""
+    return word_count(text).between(1, most_words) & (logprob < least)
+
+
+def weak_definitions(questions: DataFrame, found: DataFrame, least: int = 3) -> DataFrame:
+    """id, escalate: questions (id, text) that ask for a definition while what was found (id, source) has too few sources."""
+    n = found.groupBy("id").agg(F.count_distinct("source").alias("n"))
+    return questions.join(n, "id", "left").select("id", (asks_definition(F.col("text")) & (F.coalesce("n", F.lit(0)) < least)).alias("escalate"))
+
+
+def matching(requests: DataFrame, candidates: DataFrame, flexible: bool = False) -> DataFrame:
+    """request, candidate: the candidates (candidate, text) that have a keyword of a request (request, text), or its plural
+    where `flexible`. A request without any usable keyword accepts all."""
+    form = stem if flexible else lambda t: t
+    keys = requests.select("request", F.transform(keywords(F.coalesce("text", F.lit(""))), form).alias("ks"))
+    words = candidates.select("candidate", F.explode(F.array_distinct(F.transform(tokens(F.coalesce("text", F.lit(""))), form))).alias("k"))
+    hits = words.join(keys.select("request", F.explode(F.array_distinct("ks")).alias("k")), "k").select("request", "candidate").distinct()
+    # these accept everything: that is their result
+    return hits.unionByName(keys.filter(F.size("ks") == 0).select("request").join(candidates.select("candidate"), F.lit(True)))

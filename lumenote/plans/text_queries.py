@@ -77,10 +77,21 @@ def c6b(spark, d):
     return values(spark, "w string", PLURALS).select("w", T.stem(T.normalised(F.col("w"))).alias("stem"))
 
 
-@query("c14_slugs", "SELECT item_id, regexp_replace(regexp_replace(trim(lower(strip_accents(left(text, 60)))), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM benchmark")
+SLUG = "regexp_replace(regexp_replace(trim(lower(strip_accents(title))), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
+
+
+@query(
+    "c14_slugs",
+    f"""WITH t AS (SELECT doc_id, trim(regexp_replace(CASE WHEN doc_id % 3 = 0 THEN '## ' || regexp_extract(coalesce(text, ''), '^([^\r\n]*)', 1) ELSE regexp_extract(coalesce(text, ''), '^([^\r\n]*)', 1) END, '^#+', '')) AS title FROM documents),
+    s AS (SELECT doc_id, {SLUG} AS s FROM t), c AS (SELECT doc_id, s, length(s) > 40 AS long, strpos(reverse(left(s, 41)), '_') AS back FROM s),
+    k AS (SELECT doc_id, CASE WHEN NOT long THEN s WHEN back > 0 AND 41 - back > 20 THEN left(s, 41 - back) ELSE left(s, 40) END AS s FROM c)
+    SELECT doc_id, coalesce(nullif(regexp_replace(s, '^_+|_+$', '', 'g'), ''), 'atomo') AS slug FROM k""",
+)
 def c14(spark, d):
-    plain = T.normalised(F.substring("text", 1, 60))
-    return table(spark, d, "benchmark").select("item_id", F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "_"), "^_+|_+$", "").alias("slug"))
+    """File names of all documents: of a third by a heading behind front matter, of the others by the first line."""
+    t = F.coalesce("text", F.lit(""))
+    note = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("---\norigem: x\n---\n## "), t)).otherwise(t)
+    return table(spark, d, "documents").select("doc_id", T.slug(T.heading(note)).alias("slug"))
 
 
 @query("c31_first_folder", "SELECT page_id, CASE WHEN len(p) > 1 THEN p[1] ELSE '(raiz)' END AS folder FROM (SELECT page_id, list_filter(string_split(regexp_replace(url, '^[a-z]+://', ''), '/'), lambda x: x <> '') AS p FROM pages)")

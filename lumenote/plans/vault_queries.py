@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import atoms as A
+from ..functions import requests as Q
 from ..functions import text as T
 from ..functions.folds import wikilinks
 from ..operators.tables import shared_dir
@@ -190,12 +191,26 @@ def c32(spark, d):
     return rows.select("doc_id", *A.note_metadata(F.col("path"), head["origem"], head["colhido_em"], text, "/Novo/", "Figuras"))
 
 
-@query("c33_embed_links", "SELECT page_id, CASE WHEN len(p) > 1 THEN url ELSE 'Figuras/' || p[1] || '/' || url END AS target, len(p) = 1 AS moved FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]*/', '') AS url, string_split(regexp_replace(url, '^[a-z]+://[^/]*/', ''), '/') AS p FROM pages)")
+FIGURE = "'Figuras/livro_' || page_id % 7 || '_p' || lpad(CAST(page_id % 10000 AS VARCHAR), 4, '0') || '_f' || page_id % 5 || '.webp'"
+
+
+@query(
+    "c33_embed_links",
+    f"""WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Figuras/pasta/x.webp' WHEN 1 THEN 'Figuras/sem_numero.webp' ELSE {FIGURE} END AS target, coalesce(url, '') AS url FROM pages),
+    n AS (SELECT page_id, target, url || ' Figuras/fora ![[' || target || '|x]] e [[Figuras/b]] [[Outra/Figuras/c]] [[d#Figuras/]]' AS note FROM p)
+    SELECT page_id, CASE WHEN page_id % 4 >= 2 THEN 'Figuras/livro_' || page_id % 7 || '/' || substr(target, 9) END AS corrected, md5(replace(note, '[[Figuras/', '[[Fig/')) AS note, CAST(2 AS INT) AS n, page_id % 4 = 0 OR page_id % 8 = 3 AS broken FROM n""",
+)
 def c33(spark, d):
-    """A flat figure link gets its folder; one that has a folder stays."""
-    target = F.regexp_replace("url", "^[a-z]+://[^/]*/", "")
-    flat = ~F.contains(target, F.lit("/"))
-    return table(spark, d, "pages").select("page_id", F.when(flat, F.concat(F.lit("Figuras/"), target, F.lit("/"), target)).otherwise(target).alias("target"), flat.alias("moved"))
+    """Flat figure links get their folder; a folder is renamed inside links only; links to moved files by path break."""
+    number = F.lpad((F.col("page_id") % 10000).cast("string"), 4, "0")
+    figure = F.concat(F.lit("Figuras/livro_"), F.col("page_id") % 7, F.lit("_p"), number, F.lit("_f"), F.col("page_id") % 5, F.lit(".webp"))
+    target = F.when(F.col("page_id") % 4 == 0, "Figuras/pasta/x.webp").when(F.col("page_id") % 4 == 1, "Figuras/sem_numero.webp").otherwise(figure)
+    rows = table(spark, d, "pages").select("page_id", target.alias("target"), F.coalesce("url", F.lit("")).alias("url"))
+    note = F.concat("url", F.lit(" Figuras/fora ![["), "target", F.lit("|x]] e [[Figuras/b]] [[Outra/Figuras/c]] [[d#Figuras/]]"))
+    moved = rows.filter("page_id % 8 = 3").select(F.col("target").alias("path")).unionByName(spark.createDataFrame([("Figuras/pasta/x.webp",)], "path string"))
+    broken = A.broken_links(rows.select("page_id", F.concat(F.lit("./"), "target").alias("target")), moved).select("page_id", F.lit(True).alias("broken"))
+    new = A.rewritten_embeds(note, "Figuras/", "Fig/")
+    return rows.join(broken, "page_id", "left").select("page_id", A.corrected_target(F.col("target")).alias("corrected"), F.md5(new["text"]).alias("note"), new["n"].alias("n"), F.coalesce("broken", F.lit(False)).alias("broken"))
 
 
 TERMS = ("the", "lorem", "tion", "des", "para", "und", "les")
@@ -222,13 +237,21 @@ def c36(spark, d):
     return rows.select("item_id", F.concat_ws(" ", "text", *more).alias("query"))
 
 
-FORMAT = ("the", "of", "and", "de", "la")
+STARTS = ("Procura na internet uma foto de ", "mostra um ", "tem imagem? ", "")
+ASKED_FOR = "CASE item_id % 4 WHEN 0 THEN 'Procura na internet uma foto de ' WHEN 1 THEN 'mostra um ' WHEN 2 THEN 'tem imagem? ' ELSE '' END || text || '?!'"
 
 
-@query("c37_request", f"SELECT item_id, CASE WHEN len(k) = 0 THEN text ELSE array_to_string(k, ' ') END AS request FROM (SELECT item_id, text, list_filter(string_split_regex(trim(text), '\\s+'), lambda w: NOT list_contains([{', '.join(repr(w) for w in FORMAT)}], trim(lower(strip_accents(w))))) AS k FROM benchmark)")
+@query(
+    "c37_request",
+    f"""WITH q AS (SELECT item_id, {ASKED_FOR} AS text FROM benchmark), k AS (SELECT item_id, text, list_filter(string_split_regex(trim(text), '\\s+'), lambda w: NOT list_contains({[*Q.FORMAT_WORDS, *Q.WEB_MARKS, *Q.REQUEST_VERBS]!r}, trim(lower(strip_accents(w))))) AS k,
+    regexp_replace(regexp_replace(regexp_replace(text, '[?!]+', ' ', 'g'), '\\s+', ' ', 'g'), '^[\\s.,;:—–"''“”‘’-]+|[\\s.,;:—–"''“”‘’-]+$', '', 'g') AS c FROM q),
+    w AS (SELECT *, string_split(c, ' ') AS ws FROM k), v AS (SELECT *, len(ws) > 1 AND list_contains({list(Q.ORDER_VERBS)!r}, lower(ws[1])) AS o FROM w)
+    SELECT item_id, CASE WHEN len(k) = 0 THEN text ELSE array_to_string(k, ' ') END AS subject, array_to_string(ws[CASE WHEN o AND len(ws) > 2 AND list_contains({list(Q.ARTICLES)!r}, lower(ws[2])) THEN 3 WHEN o THEN 2 ELSE 1 END:], ' ') AS request FROM v""",
+)
 def c37(spark, d):
-    kept = F.filter(F.split(F.trim("text"), r"\s+"), lambda w: ~T.normalised(w).isin(*FORMAT))
-    return table(spark, d, "benchmark").select("item_id", F.when(F.size(kept) == 0, F.col("text")).otherwise(F.array_join(kept, " ")).alias("request"))
+    start = F.element_at(F.array(*(F.lit(s) for s in STARTS)), (F.col("item_id") % 4 + 1).cast("int"))
+    said = F.concat(start, "text", F.lit("?!"))
+    return table(spark, d, "benchmark").select("item_id", Q.without_format(said).alias("subject"), Q.cleaned_request(said).alias("request"))
 
 
 @query("c40_paper_title", "SELECT page_id, CASE WHEN length(t) >= 8 THEN left(t, 120) ELSE coalesce(nullif(left(replace(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '(?i)\\.pdf$', ''), '_', ' '), 120), ''), 'paper') END AS title FROM (SELECT page_id, url, CASE WHEN length(s) > 25 THEN trim(regexp_replace(s, '\\s*[-|–]\\s*[^-|–]{0,30}$', '')) ELSE s END AS t FROM (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS s FROM pages))")
