@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators.tables import shared_dir
-from ..streaming import deliveries, monitors, quiet, schedule
+from ..streaming import deliveries, monitors, quiet, schedule, sentences
 from .base import query, table
 
 
@@ -143,11 +143,32 @@ def k8_stream(spark, d):
     return deliveries.delivery_states(sent, found).select("id", "state", F.date_format("acked_at", STAMP).alias("acked_at"), "refusals")
 
 
+@query("c19_spoken_sentences")
+def c19(spark, d):
+    """Every document as a reply that arrives in pieces of 40 to 400 characters, in three steps, some before their turn;
+    held against the sentences of the whole texts."""
+    own = quiet.state_session(spark)
+    docs = table(own, d, "documents").filter("doc_id IS NOT NULL").select("doc_id", "text")
+    pieces = sentences.pieces_of(docs, "doc_id", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(361)) + 40).cast("int"))
+    pieces = pieces.withColumn("slice", F.pmod(F.xxhash64("doc_id", "seq"), F.lit(STEPS)).cast("int"))
+    folder = f"{shared_dir(spark)}/stream-spoken-{uuid.uuid4().hex}"
+    out = []
+    monitors.replayed(pieces, STEPS, folder, lambda stream, state: out.append(monitors.available_now(sentences.spoken(stream, "doc_id"), f"{folder}/out", state)))
+    return out[-1].select("doc_id", "nth", F.md5("sentence").alias("sentence"))
+
+
+LATE = f"SELECT *, least(slice + CASE WHEN event_id % 20 = 0 THEN 1 ELSE 0 END, {STEPS - 1}) AS step FROM ({SLICED})"
+
+
 @query(
     "k12_hourly_with_late_data",
-    f"SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, count(*) AS n FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= {CLOSED} GROUP BY 1, 2",
+    f"""WITH e AS ({LATE}), m AS (SELECT step, max(ts) AS t FROM e GROUP BY step), w AS (SELECT step, max(t) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 10 MINUTE AS w FROM m),
+    k AS (SELECT event_type, date_trunc('hour', ts) AS hour FROM e JOIN w USING (step) WHERE w IS NULL OR date_trunc('hour', ts) + INTERVAL 1 HOUR > w)
+    SELECT event_type, strftime(hour, '%Y-%m-%d %H:%M') AS hour, count(*) AS n FROM k WHERE hour + INTERVAL 1 HOUR <= {CLOSED} GROUP BY 1, 2""",
 )
 def k12(spark, d):
-    """One file is one micro-batch, so no row is late; only windows still open at its end stay in the state."""
-    found = run(spark, d, "hourly", lambda e: monitors.hourly(e, "event_type"))
+    """Every twentieth event comes a step late. What the watermark has passed by then is dropped, not counted."""
+    rows = sliced(spark, d)
+    rows = rows.withColumn("slice", F.least(F.col("slice") + (F.col("event_id") % 20 == 0).cast("int"), F.lit(STEPS - 1)))
+    found = in_steps(rows, "hourly", lambda e: monitors.hourly(e, "event_type"))
     return found.select("event_type", F.date_format("hour", "yyyy-MM-dd HH:mm").alias("hour"), "n")
