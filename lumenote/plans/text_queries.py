@@ -69,12 +69,15 @@ def c6(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(F.array_join(F.transform(T.tokens(F.col("text")), T.stem), " ")).alias("stems_md5"))
 
 
-PLURALS = [("flores",), ("animais",), ("balões",), ("pães",), ("mãos",), ("homens",), ("tricomas",), ("gás",), ("sol",), ("",), ("Brácteas",)]
+#: Endings of plurals and others, put on every word of the corpus, which lacks most of them.
+ENDINGS = ("s", "es", "is", "ns", "oes", "aes", "aos", "a")
 
 
-@query("c6_plural_forms", f"SELECT w, CASE WHEN n IS NULL THEN NULL ELSE {stem_sql('n')} END AS stem FROM (SELECT w, trim(lower(strip_accents(w))) AS n FROM {sql_values('w', PLURALS)})")
+@query("c6_plural_forms", f"SELECT w, {stem_sql('w')} AS stem FROM (SELECT t || unnest({list(ENDINGS)!r}) AS w FROM (SELECT DISTINCT unnest({TOKENS}) AS t FROM documents)) GROUP BY w")
 def c6b(spark, d):
-    return values(spark, "w string", PLURALS).select("w", T.stem(T.normalised(F.col("w"))).alias("stem"))
+    words = table(spark, d, "documents").select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("t")).distinct()
+    forms = words.select(F.explode(F.transform(T.words_array(ENDINGS), lambda e: F.concat("t", e))).alias("w")).distinct()
+    return forms.select("w", T.stem(F.col("w")).alias("stem"))
 
 
 SLUG = "regexp_replace(regexp_replace(trim(lower(strip_accents(title))), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
