@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import any_of, normalised, words_array
+from .text import any_of, let, normalised, tokens, without_accents, words_array
 
 # Function words, whose presence tells a sentence's language.
 ENGLISH = (
@@ -135,3 +135,68 @@ def first_yes(answer: Column) -> Column:
     bare = F.regexp_replace(answer, r"^\s+|\s+$", "")
     reason = F.regexp_replace(F.regexp_replace(F.substring(bare, F.lit(4), F.length(bare)), r"^[ :.\t\n-]+", ""), r"^\s+|\s+$", "")
     return F.when(normalised(answer).startswith("sim"), F.when(reason == "", "contradição detectada (sem detalhe)").otherwise(reason))
+
+
+# Words that announce a quoted phrase, and what may stand between; phrases that ask what is known of a theme.
+QUOTING = ("expressao", "expressoes", "frase", "frases", "ditado", "ditados", "giria", "girias", "proverbio", "proverbios", "dito", "ditado popular", "jargao")
+BETWEEN = ("que", "diz", "e", ":")
+SYNTHESIS = (
+    "o que eu sei sobre", "o que sei sobre", "o que eu tenho sobre", "o que tenho sobre", "tudo que eu sei sobre", "tudo que sei sobre", "tudo sobre", "resuma o que",
+    "faca uma sintese sobre", "faz uma sintese sobre", "sintese sobre", "sintetiza sobre", "me resuma sobre", "resuma sobre", "resuma tudo sobre",
+)
+# Phrases that tell how long an answer should be, of normalised text.
+CHILD = (
+    "para uma crianca", "pra uma crianca", "para crianca", "pra crianca", "como uma crianca", "como para uma crianca", "como se eu fosse crianca", "como se eu fosse uma crianca",
+    "como se eu tivesse 5 anos", "como se eu tivesse cinco anos", "modo crianca", "explica como crianca", "para leigos", "para um leigo", "como se eu fosse leigo", "para leigo",
+    "linguagem simples", "de forma bem simples", "de um jeito simples", "de um jeito bem simples", "bem simples", "de forma simples", "explica simples", "facil de entender", "eli5",
+)
+EXPLAINING = (
+    "explica", "explique", "explicar", "detalha", "detalhe", "detalhar", "discorra", "aprofunda", "aprofunde", "como funciona", "por que", "porque", "por quê", "pq ", "me ensina",
+    "ensina", "fale mais", "mais detalhes", "elabore", "passo a passo", "descreve", "descreva", "compara", "compare", "diferenca entre", "resuma", "resumo",
+)
+WIDE_STARTS = (
+    "o que e ", "o que sao ", "o que eu ", "o que voce ", "qual o melhor ", "qual a melhor ", "quais os melhores ", "quais as melhores ", "me fale sobre ", "fale sobre ",
+    "me fala sobre ", "fala sobre ", "me conte sobre ", "conte sobre ", "me diga sobre ",
+)
+WIDE_PARTS = (
+    "qual a diferenca", "qual e a diferenca", "quais as diferencas", "quais sao as diferencas", "diferenca entre", "diferencas entre", "compare ", "comparado com", "em relacao a",
+)
+PLAIN_HOW = ("como esta", "como estao", "como vai", "como vao", "como se chama", "como se escreve", "como se diz", "como se fala")
+PLAIN_AMOUNT = ("quanto e ", "quanto eh ", "quanto custa", "quanto vale", "quanto fica", "quanto tem ", "quantos sao ", "quanto sao ", "quantas sao ")
+SHORT_QUESTION = 8
+
+
+def cited_phrase(question: Column) -> Column:
+    """The phrase that a question quotes: what follows the first announcing word with three words or more behind it. Empty without one."""
+    words = F.split(F.regexp_replace(F.regexp_replace(question, r"(?U)^\s+|\s+$", ""), "[?.!]+$", ""), r"(?U)\s+")
+
+    def behind(ws: Column) -> Column:
+        def rest(w: Column, i: Column) -> Column:
+            after = F.slice(ws, i + 2, F.size(ws))
+            first = F.array_position(F.transform(after, lambda x: ~normalised(x).isin(*BETWEEN)), F.lit(True))
+            return F.when(normalised(w).isin(*QUOTING) & (first > 0), F.slice(after, F.greatest(first, F.lit(1)), F.size(ws))).otherwise(F.array().cast("array<string>"))
+
+        long = F.filter(F.transform(ws, rest), lambda r: F.size(r) >= 3)
+        return F.coalesce(F.regexp_replace(F.array_join(F.get(long, F.lit(0)), " "), "^[ :\"']+|[ :\"']+$", ""), F.lit(""))
+
+    return let(words, behind)
+
+
+def synthesis_theme(question: Column) -> Column:
+    """What a request for all that is known is about, in its own spelling; null if it is no such request or names nothing."""
+    plain = F.lower(without_accents(question))
+    rule = F.lit(None).cast("string")
+    for phrase in reversed(SYNTHESIS):
+        at = F.locate(phrase, plain)
+        rule = F.when(at > 0, F.substring(question, at + len(phrase), F.length(question))).otherwise(rule)
+    edge = "^[ ?.!:,\"']+|[ ?.!:,\"']+$"
+    theme = F.regexp_replace(F.regexp_replace(rule, edge, ""), r"(?i)^(?:o|a|os|as|meu|minha|sobre|tema|assunto)\s+", "")
+    return F.nullif(F.trim(theme), F.lit(""))
+
+
+def verbosity(question: Column) -> Column:
+    """How long an answer should be: crianca, detalhado, curto or normal; the first class that holds."""
+    n = normalised(question)
+    starts = lambda phrases: n.rlike("^(" + any_of(phrases) + ")")
+    wide = starts(WIDE_STARTS) | n.rlike(any_of(WIDE_PARTS)) | (n.startswith("como ") & ~starts(PLAIN_HOW)) | (starts(("quanto", "quantas")) & ~starts(PLAIN_AMOUNT))
+    return F.when(n.rlike(any_of(CHILD)), "crianca").when(n.rlike(any_of(EXPLAINING)) | wide, "detalhado").when(F.size(tokens(question)) <= SHORT_QUESTION, "curto").when(n.isNotNull(), "normal")

@@ -6,14 +6,16 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import jsons, when
+from ..functions import captions, jsons, when
+from ..functions import language as L
 from ..operators import linking
 from ..operators import ranking as R
 from ..operators.tables import shared_dir
 from ..sources import store
 from .base import query, table
 from .ranking_queries import DISTANCE
-from .text_queries import KEYWORDS, STOP, TOKENS
+from .text_queries import KEYWORDS, NORM, STOP, TOKENS
+from .vault_queries import notes
 
 CONCEPT = "lower(p_name || ' ' || p_type)"
 
@@ -99,3 +101,52 @@ def g15(spark, d):
     now = F.timestamp_seconds(F.lit(1_784_300_000) + F.col("conv_id") * 7919 + F.col("turn") * 601)
     rows = table(spark, d, "conversations").select("conv_id", "turn", when.due(F.concat(F.lit("me lembra "), way, F.lit(": "), F.coalesce("text", F.lit(""))), now).alias("due"))
     return rows.select("conv_id", "turn", F.date_format(F.col("due.at").cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("at"), F.col("due.recurrence").alias("recurrence"))
+
+
+@query("c41_captions")
+def c41(spark, d):
+    """Documents as pages of a book with two captions and mentions of figures; held against a plain version."""
+    t = F.coalesce("text", F.lit(""))
+    k = F.col("doc_id") % 4
+    page = F.concat(F.lit("Figura "), k.cast("string"), F.lit(".1 — "), F.substring(t, 1, 70), F.lit("\n"), t, F.lit("\nFIG. 2.1: segunda  legenda\nO texto diz muito mais (Figura 3-2). E isto se vê na figura 2.1"))
+    rows = table(spark, d, "documents").select("doc_id", k.alias("figures"), captions.page_captions(page).alias("found"))
+    labels = F.transform("found", lambda x: x["caption"])
+    return rows.select("doc_id", F.array_join(F.transform("found", lambda x: x["number"]), ",").alias("numbers"), F.md5(captions.caption_of(labels, F.lit(1), F.col("figures"))).alias("caption"))
+
+
+@query("c42_swapped_captions")
+def c42(spark, d):
+    """Every note gets its line as title and body, and a new caption; held against a plain version."""
+    rows = notes(spark, d).withColumn("line", F.regexp_replace("text", r"\s+", " "))
+    body = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\n\n"), "line")).otherwise(F.lit("\n![[f.webp]]"))
+    head = F.concat(F.lit("---\norigem: "), "origem", F.lit("\n---\n## "), F.substring("line", 1, 120), body, F.lit("\n**Malha Neural:** [[x]]"))
+    new = F.when(F.col("doc_id") % 5 > 0, F.concat(F.lit("Nova legenda "), F.col("doc_id").cast("string")))
+    return rows.select("doc_id", F.md5(captions.note_caption(head)).alias("caption"), F.md5(captions.swapped(head, new)).alias("note"))
+
+
+ASKING = ("Qual é a expressão que diz ", "O que eu sei sobre o ", "Como se diz ", "Quanto tempo leva ", "Explica ", "")
+
+
+@query("c38_cited_phrases")
+def c38(spark, d):
+    """Every turn as a question with one of the beginnings; held against a plain version."""
+    start = F.element_at(F.array(*(F.lit(a) for a in ASKING)), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(ASKING))) + 1).cast("int"))
+    said = F.concat(start, F.coalesce("text", F.lit("")), F.lit("?"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(L.cited_phrase(said)).alias("phrase"), F.md5(L.synthesis_theme(said)).alias("theme"))
+
+
+def _any(phrases, n, how="contains"):
+    return f"len(list_filter({list(phrases)!r}, lambda p: {how}({n}, p))) > 0"
+
+
+@query(
+    "d34_verbosity",
+    f"""WITH q AS (SELECT conv_id, turn, {list(ASKING)!r}[1 + (conv_id + turn) % {len(ASKING)}] || CASE WHEN turn % 2 = 0 THEN left(coalesce(text, ''), 40) ELSE coalesce(text, '') END || '?' AS text FROM conversations), t AS (SELECT conv_id, turn, {NORM} AS n, len({TOKENS}) AS k FROM q)
+    SELECT conv_id, turn, CASE WHEN {_any(L.CHILD, 'n')} THEN 'crianca' WHEN {_any(L.EXPLAINING, 'n')} OR {_any(L.WIDE_STARTS, 'n', 'starts_with')} OR {_any(L.WIDE_PARTS, 'n')} OR (starts_with(n, 'como ') AND NOT {_any(L.PLAIN_HOW, 'n', 'starts_with')})
+      OR ((starts_with(n, 'quanto') OR starts_with(n, 'quantas')) AND NOT {_any(L.PLAIN_AMOUNT, 'n', 'starts_with')}) THEN 'detalhado' WHEN k <= 8 THEN 'curto' ELSE 'normal' END AS level FROM t""",
+)
+def d34(spark, d):
+    start = F.element_at(F.array(*(F.lit(a) for a in ASKING)), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(ASKING))) + 1).cast("int"))
+    text = F.coalesce("text", F.lit(""))
+    said = F.concat(start, F.when(F.col("turn") % 2 == 0, F.substring(text, 1, 40)).otherwise(text), F.lit("?"))
+    return table(spark, d, "conversations").select("conv_id", "turn", L.verbosity(said).alias("level"))
