@@ -33,3 +33,18 @@ def owner_root(paths: DataFrame, roots: DataFrame) -> DataFrame:
 def clones(docs: DataFrame, key: Column, order: str) -> DataFrame:
     """Every row with its place among rows of equal key; place 1 is kept."""
     return docs.withColumn("place", F.row_number().over(Window.partitionBy(F.md5(key)).orderBy(order)))
+
+
+def siblings(rows: DataFrame, seeds: DataFrame, id_column: str, group: list[str], text: str, most: int) -> DataFrame:
+    """seed, id_column: of each seed the `most` rows of its group with the smallest ids whose text is another one.
+
+    Seeds meet a bounded list of their group, whatever its size: of each text the first `most` rows, and of these the first
+    2 * most, for at most half of them have the seed's own text. Rows with a null in group or text have no siblings.
+    """
+    known = rows.select(id_column, *group, text).dropna(subset=[*group, text])
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(id_column))
+    few = known.withColumn("_n", nth(*group, text)).filter(F.col("_n") <= most).drop("_n")
+    few = few.withColumn("_n", nth(*group)).filter(F.col("_n") <= 2 * most).drop("_n")
+    asked = seeds.select(F.col(id_column).alias("seed"), *group, F.col(text).alias("_own"))
+    met = asked.join(few, group).filter(F.col(text) != F.col("_own"))
+    return met.withColumn("_n", nth("seed")).filter(F.col("_n") <= most).select("seed", id_column)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import language as L
 from ..functions import text as T
+from ..operators.index import siblings
 from .base import query, table
 from .text_queries import KEYWORDS, NORM
 
@@ -56,11 +57,8 @@ def a12(spark, d):
 
 @query("e3_siblings", "SELECT a.doc_id AS seed, b.doc_id AS sibling FROM documents a JOIN documents b ON a.source = b.source AND a.lang = b.lang AND a.text <> b.text WHERE a.doc_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY a.doc_id ORDER BY b.doc_id) <= 12")
 def e3(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source", "lang", "text")
-    seeds = docs.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("seed"), "source", "lang", F.col("text").alias("own"))
-    same = docs.join(seeds, ["source", "lang"]).filter("text <> own")
-    w = Window.partitionBy("seed").orderBy("doc_id")
-    return same.withColumn("r", F.row_number().over(w)).filter("r <= 12").select("seed", F.col("doc_id").alias("sibling"))
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", F.md5("text").alias("text"))
+    return siblings(docs, docs.filter("doc_id % 50 = 0"), "doc_id", ["source", "lang"], "text", 12).select(F.col("seed").alias("seed"), F.col("doc_id").alias("sibling"))
 
 
 @query("e15_conversation_match", f"WITH q AS (SELECT item_id, unnest({KEYWORDS}) AS k FROM benchmark), c AS (SELECT DISTINCT conv_id, unnest({KEYWORDS}) AS k FROM conversations), s AS (SELECT item_id, conv_id, count(*) AS shared FROM q JOIN c USING (k) GROUP BY 1, 2) SELECT item_id, conv_id, shared FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, conv_id DESC) = 1")

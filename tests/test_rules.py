@@ -80,3 +80,16 @@ def test_weak_definitions(spark):
     asked = spark.createDataFrame([(1, "O que é luz?"), (2, "O que é rio?"), (3, "o que é meu rio"), (4, "explique mar")], "id long, text string")
     found = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "a"), (2, "b"), (2, "c"), (3, "a")], "id long, source string")
     assert {r.id: r.escalate for r in classify.weak_definitions(asked, found).collect()} == {1: True, 2: False, 3: False, 4: True}
+
+
+def test_siblings(spark):
+    from lumenote.operators.index import siblings
+
+    rows = [(i, "a" if i < 40 else "b", "igual" if i % 4 else f"texto {i}") for i in range(60)] + [(100, "a", None), (101, None, "x"), (7, "a", "igual")]
+    df = spark.createDataFrame(rows, "id long, g string, t string").repartition(3)
+    seeds = df.filter("id IN (0, 1, 50, 100, 101)")
+    got = {}
+    for r in siblings(df, seeds, "id", ["g"], "t", 5).collect():
+        got.setdefault(r.seed, []).append(r.id)
+    want = {s: sorted(i for i, g, t in rows if g == dict((i, g) for i, g, _ in rows)[s] and t and t != own)[:5] for s, own in ((0, "texto 0"), (1, "igual"), (50, "igual"))}
+    assert {s: sorted(x) for s, x in got.items()} == want
