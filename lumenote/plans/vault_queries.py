@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import atoms as A
 from ..functions import requests as Q
 from ..functions import text as T
+from ..functions import vocabulary as V
 from ..functions.folds import wikilinks
 from ..operators.tables import shared_dir
 from ..sources import calendar
@@ -120,12 +121,23 @@ def b8(spark, d):
     return docs.join(last, "k").select("doc_id", F.when(F.col("doc_id") == F.col("last"), "live").otherwise("archived").alias("state"))
 
 
-@query("b11_turn_records", "SELECT conv_id, count(*) AS turns, sum(length(text)) AS chars, md5(string_agg(text, '' ORDER BY turn)) AS spoken FROM conversations GROUP BY conv_id")
+SHOWN = "CASE WHEN turn % 3 = 1 THEN '![[Figuras/livro/fig.' || turn || '.webp]]' ELSE '' END"
+
+
+@query(
+    "b11_turn_records",
+    f"""WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text, coalesce(text, '') || {SHOWN} AS said FROM conversations), p AS (SELECT *, coalesce(sum(length(said)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(text) AS place FROM t)
+    SELECT conv_id, count(*) AS turns, sum(length(said)) AS chars, md5(string_agg(said, '' ORDER BY turn)) AS spoken, coalesce(string_agg('fig.' || turn || '@' || place, ',' ORDER BY turn) FILTER (turn % 3 = 1), '') AS images FROM p GROUP BY conv_id""",
+)
 def b11(spark, d):
-    # a conversation is one record, and read as one
+    """A conversation is one record: what was on screen, and where in it the pictures stand."""
+    picture = F.when(F.col("turn") % 3 == 1, F.concat(F.lit("![[Figuras/livro/fig."), F.col("turn"), F.lit(".webp]]"))).otherwise("")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), picture).alias("text"))
     turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    each = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.length("text")).alias("chars"), turns.alias("t"))
-    return each.select("conv_id", "turns", "chars", F.md5(F.array_join(F.transform("t", lambda x: x["text"]), "")).alias("spoken"))
+    each = rows.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.length("text")).alias("chars"), turns.alias("t"))
+    each = each.withColumn("screen", F.array_join(F.transform("t", lambda x: x["text"]), ""))
+    images = F.array_join(F.transform(V.shown_images(F.col("screen")), lambda x: F.concat_ws("@", x["file"], x["char"])), ",")
+    return each.select("conv_id", "turns", "chars", F.md5("screen").alias("spoken"), images.alias("images"))
 
 
 @query("c10_wikilinks", "WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), '. '), lambda x: trim(regexp_replace(regexp_replace(x, '[\\[\\]|\\n]', '', 'g'), '\\s+', ' ', 'g'))), lambda x: trim(lower(strip_accents(x))) <> '') AS xs FROM documents), k AS (SELECT doc_id, xs, list_transform(xs, lambda x: trim(lower(strip_accents(x)))) AS ks FROM l) SELECT doc_id, md5(array_to_string(list_filter(xs, lambda x, i: list_position(ks, ks[i]) = i), '|')) AS links FROM k")
@@ -216,25 +228,25 @@ def c33(spark, d):
 TERMS = ("the", "lorem", "tion", "des", "para", "und", "les")
 
 
-@query("c34_glossary", f"SELECT doc_id, term FROM (SELECT doc_id, unnest(list_distinct(string_split_regex(lower(text), '[^a-zà-ÿ0-9_]+'))) AS term FROM documents) WHERE term IN ({', '.join(repr(t) for t in TERMS)})")
+@query("c34_glossary", f"SELECT doc_id, array_to_string(list_filter({list(TERMS)!r}, lambda t: contains(n, ' ' || t || ' ')), ',') AS terms FROM (SELECT doc_id, ' ' || regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}\\p{{M}}_]+', '  ', 'g') || ' ' AS n FROM documents)")
 def c34(spark, d):
-    """Whole-word hits of the glossary: words are looked up in it, a small table of fixed size."""
-    terms = spark.createDataFrame([(t,) for t in TERMS], "term string")
-    words = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-zà-ÿ0-9_]+"))).alias("term"))
-    return words.join(F.broadcast(terms), "term").select("doc_id", "term")
+    """Whole-word hits of a glossary of seven terms in all documents."""
+    return table(spark, d, "documents").select("doc_id", F.array_join(V.glossary_terms(F.col("text"), list(TERMS)), ",").alias("terms"))
 
 
-BRIDGE = {"the": ["o", "a"], "und": ["e"], "les": ["os", "as"], "para": ["a fim de"]}
+BRIDGE = {"the": ["o", "a"], "und": ["e", "o"], "les": ["os", "as"], "para": ["a fim de"]}
 
 
-@query("c36_bridge", "SELECT item_id, text || list_reduce(list_prepend('', list_filter(list_transform([('the', ' o a'), ('und', ' e'), ('les', ' os as'), ('para', ' a fim de')], lambda p: CASE WHEN list_contains(w, p[1]) THEN p[2] ELSE '' END), lambda x: x <> '')), lambda a, b: a || b) AS query FROM (SELECT item_id, text, string_split_regex(lower(strip_accents(text)), '[^a-z0-9_]+') AS w FROM (SELECT item_id, 'xx ' || regexp_replace(strip_accents(text), '(?i)\\b(o|a|e|os|as|a fim de)\\b', 'y', 'g') AS text FROM benchmark))")
+@query(
+    "c36_bridge",
+    f"""WITH q AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'the ' WHEN item_id % 3 = 1 THEN 'und ' ELSE '' END || text AS text FROM benchmark), w AS (SELECT item_id, text, ' ' || regexp_replace(lower(strip_accents(text)), '[^\p{{L}}\p{{N}}_]+', '  ', 'g') || ' ' AS n FROM q),
+    p AS (SELECT item_id, text, list_distinct_in_order FROM (SELECT item_id, text, list_filter([{', '.join(f"CASE WHEN contains(n, ' {k} ') AND NOT contains(n, ' {x.replace(' ', '  ')} ') THEN '{x}' END" for k, xs in BRIDGE.items() for x in xs)}], lambda x: x IS NOT NULL) AS l, list_filter(l, lambda x, i: list_position(l, x) = i) AS list_distinct_in_order FROM w))
+    SELECT item_id, CASE WHEN len(list_distinct_in_order) = 0 THEN text ELSE text || ' ' || array_to_string(list_distinct_in_order, ' ') END AS query FROM p""",
+)
 def c36(spark, d):
-    """Words of the other vocabulary are added after the query, once each."""
-    text = F.concat(F.lit("xx "), F.regexp_replace(T.without_accents(F.col("text")), r"(?i)\b(o|a|e|os|as|a fim de)\b", "y"))
-    rows = table(spark, d, "benchmark").select("item_id", text.alias("text"))
-    plain = F.lower(T.without_accents(F.col("text")))
-    more = [F.when(plain.rlike(rf"\b{k}\b") & ~plain.rlike(rf"\b{s}\b"), s) for k, xs in BRIDGE.items() for s in xs]
-    return rows.select("item_id", F.concat_ws(" ", "text", *more).alias("query"))
+    """Words of the other vocabulary are added after the query, once each; two thirds of the items begin with one."""
+    start = F.when(F.col("item_id") % 3 == 0, "the ").when(F.col("item_id") % 3 == 1, "und ").otherwise("")
+    return table(spark, d, "benchmark").select("item_id", V.bridged(F.concat(start, "text"), BRIDGE).alias("query"))
 
 
 STARTS = ("Procura na internet uma foto de ", "mostra um ", "tem imagem? ", "")

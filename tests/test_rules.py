@@ -93,3 +93,16 @@ def test_siblings(spark):
         got.setdefault(r.seed, []).append(r.id)
     want = {s: sorted(i for i, g, t in rows if g == dict((i, g) for i, g, _ in rows)[s] and t and t != own)[:5] for s, own in ((0, "texto 0"), (1, "igual"), (50, "igual"))}
     assert {s: sorted(x) for s, x in got.items()} == want
+
+
+def test_vocabulary(spark):
+    from lumenote.functions import vocabulary
+
+    terms = ["pH", "mofo cinza", "a.b"]
+    hits = {"O ph do solo": [], "mofo  cinza e MOFO CINZA": ["mofo cinza"], "a.b, axb": ["a.b"], "mofo cinzas": [], "": []}
+    assert dict(zip(hits, each(spark, lambda t: vocabulary.glossary_terms(t, terms), hits), strict=True)) == hits
+    bridge = {"mildew": ["oídio", "mofo"], "mold": ["mofo", "bolor"]}
+    said = {"mildew": "mildew oídio mofo", "Mildew e mold": "Mildew e mold oídio mofo bolor", "mold com mofo": "mold com mofo bolor", "nada": "nada", "": "", "mildews": "mildews"}
+    assert dict(zip(said, each(spark, lambda t: vocabulary.bridged(t, bridge), said), strict=True)) == said
+    shown = {"![[a/b.webp]]x![[c.d.png]]": [("b", 0), ("c.d", 14)], "é ![[sem_fim": [], "🎉![[.oculto]] ![[p/q/r]]": [(".oculto", 1), ("r", 14)], "![[a|b]] [[c]]": [("a|b", 0)]}
+    assert [[tuple(x) for x in xs] for xs in each(spark, vocabulary.shown_images, shown)] == list(shown.values())
