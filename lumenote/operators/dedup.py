@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .near import earliest_near
+from .near import earliest_near, usable
 from .tables import dropped, stored
 
 
@@ -76,3 +76,16 @@ def hop_distances(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     return seen
 
 
+def consolidation_plan(rows: DataFrame, root: str, most: float, least: int = 3, groups: int = 50) -> DataFrame:
+    """leader, source, n: the groups of nearly equal notes below a root that one cycle merges.
+
+    rows: id, source (a path), vector. A source's first usable vector (by id) stands for it. Groups are those of `leaders`
+    with `least` members or more, the largest first (ties: the smaller leader), at most `groups` of them.
+    """
+    inside = F.regexp_replace(F.replace("source", F.lit("\\"), F.lit("/")), "/+", "/")
+    known = usable(rows.withColumn("_s", inside), "id", "vector", "_s").filter(F.col("_s").startswith(root.rstrip("/") + "/"))
+    first = stored(known.groupBy("_s").agg(F.min_by(F.struct("id", "v"), "id").alias("x")).select("x.id", "x.v", F.col("_s").alias("source")))
+    led = stored(leaders(first.select("id", "v"), most))
+    sizes = led.groupBy("leader").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    chosen = sizes.orderBy(F.desc("n"), "leader").limit(groups)
+    return led.join(F.broadcast(chosen), "leader").join(first.select("id", "source"), "id").select("leader", "source", "n")  # `groups` rows

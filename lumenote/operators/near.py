@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 BLOCK, MOST_CELLS = 4096, 1024
 
 
-def usable(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
-    """id, v of the vectors that have a direction."""
+def usable(vectors: DataFrame, id_column: str, vector: str, *more: str) -> DataFrame:
+    """id, v, and more columns, of the vectors that have a direction."""
     v = F.col(vector).cast("array<double>")
-    every = vectors.select(F.col(id_column).cast("long").alias("id"), v.alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
+    every = vectors.select(F.col(id_column).cast("long").alias("id"), v.alias("v"), *more).filter("id IS NOT NULL AND v IS NOT NULL")
     return every.filter("NOT exists(v, x -> x IS NULL) AND exists(v, x -> x <> 0)")
 
 

@@ -325,9 +325,10 @@ def j1(spark, d):
 
 @query("j7_consolidation")
 def j7(spark, d):
-    """Groups of three or more near vectors, largest first, for one cycle."""
-    groups = D.leaders(near.usable(vectors(spark, d), "vec_id", "embedding"), 0.7).groupBy("leader").agg(F.count("*").alias("n")).filter("n >= 3")
-    return groups.orderBy(F.desc("n"), "leader").limit(50)
+    """One cycle's groups of three or more near notes below a root; two vectors in turn are of one note, every fifth note lies elsewhere."""
+    source = F.concat(F.when(F.col("vec_id") % 5 == 0, "Figuras/").otherwise("Atomos/"), F.floor(F.col("vec_id") / 2).cast("string"), F.lit(".md"))
+    rows = vectors(spark, d).select(F.col("vec_id").alias("id"), source.alias("source"), F.col("embedding").alias("vector"))
+    return D.consolidation_plan(rows, "Atomos", 0.7)
 
 
 @query("g10_leaks")

@@ -239,7 +239,7 @@ BRIDGE = {"the": ["o", "a"], "und": ["e", "o"], "les": ["os", "as"], "para": ["a
 
 @query(
     "c36_bridge",
-    f"""WITH q AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'the ' WHEN item_id % 3 = 1 THEN 'und ' ELSE '' END || text AS text FROM benchmark), w AS (SELECT item_id, text, ' ' || regexp_replace(lower(strip_accents(text)), '[^\p{{L}}\p{{N}}_]+', '  ', 'g') || ' ' AS n FROM q),
+    f"""WITH q AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'the ' WHEN item_id % 3 = 1 THEN 'und ' ELSE '' END || text AS text FROM benchmark), w AS (SELECT item_id, text, ' ' || regexp_replace(lower(strip_accents(text)), '[^\\p{{L}}\\p{{N}}_]+', '  ', 'g') || ' ' AS n FROM q),
     p AS (SELECT item_id, text, list_distinct_in_order FROM (SELECT item_id, text, list_filter([{', '.join(f"CASE WHEN contains(n, ' {k} ') AND NOT contains(n, ' {x.replace(' ', '  ')} ') THEN '{x}' END" for k, xs in BRIDGE.items() for x in xs)}], lambda x: x IS NOT NULL) AS l, list_filter(l, lambda x, i: list_position(l, x) = i) AS list_distinct_in_order FROM w))
     SELECT item_id, CASE WHEN len(list_distinct_in_order) = 0 THEN text ELSE text || ' ' || array_to_string(list_distinct_in_order, ' ') END AS query FROM p""",
 )

@@ -115,3 +115,28 @@ def test_registered_index_search(spark):
     exact = ranking.nearest(table.filter("label < 6"), table.filter("vec_id % 50 = 0"), "vec_id", "embedding", 10)
     share = [r.recall for r in vector_index.recall(QUERIES["h2_index_search"](spark, f"{DATA}/sf0.1"), exact).collect()]
     assert len(share) == 40 and np.mean(share) >= 0.9
+
+
+def test_consolidation_plan(spark):
+    from lumenote.operators import dedup
+    from lumenote.plans.registry import QUERIES
+
+    rows = spark.read.parquet(f"{DATA}/sf0.001/embeddings.parquet").orderBy("vec_id").collect()
+    first = {}
+    for r in rows:
+        source = ("Figuras/" if r.vec_id % 5 == 0 else "Atomos/") + f"{r.vec_id // 2}.md"
+        if source.startswith("Atomos/"):
+            first.setdefault(source, (r.vec_id, np.array(r.embedding, float) / np.linalg.norm(r.embedding)))
+    led, of = [], {}
+    for source, (i, v) in sorted(first.items(), key=lambda x: x[1][0]):
+        leader = next((j for j, w in led if 1 - v @ w < 0.7), None)
+        if leader is None:
+            led.append((i, v))
+            leader = i
+        of.setdefault(leader, []).append(source)
+    groups = sorted(((-len(s), lead) for lead, s in of.items() if len(s) >= 3))[:50]
+    want = sorted((lead, s, -n) for n, lead in groups for s in of[lead])
+    got = sorted((r.leader, r.source, r.n) for r in QUERIES["j7_consolidation"](spark, f"{DATA}/sf0.001").collect())
+    assert got == want and len(got) > 10
+    odd = spark.createDataFrame([(1, "Atomos//a.md", [1.0, 0.0]), (2, "Atomos\\b.md", [1.0, 0.0]), (3, "Atomos/c.md", [1.0, 0.1]), (4, "Atomos/a.md", [0.0, 1.0]), (5, "AtomosX/d.md", [1.0, 0.0]), (6, None, [1.0, 0.0]), (7, "Atomos/e.md", None)], "id long, source string, vector array<double>")
+    assert sorted(map(tuple, dedup.consolidation_plan(odd, "Atomos/", 0.1).collect())) == [(1, "Atomos/a.md", 3), (1, "Atomos/b.md", 3), (1, "Atomos/c.md", 3)]
