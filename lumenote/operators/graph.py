@@ -38,11 +38,15 @@ def connectivity(edges: DataFrame, most_df: int) -> DataFrame:
     return concepts.crossJoin(F.broadcast(atoms.agg(F.count_if(F.col("top") == 1).alias("inert"), F.round(F.avg("links"), 6).alias("links_per_atom"))))
 
 
+def pairs_within(sets: DataFrame) -> DataFrame:
+    """a, b, n: rows whose array cs (sorted, distinct) holds both (a < b)."""
+    first = sets.select("cs", F.posexplode("cs").alias("i", "a"))
+    return first.select("a", F.explode(F.slice("cs", F.col("i") + 2, F.size("cs"))).alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
 def cooccurrence(edges: DataFrame, least: int = 1) -> DataFrame:
     """a, b, n: atoms that hold both concepts (a < b). Pairs are formed within an atom's concepts only."""
-    sets = edges.groupBy("atom").agg(F.array_sort(F.collect_set("concept")).alias("cs"))
-    first = sets.select("cs", F.posexplode("cs").alias("i", "a"))
-    return first.select("a", F.explode(F.slice("cs", F.col("i") + 2, F.size("cs"))).alias("b")).groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return pairs_within(edges.groupBy("atom").agg(F.array_sort(F.collect_set("concept")).alias("cs"))).filter(F.col("n") >= least)
 
 
 def bridges(edges: DataFrame, least_df: int, most_together: int) -> DataFrame:
