@@ -123,7 +123,7 @@ def _best_concepts(names: pa.Array, each: pa.Table, closest: pa.Table, top: pa.T
                 row = row[order]
                 nth = np.arange(len(row)) - np.searchsorted(row, row) + 1
                 kept = order[nth <= most]
-                yield pa.RecordBatch.from_arrays([batch.column("note").take(pa.array(key[kept] // max(1, len(names)))), names.take(pa.array(concept[kept])), pa.array(score[kept]), pa.array(nth[nth <= most].astype(np.int32))], names=["note", "concept", "score", "place"])
+                yield pa.RecordBatch.from_arrays([batch.column("note").take(pa.array(key[kept] // max(1, len(names)))), names.take(pa.array(concept[kept])), pa.array(score[kept], pa.float64()), pa.array(nth[nth <= most].astype(np.int32))], names=["note", "concept", "score", "place"])
 
     return run
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import folds, pii
 from ..functions.text import tokens
 from ..operators import ordered
+from ..operators.tables import stored
 from . import ranking_queries
 from .base import query, table
 from .text_queries import TOKENS
@@ -26,8 +27,10 @@ def d12(spark, d):
 
 def candidates(spark, d, **columns):
     """item_id, items (id and columns of the whole documents, best first): what h11 finds for an item, at most 40."""
-    found = ranking_queries.h11(spark, d).select("item_id", F.col("doc_id").alias("id"), (-F.col("score")).alias("order"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), *(c.alias(k) for k, c in columns.items()))
+    # stored, so that its size is known and the documents are not shuffled to meet it
+    found = stored(ranking_queries.h11(spark, d).select("item_id", F.col("doc_id").alias("id"), (-F.col("score")).alias("order")), "found")
+    docs = table(spark, d, "documents").join(found.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    docs = docs.select(F.col("doc_id").alias("id"), *(c.alias(k) for k, c in columns.items()))
     lists = found.join(docs, "id").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("order", "id", *columns))).alias("items"))
     return lists.select("item_id", F.transform("items", lambda x: F.struct(*(x[k].alias(k) for k in ("id", *columns)))).alias("items"))
 
