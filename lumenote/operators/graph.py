@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import stored
+
+#: Pairs of a task, about.
+TASK_PAIRS = 1 << 20
+
 
 def with_idf(edges: DataFrame) -> DataFrame:
     """concept, df, idf = ln(atoms / df)."""
@@ -38,15 +43,51 @@ def connectivity(edges: DataFrame, most_df: int) -> DataFrame:
     return concepts.crossJoin(F.broadcast(atoms.agg(F.count_if(F.col("top") == 1).alias("inert"), F.round(F.avg("links"), 6).alias("links_per_atom"))))
 
 
-def pairs_within(sets: DataFrame) -> DataFrame:
-    """a, b, n: rows whose array cs (sorted, distinct) holds both (a < b)."""
+def pairs_within(sets: DataFrame, pairs: int | None = None) -> DataFrame:
+    """a, b, n: rows whose array cs (sorted, distinct) holds both (a < b). pairs: how many are formed, for bounded tasks."""
     first = sets.select("cs", F.posexplode("cs").alias("i", "a"))
-    return first.select("a", F.explode(F.slice("cs", F.col("i") + 2, F.size("cs"))).alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    each = first.select("a", F.explode(F.slice("cs", F.col("i") + 2, F.size("cs"))).alias("b"))
+    if pairs is not None:
+        each = each.repartition(1 + pairs // TASK_PAIRS, "a", "b")
+    return each.groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def cooccurrence(edges: DataFrame, least: int = 1) -> DataFrame:
-    """a, b, n: atoms that hold both concepts (a < b). Pairs are formed within an atom's concepts only."""
-    return pairs_within(edges.groupBy("atom").agg(F.array_sort(F.collect_set("concept")).alias("cs"))).filter(F.col("n") >= least)
+    """a, b, n: atoms that hold both concepts (a < b). Pairs are formed within an atom's concepts only.
+
+    The number of tasks follows that of the pairs, so a task's memory does not grow. Pairs are mostly met once: counting
+    them before they are shuffled would hold them and spare nothing.
+    """
+    sets = stored(edges.groupBy("atom").agg(F.array_sort(F.collect_set("concept")).alias("cs")), "sets")
+    n = F.size("cs").cast("long")
+    return pairs_within(sets, sets.agg(F.coalesce(F.sum(n * (n - 1) / 2), F.lit(0.0)).cast("long").alias("n")).first().n).filter(F.col("n") >= least)
+
+
+def shared_neighbours(edges: DataFrame, most_concepts: int = 64) -> DataFrame:
+    """atom, neighbours: the number of other atoms that share a concept with it; atoms without any have no row.
+
+    Each concept offers its other atoms, which is a count. One that shares m concepts was offered m times, so m - 1 are
+    taken off: such atoms hold a pair of concepts that several hold, and only these are met. Atoms of more than
+    `most_concepts` are met by their concepts, one for one, and both sides' counts are put right.
+    """
+    edges = stored(edges.filter("concept IS NOT NULL AND atom IS NOT NULL").distinct(), "edges")
+    df = edges.groupBy("concept").agg(F.count("*").alias("df"))
+    offered = edges.join(df, "concept").groupBy("atom").agg(F.sum(F.col("df") - 1).alias("n"))
+    sets = stored(edges.groupBy("atom").agg(F.array_sort(F.collect_set("concept")).alias("cs")).filter("size(cs) > 1"), "sets")
+    narrow, wide = sets.filter(F.size("cs") <= most_concepts), sets.filter(F.size("cs") > most_concepts)
+    first = narrow.select("atom", "cs", F.posexplode("cs").alias("i", "a"))
+    held = first.select("atom", "a", F.explode(F.slice("cs", F.col("i") + 2, F.size("cs"))).alias("b"))
+    several = held.groupBy("a", "b").agg(F.count("*").alias("k")).filter("k > 1").select("a", "b")
+    both = stored(held.join(several, ["a", "b"]), "pairs")
+    other = both.select(F.col("atom").alias("other"), "a", "b")
+    met = both.join(other, ["a", "b"]).filter("atom <> other").groupBy("atom", "other").agg(F.size(F.array_distinct(F.flatten(F.collect_list(F.array("a", "b"))))).alias("m"))
+    far = edges.join(wide.select("atom"), "atom", "left_semi").withColumnRenamed("atom", "other")
+    mixed = edges.join(far, "concept").filter("atom <> other").groupBy("atom", "other").agg(F.count("*").alias("m"))
+    # a pair of wide atoms is met from both sides, one of a wide and a narrow one from the wide side only
+    back = mixed.join(wide.select("atom"), "atom", "left_anti").select(F.col("other").alias("atom"), F.col("atom").alias("other"), "m")
+    less = met.unionByName(mixed).unionByName(back).filter("m > 1").groupBy("atom").agg(F.sum(F.col("m") - 1).alias("less"))
+    left = offered.join(less, "atom", "left").select("atom", (F.col("n") - F.coalesce("less", F.lit(0))).alias("neighbours"))
+    return left.filter("neighbours > 0")
 
 
 def bridges(edges: DataFrame, least_df: int, most_together: int) -> DataFrame:

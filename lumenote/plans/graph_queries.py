@@ -31,9 +31,7 @@ def f2(spark, d):
 
 @query("e1_shared_concepts", EDGES + "SELECT a.atom AS atom, count(DISTINCT b.atom) AS neighbours FROM e a JOIN e b ON a.concept = b.concept AND a.atom <> b.atom GROUP BY a.atom")
 def e1(spark, d):
-    e = edges(spark, d).distinct()
-    other = e.select(F.col("atom").alias("other"), "concept")
-    return e.join(other, "concept").filter("atom <> other").groupBy("atom").agg(F.count_distinct("other").alias("neighbours"))
+    return G.shared_neighbours(edges(spark, d))
 
 
 @query("e2_neighbours", EDGES + ", s AS (SELECT DISTINCT concept FROM e WHERE atom <= 10) SELECT atom, round(sum(idf), 6) AS score FROM e JOIN s USING (concept) JOIN i USING (concept) WHERE atom > 10 AND idf >= 1.5 GROUP BY atom")
