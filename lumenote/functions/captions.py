@@ -11,6 +11,8 @@ from .text import let
 LINE = r"(?imu)^\s*(?:figuras?|fig\.?)\s*([\dA-Z]+(?:[.\-]\d+)?)\s*[—\-–:.]\s*(.{4,300})"
 MENTION = r"(?iu)([^.\n]{15,200}?\(?\s*(?:figuras?|fig\.?)\s*([\dA-Z]+(?:[.\-]\d+)?)\s*\)?)"
 MOST, MOST_TITLE = 300, 120
+# What a mention may take of the text behind `fig` and, in characters, before it, other than blanks.
+FIG, BEHIND, BEFORE = r"(?iu)fig", r"(?iu)^[\dA-Z]*+\.?+\s*+[\dA-Z]*+[.\-]?+\d*+\s*+\)?+", 202
 KEPT = "legenda_original: "
 
 
@@ -22,13 +24,32 @@ def _stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def _about_figures(text: Column) -> Column:
+    """The text without what is too far from any `fig` to be part of a mention; a sign that ends sentences stands for it.
+
+    The search for mentions tries many lengths from every place, so it is kept to these few places.
+    """
+
+    def near(p: Column) -> Column:
+        def cut(piece: Column, i: Column) -> Column:
+            head = F.when(i == 0, 0).otherwise(F.length(F.regexp_extract(piece, BEHIND, 0)))
+            blanks = F.length(piece) - F.length(F.rtrim(piece, F.lit(" \t\n\x0b\f\r")))
+            tail = F.when(i == F.size(p["pieces"]) - 1, 0).otherwise(blanks + BEFORE)
+            short = F.concat(F.substring(piece, F.lit(1), head), F.lit(";."), F.substring(piece, F.length(piece) - tail + 1, tail))
+            return F.concat(F.when(F.length(piece) > head + tail, short).otherwise(piece), F.coalesce(F.get(p["figs"], i), F.lit("")))
+
+        return F.array_join(F.transform(p["pieces"], cut), "")
+
+    return let(F.struct(F.split(text, FIG).alias("pieces"), F.regexp_extract_all(text, F.lit(FIG), F.lit(0)).alias("figs")), near)
+
+
 def page_captions(text: Column) -> Column:
     """Structs number, caption of a page, in the order found. Caption lines win (of one number the last, at the place of
     the first); numbers without one take the first sentence that mentions the figure. Null: none."""
 
-    def found(pattern: str, number: int, words: int) -> Column:
-        part = lambda group: F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(group))
-        return F.arrays_zip(part(number).alias("n"), part(words).alias("c"))
+    def found(text: Column, pattern: str, number: int, words: int) -> Column:
+        whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        return F.transform(whole, lambda w: F.struct(F.regexp_extract(w, pattern, number).alias("n"), F.regexp_extract(w, pattern, words).alias("c")))
 
     def once(pairs: Column, last: bool) -> Column:
         def pick(xs: Column) -> Column:
@@ -37,7 +58,8 @@ def page_captions(text: Column) -> Column:
 
         return let(pairs, pick)
 
-    both = F.struct(once(found(LINE, 1, 2), True).alias("lines"), once(found(MENTION, 2, 1), False).alias("mentions"))
+    page = F.coalesce(text, F.lit(""))
+    both = let(page, lambda t: F.struct(once(found(t, LINE, 1, 2), True).alias("lines"), once(found(_about_figures(t), MENTION, 2, 1), False).alias("mentions")))
     return let(both, lambda b: F.concat(b["lines"], F.filter(b["mentions"], lambda m: ~F.exists(b["lines"], lambda x: x["number"] == m["number"]))))
 
 
