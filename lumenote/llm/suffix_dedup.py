@@ -299,21 +299,22 @@ def repeated_ranges(docs: DataFrame, min_len: int = 200) -> DataFrame:
     small_batches(docs.sparkSession)
     bodies = input_bytes(named(docs))
     regions = stored(bodies.mapInArrow(released(anchored_regions(min_len)), "anchor long, region long, doc_id long, start long, windows int"), "regions")
-    # Counts are aggregated before they are shuffled, and stored before they are joined: so joins with a frequent anchor
-    # or region have two plain shuffles, whose skewed partitions Spark splits.
-    anchors = regions.groupBy("anchor").agg(F.count("*").alias("n"), F.min("region").alias("low"), F.max("region").alias("high")).filter("n > 1")
-    anchors = stored(anchors.select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "anchors")
-    # one row per anchor on the hashed side, whatever the skew
-    shared = stored(regions.join(anchors.hint("shuffle_hash"), "anchor"), "shared")
-    dropped(regions, anchors)
-    mixed, place = shared.filter("mixed"), F.xxhash64("doc_id", "start")
-    kinds = stored(mixed.groupBy("anchor", "region").agg(F.count("*").alias("same"), F.min(place).alias("pick")), "kinds")
-    hot = stored(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > HOT_REGIONS).select("anchor", F.lit(True).alias("hot")), "hot")
-    counted = stored(mixed.join(kinds, ["anchor", "region"]).select("anchor", "doc_id", "start", "windows", "same", (place == F.col("pick")).alias("first")), "counted")
+    # Counts are aggregated before they are shuffled, and stored before they are joined: so the join with a frequent anchor
+    # or region has two plain shuffles, whose skewed partitions Spark splits. A region meets what is known of it and of its
+    # anchor in one join with a row a region, so no row becomes two.
+    place = F.xxhash64("doc_id", "start")
+    kinds = stored(regions.groupBy("anchor", "region").agg(F.count("*").alias("same"), F.min(place).alias("pick")), "kinds")
+    anchors = stored(kinds.groupBy("anchor").agg(F.sum("same").alias("n"), F.count("*").alias("kinds")).filter("n > 1").select("anchor", "kinds"), "anchors")
+    # one row per anchor, then per region, on the hashed side, whatever the skew
+    known = stored(kinds.join(anchors.hint("shuffle_hash"), "anchor").select("anchor", "region", "same", "pick", (F.col("kinds") > 1).alias("mixed"), (F.col("kinds") > HOT_REGIONS).alias("hot")), "known")
+    dropped(kinds, anchors)
+    shared = regions.join(known.hint("shuffle_hash"), ["anchor", "region"])
+    shared = stored(shared.select("anchor", "doc_id", "start", "windows", "mixed", "hot", "same", (place == F.col("pick")).alias("first")), "shared")
+    dropped(regions, known)
     end = F.col("start") + F.col("windows") + (min_len - 1)
-    whole = shared.filter("not mixed").select("doc_id", "start", "windows").unionByName(counted.filter("same > 1").select("doc_id", "start", "windows")).select("doc_id", F.col("start").alias("a"), end.alias("b"))
-    unlike = counted.filter("first").join(hot, "anchor", "left")
-    region = F.struct("anchor", "start", "windows", (F.col("same") == 1).alias("once"), F.coalesce("hot", F.lit(False)).alias("hot"), (F.col("windows") + (min_len - 1)).alias("size"))
+    whole = shared.filter("same > 1").select("doc_id", F.col("start").alias("a"), end.alias("b"))
+    unlike = shared.filter("mixed AND first")
+    region = F.struct("anchor", "start", "windows", (F.col("same") == 1).alias("once"), "hot", (F.col("windows") + (min_len - 1)).alias("size"))
     cut = unlike.groupBy("doc_id").agg(F.collect_list(region).alias("regions")).join(bodies, "doc_id").select("doc_id", "regions", "body")
     cut = stored(cut.mapInArrow(released(_cut_out), "anchor long, doc_id long, start long, windows int, once boolean, hot boolean, body binary"), "unlike")
     found = cut.filter("not hot").select("anchor", "doc_id", "start", "once", "body").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(released(_compared(min_len)), "doc_id long, a long, b long")
@@ -326,7 +327,7 @@ def repeated_ranges(docs: DataFrame, min_len: int = 200) -> DataFrame:
     spans = F.when(whole_stretch, F.array(span(F.col("low"), F.col("high")))).otherwise(F.transform("starts", lambda x: span(x, x)))
     merged = again.select("doc_id", F.explode(spans).alias("r")).select("doc_id", "r.a", "r.b")
     ranges = stored(whole.unionByName(found).unionByName(merged), "ranges")
-    dropped(shared, kinds, hot, counted, cut, twice)
+    dropped(shared, cut, twice)
     return ranges
 
 
