@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import any_of, let, normalised, tokens, without_accents, words_array
+from .text import any_of, begins_shared, let, normalised, tokens, without_accents
 
 # Function words, whose presence tells a sentence's language.
 ENGLISH = (
@@ -55,7 +55,7 @@ PASSING = (
 
 def function_words(text: Column, words) -> Column:
     found = F.regexp_extract_all(F.lower(text), F.lit("[a-zà-ÿ]+"), F.lit(0))
-    return F.size(F.filter(found, lambda w: F.array_contains(words_array(words), w)))
+    return F.size(F.filter(found, lambda w: w.isin(*words)))  # a set that Spark looks words up in
 
 
 def without_provenance(title: Column) -> Column:
@@ -67,9 +67,8 @@ def without_provenance(title: Column) -> Column:
 
 def english_title(text: Column) -> Column:
     """Three words or more, with an English function word and no Portuguese one; provenance doesn't count."""
-    title = without_provenance(text)
-    n = F.size(F.regexp_extract_all(F.lower(title), F.lit("[a-zà-ÿ]+"), F.lit(0)))
-    return (n >= 3) & (function_words(title, ENGLISH) >= 1) & (function_words(title, PORTUGUESE) == 0)
+    words = F.regexp_extract_all(F.lower(without_provenance(text)), F.lit("[a-zà-ÿ]+"), F.lit(0))
+    return let(words, lambda ws: (F.size(ws) >= 3) & F.exists(ws, lambda w: w.isin(*ENGLISH)) & ~F.exists(ws, lambda w: w.isin(*PORTUGUESE)))
 
 
 def english_body(text: Column) -> Column:
@@ -77,7 +76,7 @@ def english_body(text: Column) -> Column:
 
 
 def any_phrase(text: Column, phrases) -> Column:
-    return normalised(text).rlike(any_of(phrases))
+    return normalised(text).rlike(begins_shared(phrases))
 
 
 def asks_real_time(text: Column) -> Column:
