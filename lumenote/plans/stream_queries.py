@@ -41,6 +41,13 @@ def k6(spark, d):
 
 #: Steps in which the stream queries below get their events.
 STEPS = 3
+#: Events of a bucket of keys, about, and buckets at least.
+BUCKET_EVENTS, LEAST_BUCKETS = 20_000, 64
+
+
+def buckets_for(rows, each):
+    """Buckets of keys for so many rows each."""
+    return max(LEAST_BUCKETS, rows.count() // each)
 
 
 def sliced(spark, d):
@@ -96,9 +103,9 @@ def k3(spark, d):
 )
 def k5(spark, d):
     """Views and signups end a conversation and leave an item; after three quiet hours all items so far are handed on."""
-    rows = sliced(quiet.state_session(spark), d)
+    rows, buckets = sliced(quiet.state_session(spark), d), buckets_for(table(spark, d, "events"), BUCKET_EVENTS)
     kind = F.when(F.col("event_type").isin("view", "signup"), "close").otherwise("use")
-    found = in_steps(rows, "put-off", lambda e: quiet.put_off_work(e, ["user_id"], kind, "event_id", 3 * 3600))
+    found = in_steps(rows, "put-off", lambda e: quiet.put_off_work(e, ["user_id"], kind, "event_id", 3 * 3600, buckets))
     return found.select("user_id", "item", F.date_format("at", STAMP).alias("done_at"))
 
 
