@@ -89,8 +89,8 @@ K3_KIND = "CASE event_type WHEN 'purchase' THEN 'yes' WHEN 'error' THEN 'no' ELS
 )
 def k3(spark, d):
     """Purchases stand for a yes, errors for a no, other events for input; four hours and one hour for 300 and 15 seconds."""
-    rows = sliced(quiet.state_session(spark), d)
-    found = in_steps(rows, "idle", lambda e: quiet.idle_actions(e, ["user_id"], F.expr(K3_KIND), "event_id", 4 * 3600, 3600))
+    rows, buckets = sliced(quiet.state_session(spark), d), buckets_for(table(spark, d, "events"), BUCKET_EVENTS)
+    found = in_steps(rows, "idle", lambda e: quiet.idle_actions(e, ["user_id"], F.expr(K3_KIND), "event_id", 4 * 3600, 3600, buckets))
     return found.select("user_id", F.date_format("at", STAMP).alias("done_at"), "action")
 
 
