@@ -41,8 +41,8 @@ def k6(spark, d):
 
 #: Steps in which the stream queries below get their events.
 STEPS = 3
-#: Events of a bucket of keys, about, and buckets at least.
-BUCKET_EVENTS, LEAST_BUCKETS = 20_000, 64
+#: Events and documents of a bucket of keys, about, and buckets at least.
+BUCKET_EVENTS, BUCKET_DOCUMENTS, LEAST_BUCKETS = 20_000, 256, 64
 
 
 def buckets_for(rows, each):
@@ -159,8 +159,8 @@ def c19(spark, d):
     pieces = sentences.pieces_of(docs, "doc_id", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(361)) + 40).cast("int"))
     pieces = pieces.withColumn("slice", F.pmod(F.xxhash64("doc_id", "seq"), F.lit(STEPS)).cast("int"))
     folder = f"{shared_dir(spark)}/stream-spoken-{uuid.uuid4().hex}"
-    out = []
-    monitors.replayed(pieces, STEPS, folder, lambda stream, state: out.append(monitors.available_now(sentences.spoken(stream, "doc_id"), f"{folder}/out", state)))
+    buckets, out = buckets_for(docs, BUCKET_DOCUMENTS), []
+    monitors.replayed(pieces, STEPS, folder, lambda stream, state: out.append(monitors.available_now(sentences.spoken(stream, "doc_id", buckets=buckets), f"{folder}/out", state)))
     return out[-1].select("doc_id", "nth", F.md5("sentence").alias("sentence"))
 
 

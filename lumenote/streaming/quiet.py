@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegralType, LongType, StringType, StructField, StructType
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SECOND = 1_000_000
@@ -39,12 +39,14 @@ def state_session(spark: SparkSession) -> SparkSession:
     return own
 
 
-def bucket_of(key: list[str], buckets: int) -> Column:
-    """The bucket of a key. Its last bits say which of the columns are null, so those of a bucket are null or not throughout."""
+def dealt(rows: DataFrame, key: list[str], buckets: int) -> list[Column]:
+    """The column `bucket`, and the key's. The last bits of the bucket say which of them are null, so those of a bucket are
+    null or not throughout; whole numbers travel as 0 then, as pandas makes doubles of columns with nulls."""
     number = F.pmod(F.xxhash64(*key), F.lit(buckets))
     for k in key:
         number = number * 2 + F.isnull(k).cast("long")
-    return number
+    whole = {k for k in key if isinstance(rows.schema[k].dataType, IntegralType)}
+    return [number.alias("bucket"), *(F.coalesce(k, F.lit(0).cast(rows.schema[k].dataType)).alias(k) if k in whole else F.col(k) for k in key)]
 
 
 def names_of(frame: pd.DataFrame, key: list[str], bucket: int) -> list[tuple]:
@@ -183,7 +185,7 @@ class PutOff(InTimeOrder):
 def _run(events: DataFrame, machine: InTimeOrder, kind, item: str, buckets: int) -> DataFrame:
     """events need a watermarked timestamp `ts`."""
     key, number = machine.key, F.col(item).cast("long")
-    rows = events.filter("ts IS NOT NULL").select(bucket_of(key, buckets).alias("bucket"), *key, "ts", F.unix_micros("ts").alias("at"), kind.alias("kind"), F.coalesce(number, F.lit(0)).alias("item"), F.isnull(number).alias("bare"))
+    rows = events.filter("ts IS NOT NULL").select(*dealt(events, key, buckets), "ts", F.unix_micros("ts").alias("at"), kind.alias("kind"), F.coalesce(number, F.lit(0)).alias("item"), F.isnull(number).alias("bare"))
     out = StructType([*(events.schema[k] for k in key), *ACTION.fields])
     found = rows.groupBy("bucket").transformWithStateInPandas(machine, outputStructType=out, outputMode="Append", timeMode="eventTime")
     return found.select(*key, F.timestamp_micros("at").alias("at"), "action", "item")
