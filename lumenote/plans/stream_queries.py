@@ -41,13 +41,14 @@ def k6(spark, d):
 
 #: Steps in which the stream queries below get their events.
 STEPS = 3
-#: Events and documents of a bucket of keys, about, and buckets at least.
-BUCKET_EVENTS, BUCKET_DOCUMENTS, LEAST_BUCKETS = 20_000, 256, 64
+#: Events and documents of a bucket of keys, about, buckets at least, and buckets of a partition of state.
+BUCKET_EVENTS, BUCKET_DOCUMENTS, LEAST_BUCKETS, PARTITION_BUCKETS = 20_000, 256, 64, 8
 
 
-def buckets_for(rows, each):
-    """Buckets of keys for so many rows each."""
-    return max(LEAST_BUCKETS, rows.count() // each)
+def bucketed(spark, rows, each):
+    """A session for buckets of keys with so many rows each, and their number."""
+    buckets = max(LEAST_BUCKETS, rows.count() // each)
+    return quiet.state_session(spark, buckets // PARTITION_BUCKETS), buckets
 
 
 def sliced(spark, d):
@@ -89,7 +90,8 @@ K3_KIND = "CASE event_type WHEN 'purchase' THEN 'yes' WHEN 'error' THEN 'no' ELS
 )
 def k3(spark, d):
     """Purchases stand for a yes, errors for a no, other events for input; four hours and one hour for 300 and 15 seconds."""
-    rows, buckets = sliced(quiet.state_session(spark), d), buckets_for(table(spark, d, "events"), BUCKET_EVENTS)
+    own, buckets = bucketed(spark, table(spark, d, "events"), BUCKET_EVENTS)
+    rows = sliced(own, d)
     found = in_steps(rows, "idle", lambda e: quiet.idle_actions(e, ["user_id"], F.expr(K3_KIND), "event_id", 4 * 3600, 3600, buckets))
     return found.select("user_id", F.date_format("at", STAMP).alias("done_at"), "action")
 
@@ -103,7 +105,8 @@ def k3(spark, d):
 )
 def k5(spark, d):
     """Views and signups end a conversation and leave an item; after three quiet hours all items so far are handed on."""
-    rows, buckets = sliced(quiet.state_session(spark), d), buckets_for(table(spark, d, "events"), BUCKET_EVENTS)
+    own, buckets = bucketed(spark, table(spark, d, "events"), BUCKET_EVENTS)
+    rows = sliced(own, d)
     kind = F.when(F.col("event_type").isin("view", "signup"), "close").otherwise("use")
     found = in_steps(rows, "put-off", lambda e: quiet.put_off_work(e, ["user_id"], kind, "event_id", 3 * 3600, buckets))
     return found.select("user_id", "item", F.date_format("at", STAMP).alias("done_at"))
@@ -154,12 +157,12 @@ def k8_stream(spark, d):
 def c19(spark, d):
     """Every document as a reply that arrives in pieces of 40 to 400 characters, in three steps, some before their turn;
     held against the sentences of the whole texts."""
-    own = quiet.state_session(spark)
+    own, buckets = bucketed(spark, table(spark, d, "documents"), BUCKET_DOCUMENTS)
     docs = table(own, d, "documents").filter("doc_id IS NOT NULL").select("doc_id", "text")
     pieces = sentences.pieces_of(docs, "doc_id", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(361)) + 40).cast("int"))
     pieces = pieces.withColumn("slice", F.pmod(F.xxhash64("doc_id", "seq"), F.lit(STEPS)).cast("int"))
     folder = f"{shared_dir(spark)}/stream-spoken-{uuid.uuid4().hex}"
-    buckets, out = buckets_for(docs, BUCKET_DOCUMENTS), []
+    out = []
     monitors.replayed(pieces, STEPS, folder, lambda stream, state: out.append(monitors.available_now(sentences.spoken(stream, "doc_id", buckets=buckets), f"{folder}/out", state)))
     return out[-1].select("doc_id", "nth", F.md5("sentence").alias("sentence"))
 

@@ -32,10 +32,13 @@ PACKED = StructType([StructField("packed", BinaryType())])
 ACTION = StructType([StructField("at", LongType()), StructField("action", StringType()), StructField("item", LongType())])
 
 
-def state_session(spark: SparkSession) -> SparkSession:
-    """A session of its own with the state store that timers and list state need."""
+def state_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:
+    """A session of its own with the state store that timers and list state need. partitions: of state at most; each is a
+    store of its own, which costs time and some 5 MB of disk even where it holds little."""
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    if partitions is not None:
+        own.conf.set("spark.sql.shuffle.partitions", min(partitions, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     return own
 
 
