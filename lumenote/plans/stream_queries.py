@@ -41,14 +41,15 @@ def k6(spark, d):
 
 #: Steps in which the stream queries below get their events.
 STEPS = 3
-#: Events and documents of a bucket of keys, about, buckets at least, and buckets of a partition of state.
-BUCKET_EVENTS, BUCKET_DOCUMENTS, LEAST_BUCKETS, PARTITION_BUCKETS = 20_000, 256, 64, 8
+#: Events and documents of a bucket of keys, about, and buckets at least; buckets of a partition of state, and partitions at least.
+BUCKET_EVENTS, BUCKET_DOCUMENTS, LEAST_BUCKETS = 20_000, 256, 64
+PARTITION_BUCKETS, LEAST_PARTITIONS = 64, 12
 
 
 def bucketed(spark, rows, each):
     """A session for buckets of keys with so many rows each, and their number."""
     buckets = max(LEAST_BUCKETS, rows.count() // each)
-    return quiet.state_session(spark, buckets // PARTITION_BUCKETS), buckets
+    return quiet.state_session(spark, max(LEAST_PARTITIONS, buckets // PARTITION_BUCKETS)), buckets
 
 
 def sliced(spark, d):

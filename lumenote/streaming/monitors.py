@@ -56,7 +56,7 @@ def throttle(events: DataFrame, key: str, seconds: float) -> DataFrame:
 
 def available_now(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run the stream over what is there, write it to Parquet, and return what was written."""
-    stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
+    stream.writeStream.format("parquet").option("compression", "zstd").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
@@ -70,5 +70,5 @@ def replayed(rows: DataFrame, slices: int, folder: str, run) -> None:
     columns = [c for c in rows.columns if c != "slice"]
     schema = rows.select(*columns).schema
     for s in range(slices):
-        rows.filter(F.col("slice") == s).select(*columns).write.mode("append").parquet(f"{folder}/in")
+        rows.filter(F.col("slice") == s).select(*columns).write.mode("append").option("compression", "zstd").parquet(f"{folder}/in")
         run(spark.readStream.schema(schema).parquet(f"{folder}/in"), f"{folder}/state")

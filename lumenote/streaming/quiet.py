@@ -15,6 +15,7 @@ These run by transformWithStateInPandas and need the RocksDB state store: `state
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Iterator
 from operator import itemgetter
 
@@ -58,6 +59,15 @@ def names_of(frame: pd.DataFrame, key: list[str], bucket: int) -> list[tuple]:
     return list(zip(*([None] * len(frame) if n else frame[k].tolist() for k, n in zip(key, null, strict=True)), strict=True))
 
 
+def pack(value) -> tuple[bytes]:
+    """A row of PACKED."""
+    return (zlib.compress(pickle.dumps(value), 1),)
+
+
+def unpack(row):
+    return pickle.loads(zlib.decompress(row[0]))
+
+
 class InTimeOrder(StatefulProcessor):
     """Takes the events (at, kind, item) of each key of a bucket in time order. `enter` and `deadline` are the machine's;
     times are in microseconds."""
@@ -73,7 +83,7 @@ class InTimeOrder(StatefulProcessor):
         for frame in rows:
             events = list(zip(frame["at"].tolist(), frame["bare"].tolist(), frame["item"].tolist(), names_of(frame, self.key, key[0]), frame["kind"].tolist(), strict=True))
             if events:
-                self.waiting.appendValue((pickle.dumps(events),))
+                self.waiting.appendValue(pack(events))
                 first = min(e[0] for e in events) if first is None else min(first, *(e[0] for e in events))
         if first is not None:
             self._wake(first)
@@ -84,15 +94,15 @@ class InTimeOrder(StatefulProcessor):
         if self.passed.get(key[0]) == now:
             return  # another timer of the bucket
         self.passed[key[0]] = now
-        waiting = [e for (packed,) in self.waiting.get() for e in pickle.loads(packed)]
+        waiting = [e for row in self.waiting.get() for e in unpack(row)]
         due = sorted((e for e in waiting if e[0] <= now), key=itemgetter(0, 1, 2))
         rest = [e for e in waiting if e[0] > now]
         if due:
             if rest:
-                self.waiting.put([(pickle.dumps(rest),)])
+                self.waiting.put([pack(rest)])
             else:
                 self.waiting.clear()
-        states = pickle.loads(self.states.get()[0]) if self.states.exists() else {}
+        states = unpack(self.states.get()) if self.states.exists() else {}
         out: list[tuple[int, str, int | None]] = []
         whose: list[tuple] = []
         for at, bare, item, name, kind in due:
@@ -106,7 +116,7 @@ class InTimeOrder(StatefulProcessor):
             if (at := self.deadline(state)) is not None:
                 wakes.append(at)
         if due or out:
-            self.states.update((pickle.dumps(states),))
+            self.states.update(pack(states))
         if wakes:
             self._wake(min(wakes))
         if out:

@@ -11,7 +11,6 @@ for each reply. Their number should follow that of the replies; it is fixed for
 
 from __future__ import annotations
 
-import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .quiet import BUCKETS, PACKED, dealt, names_of
+from .quiet import BUCKETS, PACKED, dealt, names_of, pack, unpack
 
 # Abbreviations whose stop ends no sentence.
 ABBREVIATIONS = frozenset("sr sra srs dr dra prof profa etc ex p.ex i.e e.g vs núm no nº art fig sec min seg obs ref pg pág cap".split())
@@ -94,7 +93,7 @@ class Speaking(StatefulProcessor):
         self.open = handle.getValueState("open", PACKED)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        replies = pickle.loads(self.open.get()[0]) if self.open.exists() else {}
+        replies = unpack(self.open.get()) if self.open.exists() else {}
         came: dict[tuple, dict[int, tuple[str, bool]]] = {}
         for frame in rows:
             for name, s, p, e in zip(names_of(frame, [self.key], key[0]), frame["seq"].tolist(), frame["piece"].tolist(), frame["last"].tolist(), strict=True):
@@ -115,7 +114,7 @@ class Speaking(StatefulProcessor):
             # nothing may follow an end
             replies[name] = ("", False, ENDED, 0, {}) if ended else (rest, opening, due, said + len(found), early)
         if came:
-            self.open.update((pickle.dumps(replies),))
+            self.open.update(pack(replies))
         if out:
             yield pd.DataFrame({"key": whose, "nth": nth, "sentence": out})
 
