@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from lumenote.llm import decontam, ngram_join, packing, quality, suffix_dedup
 from lumenote.llm.shared import keep_only, own_id, stored, stored_count
 
+#: Ids up to this number travel with tasks.
+MOST_SENT = 1 << 20
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,9 +37,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = ngram_join.ngram_join(docs, words=5, percent=80)
-    # ids only on the hashed side, so texts are shuffled but not sorted
-    stay = classes.filter("doc_id = component_id").select("doc_id").hint("shuffle_hash")
-    return docs.join(stay, "doc_id", "left_semi").select(docs.columns)
+    gone = stored(classes.filter("doc_id != component_id").select("doc_id").distinct(), "gone")
+    # few ids travel with the texts' tasks; with more of them texts are shuffled, but not sorted, as the hashed side has ids only
+    gone = F.broadcast(gone) if gone.count() <= MOST_SENT else gone.hint("shuffle_hash")
+    return docs.filter("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

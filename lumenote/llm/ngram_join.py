@@ -10,8 +10,10 @@ overlaps of all their pairs are counted as a matrix product, and the counts are
   BLOCK sets and BLOCK_GRAMS n-grams (a longer set has one of its own). A large cluster is dealt by set size, and only
   blocks whose sizes allow a link meet. A pair of blocks returns one row per set: one set it is linked with (or itself)
   and how many documents it is linked with there.
-* Blocks get sorted n-gram hashes, not texts.
-* What is compared grows with the square of a cluster of candidates only, that is of sets which share whole fragments.
+* Blocks get sorted n-gram hashes, not texts. A cluster that does not fit one block meets by sketches first, in which two
+  linked sets cannot differ by more than in n-grams; only sets that are near by those get n-grams, in clusters of their own.
+* What is compared grows with the square of a cluster of candidates only, that is of sets which share whole fragments;
+  sketches are copied for it, an eighth to a sixteenth of the n-grams, and n-grams for the clusters of near sets.
 
 Texts without words (null, empty, blank) have the empty set and no links. Ties cannot occur: a class takes its smallest
 doc_id. A repeated row is a copy: it is returned once more and counts as a link. Different texts must have different
@@ -32,6 +34,10 @@ from .shared import U64, binary_parts, bounded_runs, dropped, input_bytes, mix,
 
 BATCH = 1 << 18
 BLOCK, BLOCK_GRAMS = 1024, 1 << 19
+#: The same for blocks of sketches.
+SKETCHES, SKETCH_GRAMS = 8192, 1 << 22
+#: Sets up to this number travel with the tasks that read their texts; texts are shuffled to more.
+MOST_SENT = 1 << 19
 #: Sets of a large cluster whose sizes differ by less than this factor share blocks.
 SIZE_STEP = 1.1
 #: The side of the rows of a block that meets itself; otherwise 0 and 1.
@@ -132,15 +138,30 @@ def identity(grams: np.ndarray) -> int:
     return int(mix(np.array([mix(grams).sum(dtype=U64) ^ U64(len(grams))], U64)).view(np.int64)[0])
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """How many of the set's n-grams lie in each of 2^k equal parts of the order, 255 at most; a quarter to half as many
+    parts as n-grams, 16 at least."""
+    bits = max(4, (len(grams) - 1).bit_length() - 2)
+    counts = np.bincount((grams >> U64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() if len(grams) else b""
+
+
+def folded(sketches: list[np.ndarray]) -> np.ndarray:
+    """The sketches with the parts of the coarsest, as bits: a part has as many as n-grams, eight at most."""
+    parts = min(map(len, sketches))
+    counts = np.array([np.minimum(x.reshape(parts, -1).sum(axis=1), 8) for x in sketches])
+    return ((1 << counts) - 1).astype(np.uint8).view(U64)
+
+
 def _described(words: int):
-    """(doc_id, body) to doc_id, set size, set identity."""
+    """(doc_id, body) to doc_id, set size, set identity, sketch."""
 
     def run(batches):
         for batch in batches:
             data, offsets = binary_parts(batch.column(1))
             for s, e in bounded_runs(np.diff(offsets), BATCH):
                 sets = shingle_sets(data, offsets[s : e + 1], words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array([len(g) for g in sets], pa.int64()), pa.array([identity(g) for g in sets], pa.int64())], names=["doc_id", "n_shingles", "own"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array([len(g) for g in sets], pa.int64()), pa.array([identity(g) for g in sets], pa.int64()), pa.array([sketch(g) for g in sets], pa.binary())], names=["doc_id", "n_shingles", "own", "sketch"])
 
     return run
 
@@ -272,15 +293,73 @@ def _grams(words: int):
     return run
 
 
+def _met(solve):
+    """Rows (pair, side, own, a number, bytes) sorted by block pair, side and own to solve() of those columns for each pair."""
+
+    def solved(held):
+        side, own, number, body = zip(*held, strict=True)
+        return solve(np.array(own), np.array(side), np.array(number), body)
+
+    def run(batches):
+        held, now = [], None
+        for batch in batches:
+            pair, side, own, number = (batch.column(k).to_numpy() for k in range(4))
+            data, offsets = binary_parts(batch.column(4))
+            for k in range(len(own)):
+                if pair[k] != now and held:
+                    if (out := solved(held)) is not None:
+                        yield out
+                    held = []
+                now = pair[k]
+                if held and held[-1][:2] == (side[k], own[k]):
+                    continue  # a repeated row of the document that stands for the set
+                held.append((side[k], own[k], number[k], data[offsets[k] : offsets[k + 1]].tobytes()))
+        if held and (out := solved(held)) is not None:
+            yield out
+
+    return run
+
+
+def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the rows of either side. Rows of side BOTH are compared among themselves."""
+    return (np.arange(len(side)),) * 2 if side[0] == BOTH else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+
+
+def _near(percent: int):
+    """Sets (their sizes, their sketches) of a pair of blocks to (own, a set it is tied with): sets are tied whose sizes and
+    sketches do not rule out a link."""
+
+    def solve(own, side, size, sketches):
+        l, r = _sides(side)
+        if not len(l) or not len(r):
+            return None
+        bits, size = folded([np.frombuffer(x, np.uint8) for x in sketches]), size.astype(np.int64)
+        right, sizes = bits[r], size[r]
+        label = np.arange(len(own))
+        for k, i in enumerate(l.tolist()):
+            first = k + 1 if l is r else 0
+            apart = np.bitwise_count(bits[i] ^ right[first:]).sum(axis=1)
+            near = apart <= (100 - percent) * (size[i] + sizes[first:]) // (100 + percent)
+            near &= 100 * np.minimum(size[i], sizes[first:]) >= percent * np.maximum(size[i], sizes[first:])
+            if near.any():
+                tied = np.unique(np.append(label[r[first:][near]], label[i]))
+                if len(tied) > 1:
+                    label[np.isin(label, tied)] = tied[0]
+        some = label != np.arange(len(own))
+        return pa.RecordBatch.from_arrays([pa.array(own[some]), pa.array(own[label[some]])], names=["a", "b"]) if some.any() else None
+
+    return _met(solve)
+
+
 def _linked(percent: int):
-    """Rows (pair, side, own, copies, grams) sorted by block pair to one row for each set of the pair: own, a set it is
-    tied with, linked documents. Rows of side BOTH are compared among themselves."""
+    """Sets (their copies, their n-grams) of a pair of blocks to one row each: own, a set it is tied with, linked documents."""
 
-    def solve(own, side, copies, sets):
-        square = side[0] == BOTH
-        l, r = (np.arange(len(side)),) * 2 if square else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    def solve(own, side, copies, grams):
+        l, r = _sides(side)
         if not len(l) or not len(r):
             return None
+        sets = [np.frombuffer(x, U64) for x in grams]
+        square = l is r
         left = [sets[i] for i in l]
         both = overlaps(left, left if square else [sets[i] for i in r])
         size = np.array([len(g) for g in sets], np.int64)
@@ -302,41 +381,25 @@ def _linked(percent: int):
         some = degree > 0
         return pa.RecordBatch.from_arrays([pa.array(own[some]), pa.array(own[label[some]]), pa.array(degree[some])], names=["a", "b", "n_links"])
 
-    def solved(held):
-        side, own, copies, sets = zip(*held, strict=True)
-        return solve(np.array(own), np.array(side), np.array(copies), list(sets))
+    return _met(solve)
 
-    def run(batches):
-        held, now = [], None
-        for batch in batches:
-            pair, side, own, copies = (batch.column(k).to_numpy() for k in range(4))
-            data, offsets = binary_parts(batch.column(4))
-            for k in range(len(own)):
-                if pair[k] != now and held:
-                    if (out := solved(held)) is not None:
-                        yield out
-                    held = []
-                now = pair[k]
-                if held and held[-1][:2] == (side[k], own[k]):
-                    continue  # a repeated row of the document that stands for the set
-                held.append((side[k], own[k], copies[k], np.frombuffer(data[offsets[k] : offsets[k + 1]].tobytes(), U64)))
-        if held and (out := solved(held)) is not None:
-            yield out
 
-    return run
+def _single():
+    """Whether a cluster of candidates fits one block of n-grams."""
+    return (F.count("*") <= BLOCK) & (F.sum("n_shingles") <= BLOCK_GRAMS)
 
 
-def block_pairs(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def block_pairs(members: DataFrame, percent: int, most: int, most_grams: int, single=_single) -> tuple[DataFrame, DataFrame]:
     """members (own, n_shingles, label, ...) with their `block`, and the pairs (label, i, j) of blocks to compare.
 
-    A block is a struct (step, nth): a cluster that fits one block is one; a larger one is dealt by set size in steps of
+    A block is a struct (step, nth): a cluster that is `single` is one; others are dealt by set size in steps of
     SIZE_STEP, and by hash within a step. Two blocks meet if a set of one can be linked with one of the other by size.
     """
-    clusters = members.groupBy("label").agg((((F.count("*") <= BLOCK) & (F.sum("n_shingles") <= BLOCK_GRAMS))).alias("single"))
+    clusters = members.groupBy("label").agg(single().alias("single"))
     step = F.when(F.col("single"), F.lit(0)).otherwise(F.floor(F.log(SIZE_STEP, "n_shingles")).cast("int"))
     members = stored(members.join(clusters, "label").withColumn("step", step).drop("single"), "members")
     steps = members.groupBy("label", "step").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("grams"), F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
-    steps = stored(steps.select("label", "step", "low", "high", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int").alias("parts")), "steps")
+    steps = stored(steps.select("label", "step", "low", "high", F.greatest(F.ceil(F.col("n") / most), F.ceil(F.col("grams") / most_grams)).cast("int").alias("parts")), "steps")
     nth = F.pmod(F.xxhash64("own", F.lit(7)), F.col("parts")).cast("int")
     placed = members.join(steps.select("label", "step", "parts"), ["label", "step"]).withColumn("block", F.struct("step", nth.alias("nth"))).drop("step", "parts")
     one = steps.select("label", "high", "step", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("nth")).select("label", "high", F.struct("step", "nth").alias("i"))
@@ -345,6 +408,41 @@ def block_pairs(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]
     return placed, stored(pairs.select("label", "i", "j", F.xxhash64("label", "i", "j").alias("pair")), "pairs")
 
 
+def met(blocks: DataFrame, pairs: DataFrame, *columns: str) -> DataFrame:
+    """pair, side, own and the columns of the sets of each pair of blocks, in tasks by pair."""
+    same = F.col("i") == F.col("j")
+    one = pairs.select("label", F.col("i").alias("block"), "pair", F.when(same, BOTH).otherwise(0).alias("side"))
+    two = pairs.filter(~same).select("label", F.col("j").alias("block"), "pair", F.lit(1).alias("side"))
+    return blocks.join(one.unionByName(two), ["label", "block"]).select("pair", "side", "own", *columns).repartition("pair").sortWithinPartitions("pair", "side", "own")
+
+
+def narrowed(members: DataFrame, described: DataFrame, percent: int) -> DataFrame:
+    """members (own, doc_id, n_shingles, label, ...) in smaller clusters: those that do not fit one block meet by sketches,
+    and sets that are near no other one go."""
+    members = stored(members.join(members.groupBy("label").agg(_single().alias("fits")), "label"), "candidates")
+    small, large = members.filter("fits").drop("fits"), members.filter("NOT fits").drop("fits")
+    if large.isEmpty():
+        return small
+    placed, pairs = block_pairs(large, percent, SKETCHES, SKETCH_GRAMS, lambda: F.lit(False))
+    sketches = placed.join(described.select("doc_id", "own", "sketch"), ["doc_id", "own"])
+    near = met(sketches, pairs, "n_shingles", "sketch").mapInArrow(released(_near(percent)), "a long, b long")
+    ties = stored(near.distinct(), "ties")
+    clusters = components(ties).withColumnRenamed("node", "own")
+    dropped(ties, pairs)
+    return small.unionByName(large.drop("label").join(clusters, "own"))
+
+
+def _first_of_copies(bodies: DataFrame, described: DataFrame, sets: DataFrame) -> DataFrame:
+    """The bodies without those of documents that another one stands for, where that takes less than their keys do."""
+    copies = described.join(sets.select("own", F.col("doc_id").alias("first")), "own").filter("doc_id != first").select("doc_id").distinct()
+    copies = stored(copies, "copies")
+    n = copies.count()
+    if n <= MOST_SENT:
+        return bodies.join(F.broadcast(copies), "doc_id", "left_anti")
+    # a text in a shuffle takes half of what its keys take
+    return bodies.join(copies.hint("shuffle_hash"), "doc_id", "left_anti") if n > sets.count() else bodies
+
+
 def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links. Two documents link when 100 * intersection >= percent * union.
 
@@ -353,9 +451,9 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     bodies = input_bytes(named(docs))
-    described = stored(bodies.mapInArrow(released(_described(words)), "doc_id long, n_shingles long, own long"), "described")
-    keyed = bodies.select("body").mapInArrow(released(_keyed(words, percent)), "key long, own long")
+    described = stored(bodies.mapInArrow(released(_described(words)), "doc_id long, n_shingles long, own long, sketch binary"), "described")
     sets = stored(described.filter("n_shingles > 0").groupBy("own").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.count("*").alias("copies")), "folded")
+    keyed = _first_of_copies(bodies, described, sets).select("body").mapInArrow(released(_keyed(words, percent)), "key long, own long")
     needed = sets.select("own", "n_shingles").mapInArrow(_needs(percent), "own long, need_0 int, need_1 int")
     by_key = lambda df: df.repartition("key").sortWithinPartitions("key", "own")
     shared = stored(by_key(keyed).mapInArrow(_shared, "key long, own long"), "shared")
@@ -370,15 +468,14 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     dropped(shared)
     clusters = components(ties)
     dropped(ties)
-    members, pairs = block_pairs(sets.join(clusters.withColumnRenamed("node", "own"), "own"), percent)
+    members = narrowed(sets.join(clusters.withColumnRenamed("node", "own"), "own"), described, percent)
+    members, pairs = block_pairs(members, percent, BLOCK, BLOCK_GRAMS)
+    members = members.select("doc_id", "label", "block", "own", "copies")
     # the hashed side has no texts, so texts are shuffled but not sorted
-    texts = bodies.join(members.select("doc_id", "label", "block", "own", "copies").hint("shuffle_hash"), "doc_id").select("label", "block", "own", "copies", "body")
+    members = F.broadcast(members) if members.count() <= MOST_SENT else members.hint("shuffle_hash")
+    texts = bodies.join(members, "doc_id").select("label", "block", "own", "copies", "body")
     grams = stored(texts.mapInArrow(released(_grams(words)), "label long, block struct<step:int,nth:int>, own long, copies long, grams binary"), "grams")
-    met = F.col("i") == F.col("j")
-    one = pairs.select("label", F.col("i").alias("block"), "pair", F.when(met, BOTH).otherwise(0).alias("side"))
-    two = pairs.filter(~met).select("label", F.col("j").alias("block"), "pair", F.lit(1).alias("side"))
-    sides = grams.join(one.unionByName(two), ["label", "block"]).select("pair", "side", "own", "copies", "grams")
-    linked = sides.repartition("pair").sortWithinPartitions("pair", "side", "own").mapInArrow(released(_linked(percent)), "a long, b long, n_links long")
+    linked = met(grams, pairs, "copies", "grams").mapInArrow(released(_linked(percent)), "a long, b long, n_links long")
     linked = stored(linked, "links")
     dropped(grams, pairs)
     classes = components(linked.select("a", "b").filter("a != b")).withColumnRenamed("node", "own")
