@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from .tables import stored
 
 #: Pairs of a task, about.
 TASK_PAIRS = 1 << 20
+#: Concepts up to this number travel with the tasks that read the atoms.
+MOST_SENT = 1 << 21
 
 
 def with_idf(edges: DataFrame) -> DataFrame:
@@ -90,20 +94,91 @@ def shared_neighbours(edges: DataFrame, most_concepts: int = 64) -> DataFrame:
     return left.filter("neighbours > 0")
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Ascending distinct numbers as the first one and the gaps: their lowest bytes, then the next ones, as far as any gap has
+    them. The highest are much alike, so a shuffle's compression leaves little of them."""
+    gaps = np.diff(values.view(np.uint64))
+    width = (int(gaps.max(initial=0)).bit_length() + 7) // 8
+    return values[:1].tobytes() + bytes([width]) + gaps.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes() if len(values) else b""
+
+
+def unpack(body: bytes) -> np.ndarray:
+    if len(body) < 10:  # at most one number, no gaps
+        return np.frombuffer(body[:8], np.int64)
+    parts = np.frombuffer(body, np.uint8, offset=9).reshape(body[8], -1)
+    gaps = np.zeros((parts.shape[1], 8), np.uint8)
+    gaps[:, : body[8]] = parts.T
+    return np.cumsum(np.append(np.frombuffer(body, np.uint64, 1), gaps.view(np.uint64).ravel())).view(np.int64)
+
+
+def _packed(batches):
+    """(c, sorted array) to c, size, the packed array."""
+    for batch in batches:
+        lists = batch.column(1)
+        values, at = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        bodies = [pack(values[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at), pa.int32()), pa.array(bodies, pa.binary())], names=["c", "k", "body"])
+
+
+def _common(batches):
+    """Rows (home, a, b, n, k_a, k_b, body) sorted by home, its own row without a pair first, to the pairs with the numbers that
+    both bodies have."""
+    own = None
+    for batch in batches:
+        rows, common = [], []
+        for i, (a, body) in enumerate(zip(batch.column(1).to_pylist(), batch.column(6).to_pylist(), strict=True)):
+            part = unpack(body)
+            if a is None:
+                own = part
+                continue
+            at = np.searchsorted(own, part)
+            rows.append(i)
+            common.append(int((own[np.minimum(at, len(own) - 1)] == part).sum()))
+        taken = batch.select([1, 2, 3, 4, 5]).take(pa.array(rows, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(common, pa.int64())], names=["a", "b", "n", "k_a", "k_b", "common"])
+
+
+def _numbered(edges: DataFrame, least_df: int, most_together: int) -> DataFrame:
+    """bridges() of concepts that are not whole numbers."""
+    ids = stored(edges.select("concept").filter("concept IS NOT NULL").distinct().withColumn("id", F.monotonically_increasing_id()), "ids")
+    found = bridges(edges.join(ids, "concept").select("atom", F.col("id").alias("concept")), least_df, most_together)
+    for side in ("a", "b"):
+        found = found.join(ids.select(F.col("id").alias(side), F.col("concept").alias(f"name_{side}")), side)
+    return found.select(F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b"), "n", "surprise")
+
+
 def bridges(edges: DataFrame, least_df: int, most_together: int) -> DataFrame:
-    """a, b, surprise: frequent concepts that seldom occur together, 1 - Jaccard of the concepts around each."""
-    df = edges.distinct().groupBy("concept").agg(F.count("*").alias("df")).filter(F.col("df") >= least_df)
-    both = cooccurrence(edges)
-    sides = both.select(F.col("a").alias("c"), F.col("b").alias("o")).unionByName(both.select(F.col("b").alias("c"), F.col("a").alias("o")))
-    degree = sides.groupBy("c").agg(F.count("*").alias("k"))
-    pairs = both.filter(F.col("n") <= most_together)
+    """a, b, n, surprise: frequent concepts that seldom occur together, 1 - Jaccard of the concepts around each.
+
+    Only pairs of frequent concepts are formed, and what is around each is one packed list. Of a pair the shorter list
+    travels to the longer one, and tasks count what both have: no row is made for a pair and a concept around it. Edges without
+    an atom count for a concept's frequency only.
+    """
+    kind = dict(edges.dtypes)["concept"]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        return _numbered(edges, least_df, most_together)
+    sets = stored(edges.groupBy("atom").agg(F.array_sort(F.collect_set(F.col("concept").cast("long"))).alias("cs")), "sets")
+    frequent = stored(sets.select(F.explode("cs").alias("c")).groupBy("c").agg(F.count("*").alias("df")).filter(F.col("df") >= least_df).select("c"), "frequent")
+    held = sets.filter("atom IS NOT NULL AND size(cs) > 1").select("atom", "cs", F.explode("cs").alias("c"))
+    held = held.join(F.broadcast(frequent) if frequent.count() <= MOST_SENT else frequent, "c")
+    some = stored(held.groupBy("atom").agg(F.array_sort(F.collect_list("c")).alias("cs")).filter("size(cs) > 1"), "some")
+    n = F.size("cs").cast("long")
+    pairs = pairs_within(some, some.agg(F.coalesce(F.sum(n * (n - 1) / 2), F.lit(0.0)).cast("long").alias("n")).first().n).filter(F.col("n") <= most_together)
+    others = F.array_distinct(F.flatten(F.collect_list(F.array_remove("cs", F.col("c")))))
+    around = stored(held.groupBy("c").agg(F.array_sort(others).alias("os")).mapInArrow(_packed, "c long, k int, body binary"), "around")
     for side in ("a", "b"):
-        pairs = pairs.join(df.select(F.col("concept").alias(side)), side, "left_semi").join(degree.select(F.col("c").alias(side), F.col("k").alias(f"k_{side}")), side)
-    common = pairs.select("a", "b").join(sides.select(F.col("c").alias("a"), "o"), "a").join(sides.select(F.col("c").alias("b"), "o"), ["b", "o"]).groupBy("a", "b").agg(F.count("*").alias("common"))
+        pairs = pairs.join(around.select(F.col("c").alias(side), F.col("k").alias(f"k_{side}")), side)
+    less = F.col("k_a") < F.col("k_b")
+    pairs = pairs.select("a", "b", "n", "k_a", "k_b", F.when(less, F.col("a")).otherwise(F.col("b")).alias("c"), F.when(less, F.col("b")).otherwise(F.col("a")).alias("home"))
+    pairs = stored(pairs, "pairs")
+    columns = ["home", "a", "b", "n", "k_a", "k_b", "body"]
+    homes = around.join(pairs.select(F.col("home").alias("c")).distinct(), "c", "left_semi").select(F.col("c").alias("home"), "body")
+    rows = pairs.join(around.select("c", "body"), "c").select(columns).unionByName(homes, allowMissingColumns=True)
+    found = rows.repartition("home").sortWithinPartitions("home", "a").mapInArrow(_common, "a long, b long, n long, k_a int, k_b int, common long")
     # each is in the other's surroundings, which doesn't count
-    union = F.col("k_a") - 1 + F.col("k_b") - 1 - F.coalesce("common", F.lit(0))
-    surprise = F.when(union > 0, 1 - F.coalesce("common", F.lit(0)) / union).otherwise(1.0)
-    return pairs.join(common, ["a", "b"], "left").select("a", "b", "n", surprise.alias("surprise"))
+    union = F.col("k_a") - 1 + F.col("k_b") - 1 - F.col("common")
+    surprise = F.when(union > 0, 1 - F.col("common") / union).otherwise(1.0)
+    return found.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), "n", surprise.alias("surprise"))
 
 
 def local_graph(edges: DataFrame, seed, hops: int = 1, most_nodes: int = 40, least_idf: float = 0.0, most_edges: int = 0) -> DataFrame:
