@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenote.llm import decontam, ngram_join, packing, quality, suffix_dedup
-from lumenote.llm.shared import keep_only, own_id, stored, stored_count
+from lumenote.llm.shared import keep_only, stored, stored_count
 
 #: Ids up to this number travel with tasks.
 MOST_SENT = 1 << 20
@@ -44,15 +44,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = suffix_dedup.suffix_dedup(docs, min_len=200, with_text=True, stand_ins=True).filter("n_removed < n_bytes OR n_bytes = 0")
-    # a repeated row has a result each, and all are the same
-    left = left.select(F.col("doc_id").alias("_own"), F.col("n_removed").alias("_n_removed"), F.col("kept").alias("_kept")).dropDuplicates(["_own"])
-    joined = docs.join(left, own_id() == F.col("_own"))
-    text = F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col("text"))
-    columns = {c: F.col(c) for c in docs.columns} | {"text": text}
+    left = suffix_dedup.texts_left(docs, min_len=200).filter("n_removed < n_bytes OR n_bytes = 0")
+    columns = {c: F.col("text") if c == "text" else F.col("row")[c] for c in docs.columns}
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(F.col("_n_removed") > 0, F.length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return joined.select(*(v.alias(k) for k, v in columns.items()))
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return left.select(*(v.alias(k) for k, v in columns.items()))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

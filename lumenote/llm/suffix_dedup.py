@@ -25,8 +25,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .shared import BASE_A, BASE_B, U64, PrefixHash, binary_parts, bounded_runs, dropped, input_bytes, named, released, small_batches, stored, unnamed
+from .shared import BASE_A, BASE_B, U64, PrefixHash, binary_parts, bounded_runs, dropped, input_bytes, named, own_id, released, small_batches, stored, unnamed
 
 ANCHOR = 64
 #: Bytes hashed or sorted at once in a task; long texts are cut into overlapping pieces.
@@ -331,7 +332,14 @@ def repeated_ranges(docs: DataFrame, min_len: int = 200) -> DataFrame:
     return ranges
 
 
-def _kept(text_too: bool):
+def _kept(text_too: bool, rows_too: bool = False):
+    """(doc_id, body, ranges) to what suffix_dedup returns. rows_too: the text as bytes, and a column `row` handed on."""
+
+    def text(body: np.ndarray, left: bytes):
+        if rows_too:
+            return left if len(left) == len(body) else left.decode("utf-8", "ignore").encode()
+        return left.decode("utf-8", "ignore") if text_too else None
+
     def run(batches):
         for batch in batches:
             data, offsets = binary_parts(batch.column("body"))
@@ -350,14 +358,25 @@ def _kept(text_too: bool):
                     gone = np.cumsum(mark[:-1]) > 0
                 left = body[~gone].tobytes()
                 runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                rows.append((len(body), int(gone.sum()), runs, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if text_too else None))
+                rows.append((len(body), int(gone.sum()), runs, hashlib.sha256(left).hexdigest(), text(body, left)))
             cols = list(zip(*rows, strict=True)) or [()] * 5
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary() if rows_too else pa.string()]
+            row = {"row": batch.column("row")} if rows_too else {}
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True)), *row.values()], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *row])
 
     return run
 
 
+#: Columns of a document's result.
+COUNTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
+def _by_document(docs: DataFrame, min_len: int) -> DataFrame:
+    if min_len < ANCHOR + 8:
+        raise ValueError(f"min_len must be at least {ANCHOR + 8}")
+    return repeated_ranges(docs, min_len).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+
+
 def suffix_dedup(docs: DataFrame, min_len: int = 200, with_text: bool = False, stand_ins: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining text where with_text is set, else null).
 
@@ -365,9 +384,20 @@ def suffix_dedup(docs: DataFrame, min_len: int = 200, with_text: bool = False, s
     by a removed range loses its remaining bytes in `kept`, but not in kept_sha256. stand_ins: rows without a doc_id have
     the number of shared.own_id.
     """
-    if min_len < ANCHOR + 8:
-        raise ValueError(f"min_len must be at least {ANCHOR + 8}")
-    ranges = repeated_ranges(docs, min_len).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    joined = input_bytes(named(docs)).join(ranges, "doc_id", "left").select("doc_id", "body", "ranges")
-    found = joined.mapInArrow(released(_kept(with_text)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    joined = input_bytes(named(docs)).join(_by_document(docs, min_len), "doc_id", "left").select("doc_id", "body", "ranges")
+    found = joined.mapInArrow(released(_kept(with_text)), f"{COUNTS}, kept string")
     return found if stand_ins else unnamed(found, "doc_id")
+
+
+def texts_left(docs: DataFrame, min_len: int = 200) -> DataFrame:
+    """row, text, n_bytes, n_removed for each row: its other columns as a struct, what suffix_dedup leaves of its text.
+
+    A row meets its ranges once and needs no join with the result.
+    """
+    others = F.struct(*[c for c in docs.columns if c != "text"])
+    body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    rows = docs.select(own_id().alias("doc_id"), body.alias("body"), F.struct(others.alias("row"), F.col("text").isNull().alias("none")).alias("row"))
+    joined = rows.join(_by_document(docs, min_len), "doc_id", "left").select("doc_id", "body", "ranges", "row")
+    schema = StructType.fromDDL(f"{COUNTS}, kept binary").add(joined.schema["row"])
+    found = joined.mapInArrow(released(_kept(True, rows_too=True)), schema)
+    return found.select("row.row", F.when(~F.col("row.none"), F.col("kept").cast("string")).alias("text"), "n_bytes", "n_removed")
